@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanspark.llm import quality, secret_scan, tokens, urls
+from gleanspark.llm import lines, mixing, quality, repeats, secret_scan, tokens, urls, warc
 from gleanspark.llm.common import tables
 
 TOKENIZER = "word_bpe_49k.json"
@@ -18,6 +18,20 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(tables(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = repeats.remove_repeats(tables(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(tables(spark, sf_dir, "pages"))
+    return read.select(warc.page_id("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), warc.page_id("refers_to").alias("refers_to"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(tables(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = quality.judge(tables(spark, sf_dir, "documents").select("doc_id", "text"), into="_q")
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -32,5 +46,11 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find_secrets(tables(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op5_quality_rules, op6_url_filter, op9_secret_scan)}
-SQL: dict[str, str] = {}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = lines.drop_boilerplate(tables(spark, sf_dir, "documents"))
+    return done.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2("line_dedup.text", 256).alias("text_sha256"))
+
+
+_ALL = (op1_token_counts, op2_substring_dedup, op3_warc, op4_mixing, op5_quality_rules, op6_url_filter, op9_secret_scan, op10_line_dedup)
+QUERIES = {f.__name__: f for f in _ALL}
+SQL: dict[str, str] = {"op10_line_dedup": lines.sql()}
