@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from gleanspark.llm.common import stash
 
 #: Bytes of text that a worker packs at a time, windows in one packed string, words whose hash it remembers,
-#: documents listed in one row, packed strings of a bucket that are sorted at a time.
-CHUNK, LONGEST, REMEMBERED, LISTED, SORTED = 4_000_000, 256, 300_000, 4096, 2048
+#: documents listed in one row, rows and bytes of packed strings that are sorted at a time.
+CHUNK, LONGEST, REMEMBERED, LISTED, SORTED, SORTED_BYTES = 4_000_000, 256, 300_000, 4096, 2048, 1_500_000
+#: Runs of words shorter than this many bytes become minimisers only where there is no other: they are frequent.
+FREQUENT_BYTES = 9
 
 
 class WordHash(dict):
@@ -73,11 +75,14 @@ class Packer:
             self.hashes.clear()
         words = [w for _, _, ws in held for w in ws]
         n, k, m = len(words), self.window, self.m
+        lens = np.fromiter(map(len, words), np.int64, n)
         h = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, n)
-        run = h[: n - m + 1].copy()
+        run, chars = h[: n - m + 1].copy(), lens[: n - m + 1].copy()
         for i in range(1, m):
             run = _mixed(run) + h[i : n - m + 1 + i]
-        least = _sliding_min(_mixed(run), k - m + 1)  # of the window that starts at each word
+            chars += lens[i : n - m + 1 + i]
+        order = (_mixed(run) >> np.uint64(1)) | ((chars < FREQUENT_BYTES).astype(np.uint64) << np.uint64(63))
+        least = _sliding_min(order, k - m + 1)  # of the window that starts at each word
         counts = np.array([len(ws) for _, _, ws in held])
         ends = np.cumsum(counts)
         owner = np.repeat(np.arange(len(held)), counts)[: len(least)]
@@ -87,7 +92,6 @@ class Packer:
         first = np.union1d(first, np.concatenate([np.arange(a, b, LONGEST) for a, b in zip(first, np.append(first[1:], len(at)), strict=True) if b - a > LONGEST] or [first[:0]])).astype(np.int64)
         last = np.append(first[1:], len(at)) - 1
         start, stop = at[first], at[last] + k  # words of each super-k-mer
-        lens = np.fromiter(map(len, words), np.int64, n)
         begin = np.cumsum(lens + 1) - lens - 1
         joined = b" ".join(words)
         cuts = zip(begin[start].tolist(), (begin[stop - 1] + lens[stop - 1]).tolist(), strict=True)
@@ -95,21 +99,27 @@ class Packer:
         docs = np.array([d for d, _, _ in held], np.int64)[own]
         keys = np.array([x for _, x, _ in held], np.int32)[own]
         starts = (start - (ends - counts)[own]).astype(np.int32)
-        buckets = least[start].astype(np.int64)
-        alike: dict[bytes, list[int]] = {}
-        for i, (a, b) in enumerate(cuts):
-            alike.setdefault(joined[a:b], []).append(i)
-        out: tuple[list[int], list[int], list[bytes]] = ([], [], [])
-        for text, many in alike.items():
-            for j in range(0, len(many), LISTED):
-                i = many[j : j + LISTED]
-                if len(i) > 1:
-                    i.sort(key=docs.__getitem__)
-                    data = b"\x01" + struct.pack("<I", len(i)) + docs[i].tobytes() + keys[i].tobytes() + starts[i].tobytes() + text
-                else:
-                    data = b"\x00" + struct.pack("<ii", keys[i[0]], starts[i[0]]) + text
-                for o, v in zip(out, (int(buckets[i[0]]), int(docs[i[0]]), data), strict=True):
-                    o.append(v)
+        buckets = (least[start] >> np.uint64(24)).astype(np.uint32).view(np.int32)
+        texts = [joined[a:b] for a, b in cuts]
+        index: dict[bytes, int] = {}
+        same = np.array([index.setdefault(t, i) for i, t in enumerate(texts)])
+        times = np.bincount(same, minlength=len(texts))
+        one = np.flatnonzero((times == 1))
+        head = np.empty((len(one), 9), np.uint8)
+        head[:, 0] = 0
+        head[:, 1:5] = keys[one].view(np.uint8).reshape(-1, 4)
+        head[:, 5:] = starts[one].view(np.uint8).reshape(-1, 4)
+        flat = head.tobytes()
+        out = (buckets[one].tolist(), docs[one].tolist(), [flat[9 * j : 9 * j + 9] + texts[i] for j, i in enumerate(one.tolist())])
+        if len(one) < len(texts):
+            rest = np.flatnonzero(times[same] > 1)
+            rest = rest[np.lexsort((docs[rest], same[rest]))]
+            for group in np.split(rest, np.flatnonzero(np.diff(same[rest])) + 1):
+                for j in range(0, len(group), LISTED):
+                    i = group[j : j + LISTED]
+                    data = b"\x01" + struct.pack("<I", len(i)) + docs[i].tobytes() + keys[i].tobytes() + starts[i].tobytes() + texts[i[0]]
+                    for o, v in zip(out, (int(buckets[i[0]]), int(docs[i[0]]), data), strict=True):
+                        o.append(v)
         return out
 
 
@@ -159,24 +169,91 @@ class Bucket:
                     yield docs[later], keys[later], starts[later] + int(a), np.full(later.sum(), b - a, np.int32)
 
 
+#: Base of the rolling hash and its inverse modulo 2**64.
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    if not _POWERS or len(_POWERS[0]) < n:
+        _POWERS[:] = [np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, b, np.uint64)))) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _POWERS
+
+
+def sort_windows(docs: list[int], data: list[bytes], window: int) -> list[np.ndarray]:
+    """What ``Bucket.feed`` gives for whole buckets, many at a time.
+
+    Windows are sorted by a hash of their bytes and by document; equal neighbours are compared byte by byte.
+    """
+    found = [_unpacked(d, x) if x[0] else None for d, x in zip(docs, data, strict=True)]
+    texts = [x[9:] if f is None else f[3] for f, x in zip(found, data, strict=True)]
+    # occurrences: document, key, first word and number of the text
+    one = [i for i, f in enumerate(found) if f is None]
+    head = np.frombuffer(b"".join(data[i][1:9] for i in one), np.int32).reshape(-1, 2)
+    many = [(f, i) for i, f in enumerate(found) if f is not None]
+    lowest = np.array(docs, np.int64)
+    doc = np.concatenate([lowest[one], *(f[0] for f, _ in many)])
+    key = np.concatenate([head[:, 0], *(f[1] for f, _ in many)])
+    first = np.concatenate([head[:, 1], *(f[2] for f, _ in many)])
+    text = np.concatenate([np.array(one, np.int64), *(np.full(len(f[0]), i) for f, i in many)])
+
+    joined = b" ".join(texts) + b" "
+    raw = np.frombuffer(joined, np.uint8)
+    stops = np.flatnonzero(raw == 32)
+    begins = np.concatenate(([0], stops[:-1] + 1))
+    n_words = np.diff(np.searchsorted(stops, np.cumsum([len(t) + 1 for t in texts]), "left"), prepend=0)
+    n = n_words - (window - 1)
+    before = np.cumsum(n) - n
+    at = np.arange(n.sum()) - np.repeat(before - (np.cumsum(n_words) - n_words), n)
+    a, b = begins[at], stops[at + window - 1]
+    power, inverse = _powers(len(raw))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(raw * power[: len(raw)])))
+    hashes = _mixed((sums[b] - sums[a]) * inverse[a])
+    mine = np.repeat(lowest, n)
+    order = np.lexsort((mine, hashes))
+    equal = hashes[order[1:]] == hashes[order[:-1]]
+    left, right = order[:-1][equal], order[1:][equal]
+    if not all(joined[p:q] == joined[r:s] for p, q, r, s in zip(a[left].tolist(), b[left].tolist(), a[right].tolist(), b[right].tolist(), strict=True)):
+        again = list(Bucket(window).feed(list(zip(docs, data, strict=True))))  # unequal windows share a hash
+        return [np.concatenate(x) for x in zip(*again, strict=True)] or [np.empty(0, np.int64)] * 4
+    runs = np.flatnonzero(np.concatenate(([True], ~equal)))
+    least = np.empty(len(order), np.int64)
+    least[order] = np.repeat(mine[order[runs]], np.diff(np.append(runs, len(order))))
+
+    wide = n[text]
+    which = np.repeat(np.arange(len(text)), wide)
+    offset = np.arange(len(which)) - np.repeat(np.cumsum(wide) - wide, wide)
+    hit = np.flatnonzero(least[before[text][which] + offset] < doc[which])
+    which, offset = which[hit], offset[hit]
+    cut = np.flatnonzero(np.concatenate(([True], (np.diff(which) != 0) | (np.diff(offset) != 1)))) if len(hit) else hit
+    o = which[cut]
+    return [doc[o], key[o], (first[o] + offset[cut]).astype(np.int32), np.diff(np.append(cut, len(hit))).astype(np.int32)]
+
+
 def _to_buckets(window: int, m: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = Packer(window, m)
         for batch in batches:
             rows = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
             for buckets, docs, data in pack(rows):
-                yield pa.record_batch([pa.array(buckets, pa.int64()), pa.array(docs, pa.int64()), pa.array(data, pa.binary())], ["bucket", "doc", "data"])
+                yield pa.record_batch([pa.array(buckets, pa.int32()), pa.array(docs, pa.int64()), pa.array(data, pa.binary())], ["bucket", "doc", "data"])
 
     return run
 
 
 def _from_buckets(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc", "key", "first", "n"]
         state, now, held, lone = Bucket(window), None, [], True
+        small: tuple[list[int], list[bytes]] = ([], [])  # rows of whole buckets
+        size = 0
 
         def work(rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
             if found := list(state.feed(rows)):
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["doc", "key", "first", "n"])
+                yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names)
+
+        def flush() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(x) for x in sort_windows(*small, window)], names)
 
         for batch in batches:
             if not batch.num_rows:
@@ -184,39 +261,61 @@ def _from_buckets(window: int):
             buckets, docs, data = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
             offsets = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data)]
             many = np.frombuffer(data.buffers()[2], np.uint8)[offsets] > 0
-            begin = 0
-            for end in np.append(np.flatnonzero(np.diff(buckets)) + 1, len(buckets)).tolist():
-                alone = docs[begin] == docs[end - 1] and not many[begin:end].any()
-                if buckets[begin] != now:
+            ends = np.append(np.flatnonzero(np.diff(buckets)) + 1, len(buckets))
+            begins = np.append(0, ends[:-1])
+            alone = (docs[begins] == docs[ends - 1]) & (np.add.reduceat(many, begins, dtype=np.int64) == 0)
+            for begin, end, single in zip(begins.tolist(), ends.tolist(), alone.tolist(), strict=True):
+                if buckets[begin] != now or begin:
                     if not lone:
-                        yield from work(held)
-                    state, now, held, lone = Bucket(window), buckets[begin], [], True
-                    if alone and end < len(buckets):  # the whole bucket is one document's
-                        begin = end
+                        if state.seen or len(held) > SORTED:
+                            yield from work(held)
+                        else:
+                            small[0].extend(d for d, _ in held)
+                            small[1].extend(x for _, x in held)
+                            size += sum(len(x) for _, x in held)
+                            if size > SORTED_BYTES:
+                                yield flush()
+                                small[0].clear()
+                                small[1].clear()
+                                size = 0
+                    state, now, held, lone = Bucket(window) if state.seen else state, buckets[begin], [], True
+                    if single and end < len(buckets):  # the whole bucket is one document's
                         continue
-                lone = bool(lone and alone and (not held or held[0][0] == docs[begin]))
+                lone = lone and single and (not held or held[0][0] == docs[begin])
                 held += zip(docs[begin:end].tolist(), data[begin:end].to_pylist(), strict=True)
                 while len(held) > SORTED and not lone:
                     yield from work(held[:SORTED])
                     held = held[SORTED:]
-                begin = end
         if not lone:
             yield from work(held)
+        if small[0]:
+            yield flush()
 
     return run
 
 
-def find_repeats(docs: DataFrame, *, window: int = 13, m: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stretches of repeated windows: doc, key (hash of the text), first (word), n (windows).
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc, key and text; the key tells rows of one id apart and is 0 where ids are unique."""
+    ids = docs.select(F.col(id_col).cast("long").alias("doc")).filter("doc is not null").groupBy("doc").count()
+    unique = ids.filter("count > 1").isEmpty()
+    return docs.select(F.col(id_col).cast("long").alias("doc"), (F.lit(0) if unique else F.hash(text_col)).alias("key"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+
+
+def _found(keyed: DataFrame, window: int, m: int) -> DataFrame:
+    rows = keyed.select("doc", "key", "text").filter(F.col("doc").isNotNull() & F.col("text").isNotNull())
+    packed = rows.mapInArrow(_to_buckets(window, m), "bucket int, doc long, data binary")
+    return packed.repartition("bucket").sortWithinPartitions("bucket", "doc").mapInArrow(_from_buckets(window), "doc long, key int, first int, n int")
+
+
+def find_repeats(docs: DataFrame, *, window: int = 13, m: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Stretches of repeated windows: doc, key (tells rows of one id apart), first (word), n (windows).
 
     Each listed window's words also start in a document with a smaller id.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.hash(text_col).alias("key"), F.col(text_col).alias("text")).filter(F.col("doc").isNotNull() & F.col("text").isNotNull())
-    packed = rows.mapInArrow(_to_buckets(window, m), "bucket long, doc long, data binary")
-    return packed.repartition("bucket").sortWithinPartitions("bucket", "doc").mapInArrow(_from_buckets(window), "doc long, key int, first int, n int")
+    return _found(_keyed(docs, id_col, text_col), window, m)
 
 
-def remove_repeats(docs: DataFrame, *, window: int = 13, m: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, *, window: int = 13, m: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, kept_text (kept words joined by one space), n_words and n_removed of every row.
 
     A word goes if a window of ``window`` words covers it whose words also start in a document with a smaller
@@ -224,7 +323,8 @@ def remove_repeats(docs: DataFrame, *, window: int = 13, m: int = 4, id_col: str
     keeps all words and is no earlier document for others; rows with the same id do not remove each other's
     words.  Other columns are dropped.
     """
-    found = stash(find_repeats(docs, window=window, m=m, id_col=id_col, text_col=text_col), "repeats")
+    keyed = _keyed(docs, id_col, text_col)
+    found = stash(_found(keyed, window, m), "repeats")
     by_row = found.groupBy("doc", "key").agg(F.collect_list("first").alias("first"), F.collect_list("n").alias("n"))
 
     @F.pandas_udf("kept_text string, n_words long, n_removed long")
@@ -236,15 +336,14 @@ def remove_repeats(docs: DataFrame, *, window: int = 13, m: int = 4, id_col: str
                 rest = words
                 if first is not None and len(first):
                     edge = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edge, np.asarray(first), 1)
-                    np.add.at(edge, np.asarray(first) + np.asarray(n) + window - 1, -1)
+                    size = len(edge)
+                    edge += np.bincount(first, minlength=size) - np.bincount(first + n + (window - 1), minlength=size)
                     rest = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()]
                 out.append((b" ".join(rest).decode(), len(words), len(words) - len(rest)))
             yield pd.DataFrame(out, columns=["kept_text", "n_words", "n_removed"])
 
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(id_col).cast("long").alias("doc"), F.hash(text_col).alias("key"))
-    done = rows.join(by_row, ["doc", "key"], "left").select("_id", kept("_text", "first", "n").alias("_k"))
-    return done.select(F.col("_id").alias(id_col), "_k.*")
+    done = keyed.join(by_row, ["doc", "key"], "left").select("id", kept("text", "first", "n").alias("_k"))
+    return done.select(F.col("id").alias(id_col), "_k.*")
 
 
 def brute_force(docs: list[tuple[int, str | None]], window: int = 13) -> dict[int, tuple[int, int, str]]:
