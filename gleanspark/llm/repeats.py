@@ -7,6 +7,8 @@ share the smallest document that holds them.  Buckets arrive sorted by document
 a bucket that one document alone fills is passed over, and what is kept in memory are the distinct windows of
 one bucket.  Equal packed strings of one map batch are merged before the shuffle, so that a passage in a third
 of all documents costs its bucket one row per batch and not one per document.
+
+Packed strings travel compressed with a small dictionary, as neighbours share most of their words.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +31,8 @@ from gleanspark.llm.common import stash
 CHUNK, LONGEST, REMEMBERED, LISTED, SORTED, SORTED_BYTES = 4_000_000, 256, 300_000, 4096, 2048, 1_500_000
 #: Runs of words shorter than this many bytes become minimisers only where there is no other: they are frequent.
 FREQUENT_BYTES = 9
+#: The dictionary is trained on this many texts' first characters; it changes sizes, never results.
+SAMPLE_TEXTS, SAMPLE_CHARS, DICTIONARY = 400, 4000, 16_384
 
 
 class WordHash(dict):
@@ -53,8 +58,9 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 class Packer:
     """Super-k-mers of whole documents."""
 
-    def __init__(self, window: int, m: int):
+    def __init__(self, window: int, m: int, dictionary: bytes = b""):
         self.window, self.m, self.hashes = window, m, WordHash()
+        self.zip = zstandard.ZstdCompressor(level=1, dict_data=zstandard.ZstdCompressionDict(dictionary), write_dict_id=False).compress
 
     def __call__(self, rows: Iterable[tuple[int, int, str]]) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
         """Lists of buckets, smallest documents and packed data; rows are document, key of its text, text."""
@@ -104,39 +110,39 @@ class Packer:
         index: dict[bytes, int] = {}
         same = np.array([index.setdefault(t, i) for i, t in enumerate(texts)])
         times = np.bincount(same, minlength=len(texts))
-        one = np.flatnonzero((times == 1))
-        head = np.empty((len(one), 9), np.uint8)
-        head[:, 0] = 0
-        head[:, 1:5] = keys[one].view(np.uint8).reshape(-1, 4)
-        head[:, 5:] = starts[one].view(np.uint8).reshape(-1, 4)
-        flat = head.tobytes()
-        out = (buckets[one].tolist(), docs[one].tolist(), [flat[9 * j : 9 * j + 9] + texts[i] for j, i in enumerate(one.tolist())])
+        short = (keys == 0) & (starts < 1 << 16)
+        one = np.flatnonzero((times == 1) & (same == np.arange(len(same))) & short)
+        flat, compress = starts[one].astype("<u2").tobytes(), self.zip
+        out = (buckets[one].tolist(), docs[one].tolist(), [b"\x00" + flat[2 * j : 2 * j + 2] + compress(texts[i]) for j, i in enumerate(one.tolist())])
         if len(one) < len(texts):
-            rest = np.flatnonzero(times[same] > 1)
+            rest = np.flatnonzero((times[same] > 1) | ~short)
             rest = rest[np.lexsort((docs[rest], same[rest]))]
             for group in np.split(rest, np.flatnonzero(np.diff(same[rest])) + 1):
                 for j in range(0, len(group), LISTED):
                     i = group[j : j + LISTED]
-                    data = b"\x01" + struct.pack("<I", len(i)) + docs[i].tobytes() + keys[i].tobytes() + starts[i].tobytes() + texts[i[0]]
+                    data = b"\x01" + struct.pack("<I", len(i)) + docs[i].tobytes() + keys[i].tobytes() + starts[i].tobytes() + compress(texts[i[0]])
                     for o, v in zip(out, (int(buckets[i[0]]), int(docs[i[0]]), data), strict=True):
                         o.append(v)
         return out
 
 
 def _unpacked(doc: int, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
-    """Documents, keys, first words and the text of a packed row."""
+    """Documents, keys, first words and the compressed text of a packed row."""
     if data[0] == 0:
-        key, start = struct.unpack_from("<ii", data, 1)
-        return np.array([doc]), np.array([key], np.int32), np.array([start], np.int32), data[9:]
+        return np.array([doc]), np.zeros(1, np.int32), np.frombuffer(data, "<u2", 1, 1).astype(np.int32), data[3:]
     n = struct.unpack_from("<I", data, 1)[0]
     return np.frombuffer(data, np.int64, n, 5), np.frombuffer(data, np.int32, n, 5 + 8 * n), np.frombuffer(data, np.int32, n, 5 + 12 * n), data[5 + 16 * n :]
 
 
+def _unzip(dictionary: bytes):
+    return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary)).decompress
+
+
 class Bucket:
     """Windows of one bucket, fed by ascending document."""
 
-    def __init__(self, window: int):
-        self.window, self.seen = window, {}
+    def __init__(self, window: int, unzip):
+        self.window, self.unzip, self.seen = window, unzip, {}
 
     def feed(self, rows: list[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, ...]]:
         """Documents, keys, first words and numbers of windows that a smaller document holds too."""
@@ -146,6 +152,7 @@ class Bucket:
             alike.setdefault(text, []).append((docs, keys, starts))
         windows = []
         for which, (text, found) in enumerate(alike.items()):
+            text = self.unzip(text)
             raw = np.frombuffer(text, np.uint8)
             gaps = np.flatnonzero(raw == 32)
             begin, end = np.append(0, gaps + 1), np.append(gaps, len(raw))
@@ -180,21 +187,21 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
-def sort_windows(docs: list[int], data: list[bytes], window: int) -> list[np.ndarray]:
+def sort_windows(docs: list[int], data: list[bytes], window: int, unzip) -> list[np.ndarray]:
     """What ``Bucket.feed`` gives for whole buckets, many at a time.
 
     Windows are sorted by a hash of their bytes and by document; equal neighbours are compared byte by byte.
     """
     found = [_unpacked(d, x) if x[0] else None for d, x in zip(docs, data, strict=True)]
-    texts = [x[9:] if f is None else f[3] for f, x in zip(found, data, strict=True)]
+    texts = [unzip(x[3:] if f is None else f[3]) for f, x in zip(found, data, strict=True)]
     # occurrences: document, key, first word and number of the text
     one = [i for i, f in enumerate(found) if f is None]
-    head = np.frombuffer(b"".join(data[i][1:9] for i in one), np.int32).reshape(-1, 2)
+    starts = np.frombuffer(b"".join(data[i][1:3] for i in one), "<u2").astype(np.int32)
     many = [(f, i) for i, f in enumerate(found) if f is not None]
     lowest = np.array(docs, np.int64)
     doc = np.concatenate([lowest[one], *(f[0] for f, _ in many)])
-    key = np.concatenate([head[:, 0], *(f[1] for f, _ in many)])
-    first = np.concatenate([head[:, 1], *(f[2] for f, _ in many)])
+    key = np.concatenate([np.zeros(len(one), np.int32), *(f[1] for f, _ in many)])
+    first = np.concatenate([starts, *(f[2] for f, _ in many)])
     text = np.concatenate([np.array(one, np.int64), *(np.full(len(f[0]), i) for f, i in many)])
 
     joined = b" ".join(texts) + b" "
@@ -214,7 +221,7 @@ def sort_windows(docs: list[int], data: list[bytes], window: int) -> list[np.nda
     equal = hashes[order[1:]] == hashes[order[:-1]]
     left, right = order[:-1][equal], order[1:][equal]
     if not all(joined[p:q] == joined[r:s] for p, q, r, s in zip(a[left].tolist(), b[left].tolist(), a[right].tolist(), b[right].tolist(), strict=True)):
-        again = list(Bucket(window).feed(list(zip(docs, data, strict=True))))  # unequal windows share a hash
+        again = list(Bucket(window, unzip).feed(list(zip(docs, data, strict=True))))  # unequal windows share a hash
         return [np.concatenate(x) for x in zip(*again, strict=True)] or [np.empty(0, np.int64)] * 4
     runs = np.flatnonzero(np.concatenate(([True], ~equal)))
     least = np.empty(len(order), np.int64)
@@ -230,9 +237,9 @@ def sort_windows(docs: list[int], data: list[bytes], window: int) -> list[np.nda
     return [doc[o], key[o], (first[o] + offset[cut]).astype(np.int32), np.diff(np.append(cut, len(hit))).astype(np.int32)]
 
 
-def _to_buckets(window: int, m: int):
+def _to_buckets(window: int, m: int, dictionary: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = Packer(window, m)
+        pack = Packer(window, m, dictionary)
         for batch in batches:
             rows = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
             for buckets, docs, data in pack(rows):
@@ -241,10 +248,10 @@ def _to_buckets(window: int, m: int):
     return run
 
 
-def _from_buckets(window: int):
+def _from_buckets(window: int, dictionary: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "key", "first", "n"]
-        state, now, held, lone = Bucket(window), None, [], True
+        names, unzip = ["doc", "key", "first", "n"], _unzip(dictionary)
+        state, now, held, lone = Bucket(window, unzip), None, [], True
         small: tuple[list[int], list[bytes]] = ([], [])  # rows of whole buckets
         size = 0
 
@@ -253,7 +260,7 @@ def _from_buckets(window: int):
                 yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names)
 
         def flush() -> pa.RecordBatch:
-            return pa.record_batch([pa.array(x) for x in sort_windows(*small, window)], names)
+            return pa.record_batch([pa.array(x) for x in sort_windows(*small, window, unzip)], names)
 
         for batch in batches:
             if not batch.num_rows:
@@ -278,7 +285,7 @@ def _from_buckets(window: int):
                                 small[0].clear()
                                 small[1].clear()
                                 size = 0
-                    state, now, held, lone = Bucket(window) if state.seen else state, buckets[begin], [], True
+                    state, now, held, lone = Bucket(window, unzip) if state.seen else state, buckets[begin], [], True
                     if single and end < len(buckets):  # the whole bucket is one document's
                         continue
                 lone = lone and single and (not held or held[0][0] == docs[begin])
@@ -301,10 +308,19 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc"), (F.lit(0) if unique else F.hash(text_col)).alias("key"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
 
 
+def _train(texts: list[str]) -> bytes:
+    parts = [d[i : i + 120] for d in (t.encode("utf-8", "replace") for t in texts) for i in range(0, len(d), 120)]
+    try:
+        return zstandard.train_dictionary(DICTIONARY, parts).as_bytes()
+    except zstandard.ZstdError:  # too few texts to train on
+        return b"".join(parts)[:DICTIONARY]
+
+
 def _found(keyed: DataFrame, window: int, m: int) -> DataFrame:
     rows = keyed.select("doc", "key", "text").filter(F.col("doc").isNotNull() & F.col("text").isNotNull())
-    packed = rows.mapInArrow(_to_buckets(window, m), "bucket int, doc long, data binary")
-    return packed.repartition("bucket").sortWithinPartitions("bucket", "doc").mapInArrow(_from_buckets(window), "doc long, key int, first int, n int")
+    dictionary = _train([r[0] for r in rows.select(F.substring("text", 1, SAMPLE_CHARS)).limit(SAMPLE_TEXTS).collect()])
+    packed = rows.mapInArrow(_to_buckets(window, m, dictionary), "bucket int, doc long, data binary")
+    return packed.repartition("bucket").sortWithinPartitions("bucket", "doc").mapInArrow(_from_buckets(window, dictionary), "doc long, key int, first int, n int")
 
 
 def find_repeats(docs: DataFrame, *, window: int = 13, m: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
