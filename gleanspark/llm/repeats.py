@@ -28,7 +28,7 @@ from gleanspark.llm.common import stash
 
 #: Bytes of text that a worker packs at a time, windows in one packed string, words whose hash it remembers,
 #: documents listed in one row, rows and bytes of packed strings that are sorted at a time.
-CHUNK, LONGEST, REMEMBERED, LISTED, SORTED, SORTED_BYTES = 4_000_000, 256, 300_000, 4096, 2048, 1_500_000
+CHUNK, LONGEST, REMEMBERED, LISTED, SORTED, SORTED_BYTES = 1_000_000, 256, 100_000, 4096, 2048, 400_000
 #: Runs of words shorter than this many bytes become minimisers only where there is no other: they are frequent.
 FREQUENT_BYTES = 9
 #: The dictionary is trained on this many texts' first characters; it changes sizes, never results.
@@ -241,7 +241,8 @@ def _to_buckets(window: int, m: int, dictionary: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = Packer(window, m, dictionary)
         for batch in batches:
-            rows = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
+            parts = (batch.slice(i, 256) for i in range(0, batch.num_rows, 256))
+            rows = (row for part in parts for row in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True))
             for buckets, docs, data in pack(rows):
                 yield pa.record_batch([pa.array(buckets, pa.int32()), pa.array(docs, pa.int64()), pa.array(data, pa.binary())], ["bucket", "doc", "data"])
 
