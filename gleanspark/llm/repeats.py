@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from gleanspark.llm.common import stash
 
 #: Bytes of text that a worker packs at a time, windows in one packed string, words whose hash it remembers,
-#: documents listed in one row, rows and bytes of packed strings that are sorted at a time.
-CHUNK, LONGEST, REMEMBERED, LISTED, SORTED, SORTED_BYTES = 1_000_000, 256, 100_000, 4096, 2048, 400_000
+#: documents listed in one row, rows of a bucket and bytes of unpacked strings that are sorted at a time.
+CHUNK, LONGEST, REMEMBERED, LISTED, SORTED, SORTED_BYTES = 1_000_000, 256, 100_000, 4096, 512, 1_000_000
 #: Runs of words shorter than this many bytes become minimisers only where there is no other: they are frequent.
 FREQUENT_BYTES = 9
 #: The dictionary is trained on this many texts' first characters; it changes sizes, never results.
@@ -134,6 +134,14 @@ def _unpacked(doc: int, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return np.frombuffer(data, np.int64, n, 5), np.frombuffer(data, np.int32, n, 5 + 8 * n), np.frombuffer(data, np.int32, n, 5 + 12 * n), data[5 + 16 * n :]
 
 
+def _cost(data: bytes) -> int:
+    """About the bytes that a packed row takes when its windows are compared for each of its documents."""
+    if data[0] == 0:
+        return zstandard.frame_content_size(data[3:21])
+    n = struct.unpack_from("<I", data, 1)[0]
+    return (n + 1) * zstandard.frame_content_size(data[5 + 16 * n : 23 + 16 * n])
+
+
 def _unzip(dictionary: bytes):
     return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary)).decompress
 
@@ -275,12 +283,13 @@ def _from_buckets(window: int, dictionary: bytes):
             for begin, end, single in zip(begins.tolist(), ends.tolist(), alone.tolist(), strict=True):
                 if buckets[begin] != now or begin:
                     if not lone:
-                        if state.seen or len(held) > SORTED:
+                        cost = sum(_cost(x) for _, x in held)
+                        if state.seen or len(held) > SORTED or cost > 4 * SORTED_BYTES:
                             yield from work(held)
                         else:
                             small[0].extend(d for d, _ in held)
                             small[1].extend(x for _, x in held)
-                            size += sum(len(x) for _, x in held)
+                            size += cost
                             if size > SORTED_BYTES:
                                 yield flush()
                                 small[0].clear()
