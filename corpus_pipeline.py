@@ -10,11 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanspark.llm import leaks, lines, mixing, neardup, quality
-from gleanspark.llm.common import stash, tables
-
-#: Leaking ids are broadcast up to this many.
-BROADCAST_IDS = 500_000
-
+from gleanspark.llm.common import near_ids, stash, tables
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
@@ -31,14 +27,13 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each class; rows without an id stay."""
     later = neardup.near_duplicates(docs).filter("class_id <> doc_id").select("doc_id").distinct()
-    return docs.join(stash(later, "later-copies"), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(near_ids(stash(later, "later-copies")), "doc_id", "left_anti").select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents into which no benchmark item leaks; a leaking row without an id goes with all such rows."""
-    ids = stash(leaks.find_leaks(docs, tables(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leak")).distinct(), "leaking")
-    near = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(near, docs["doc_id"].eqNullSafe(near["_leak"]), "left_anti")
+    ids = near_ids(stash(leaks.find_leaks(docs, tables(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leak")).distinct(), "leaking"))
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_leak"]), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

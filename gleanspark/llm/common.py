@@ -53,6 +53,15 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of ids that are broadcast at most.
+BROADCAST_IDS = 500_000
+
+
+def near_ids(ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
+    """A stored table of ids for a join: broadcast up to ``limit`` rows, shuffled beyond."""
+    return F.broadcast(ids) if ids.count() <= limit else ids
+
+
 def words_of(text: Column) -> Column:
     """Array of the words of a text; null counts as empty."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))

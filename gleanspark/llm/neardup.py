@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import stash
+from gleanspark.llm.common import near_ids, stash
 from gleanspark.llm.graph import components
 from gleanspark.llm.repeats import REMEMBERED, WordHash, _mixed
 
@@ -203,7 +203,8 @@ def near_duplicates(docs: DataFrame, *, similarity: float = 0.8, width: int = 5,
     members = stash(banded.join(shared, "bucket"), "members")
     pairs = members.select("id", F.explode(F.array_distinct(F.array(*(f"l{t}" for t in range(LEADERS))))).alias("to")).filter("id <> to")
     pairs = stash(pairs.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct(), "pairs")
-    bags = stash(_with_bags(docs, members.select("id").distinct(), width, id_col, text_col), "bags")
+    several = near_ids(stash(members.select("id").distinct(), "several"))
+    bags = stash(_with_bags(docs, several, width, id_col, text_col), "bags")
     left, right = bags.select(F.col("id").alias("a"), F.col("bag").alias("x")), bags.select(F.col("id").alias("b"), F.col("bag").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     tried = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("all"))
