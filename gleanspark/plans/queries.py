@@ -228,7 +228,7 @@ def long(s, d):
 
 
 _KS = (10, 50, 100)
-_PK = "select {by} k, avg(label) "precision", n from (select {by} label, row_number() over (partition by {pb} order by score, i) r, count(*) over (partition by {pb}) n from {t}), (select unnest([10, 50, 100]) k) where r <= k and k <= n group by {by} k, n"
+_PK = "select {by} k, avg(label) \"precision\", n from (select {by} label, row_number() over (partition by {pb} order by score, i) r, count(*) over (partition by {pb}) n from {t}), (select unnest([10, 50, 100]) k) where r <= k and k <= n group by {by} k, n"
 
 
 @query(f"with {_SC} " + _PK.format(by="metric,", pb="metric", t="lg"))
