@@ -250,7 +250,7 @@ def precision_matrix(s, d):
     return ranking.precision_at_k(both, ["metric", "kind"], _KS)
 
 
-@query(f"with {_SC}, pk as ({_PK.format(by='metric,', pb='metric', t='lg')}) select metric, max(printf('%.2f', "precision")) filter (where k = 10) p_10, max(printf('%.2f', "precision")) filter (where k = 50) p_50, max(printf('%.2f', "precision")) filter (where k = 100) p_100 from pk group by metric")
+@query(f"with {_SC}, pk as ({_PK.format(by='metric,', pb='metric', t='lg')}) select metric, max(printf('%.2f', \"precision\")) filter (where k = 10) p_10, max(printf('%.2f', \"precision\")) filter (where k = 50) p_50, max(printf('%.2f', \"precision\")) filter (where k = 100) p_100 from pk group by metric")
 def precision_wide(s, d):
     pk = ranking.precision_at_k(long(s, d), ["metric"], _KS)
     return pk.groupBy("metric").pivot("k", list(_KS)).agg(F.first(F.format_string("%.2f", "precision"))).select("metric", *(F.col(str(k)).alias(f"p_{k}") for k in _KS))
