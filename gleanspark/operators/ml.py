@@ -11,10 +11,11 @@ from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def zlib_length(texts: pd.Series) -> pd.Series:
     """Bytes of the compressed UTF-8 text; null counts as empty."""
     return texts.map(lambda t: len(zlib.compress((t or "").encode())))
