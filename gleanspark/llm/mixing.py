@@ -4,7 +4,7 @@ Among all document rates between 0 and ``cap`` that give each source its target
 1 in relative entropy are min(cap, exp(tilt * size)), with one tilt per source.  The tilts solve a convex dual;
 Newton steps (kept inside a bracket) find them, each with one distributed sum of words and its derivative over
 the counts of documents by source and size.  Rates are then rounded into copies, from large to small documents
-with the error carried on, so that a source misses its target by about its smallest document.
+with the error carried on: a source misses its target by less than a document, mostly a short one.
 
 The driver holds one row per source, as the weights do; documents and their sizes stay distributed.
 """
