@@ -23,8 +23,8 @@ def windows(docs: DataFrame, size: int, step: int = 1) -> DataFrame:
     """
     n = F.length("norm")
     blocks = docs.filter(n >= size).select("id", F.explode(F.sequence(F.lit(0), n - size, F.lit(BLOCK))).alias("at"), "norm").select("id", "at", F.substring("norm", F.col("at") + 1, F.lit(BLOCK + size - 1)).alias("part"))
-    inside = blocks.select("id", "at", "part", F.explode(F.sequence(F.lit(1), F.least(F.length("part") - (size - 1), F.lit(BLOCK)))).alias("q"))
-    placed = inside.filter((F.col("at") + F.col("q")) % step == 0) if step > 1 else inside
+    first, last = F.lit(step) - F.col("at") % step, F.least(F.length("part") - (size - 1), F.lit(BLOCK))
+    placed = blocks.filter(first <= last).select("id", "at", "part", F.explode(F.sequence(first, last, F.lit(step))).alias("q"))
     return placed.select("id", (F.col("at") + F.col("q")).alias("p"), F.substring("part", F.col("q"), F.lit(size)).alias("shingle"))
 
 

@@ -33,7 +33,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_indexed(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines with ``i``, the line's place in its file (blank lines count); files must be single splits."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("i", "line"))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("i", "line"))
     return rows.filter(F.trim("line") != "").select(F.col("i").cast("long").alias("i"), F.from_json("line", schema).alias("_r")).select("i", "_r.*")
 
 
@@ -72,7 +72,7 @@ def web_text_records(spark: SparkSession, path: str, language: str = "eng") -> D
 
     The last record of a file is left out, as an archive's end is often cut off.
     """
-    parts = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "WARC/1.0")).alias("n", "record"))
+    parts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "WARC/1.0")).alias("n", "record"))
     last = F.max("n").over(Window.partitionBy("file"))
     lines = parts.withColumn("last", last).filter("n > 0 and n < last").select("file", "n", F.split("record", "\r?\n").alias("l"))
     return lines.filter(F.get("l", F.lit(7)).endswith(f"Language: {language}")).select("file", "n", F.array_join(F.slice("l", 11, 1_000_000_000), "\n").alias("text"))
