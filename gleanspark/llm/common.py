@@ -12,8 +12,13 @@ from pyspark.sql import functions as F
 SPACES = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACES}]+"
 
-#: While a scratch table is written: shuffle files go once it is done, and Arrow batches stay small.
-_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+#: While a scratch table is written: shuffle files go once it is done, Arrow batches stay small, and small shuffle
+#: partitions are joined up to Spark's own default size, so that scratch tables have few files.
+_WHILE_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64m",
+}
 
 
 def scratch_dir(spark: SparkSession) -> str:
