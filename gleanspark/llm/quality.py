@@ -46,7 +46,7 @@ RULES = (
     Rule("mean word length", "word_chars", "n_words", least=2.0, most=20.0),
     Rule("symbols to words", "n_symbols", "n_words", most=0.1),
     Rule("stop words", "n_stop_words", "n_words", least=0.01, words=50),
-    Rule("repeated lines", "n_dup_lines", "n_lines", most=0.3),
+    Rule("repeated lines", "n_dup_lines", "n_lines", most=0.5),
     Rule("bullet lines", "n_bullet_lines", "n_lines", most=0.9),
     Rule("unfinished lines", "n_ellipsis_lines", "n_lines", most=0.3),
 )
