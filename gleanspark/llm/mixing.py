@@ -23,6 +23,8 @@ from gleanspark.llm.common import count_words, stash
 
 #: Documents of one source and size that are ranked together at most, about.
 CELL = 100_000
+#: Words are summed as decimals, in which the order of the sum does not show: reruns find the same tilts.
+EXACT = "decimal(38,9)"
 
 
 def cycled_weights(sources: list[str | None], cycle: tuple[float, ...] = (3, 1, 2)) -> dict[str | None, float]:
@@ -62,8 +64,8 @@ def solve_tilts(hist: DataFrame, sums: dict[int, tuple[int, int, float]], cap: f
         x = F.col("tilt") * F.col("size")
         words = F.col("n") * F.col("size") * F.exp(F.least(x, F.lit(math.log(cap))))
         slope = F.when(x < math.log(cap), words * F.col("size")).otherwise(0.0)
-        found = hist.join(F.broadcast(now) if len(at) <= 10_000 else now, "k").groupBy("k").agg(F.sum(words).alias("f"), F.sum(slope).alias("d")).collect()
-        for k, f, d in found:
+        found = hist.join(F.broadcast(now) if len(at) <= 10_000 else now, "k").groupBy("k").agg(F.sum(words.cast(EXACT)).alias("f"), F.sum(slope.cast(EXACT)).alias("d")).collect()
+        for k, f, d in ((k, float(f), float(d)) for k, f, d in found):
             miss, v = f - sums[k][2], at[k]
             if abs(miss) <= close * sums[k][2]:
                 done[k] = at.pop(k)
