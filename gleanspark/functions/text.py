@@ -102,5 +102,14 @@ def bottom_k_mean(a: Column, share: float) -> Column:
     return total(F.slice(F.array_sort(a), F.lit(1), k)) / k
 
 
+#: Temperatures of the first twenty lengths (fixed values); 1 beyond.
+DECAY = (10.0, 9.53, 9.06, 8.59, 8.12, 7.65, 7.18, 6.71, 6.24, 5.77, 5.30, 4.83, 4.36, 3.89, 3.42, 2.95, 2.49, 2.01, 1.54, 1.0)
+
+
+def decayed_temperature(length: Column) -> Column:
+    """Sampling temperature at a total length in tokens."""
+    return F.coalesce(F.get(F.array(*map(F.lit, DECAY)), (length - 1).cast("int")), F.lit(1.0))
+
+
 def sanitized(a: Column) -> Column:
     return F.transform(a, lambda x: F.when(F.isnan(x), 0.0).when(x == float("inf"), 1e10).when(x == float("-inf"), -1e10).otherwise(x))

@@ -47,6 +47,18 @@ def window_minimum(losses: DataFrame, width: int) -> DataFrame:
     return rows.groupBy("id").agg((-F.when(F.max("r") >= width, F.min(F.when(F.col("r") >= width, F.col("m")))).otherwise(F.avg("bi"))).alias("score"))
 
 
+def window_perplexity(losses: DataFrame, width: int) -> DataFrame:
+    """id and perplexity: the least of windows of ``width`` tokens scored without context (column uni).
+
+    The last window is left out, as in the published table: a text of just ``width`` tokens is infinite, a shorter
+    one is scored whole.
+    """
+    order = Window.partitionBy("id").orderBy("pos")
+    rows = losses.select("id", "uni", F.avg("uni").over(order.rowsBetween(0, width - 1)).alias("m"), F.row_number().over(order).alias("r"), F.count(F.lit(1)).over(Window.partitionBy("id")).alias("n"))
+    best = F.coalesce(F.min(F.when(F.col("r") <= F.col("n") - width, F.col("m"))), F.lit(float("inf")))
+    return rows.groupBy("id").agg(F.exp(F.when(F.max("n") < width, F.avg("uni")).otherwise(best)).alias("perplexity"))
+
+
 def infilling(losses: DataFrame, share: float = 0.2) -> DataFrame:
     """id and score: the mean of the lowest standardized gains of bigram over unigram losses."""
     of = Window.partitionBy("id")

@@ -111,7 +111,25 @@ def activation_stats(v: Column, eps: float = 1e-6) -> list[Column]:
 
 def prediction_stats(p: Column) -> list[Column]:
     top = F.sort_array(p, False)
-    return [entropy01(p).alias("entropy"), F.get(top, F.lit(0)).alias("top1"), (F.get(top, F.lit(0)) - F.coalesce(F.get(top, F.lit(1)), F.lit(0.0))).alias("margin")]
+    return [(-total(F.transform(p, lambda x: x * F.ln(F.greatest(x, F.lit(1e-12)))))).alias("entropy"), F.get(top, F.lit(0)).alias("top1"), (F.get(top, F.lit(0)) - F.coalesce(F.get(top, F.lit(1)), F.lit(0.0))).alias("margin")]
+
+
+def stability(top1: str) -> Column:
+    """Aggregate: a layer's mean confidence over its deviation."""
+    return F.avg(top1) / F.greatest(F.stddev_pop(top1) + 1e-8, F.lit(1e-12))
+
+
+def local_std(v: Column, mask: Column, reach: int = 2) -> list[Column]:
+    """Deviation of the unmasked values up to ``reach`` places from the first, middle and last; 0 for fewer than two."""
+    n, seen = F.size(v), F.zip_with(v, mask, lambda x, m: F.when(m > 0, x.cast("double")))
+
+    def near(c: Column) -> Column:
+        low = F.greatest(F.lit(0), c - reach)
+        part = F.array_compact(F.slice(seen, low + 1, F.greatest(F.lit(0), F.least(n, c + reach + 1) - low)))
+        spread = lambda k: let(total(k) / F.size(k), lambda m: F.sqrt(total(F.transform(k, lambda x: (x - m) * (x - m))) / F.size(k)))
+        return let(part, lambda k: F.when(F.size(k) >= 2, spread(k)).otherwise(0.0))
+
+    return [near(c).alias(name) for name, c in (("first", F.lit(0)), ("mid", F.floor(n / 2).cast("int")), ("last", n - 1))]
 
 
 def select_mc(pairs: DataFrame, scale: float) -> DataFrame:

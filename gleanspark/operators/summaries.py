@@ -60,6 +60,19 @@ def merge_checks(df: DataFrame, index: str) -> DataFrame:
     return per.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_distinct"), F.count_if(F.col("c") > 1).alias("n_duplicated"), (F.max(index) - F.min(index) + 1 - F.count(F.lit(1))).alias("n_missing"))
 
 
+def config_signatures(runs: DataFrame, config: str, *, skip: Sequence[str], defaults: dict[str, str]) -> DataFrame:
+    """signature (sorted key and value structs) and n_runs of each distinct configuration.
+
+    ``config`` is a map of strings; keys it lacks take their ``defaults``, keys in ``skip`` don't count.  More than
+    one row means that the runs must not be merged.
+    """
+    missing = F.create_map(*(F.lit(x) for kv in defaults.items() for x in kv)) if defaults else F.create_map().cast("map<string,string>")
+    own = F.coalesce(config, F.create_map().cast("map<string,string>"))
+    whole = F.map_concat(F.map_filter(missing, lambda k, _: ~F.map_contains_key(own, k)), own)
+    entries = F.sort_array(F.map_entries(F.map_filter(whole, lambda k, _: ~k.isin(list(skip)))))
+    return runs.groupBy(entries.alias("signature")).agg(F.count(F.lit(1)).alias("n_runs"))
+
+
 def sample_n(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:
     """``n`` rows by a seeded hash of their key, in key order."""
     return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n).orderBy(key)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gleanspark.functions import text as X
 from gleanspark.operators import ml, ngram, ranking, sequences, shingles, summaries
+from gleanspark.sources import tables as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -179,6 +180,32 @@ def window_min(s, d):
     return ngram.window_minimum(losses(s, d), 32).select(F.col("id").alias("doc_id"), r6("score", "score"))
 
 
+@query(f"with {_LOSS}, m as (select id, uni, avg(uni) over (partition by id order by pos rows between current row and 31 following) m, row_number() over (partition by id order by pos) r, count(*) over (partition by id) n from ls) select id doc_id, round(exp(case when max(n) < 32 then avg(uni) else coalesce(min(m) filter (where r <= n - 32), 'inf'::double) end), 4) perplexity from m group by id")
+def window_perplexity(s, d):
+    return ngram.window_perplexity(losses(s, d), 32).select(F.col("id").alias("doc_id"), F.round("perplexity", 4).alias("perplexity"))
+
+
+@query(f"select doc_id, cast(n as bigint) n_tokens, case when n between 1 and 20 then {list(X.DECAY)}[n] else 1 end::double temperature from (select doc_id, coalesce(len({W}), 0) n from documents)")
+def decayed_temperature(s, d):
+    n = F.size(F.coalesce(X.tokens(F.col("text")), F.array()))
+    return table(s, d, "documents").select("doc_id", n.cast("long").alias("n_tokens"), X.decayed_temperature(n).alias("temperature"))
+
+
+@query("select page_id, cast(k as bigint) n, sha256(repeat(replace(coalesce(html, ''), chr(13) || chr(10), chr(10)) || chr(10), cast(k as int))) text_sha from pages, (select unnest([1, 3]) k)")
+def wet_like_records(s, d):
+    """Each page as an archive of four records: in English, in French, in English first, and one that is cut off."""
+    body = F.concat(F.coalesce("html", F.lit("")), F.lit("\n"))
+    record = lambda tag, k: F.concat(F.lit(f"WARC/1.0\nh1\nh2\nh3\nh4\nh5\nh6\nWARC-Identified-Content-Language: {tag}\nh8\n\n"), F.repeat(body, F.lit(k)))
+    value = F.concat(record("eng", 1), record("fra", 2), record("eng,fra", 3), record("eng", 4))
+    got = sources.web_text_split(table(s, d, "pages").select(F.col("page_id").alias("file"), value.alias("value")))
+    return got.select(F.col("file").alias("page_id"), F.col("n").cast("long").alias("n"), F.sha2("text", 256).alias("text_sha"))
+
+
+@query("select quality, toxic, count(*) n from labels group by quality, toxic")
+def class_counts(s, d):
+    return table(s, d, "labels").groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("n"))
+
+
 _SIZES = (2, 3, 5, 8, 13)
 _VOTES = ", ".join(f"sum(uni - bi) over (partition by id order by pos rows between {w - 1} preceding and current row) s{w}" for w in _SIZES)
 _SHARES = ", ".join(f"case when max(r) >= {w} then avg(case when s{w} > 0 then 1.0::double else 0 end) filter (where r >= {w}) end" for w in _SIZES)
@@ -435,6 +462,39 @@ def rf_member_proba(s, d):
     return ml.member_probability(ml.fit_forest(rows.filter("vec_id % 5 <> 0"), "embedding", "label"), rows, "embedding").select("vec_id", "p_member")
 
 
+@query(f"with {_EM}, p as (select label, list_transform(list_slice(v, 1, 8), lambda x: exp(x) / list_sum(list_transform(list_slice(v, 1, 8), lambda y: exp(y)))) p from em), s as (select label, -list_sum(list_transform(p, lambda x: x * ln(x))) h, list_max(p) t, list_max(p) - list_sort(p, 'DESC')[2] m from p) select label, round(avg(h), 6) entropy, round(avg(t), 6) top1, round(avg(m), 6) margin, round(avg(t) / (stddev_pop(t) + 1e-8), 5) stability from s group by label")
+def prediction_stats(s, d):
+    p = X.softmax(F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")))
+    rows = table(s, d, "embeddings").select("label", p.alias("p")).select("label", *sequences.prediction_stats(F.col("p")))
+    return rows.groupBy("label").agg(r6(F.avg("entropy"), "entropy"), r6(F.avg("top1"), "top1"), r6(F.avg("margin"), "margin"), F.round(sequences.stability("top1"), 5).alias("stability"))
+
+
+@query(f"with {_EM}, c as (select label, unnest(range(0, 64)) k, list_transform(v, lambda x: abs(x) / list_sum(list_transform(v, lambda y: abs(y)))) w from em), m as (select label, k // 8 t, k % 8 s, avg(w[k + 1]) w from c group by all), r as (select label, t, sum(-w * ln(greatest(w, 1e-8::double))) h, max(w) top, sum(w * abs(t - s)) far, sum(w) filter (where t = s) own, coalesce(sum(w) filter (where t = s + 1), 0) prev from m group by label, t) select label, round(avg(h), 6) entropy, round(avg(top), 6) concentration, round(avg(far), 6) distance, round(avg(own), 6) self_mass, round(avg(prev), 6) prev_mass from r group by label")
+def attention_stats(s, d):
+    v = F.transform("embedding", lambda x: F.abs(x.cast("double")))
+    cells = table(s, d, "embeddings").select(F.col("label").alias("layer"), F.col("vec_id").alias("head"), X.let(v, lambda a: X.let(X.total(a), lambda z: F.transform(a, lambda x: x / z))).alias("w"))
+    cells = cells.select("layer", "head", F.posexplode("w").alias("k", "w")).select("layer", "head", F.expr("k div 8").alias("t"), F.expr("k % 8").alias("s"), "w")
+    got = sequences.attention_stats(cells)
+    return got.select(F.col("layer").alias("label"), *(r6(c, c) for c in ("entropy", "concentration", "distance", "self_mass", "prev_mass")))
+
+
+_AROUND = ", ".join(f"coalesce(round(stddev_pop(x) filter (where x > 0 and k between {low} and {high}), 6) * case when count(*) filter (where x > 0 and k between {low} and {high}) >= 2 then 1 else 0 end, 0) {name}" for name, low, high in (("first", 1, 3), ("mid", 31, 35), ("last", 62, 64)))
+
+
+@query(f"with {_EM}, x as (select vec_id, unnest(range(1, 65)) k, unnest(v) x from em) select vec_id, {_AROUND} from x group by vec_id")
+def local_confidence_std(s, d):
+    v = F.col("embedding")
+    got = table(s, d, "embeddings").select("vec_id", *sequences.local_std(v, F.transform(v, lambda x: (x > 0).cast("int"))))
+    return got.select("vec_id", *(r6(c, c) for c in ("first", "mid", "last")))
+
+
+@query(f"with {_EM}, x as (select vec_id, unnest(range(1, 9)) k, v from em), y as (select vec_id, k, v[k] t, v[k + 8] - v[k] diff from x) select vec_id, k, round(t + 0.5::double / (1 + exp(-avg(diff) over (partition by vec_id))) * diff, 6) adjusted from y")
+def contrastive_adjust(s, d):
+    at = lambda k: F.transform(F.slice("embedding", k, 8), lambda x: x.cast("double"))
+    moved = table(s, d, "embeddings").select("vec_id", F.posexplode(sequences.contrastive(at(1), at(9), 0.5, 1.0)).alias("k", "adjusted"))
+    return moved.select("vec_id", (F.col("k") + 1).cast("long").alias("k"), r6("adjusted", "adjusted"))
+
+
 _SM = f"{_EM}, t as (select vec_id, list_slice(v, 1, 8) lp from em), e as (select vec_id, lp, list_transform(lp, lambda x: exp(x - list_max(lp))) e from t), sp as (select vec_id, lp, list_transform(e, lambda x: x / list_sum(e)) p from e), mu as (select vec_id, lp, list_transform(p, lambda x: cast(0.999 as double) * x + 0.001::double / 8) p from sp), hn as (select vec_id, lp, least(1.0, greatest(0.0, -list_sum(list_transform(p, lambda x: x / list_sum(p) * ln(x / list_sum(p)))) / (ln(8.0::double) + 1e-8))) h from mu), ad as (select vec_id, list_transform(lp, lambda x: x - cast(0.5 as double) * (1 + (1 - h)) * (x - list_min(lp)) / (list_max(lp) - list_min(lp) + 1e-8)) a from hn), ex as (select vec_id, list_transform(a, lambda x: exp(x - list_max(a))) e from ad)"
 
 

@@ -68,14 +68,19 @@ def pairs(df: DataFrame) -> DataFrame:
 
 
 def web_text_records(spark: SparkSession, path: str, language: str = "eng") -> DataFrame:
-    """Texts of a web text archive in a language: fields from the record's 8th line, body from the 11th.
+    """Texts of web text archives (file, n, text) in a language: see ``web_text_split``."""
+    return web_text_split(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value"), language)
+
+
+def web_text_split(archives: DataFrame, language: str = "eng") -> DataFrame:
+    """Records of whole archives (file, value) whose 8th line names the language first; the body starts at the 11th.
 
     The last record of a file is left out, as an archive's end is often cut off.
     """
-    parts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "WARC/1.0")).alias("n", "record"))
+    parts = archives.select("file", F.posexplode(F.split("value", "WARC/1.0")).alias("n", "record"))
     last = F.max("n").over(Window.partitionBy("file"))
     lines = parts.withColumn("last", last).filter("n > 0 and n < last").select("file", "n", F.split("record", "\r?\n").alias("l"))
-    return lines.filter(F.get("l", F.lit(7)).endswith(f"Language: {language}")).select("file", "n", F.array_join(F.slice("l", 11, 1_000_000_000), "\n").alias("text"))
+    return lines.filter(F.get("l", F.lit(7)).contains(f"WARC-Identified-Content-Language: {language}")).select("file", "n", F.array_join(F.slice("l", 11, 1_000_000_000), "\n").alias("text"))
 
 
 def by_model(spark: SparkSession, pattern: str, schema: str) -> DataFrame:

@@ -115,11 +115,24 @@ def test_sources(spark, tmp_path):
     dense = tables.dense_by_index(spark.createDataFrame([(2, 1.5)], "i long, x double"))
     assert [(r.i, math.isnan(r.x)) for r in dense.orderBy("i").collect()] == [(0, True), (1, True), (2, False)]
     assert tables.override({"a": {"b": 1, "c": 2}}, "a.b=-1") == {"a": {"b": -1.0, "c": 2}}
-    head = ["", *[f"h{i}" for i in range(6)], "WARC-Identified-Content-Language: eng", "x", "", "body"]
+    head = ["", *[f"h{i}" for i in range(6)], "WARC-Identified-Content-Language: eng,fra", "x", "", "body"]
     (tmp_path / "w.wet").write_text("WARC/1.0".join(["", *["\n".join(head)] * 3]))
     assert [r.text.strip() for r in tables.web_text_records(spark, str(tmp_path / "w.wet")).collect()] == ["body", "body"]
 
 
+def test_config_signatures(spark):
+    runs = spark.createDataFrame([({"a": "1", "models": "x"},), ({"a": "1", "b": "0"},), ({"a": "1", "b": "2"},), (None,)], "config map<string,string>")
+    got = summaries.config_signatures(runs, "config", skip=["models"], defaults={"b": "0"})
+    assert sorted((tuple(map(tuple, r.signature)), r.n_runs) for r in got.collect()) == [((("a", "1"), ("b", "0")), 2), ((("a", "1"), ("b", "2")), 1), ((("b", "0"),), 1)]
+
+
+def test_local_std_and_window_perplexity_at_the_edges(spark):
+    v = spark.createDataFrame([([1.0, 3.0, 5.0], [1, 0, 1]), ([2.0], [1]), ([], [])], "v array<double>, m array<int>")
+    assert [tuple(r) for r in v.select(*sequences.local_std(F.col("v"), F.col("m"))).collect()] == [(2.0, 2.0, 2.0), (0.0, 0.0, 0.0), (0.0, 0.0, 0.0)]
+    losses = spark.createDataFrame([(i, p, 0.0 if p < n - 1 else -1.0) for i, n in ((1, 2), (2, 3), (3, 4)) for p in range(n)], "id long, pos int, uni double")
+    assert {r.id: r.perplexity for r in ngram.window_perplexity(losses, 3).collect()} == {1: pytest.approx(math.exp(-0.5)), 2: math.inf, 3: 1.0}
+
+
 def test_decode_is_reproducible(spark):
     prompts = spark.createDataFrame([(1, "a"), (2, "zz")], "id long, last string")
     table = {"a": [("b", -0.1), ("a", -2.0)], "b": [("a", 0.0)]}
