@@ -196,6 +196,25 @@ def test_leaks_equal_brute_force(spark):
     assert found <= want and len(found) >= 0.97 * len(want) > 0
 
 
+def test_leaks_with_content_words_rewritten(spark):
+    rng = random.Random(11)
+    sf = "/root/testdata/sf0.01"
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    df = Counter(w for _, t in docs for w in set(leaks.words_of(t)))
+    made, want = [], set()
+    for share in (0.3, 0.4, 0.5):
+        for item, text in items:
+            w = leaks.words_of(text)
+            content = [i for i in range(len(w) - max(3, len(w) // 4)) if df[w[i]] <= 0.2 * len(docs)]
+            for i in rng.sample(content, min(len(content), round(share * len(w)))):
+                w[i] = f"zq{rng.randrange(10**6)}"
+            made.append((10**6 + len(made), " ".join([*leaks.words_of(rng.choice(docs)[1])[:40], *w, *leaks.words_of(rng.choice(docs)[1])[:150]])))
+            want |= leaks.brute_force(made[-1:], [(item, text)])
+    found = {(r.doc_id, r.item_id) for r in leaks.find_leaks(table(spark, docs + made), table(spark, items, "item_id long, text string")).collect()}
+    assert len(found & want) >= 0.9 * len(want) and len(want) >= 100
+
+
 def test_secrets(spark):
     rng = random.Random(9)
     bits = ["password", "PASSWORD", "secret", "toKen", "api_key", ":", "=", " ", '"', "abcdef", "0123456789abcdef", "g", "AKIA", "ABCDEFGH12345678", "é", "İ", "ſecret", "\n"]
