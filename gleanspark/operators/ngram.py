@@ -67,6 +67,56 @@ def infilling(losses: DataFrame, share: float = 0.2) -> DataFrame:
     return ranked.filter(F.col("r") <= F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(share)))).groupBy("id").agg(F.avg("z").alias("score"))
 
 
+def token_infilling(docs: DataFrame, weight: float = 0.7, **names: str) -> DataFrame:
+    """id, pos, n (tokens of the text) and r, the infilling score of every token but the first.
+
+    As published, over the bigram model: the token's log-probability, standardized by mean and deviation over the
+    vocabulary after the previous word, less that of the likeliest word there; and the next token's standardized
+    log-probability less the one it has after that likeliest word.  Later places have the same terms in both texts,
+    as the model sees one word back.  A word that nothing follows is followed by the unigram distribution.
+    """
+    toks = token_table(docs, **names)
+    uni = toks.groupBy("tok").agg(F.count(F.lit(1)).alias("c"))
+    sums = uni.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"))
+    rest = round(1 - weight, 12)
+    words = uni.crossJoin(F.broadcast(sums)).select("tok", (F.lit(rest) * (F.col("c") + 1) / (F.col("n") + F.col("v"))).alias("q"))
+    counted = toks.filter("pos > 0").groupBy("prev", "tok").agg(F.count(F.lit(1)).alias("cc"))
+    pairs = counted.join(words, "tok").join(counted.groupBy("prev").agg(F.sum("cc").alias("cp")), "prev").withColumn("p", F.lit(weight) * F.col("cc") / F.col("cp") + F.col("q"))
+    xlog = lambda x, k: x * F.pow(F.ln(x), k)
+    q, p, u = F.col("q"), F.col("p"), F.col("q") / rest
+    top = F.struct((-q).alias("q"), "tok")
+    base = words.agg(F.sum(xlog(q, 1)).alias("b1"), F.sum(xlog(q, 2)).alias("b2"), F.sum(xlog(u, 1)).alias("u1"), F.sum(xlog(u, 2)).alias("u2"), F.min(top).alias("top"))
+    sd = lambda mean, square: F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)) + F.lit(1e-8))
+    ahead = pairs.groupBy("prev").agg(F.sum(xlog(p, 1) - xlog(q, 1)).alias("d1"), F.sum(xlog(p, 2) - xlog(q, 2)).alias("d2"), F.min(F.struct((-p).alias("q"), "tok")).alias("best"))
+    mean = F.col("b1") + F.col("d1")
+    ahead = ahead.crossJoin(F.broadcast(base)).select("prev", mean.alias("mean"), sd(mean, F.col("b2") + F.col("d2")).alias("sd"), F.least("best", "top").alias("star"))
+    model = pairs.join(ahead, "prev").select("prev", "tok", ((F.ln("p") - F.col("mean")) / F.col("sd")).alias("z"), ((F.ln("p") - F.ln(-F.col("star.q"))) / F.col("sd")).alias("r0"), F.col("star.tok").alias("star"))
+    order = Window.partitionBy("id").orderBy("pos")
+    rows = toks.filter("pos > 0").join(model, ["prev", "tok"])
+    rows = rows.select("id", "pos", "r0", "star", F.lead("tok").over(order).alias("next"), F.lead("z").over(order).alias("z"), (F.count(F.lit(1)).over(Window.partitionBy("id")) + 1).alias("n"))
+    other = rows.filter("next is not null").select("star", "next").distinct()
+    known = pairs.select(F.col("prev").alias("star"), F.col("tok").alias("next"), "p")
+    other = other.join(words.withColumnRenamed("tok", "next"), "next").join(ahead.select(F.col("prev").alias("star"), "mean", "sd"), "star", "left").join(known, ["star", "next"], "left").crossJoin(F.broadcast(base))
+    lone = F.col("mean").isNull()
+    after = F.when(lone, (F.ln(u) - F.col("u1")) / sd(F.col("u1"), F.col("u2"))).otherwise((F.ln(F.coalesce("p", "q")) - F.col("mean")) / F.col("sd"))
+    other = other.select("star", "next", after.alias("other"))
+    return rows.join(other, ["star", "next"], "left").select("id", "pos", "n", (F.col("r0") + F.coalesce(F.col("z") - F.col("other"), F.lit(0.0))).alias("r"))
+
+
+def infilling_mean(docs: DataFrame, scores: DataFrame, share: float = 0.1, last: int | None = None, least: int = 2, id_col: str = "doc_id") -> DataFrame:
+    """id and score of every text: the mean of the lowest ``share`` of r, over the ``last`` tokens if given.
+
+    A text of fewer than ``least`` tokens, or none, scores 0.
+    """
+    some = scores.filter(F.col("n") >= least)
+    if last is not None:
+        some = some.filter(F.col("pos") > F.col("n") - last)
+    of = Window.partitionBy("id")
+    ranked = some.select("id", "r", F.row_number().over(of.orderBy("r", "pos")).alias("k"), F.count(F.lit(1)).over(of).alias("m"))
+    got = ranked.filter(F.col("k") <= F.greatest(F.lit(1), F.floor(F.col("m") * F.lit(share)))).groupBy("id").agg(F.avg("r").alias("score"))
+    return docs.select(F.col(id_col).alias("id")).join(got, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
 def window_sizes(low: int, high: int, n: int) -> list[int]:
     """Geometric window sizes; (2, 40, 10) has a list of its own (fixed value)."""
     if (low, high, n) == (2, 40, 10):

@@ -235,6 +235,25 @@ def prefix_infilling(s, d):
     return ngram.infilling(losses(s, d).filter("pos between 1 and 64")).select(F.col("id").alias("doc_id"), F.round("score", 5).alias("score"))
 
 
+_GREEDY = """uq as (select tok, cast(0.3 as double) * (c + 1) / (n + v) q, cast(c + 1 as double) / (n + v) u from u, sm),
+b as (select sum(q * ln(q)) b1, sum(q * ln(q) * ln(q)) b2, sum(u * ln(u)) u1, sum(u * ln(u) * ln(u)) u2 from uq),
+tt as (select tok t, q tq from uq order by q desc, tok limit 1),
+mp as (select prev, tok, q, cast(0.7 as double) * cc / cp + q p from pr join uq using (tok) join ah using (prev)),
+cx as (select prev h, b1 + sum(p * ln(p) - q * ln(q)) mu, b2 + sum(p * ln(p) * ln(p) - q * ln(q) * ln(q)) e2, max(p) bp, (array_agg(tok order by p desc, tok))[1] bt from mp, b group by prev, b1, b2),
+hx as (select h, mu, sqrt(greatest(e2 - mu * mu, 0) + 1e-8) sd, case when tq > bp or (tq = bp and t < bt) then t else bt end star, greatest(bp, tq) sp from cx, tt),
+zr as (select id, pos, star, (ln(p) - ln(sp)) / sd r0, lead(tok) over w nxt, lead((ln(p) - mu) / sd) over w z, count(*) over (partition by id) + 1 n from tp join mp using (prev, tok) join hx on h = prev where pos > 0 window w as (partition by id order by pos)),
+rr as (select id, pos, n, r0 + coalesce(z - case when hx.h is null then (ln(uq.u) - u1) / sqrt(greatest(u2 - u1 * u1, 0) + 1e-8) else (ln(coalesce(mp.p, uq.q)) - mu) / sd end, 0) r from zr left join uq on uq.tok = nxt left join hx on hx.h = zr.star left join mp on mp.prev = zr.star and mp.tok = nxt, b),
+kk as (select id, r, row_number() over (partition by id order by r, pos) k, count(*) over (partition by id) m from rr where {where}),
+sr as (select id, avg(r) score from kk where k <= greatest(1, floor(m * cast(0.1 as double))) group by id)
+select doc_id, round(coalesce(score, 0), 5) score from documents left join sr on id = doc_id"""
+
+
+@query(f"with {_LOSS}, " + _GREEDY.format(where="n >= 2"))
+def infilling_counterfactual(s, d):
+    docs = table(s, d, "documents")
+    return ngram.infilling_mean(docs, ngram.token_infilling(docs)).select(F.col("id").alias("doc_id"), F.round("score", 5).alias("score"))
+
+
 # Rankings over two exact scores: distinct words per word, and characters per word
 
 _SC = f"sc as (select doc_id i, source, lang, len(w) n, cast(len(list_distinct(w)) as double) / len(w) ttr, cast(length(array_to_string(w, '')) as double) / len(w) wlen from (select *, {W} w from documents) where len(w) > 0), lb as (select sc.*, quality label, toxic from sc join labels on doc_id = i), lg as (unpivot (select i, source, lang, label, toxic, ttr, wlen from lb) on ttr, wlen into name metric value score)"

@@ -79,6 +79,41 @@ def test_window_vote_against_loop(spark):
         assert got.get(d) == (pytest.approx(sum(t) / len(t)) if t else None)
 
 
+def naive_infilling(texts, last=None, least=2):
+    words = [(t or "").split() for t in texts]
+    every = [w for t in words for w in t]
+    voc, n = sorted(set(every)), len(every)
+    follows = [p for t in words for p in itertools.pairwise(t)]
+
+    def dist(h):
+        u = [(every.count(w) + 1) / (n + len(voc)) for w in voc]
+        cp = sum(a == h for a, _ in follows)
+        p = [0.7 * follows.count((h, w)) / cp + 0.3 * x for w, x in zip(voc, u, strict=True)] if cp else u
+        mean = sum(x * math.log(x) for x in p)
+        sd = math.sqrt(sum(x * (math.log(x) - mean) ** 2 for x in p) + 1e-8)
+        return {w: (math.log(x) - mean) / sd for w, x in zip(voc, p, strict=True)}
+
+    out = []
+    for t in words:
+        x = t[-last:] if last else t
+        r = []
+        for i in range(1, len(x)):
+            z = dist(x[i - 1])
+            star = max(voc, key=lambda w: round(z[w], 12))
+            r.append(z[x[i]] - z[star] + (dist(x[i])[x[i + 1]] - dist(star)[x[i + 1]] if i + 1 < len(x) else 0))
+        low = sorted(r)[: max(1, int(len(r) * 0.1))]
+        out.append(sum(low) / len(low) if len(t) >= least else 0.0)
+    return out
+
+
+def test_infilling_against_loop(spark):
+    rng = random.Random(4)
+    texts = [None, "", "a", "a b", "a b c", *(" ".join(rng.choices("abcdefgh", [9, 5, 3, 2, 2, 1, 1, 1], k=k)) for k in (4, 9, 25, 40)), "z a end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scores = ngram.token_infilling(docs)
+    assert dict(ngram.infilling_mean(docs, scores).collect()) == {i: pytest.approx(v, abs=1e-9) for i, v in enumerate(naive_infilling(texts))}
+
+
 def test_window_sizes():
     assert ngram.window_sizes(2, 40, 12) == [2, 3, 5, 6, 8, 10, 13, 18, 23, 30, 40]
 
