@@ -254,6 +254,12 @@ def infilling_counterfactual(s, d):
     return ngram.infilling_mean(docs, ngram.token_infilling(docs)).select(F.col("id").alias("doc_id"), F.round("score", 5).alias("score"))
 
 
+@query(f"with {_LOSS}, " + _GREEDY.format(where="n >= 4 and pos > n - 64"))
+def last_window_infilling(s, d):
+    docs = table(s, d, "documents")
+    return ngram.infilling_mean(docs, ngram.token_infilling(docs), last=64, least=4).select(F.col("id").alias("doc_id"), F.round("score", 5).alias("score"))
+
+
 # Rankings over two exact scores: distinct words per word, and characters per word
 
 _SC = f"sc as (select doc_id i, source, lang, len(w) n, cast(len(list_distinct(w)) as double) / len(w) ttr, cast(length(array_to_string(w, '')) as double) / len(w) wlen from (select *, {W} w from documents) where len(w) > 0), lb as (select sc.*, quality label, toxic from sc join labels on doc_id = i), lg as (unpivot (select i, source, lang, label, toxic, ttr, wlen from lb) on ttr, wlen into name metric value score)"
