@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import stash
+from gleanspark.llm.common import free, stash
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,10 +18,15 @@ def components(links: DataFrame) -> DataFrame:
     both = stash(both.filter("a <> b").distinct(), "links")
     now = stash(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("root")), "roots")
     while True:
-        seen = both.join(now.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        near = now.select(F.col("node").alias("b"), "root")
+        seen = both.join(near, "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         least = now.join(seen, "node").select("node", "root", F.least("root", "near").alias("low"))
         jump = now.select(F.col("node").alias("low"), F.col("root").alias("top"))
-        new = stash(least.join(jump, "low", "left").select("node", F.coalesce("top", "low").alias("root"), (F.coalesce("top", "low") != F.col("root")).alias("moved")), "roots")
-        now = new.select("node", "root")
+        best = F.coalesce("top", "low")
+        moved = least.join(jump, "low", "left").select("node", best.alias("root"), (best != F.col("root")).alias("moved"))
+        new = stash(moved, "roots")
+        free(now)
+        now = new
         if new.filter("moved").isEmpty():
-            return now
+            free(both)
+            return new.select("node", "root")
