@@ -37,7 +37,7 @@ def jwt_holds(match: re.Match) -> bool:
     head = match[0].partition(".")[0]
     try:
         found = json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
-    except ValueError:
+    except (ValueError, RecursionError):  # no base64, no JSON, or nested too deeply for a header
         return False
     return isinstance(found, dict) and isinstance(found.get("alg"), str)
 
@@ -51,6 +51,7 @@ class Kind:
     pattern: str
     flags: int
     holds: Callable[[re.Match], bool]
+    run: str = ""  # where a try fails, all others within this run of characters fail too
 
 
 BASE = (
@@ -61,7 +62,7 @@ HEX, HEX_LEAST, STRIDE = "hex", 24, 6
 ADDED = (
     Kind("hub", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])", re.A, crc_holds),
     Kind("registry", ("npm_",), r"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])", re.A, crc_holds),
-    Kind("jwt", ("eyj",), r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", re.A, jwt_holds),
+    Kind("jwt", ("eyj",), r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", re.A, jwt_holds, r"[A-Za-z0-9_-]*"),
     Kind("pem", ("-----begin ",), r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----", re.A, lambda m: True),
 )
 NAMES = ["assign", "access", HEX, *(k.name for k in ADDED)]
@@ -69,9 +70,9 @@ NAMES = ["assign", "access", HEX, *(k.name for k in ADDED)]
 
 class Scanner:
     def __init__(self) -> None:
-        self.kinds = [(k, re.compile(k.pattern, k.flags)) for k in BASE + ADDED]
+        self.kinds = [(k, re.compile(k.pattern, k.flags), re.compile(k.run) if k.run else None) for k in BASE + ADDED]
         self.words = ahocorasick.Automaton()
-        for at, (kind, _) in enumerate(self.kinds):
+        for at, (kind, *_) in enumerate(self.kinds):
             for word in kind.keywords:
                 self.words.add_word(word, (at, len(word)))
         self.words.make_automaton()
@@ -87,11 +88,13 @@ class Scanner:
         for end, (at, size) in self.words.iter(text.replace("İ", "i").lower()):  # U+0130 alone would change the length
             start = end - size + 1
             if start >= upto[at]:
-                kind, pattern = self.kinds[at]
+                kind, pattern, run = self.kinds[at]
                 if m := pattern.match(text, start):
                     upto[at] = m.end()
                     if kind.holds(m):
                         found.append((kind.name, start, m.end()))
+                elif run:
+                    upto[at] = run.match(text, start).end()
         found += self._hex(text)
         return sorted(found, key=lambda s: (s[1], NAMES.index(s[0])))
 
@@ -115,7 +118,8 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """``id_col`` and secrets (array of kind, start, end, value by start, then kind as listed) of every row.
 
     Offsets are code points of the whole text, ends exclusive.  Null and empty texts have no secrets (empty
-    array); repeated rows stay repeated; other columns are dropped.
+    array); repeated rows stay repeated; other columns are dropped, whatever their names.  Kinds overlap freely (ties
+    in start go by kind); the time is linear in a text's length, very long ones and repeated keywords included.
     """
 
     @F.pandas_udf("array<struct<kind:string,start:long,end:long,value:string>>")
