@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import WORD, stash
+from gleanspark.llm.common import WORD, fresh, stash
 
-#: The boilerplate table is broadcast up to this many characters.
-BROADCAST_CHARS = 8_000_000
+#: The boilerplate table is broadcast up to this many characters; a host's list is searched in place up to this length.
+BROADCAST_CHARS, SHORT_LIST = 8_000_000, 256
 
 
 def _lines(text: Column) -> Column:
@@ -48,21 +48,59 @@ def _maybe_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_CHARS else df
 
 
-def drop_boilerplate(docs: DataFrame, *, ratio: float = 0.1, min_pages: int = 3, min_texts: int = 2, host_col: str = "source", text_col: str = "text", into: str = "line_dedup") -> DataFrame:
+def drop_boilerplate(
+    docs: DataFrame,
+    *,
+    ratio: float = 0.1,
+    min_pages: int = 3,
+    min_texts: int = 2,
+    host_col: str = "source",
+    text_col: str = "text",
+    into: str = "line_dedup",
+    broadcast_chars: int = BROADCAST_CHARS,
+) -> DataFrame:
     """``docs`` with the struct ``into``: text (without the host's boilerplate lines), n_lines, n_dropped.
 
-    All rows stay, repeated ones too.  Rows without a host form a host of their own.  A null text stays null
-    with 0 lines and counts as a page; blank lines are never boilerplate; a text all of whose lines are
-    boilerplate becomes empty.  A column named like ``into`` is replaced.
+    All rows stay, repeated ones too (each counts as a page).  Rows without a host form a host of their own.  A null
+    text stays null with 0 lines and counts as a page; blank lines are never boilerplate; a text all of whose lines are
+    boilerplate becomes empty; very long texts and lines are treated whole.  A column named like ``into`` is replaced,
+    all other columns stay as they are, whatever their names.  A line at the ratio exactly stays.
     """
-    found = boilerplate(docs, ratio=ratio, min_pages=min_pages, min_texts=min_texts, host_col=host_col, text_col=text_col)
+    names = {"host_col": host_col, "text_col": text_col}
+    found = boilerplate(docs, ratio=ratio, min_pages=min_pages, min_texts=min_texts, **names)
     found = stash(found, "boilerplate")
-    by_host = _maybe_broadcast(found.groupBy(F.col("host").alias("_host")).agg(F.collect_set("line").alias("_drop")))
+    size = found.agg(F.sum(F.length("line") + 24)).first()[0] or 0
+    longest = found.groupBy("host").count().agg(F.max("count")).first()[0] or 0
+    host, gone, row = fresh(docs, "_host", "_gone", "_row")
     lines = F.split(F.col(text_col), "\n")
-    kept = F.when(F.col("_drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("_drop", x)))
-    joined = docs.join(by_host, docs[host_col].eqNullSafe(by_host["_host"]), "left")
-    done = joined.withColumn(into, F.struct(F.array_join(kept, "\n").alias("text"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(lines) - F.size(kept), F.lit(0)).cast("long").alias("n_dropped")))
-    return done.drop("_host", "_drop")
+    if size <= broadcast_chars and longest <= SHORT_LIST:
+        lists = F.broadcast(found.groupBy(F.col("host").alias(host)).agg(F.collect_set("line").alias(gone)))
+        joined = docs.join(lists, F.col(host_col).eqNullSafe(F.col(host)), "left").drop(host)
+        kept = F.filter(lines, lambda x: ~F.array_contains(gone, x))
+    else:
+        joined = _with_places(docs, found, host_col, text_col, row, gone)
+        kept = F.filter(lines, lambda x, i: ~F.exists(gone, lambda g: (g["at"] == i) & (g["line"] == x)))
+    kept = F.when(F.col(gone).isNull(), lines).otherwise(kept)
+    zero = F.lit(0)
+    done = F.struct(
+        F.array_join(kept, "\n").alias("text"),
+        F.coalesce(F.size(lines), zero).cast("long").alias("n_lines"),
+        F.coalesce(F.size(lines) - F.size(kept), zero).cast("long").alias("n_dropped"),
+    )
+    return joined.withColumn(into, done).drop(gone)
+
+
+def _with_places(docs: DataFrame, found: DataFrame, host_col: str, text_col: str, row: str, gone: str) -> DataFrame:
+    """``docs`` with ``gone``: the places of a text's boilerplate lines, for lists too long to send to every task.
+
+    Lines meet the lists by host and hash; what a row gets back are its own lines of that hash.
+    """
+    stored = stash(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    lines = stored.select(F.col(row).alias("r"), F.col(host_col).alias("o"), F.posexplode(F.split(text_col, "\n")).alias("at", "x"))
+    lists = found.select("host", "line", F.xxhash64("line").alias("h"))
+    hits = lines.select("r", "o", "at", F.xxhash64("x").alias("h")).alias("a").join(lists.alias("b"), F.expr("a.h = b.h and a.o <=> b.host"))
+    places = stash(hits.groupBy("r").agg(F.collect_list(F.struct("at", "line")).alias(gone)), "places")
+    return stored.join(places.withColumnRenamed("r", row), row, "left").drop(row)
 
 
 def sql(ratio: float = 0.1, min_pages: int = 3) -> str:
