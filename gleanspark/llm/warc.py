@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import scratch_path, stash
+from gleanspark.llm.common import near_ids, scratch_path, stash
 
 #: Fixed by the format: the magic number of the skippable frame with the dictionary, and that of a frame.
 DICTIONARY_MAGIC, FRAME_MAGIC = b"\x5d\x2a\x4d\x18", b"\x28\xb5\x2f\xfd"
@@ -130,15 +130,45 @@ def read_archive(source: BinaryIO) -> Iterator[bytes]:
         yield b"".join(parts)
 
 
+def _store(folder: str) -> tuple[fs.FileSystem, str]:
+    """The store of a folder and the folder's path within it; Hadoop's names of stores are known too."""
+    scheme, colon, rest = folder.partition(":")
+    if not colon or len(scheme) < 2:
+        raise ValueError(f"{folder} needs a scheme (like file: or s3a:), as machines without one look at their own disks")
+    try:
+        if scheme == "file":
+            return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+        return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + colon + rest)
+    except (ValueError, NotImplementedError, OSError) as e:
+        raise ValueError(f"archives cannot be kept in {folder}: {e}") from None
+
+
+def _records(path: str, source: BinaryIO) -> Iterator[tuple[int, dict]]:
+    """Size of the data and the record, one by one; an error names the archive and the record's number."""
+    frames, n = read_archive(source), 0
+    while True:
+        try:
+            data = next(frames, None)
+            if data is None:
+                return
+            record = parse_record(data)
+        except (ValueError, zstandard.ZstdError) as e:
+            raise ValueError(f"{path}, record {n}: {e}") from None
+        yield len(data), record
+        n += 1
+
+
 def write_warc(rows: DataFrame, folder: str, *, date: str = "2000-01-01T00:00:00Z", roll: int = ROLL) -> DataFrame:
     """Write rows (id, uri, payload, refers_to) as archives below ``folder``, a URI that all machines reach.
 
     Returns the archives: path, records, bytes (a stored table: archives are written once).  A null payload is
-    empty; a null uri leaves its field out; without rows there are no archives.
+    empty; a null uri leaves its field out; without rows there are no archives.  A store that pyarrow cannot reach
+    is refused at once.
     """
+    _store(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(folder)
+        store, base = _store(folder)
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
@@ -171,20 +201,16 @@ def read_warc(spark: SparkSession, archives: DataFrame, folder: str, *, payloads
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _ = fs.FileSystem.from_uri(folder)
+        store, _ = _store(folder)
         names = [f.split()[0] for f in RECORD.split(", ")] + ["payload"] * payloads
         kinds = [pa.string()] * 5 + [pa.int64()] + [pa.binary()] * payloads
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 held, size = [], 0
                 with store.open_input_stream(path, compression=None) as source:
-                    for n, data in enumerate(read_archive(source)):
-                        try:
-                            record = parse_record(data)
-                        except ValueError as e:
-                            raise ValueError(f"{path}, record {n}: {e}") from None
+                    for length, record in _records(path, source):
                         held.append(record)
-                        size += len(data) if payloads else 300
+                        size += length if payloads else 300
                         if size > 4_000_000:
                             yield pa.record_batch([pa.array([r[c] for r in held], k) for c, k in zip(names, kinds, strict=True)], names)
                             held, size = [], 0
@@ -198,14 +224,18 @@ def read_warc(spark: SparkSession, archives: DataFrame, folder: str, *, payloads
 def with_responses(pages: DataFrame, *, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """id, uri, payload and refers_to (record names) for every row; the largest id of equal payloads is the response.
 
-    Payloads of fewer than ``min_bytes`` bytes are all responses.  Rows with a null id are responses if all of
-    their payload's ids are null; rows that share the largest id are all responses.
+    Payloads of fewer than ``min_bytes`` bytes are all responses.  Null payloads are empty; very long ones stay whole.
+    Rows with a null id are responses if all of their payload's ids are null; rows that share the largest id are all
+    responses; other columns are dropped.  Only digests are shuffled to find equal payloads; payloads stay where they
+    are unless more than ``BROADCAST_IDS`` of them repeat.
     """
     name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")))
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("uri"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload")).withColumn("_key", F.sha2("payload", 256))
-    groups = rows.select("_id", "_key").groupBy("_key").agg(F.max("_id").alias("_best"))
+    groups = rows.select("_id", "_key").groupBy("_key").agg(F.max("_id").alias("_best"), F.count(F.lit(1)).alias("_n"))
+    groups = near_ids(stash(groups.filter("_n > 1 and _best is not null").drop("_n"), "repeated-payloads"))
     again = F.col("_best").isNotNull() & ~F.col("_best").eqNullSafe(F.col("_id")) & (F.octet_length("payload") >= min_bytes)
-    return rows.join(groups, "_key").select(name("_id").alias("id"), "uri", "payload", F.when(again, name("_best")).alias("refers_to"))
+    joined = rows.join(groups, "_key", "left")
+    return joined.select(name("_id").alias("id"), "uri", "payload", F.when(again, name("_best")).alias("refers_to"))
 
 
 def page_id(name: str | Column) -> Column:
