@@ -78,7 +78,8 @@ def solve_tilts(hist: DataFrame, sums: dict[int, tuple[int, int, float]], cap: f
             if not low[k] < new < high[k]:
                 new = (low[k] + high[k]) / 2 if math.isfinite(low[k] + high[k]) else 2 * v + (1 if miss < 0 else -1)
             at[k] = new
-    done |= at
+    if at:
+        raise ValueError(f"no tilt after {rounds} rounds for {len(at)} sources")
     return {k: (v if math.isinf(v) else done[k] / scale[k]) for k, v in tilts.items()}
 
 
@@ -99,11 +100,14 @@ def mix(docs: DataFrame, weights: Callable[[list[str | None]], dict[str | None,
 
     Sizes are words; targets share ``percent`` of all words by ``weights`` and stop at ``cap`` times a source's
     words.  Null texts have size 0 and, like all documents without words, one copy and nothing taken; a null
-    source is a source.  Repeated rows are documents of their own.  Reruns give the same rows (rows that agree
-    in id, source and size are interchangeable).  Other columns are dropped.
+    source is a source; null ids stay.  Repeated rows are documents of their own.  Reruns give the same rows (rows
+    that agree in id, text, source and size are interchangeable, and are ranked in one task).  Very long texts count
+    whole.  Other columns are dropped, whatever their names.  An empty table gives an empty one.  A source whose tilt is
+    not found in 80 Newton steps is an error.
     """
     spark = docs.sparkSession
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), count_words(F.col(text_col)).alias("size"))
+    order = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), count_words(F.col(text_col)).alias("size"), order.alias("order"))
     sized = stash(sized, "sizes")
     totals = {r[0]: (r[1], r[2]) for r in sized.groupBy("source").agg(F.sum("size"), F.count(F.when(F.col("size") > 0, 1))).collect()}
     names = list(totals)
@@ -119,7 +123,7 @@ def mix(docs: DataFrame, weights: Callable[[list[str | None]], dict[str | None,
     rate = F.when(F.col("tilt") >= 1e300, F.lit(float(cap))).when(F.col("tilt") <= -1e300, F.lit(0.0)).when(F.col("tilt") * F.col("size") >= bound, F.lit(float(cap))).otherwise(F.exp(F.col("tilt") * F.col("size")))
     rated = hist.join(near(solved), "k").select("k", "size", F.ceil(F.col("n") / CELL).alias("salts"), rate.alias("rate"))
     whole = F.floor("rate").cast("long")
-    dealt = numbered.filter("size > 0").join(rated, ["k", "size"]).withColumn("order", F.xxhash64(F.lit(seed), "id")).withColumn("salt", F.pmod("order", "salts"))
+    dealt = numbered.filter("size > 0").join(rated, ["k", "size"]).withColumn("salt", F.pmod("order", "salts"))
     dealt = stash(dealt.withColumn("whole", whole), "dealt")
     cells = dealt.groupBy("k", "size", "salt").agg(F.count(F.lit(1)).alias("n"), F.first(F.col("rate") - F.col("whole")).alias("part"))
     quotas = cells.groupBy("k").applyInPandas(_quotas, "k long, size long, salt long, extra long")
