@@ -8,6 +8,9 @@ a bucket that one document alone fills is passed over, and what is kept in memor
 one bucket.  Equal packed strings of one map batch are merged before the shuffle, so that a passage in a third
 of all documents costs its bucket one row per batch and not one per document.
 
+Buckets that a sample of the documents shows to be large (a frequent pair of words) are split by a second minimiser of
+more words: equal windows share that one too, and still meet.
+
 Packed strings travel compressed with a small dictionary, as neighbours share most of their words.
 """
 
@@ -33,6 +36,9 @@ CHUNK, LONGEST, REMEMBERED, LISTED, SORTED, SORTED_BYTES = 1_000_000, 256, 100_0
 FREQUENT_BYTES = 9
 #: The dictionary is trained on this many texts' first characters; it changes sizes, never results.
 SAMPLE_TEXTS, SAMPLE_CHARS, DICTIONARY = 400, 4000, 16_384
+#: Buckets of more rows than this, as a share of the documents tells, are split by a minimiser of so many words; at
+#: most so many buckets are (beyond that, the largest).  This decides where windows meet, never which are equal.
+LARGE, SHARE, SECOND, SPLIT = 200_000, 0.01, 6, 1_000_000
 
 
 class WordHash(dict):
@@ -55,11 +61,17 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
+def _bucket(least: np.ndarray) -> np.ndarray:
+    return (least >> np.uint64(24)).astype(np.uint32).view(np.int32)
+
+
 class Packer:
     """Super-k-mers of whole documents."""
 
-    def __init__(self, window: int, m: int, dictionary: bytes = b""):
+    def __init__(self, window: int, m: int, dictionary: bytes = b"", large: np.ndarray | None = None):
+        """``large`` are the sorted numbers of the buckets to be split."""
         self.window, self.m, self.hashes = window, m, WordHash()
+        self.large = np.empty(0, np.int32) if large is None else large
         self.zip = zstandard.ZstdCompressor(level=1, dict_data=zstandard.ZstdCompressionDict(dictionary), write_dict_id=False).compress
 
     def __call__(self, rows: Iterable[tuple[int, int, str]]) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
@@ -76,6 +88,16 @@ class Packer:
         if held:
             yield self._pack(held)
 
+    def _least(self, h: np.ndarray, lens: np.ndarray, m: int) -> np.ndarray:
+        """The least rank of the runs of ``m`` words in each window."""
+        n = len(h) - m + 1
+        run, chars = h[:n].copy(), lens[:n].copy()
+        for i in range(1, m):
+            run = _mixed(run) + h[i : n + i]
+            chars += lens[i : n + i]
+        order = (_mixed(run) >> np.uint64(1)) | ((chars < FREQUENT_BYTES).astype(np.uint64) << np.uint64(63))
+        return _sliding_min(order, self.window - m + 1)
+
     def _pack(self, held: list[tuple[int, int, list[bytes]]]) -> tuple[list[int], list[int], list[bytes]]:
         if len(self.hashes) > REMEMBERED:
             self.hashes.clear()
@@ -83,12 +105,11 @@ class Packer:
         n, k, m = len(words), self.window, self.m
         lens = np.fromiter(map(len, words), np.int64, n)
         h = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, n)
-        run, chars = h[: n - m + 1].copy(), lens[: n - m + 1].copy()
-        for i in range(1, m):
-            run = _mixed(run) + h[i : n - m + 1 + i]
-            chars += lens[i : n - m + 1 + i]
-        order = (_mixed(run) >> np.uint64(1)) | ((chars < FREQUENT_BYTES).astype(np.uint64) << np.uint64(63))
-        least = _sliding_min(order, k - m + 1)  # of the window that starts at each word
+        least = self._least(h, lens, m)  # of the window that starts at each word
+        if len(self.large) and len(least):
+            at = np.minimum(np.searchsorted(self.large, _bucket(least)), len(self.large) - 1)
+            second = self._least(h, lens, min(SECOND, k))
+            least = np.where(self.large[at] == _bucket(least), _mixed(least + _mixed(second)), least)
         counts = np.array([len(ws) for _, _, ws in held])
         ends = np.cumsum(counts)
         owner = np.repeat(np.arange(len(held)), counts)[: len(least)]
@@ -103,9 +124,9 @@ class Packer:
         cuts = zip(begin[start].tolist(), (begin[stop - 1] + lens[stop - 1]).tolist(), strict=True)
         own = owner[start]
         docs = np.array([d for d, _, _ in held], np.int64)[own]
-        keys = np.array([x for _, x, _ in held], np.int32)[own]
+        keys = np.array([x for _, x, _ in held], np.int64)[own]
         starts = (start - (ends - counts)[own]).astype(np.int32)
-        buckets = (least[start] >> np.uint64(24)).astype(np.uint32).view(np.int32)
+        buckets = _bucket(least[start])
         texts = [joined[a:b] for a, b in cuts]
         index: dict[bytes, int] = {}
         same = np.array([index.setdefault(t, i) for i, t in enumerate(texts)])
@@ -129,9 +150,9 @@ class Packer:
 def _unpacked(doc: int, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
     """Documents, keys, first words and the compressed text of a packed row."""
     if data[0] == 0:
-        return np.array([doc]), np.zeros(1, np.int32), np.frombuffer(data, "<u2", 1, 1).astype(np.int32), data[3:]
+        return np.array([doc]), np.zeros(1, np.int64), np.frombuffer(data, "<u2", 1, 1).astype(np.int32), data[3:]
     n = struct.unpack_from("<I", data, 1)[0]
-    return np.frombuffer(data, np.int64, n, 5), np.frombuffer(data, np.int32, n, 5 + 8 * n), np.frombuffer(data, np.int32, n, 5 + 12 * n), data[5 + 16 * n :]
+    return np.frombuffer(data, np.int64, n, 5), np.frombuffer(data, np.int64, n, 5 + 8 * n), np.frombuffer(data, np.int32, n, 5 + 16 * n), data[5 + 20 * n :]
 
 
 def _cost(data: bytes) -> int:
@@ -139,7 +160,7 @@ def _cost(data: bytes) -> int:
     if data[0] == 0:
         return zstandard.frame_content_size(data[3:21])
     n = struct.unpack_from("<I", data, 1)[0]
-    return (n + 1) * zstandard.frame_content_size(data[5 + 16 * n : 23 + 16 * n])
+    return (n + 1) * zstandard.frame_content_size(data[5 + 20 * n : 23 + 20 * n])
 
 
 def _unzip(dictionary: bytes):
@@ -208,7 +229,7 @@ def sort_windows(docs: list[int], data: list[bytes], window: int, unzip) -> list
     many = [(f, i) for i, f in enumerate(found) if f is not None]
     lowest = np.array(docs, np.int64)
     doc = np.concatenate([lowest[one], *(f[0] for f, _ in many)])
-    key = np.concatenate([np.zeros(len(one), np.int32), *(f[1] for f, _ in many)])
+    key = np.concatenate([np.zeros(len(one), np.int64), *(f[1] for f, _ in many)])
     first = np.concatenate([starts, *(f[2] for f, _ in many)])
     text = np.concatenate([np.array(one, np.int64), *(np.full(len(f[0]), i) for f, i in many)])
 
@@ -245,9 +266,9 @@ def sort_windows(docs: list[int], data: list[bytes], window: int, unzip) -> list
     return [doc[o], key[o], (first[o] + offset[cut]).astype(np.int32), np.diff(np.append(cut, len(hit))).astype(np.int32)]
 
 
-def _to_buckets(window: int, m: int, dictionary: bytes):
+def _to_buckets(window: int, m: int, dictionary: bytes, large: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = Packer(window, m, dictionary)
+        pack = Packer(window, m, dictionary, large)
         for batch in batches:
             parts = (batch.slice(i, 256) for i in range(0, batch.num_rows, 256))
             rows = (row for part in parts for row in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True))
@@ -315,7 +336,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc, key and text; the key tells rows of one id apart and is 0 where ids are unique."""
     ids = docs.select(F.col(id_col).cast("long").alias("doc")).filter("doc is not null").groupBy("doc").count()
     unique = ids.filter("count > 1").isEmpty()
-    return docs.select(F.col(id_col).cast("long").alias("doc"), (F.lit(0) if unique else F.hash(text_col)).alias("key"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+    return docs.select(F.col(id_col).cast("long").alias("doc"), (F.lit(0) if unique else F.xxhash64(text_col)).cast("long").alias("key"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
 
 
 def _train(texts: list[str]) -> bytes:
@@ -326,11 +347,27 @@ def _train(texts: list[str]) -> bytes:
         return b"".join(parts)[:DICTIONARY]
 
 
-def _found(keyed: DataFrame, window: int, m: int) -> DataFrame:
+def _large(rows: DataFrame, window: int, m: int, share: float, least: int) -> np.ndarray:
+    """Sorted numbers of the buckets that would have more than ``least`` rows, by a share of the documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = Packer(window, m)
+        for batch in batches:
+            for buckets, _, _ in pack(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)):
+                own, n = np.unique(np.array(buckets, np.int32), return_counts=True)
+                yield pa.record_batch([pa.array(own), pa.array(n)], ["bucket", "n"])
+
+    counts = rows.sample(share, 7).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    found = counts.filter(F.col("n") > least * share).orderBy(F.desc("n"), "bucket").limit(SPLIT).select("bucket").collect()
+    return np.sort(np.array([r[0] for r in found], np.int32))
+
+
+def _found(keyed: DataFrame, window: int, m: int, share: float = SHARE, least: int = LARGE) -> DataFrame:
     rows = keyed.select("doc", "key", "text").filter(F.col("doc").isNotNull() & F.col("text").isNotNull())
     dictionary = _train([r[0] for r in rows.select(F.substring("text", 1, SAMPLE_CHARS)).limit(SAMPLE_TEXTS).collect()])
-    packed = rows.mapInArrow(_to_buckets(window, m, dictionary), "bucket int, doc long, data binary")
-    return packed.repartition("bucket").sortWithinPartitions("bucket", "doc").mapInArrow(_from_buckets(window, dictionary), "doc long, key int, first int, n int")
+    pack = _to_buckets(window, m, dictionary, _large(rows, window, m, share, least))
+    packed = rows.mapInArrow(pack, "bucket int, doc long, data binary").repartition("bucket").sortWithinPartitions("bucket", "doc")
+    return packed.mapInArrow(_from_buckets(window, dictionary), "doc long, key long, first int, n int")
 
 
 def find_repeats(docs: DataFrame, *, window: int = 13, m: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -347,7 +384,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 13, m: int = 2, id_col: str
     A word goes if a window of ``window`` words covers it whose words also start in a document with a smaller
     id; windows are judged on the input.  A null text has no words (kept_text is empty).  A row without an id
     keeps all words and is no earlier document for others; rows with the same id do not remove each other's
-    words.  Other columns are dropped.
+    words.  Very long texts are read whole.  Other columns are dropped, whatever their names.
     """
     keyed = _keyed(docs, id_col, text_col)
     found = stash(_found(keyed, window, m), "repeats")
