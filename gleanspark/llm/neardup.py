@@ -6,9 +6,12 @@ w, and each register keeps the first arrival among all of them.  Two texts agree
 probability of their weighted Jaccard similarity.  Processes are followed only as far as the registers need.
 
 Classes are the components of the graph of texts whose shingle multisets overlap by ``similarity`` or more.
-Equal texts are merged first.  In each bucket of a band the members are compared with three leaders; then, in
+Equal texts count once from the banding on (each task signs equal texts of one read only once).  In each bucket of a band the members are compared with three leaders; then, in
 buckets that still hold several classes, all members outside the bucket's main class are compared with all
 members, in blocks.  Every pair that shares a bucket is thus compared or known to be in one class.
+
+Each edit of a word changes up to five shingles: of 200 words, 4 edits far apart leave a similarity of 0.81 and 5 one of
+0.77.  So copies with up to 2 % of the words edited are found, and those with more only where edits lie close together.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import near_ids, stash
+from gleanspark.llm.common import BROADCAST_IDS, free, near_ids, stash
 from gleanspark.llm.graph import components
 from gleanspark.llm.repeats import REMEMBERED, WordHash, _mixed
 
@@ -131,11 +134,19 @@ def _sign(width: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(width)
         for held in _chunks(_rows(batches)):
-            own, hashes, times, _ = weighted(*shingle([t for *_, t in held]))
-            sig = signatures(own, hashes, times.astype(np.float64), len(held), bands * rows)
+            first = {key: text for _, key, text in held}
+            number = {key: n for n, key in enumerate(first)}
+            own, hashes, times, _ = weighted(*shingle(list(first.values())))
+            sig = signatures(own, hashes, times.astype(np.float64), len(first), bands * rows)
             some = np.isfinite(sig[:, 0])
             found = iter(bands_of(sig[some], bands, rows).tolist())
-            yield pa.record_batch([pa.array([r[0] for r in held], pa.int64()), pa.array([r[1] for r in held], pa.binary()), pa.array([next(found) if s else None for s in some.tolist()], pa.list_(pa.int64()))], ["id", "key", "bands"])
+            of = [next(found) if s else None for s in some.tolist()]
+            columns = [
+                pa.array([r[0] for r in held], pa.int64()),
+                pa.array([r[1] for r in held], pa.binary()),
+                pa.array([of[number[r[1]]] for r in held], pa.list_(pa.int64())),
+            ]
+            yield pa.record_batch(columns, ["id", "key", "bands"])
 
     return run
 
@@ -183,54 +194,92 @@ def _with_bags(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_co
     return rows.join(ids, "id", "left_semi").mapInArrow(_bag(width), "id long, bag array<long>")
 
 
-def near_duplicates(docs: DataFrame, *, similarity: float = 0.8, width: int = 5, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(
+    docs: DataFrame,
+    *,
+    similarity: float = 0.8,
+    width: int = 5,
+    bands: int = BANDS,
+    rows: int = ROWS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
     """``id_col`` and class_id (the smallest id of its class) of every row.
 
     A class is a component of the texts linked by a weighted Jaccard similarity of ``similarity`` or more of
-    their multisets of ``width``-word shingles; a text of fewer words is one shingle.  Texts without words
-    (null, empty, blank) are alike only where they are equal, null counting as empty.  A row without an id has
-    class null; rows of one id are one document.  Other columns are dropped, repeated rows stay.
+    their multisets of ``width``-word shingles; a text of fewer words is one shingle; very long texts are taken whole.
+    Texts without words (null, empty, blank) are alike only where they are equal, null counting as empty.  A row
+    without an id has class null.  Rows of one id are one document: its texts are in one class, and so are their
+    copies.  Other columns are dropped, whatever their names; repeated rows stay.
     """
     text = F.coalesce(text_col, F.lit(""))
-    rows_in = docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("key"), text.alias("text"))
+    key = F.unhex(F.md5(text.cast("binary"))).alias("key")
+    rows_in = docs.select(F.col(id_col).cast("long").alias("id"), key, text.alias("text"))
     signed = stash(rows_in.mapInArrow(_sign(width, bands, rows), "id long, key binary, bands array<long>"), "signatures")
     known = signed.filter("id is not null")
-    equal = known.groupBy("key").agg(F.min("id").alias("rep"))
+    equal = stash(known.groupBy("key").agg(F.min("id").alias("rep")), "equal-texts")
     firsts = known.join(equal, (known["key"] == equal["key"]) & (known["id"] == equal["rep"]), "left_semi")
     banded = firsts.select("id", F.explode("bands").alias("bucket"))
     leaders = [F.min(F.struct(F.xxhash64(F.lit(t), "id").alias("h"), "id"))["id"].alias(f"l{t}") for t in range(LEADERS)]
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *leaders).filter("n > 1")
     members = stash(banded.join(shared, "bucket"), "members")
-    pairs = members.select("id", F.explode(F.array_distinct(F.array(*(f"l{t}" for t in range(LEADERS))))).alias("to")).filter("id <> to")
+    led = F.explode(F.array_distinct(F.array(*(f"l{t}" for t in range(LEADERS))))).alias("to")
+    pairs = members.select("id", led).filter("id <> to")
     pairs = stash(pairs.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct(), "pairs")
     several = near_ids(stash(members.select("id").distinct(), "several"))
     bags = stash(_with_bags(docs, several, width, id_col, text_col), "bags")
     left, right = bags.select(F.col("id").alias("a"), F.col("bag").alias("x")), bags.select(F.col("id").alias("b"), F.col("bag").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     tried = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("all"))
-    links = stash(tried.filter(F.col("both") >= F.lit(similarity) * (F.col("all") - F.col("both"))).select("a", "b"), "near-links")
+    near = tried.filter(F.col("both") >= F.lit(similarity) * (F.col("all") - F.col("both"))).select("a", "b")
+    links = stash(near.union(_of_one_id(known, equal)), "near-links")
+    free(pairs)
 
     classes = components(links)
-    placed = members.filter("n > 2").select("bucket", "id").join(classes, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("root", "id").alias("class"))
-    sizes = placed.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("m"))
-    mixed = sizes.groupBy("bucket").agg(F.max_by("class", F.struct("m", "class")).alias("main"), F.count(F.lit(1)).alias("k"), F.sum("m").alias("n")).filter("k > 1")
-    open_ = stash(placed.join(mixed.select("bucket", "main", "n"), "bucket"), "mixed-buckets")
-    if not open_.isEmpty():
-        with_bag = open_.join(bags, "id")
-        whole = with_bag.groupBy("bucket").agg(F.ceil(F.sum(F.size("bag")) / BLOCK).cast("int").alias("blocks"))
-        dealt = with_bag.join(whole, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-        every = F.explode(F.expr("sequence(0, blocks - 1)"))
-        targets = dealt.select("bucket", "own", every.alias("other"), "id", "class", "bag", F.lit(False).alias("query"))
-        queries = dealt.filter("class <> main").select("bucket", every.alias("own"), F.col("own").alias("other"), "id", "class", "bag", F.lit(True).alias("query"))
-        found = targets.union(queries).groupBy("bucket", "own", "other").applyInPandas(_compare(similarity), "a long, b long")
-        more = stash(found.distinct(), "late-links")
-        if not more.isEmpty():
-            classes = components(links.union(more))
+    more = _between_classes(members, bags, classes, similarity)
+    if more is not None and not more.isEmpty():
+        classes = components(links.union(more))
+    free(members, bags)
     reps = equal.join(classes, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("root", "rep").alias("class_id"))
     merged = signed.join(reps, "key", "left").select("id", F.when(F.col("id").isNotNull(), F.col("class_id")).alias("class_id"))
     return merged.select(F.col("id").alias(id_col), "class_id")
 
 
+def _of_one_id(known: DataFrame, equal: DataFrame) -> DataFrame:
+    """Links between the texts of each id that has several (most tables have none: ids and two keys are shuffled)."""
+    ids = known.groupBy("id").agg((F.min("key") != F.max("key")).alias("many")).filter("many").select("id")
+    texts = known.join(near_ids(stash(ids, "shared-ids")), "id", "left_semi").join(equal, "key").select("id", "rep")
+    least = texts.groupBy("id").agg(F.min("rep").alias("a"))
+    return texts.join(least, "id").select("a", F.col("rep").alias("b")).filter("a <> b").distinct()
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """A stored table with a row for each of some buckets: broadcast where it is small, as a bucket may be large."""
+    return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
+
+
+def _between_classes(members: DataFrame, bags: DataFrame, classes: DataFrame, similarity: float) -> DataFrame | None:
+    """Links between the classes that still share a bucket."""
+    placed = members.filter("n > 2").select("bucket", "id").join(classes, F.col("id") == F.col("node"), "left")
+    placed = placed.select("bucket", "id", F.coalesce("root", "id").alias("class"))
+    sizes = placed.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("m"))
+    main = F.max_by("class", F.struct("m", "class")).alias("main")
+    mixed = sizes.groupBy("bucket").agg(main, F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
+    mixed = stash(mixed, "mixed")
+    open_ = stash(placed.join(_small(mixed), "bucket"), "mixed-buckets")
+    if open_.isEmpty():
+        return None
+    with_bag = open_.join(bags, "id")
+    whole = stash(with_bag.groupBy("bucket").agg(F.ceil(F.sum(F.size("bag")) / BLOCK).cast("int").alias("blocks")), "blocks")
+    dealt = with_bag.join(_small(whole), "bucket").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    every = F.explode(F.expr("sequence(0, blocks - 1)"))
+    one = ["id", "class", "bag"]
+    targets = dealt.select("bucket", "own", every.alias("other"), *one, F.lit(False).alias("query"))
+    queries = dealt.filter("class <> main").select("bucket", every.alias("own"), F.col("own").alias("other"), *one, F.lit(True).alias("query"))
+    found = targets.union(queries).groupBy("bucket", "own", "other").applyInPandas(_compare(similarity), "a long, b long")
+    return stash(found.distinct(), "late-links")
+
+
 def brute_force(docs: list[tuple[int, str | None]], similarity: float = 0.8, width: int = 5) -> dict[int, int]:
     """Class by id, from all pairs, for tests (ids differ)."""
 
