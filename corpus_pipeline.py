@@ -1,7 +1,9 @@
 """A corpus pipeline of five stages: quality rules, line dedup, near-duplicates, decontamination, mixing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-``documents``.  Rows with nulls, repeated rows and empty tables pass as the stage's operator defines.
+``documents``.  Rows with nulls, very long texts and empty tables pass as the stage's operator defines; columns of any
+name pass as they are.  Rows without an id and rows of one id are documents of their own: near-duplicates keep one row
+of each group, and decontamination goes by text.
 """
 
 from __future__ import annotations
@@ -10,30 +12,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanspark.llm import leaks, lines, mixing, neardup, quality
-from gleanspark.llm.common import near_ids, stash, tables
+from gleanspark.llm.common import fresh, near_ids, stash, tables
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    return quality.judge(docs, into="_quality").filter("_quality.kept").drop("_quality")
+    (verdict,) = fresh(docs, "verdict")
+    return quality.judge(docs, into=verdict).filter(F.col(verdict)["kept"]).drop(verdict)
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their source's boilerplate lines; n_chars follows the text."""
-    done = lines.drop_boilerplate(docs, into="_lines")
-    new = done.withColumn("text", F.col("_lines.text")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    (done,) = fresh(docs, "done")
+    text = F.col(done)["text"]
+    new = lines.drop_boilerplate(docs, into=done).withColumns(
+        {"text": text, "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)}
+    )
     return new.select(docs.columns)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each class; rows without an id stay."""
-    later = neardup.near_duplicates(docs).filter("class_id <> doc_id").select("doc_id").distinct()
-    return docs.join(near_ids(stash(later, "later-copies")), "doc_id", "left_anti").select(docs.columns)
+    """One row of each class: that of the smallest id, or any where ids are missing or shared (rows are numbered then)."""
+    key, rows = "doc_id", docs
+    if not docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
+        (key,) = fresh(docs, "row")
+        rows = stash(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
+    later = neardup.near_duplicates(rows, id_col=key).filter(F.col("class_id") != F.col(key)).select(key)
+    return rows.join(near_ids(stash(later, "later-copies")), key, "left_anti").select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents into which no benchmark item leaks; a leaking row without an id goes with all such rows."""
-    ids = near_ids(stash(leaks.find_leaks(docs, tables(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leak")).distinct(), "leaking"))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_leak"]), "left_anti")
+    """Documents into whose text no benchmark item leaks; rows are told apart by a hash of id and text."""
+    row = F.xxhash64("doc_id", "text")
+    texts = docs.select(row.alias("row"), "text")
+    found = leaks.find_leaks(texts, tables(spark, sf_dir, "benchmark"), id_col="row").select(F.col("row").alias("leak")).distinct()
+    leaking = near_ids(stash(found, "leaking"))
+    return docs.join(leaking, row == leaking["leak"], "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
