@@ -17,9 +17,9 @@ def normalize(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), WIDE_SPACE, " "))
 
 
-def tokens(text: Column) -> Column:
-    """Lower-case words."""
-    return F.array_remove(F.split(F.lower(text), WORD_GAP), "")
+def tokens(text: Column, cased: bool = False) -> Column:
+    """Words, in lower case unless ``cased``."""
+    return F.array_remove(F.split(text if cased else F.lower(text), WORD_GAP), "")
 
 
 def preview(text: Column, n: int = 200) -> Column:

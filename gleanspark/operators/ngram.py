@@ -3,30 +3,97 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleanspark.functions.text import tokens
+from gleanspark.sources.scratch import near, stash
 
 
 def token_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, pos (from 0), tok and prev."""
+    """id, pos (from 0), tok and prev (null for the first token)."""
     words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w"))
-    return words.select("id", "w", F.posexplode("w").alias("pos", "tok")).select("id", "pos", "tok", F.when(F.col("pos") > 0, F.get("w", F.col("pos") - 1)).alias("prev"))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))))
+    pairs = F.arrays_zip(before.alias("prev"), F.col("w").alias("tok"))
+    placed = words.filter(F.size("w") > 0).select("id", F.posexplode(pairs).alias("pos", "t"))
+    return placed.select("id", "pos", F.col("t.tok").alias("tok"), F.col("t.prev").alias("prev"))
+
+
+@dataclass
+class Counts:
+    """Stored counts of a corpus: of pairs (prev is null at a text's start), of words, and of all.
+
+    One reading and one shuffle of the corpus, with sums before the shuffle; the others come from the pairs.
+    """
+
+    pairs: DataFrame  # prev, tok, cc
+    words: DataFrame  # tok, c
+    n: int
+    v: int
+
+
+def count(docs: DataFrame, **names: str) -> Counts:
+    pairs = stash(token_table(docs, **names).groupBy("prev", "tok").agg(F.count(F.lit(1)).alias("cc")), "pair-counts")
+    return _counts(pairs, stash(pairs.groupBy("tok").agg(F.sum("cc").alias("c")), "word-counts"))
+
+
+def count_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cased: bool = False) -> Counts:
+    """Counts of words alone (no pairs), in their own case if asked for."""
+    words = docs.select(F.explode(tokens(F.col(text_col), cased)).alias("tok"))
+    return _counts(None, stash(words.groupBy("tok").agg(F.count(F.lit(1)).alias("c")), "word-counts"))
+
+
+def _counts(pairs: DataFrame | None, words: DataFrame) -> Counts:
+    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    return Counts(pairs, words, int(n), int(v))
+
+
+def unigram_losses(docs: DataFrame, counts: Counts, id_col: str = "doc_id", text_col: str = "text", *, lower: bool = False, cased: bool = False, first: bool = False) -> DataFrame:
+    """id, n and total: number and sum of the add-one unigram losses of each text's tokens but the first (or with it).
+
+    No token is shuffled while the words can be broadcast; beyond that, words are counted by text first.  Words that
+    the counts lack have the loss of a count of 0.  ``lower`` looks up the lower-cased words.
+    """
+    w = tokens(F.col(text_col), cased and not lower)
+    words = docs.select(F.col(id_col).alias("id"), F.explode(w if first else F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1)))).alias("tok"))
+    known = near(counts.words)
+    each = words.withColumn("m", F.lit(1).cast("long"))
+    if known is counts.words:
+        each = words.groupBy("id", "tok").agg(F.count(F.lit(1)).alias("m"))
+    loss = -F.ln((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(counts.n + counts.v)))
+    joined = each.join(known, "tok", "left")
+    return joined.groupBy("id").agg(F.sum("m").alias("n"), F.sum(loss * F.col("m")).alias("total"))
+
+
+def bigram_model(counts: Counts, weight: float = 0.7) -> DataFrame:
+    """prev, tok and the losses uni (add-one unigram) and bi (bigram interpolated with it)."""
+    pairs = counts.pairs.filter("prev is not null")
+    ahead = stash(pairs.groupBy("prev").agg(F.sum("cc").alias("cp")), "ahead-counts")
+    p_uni = (F.col("c") + 1) / F.lit(float(counts.n + counts.v))
+    bi = -F.ln(F.lit(weight) * F.col("cc") / F.col("cp") + F.lit(1 - weight) * p_uni)
+    joined = pairs.join(near(counts.words), "tok").join(near(ahead), "prev")
+    return joined.select("prev", "tok", (-F.ln(p_uni)).alias("uni"), bi.alias("bi"))
 
 
 def token_losses(docs: DataFrame, weight: float = 0.7, **names: str) -> DataFrame:
     """id, pos and the losses uni (add-one unigram) and bi (bigram interpolated with it) of every token but the first."""
-    toks = token_table(docs, **names)
-    uni = toks.groupBy("tok").agg(F.count(F.lit(1)).alias("c"))
-    sums = uni.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"))
-    pairs = toks.filter("pos > 0").groupBy("prev", "tok").agg(F.count(F.lit(1)).alias("cc"))
-    ahead = pairs.groupBy("prev").agg(F.sum("cc").alias("cp"))
-    p_uni = (F.col("c") + 1) / (F.col("n") + F.col("v"))
-    model = pairs.join(uni, "tok").join(ahead, "prev").crossJoin(F.broadcast(sums)).select("prev", "tok", (-F.ln(p_uni)).alias("uni"), (-F.ln(F.lit(weight) * F.col("cc") / F.col("cp") + F.lit(1 - weight) * p_uni)).alias("bi"))
-    return toks.filter("pos > 0").join(model, ["prev", "tok"]).select("id", "pos", "uni", "bi")
+    model = bigram_model(count(docs, **names), weight)
+    return token_table(docs, **names).filter("pos > 0").join(model, ["prev", "tok"]).select("id", "pos", "uni", "bi")
+
+
+def of_all_texts(docs: DataFrame, scores: DataFrame, fill: dict[str, object], id_col: str = "doc_id") -> DataFrame:
+    """``scores`` (by id) for every text; texts without one (too few tokens) take the values of ``fill``."""
+    return docs.select(F.col(id_col).alias("id")).join(scores, "id", "left").fillna(fill)
+
+
+def vote_diagnostics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, input_tokens, nll_len (losses that both models have) and short (too few to vote) of every text."""
+    n = F.size(F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>"))).cast("long")
+    losses = F.greatest(n - 1, F.lit(0).cast("long"))
+    return docs.select(F.col(id_col).alias("id"), n.alias("input_tokens"), losses.alias("nll_len"), (losses < 2).alias("short"))
 
 
 def window_vote(losses: DataFrame, sizes: Sequence[int]) -> DataFrame:
@@ -59,12 +126,45 @@ def window_perplexity(losses: DataFrame, width: int) -> DataFrame:
     return rows.groupBy("id").agg(F.exp(F.when(F.max("n") < width, F.avg("uni")).otherwise(best)).alias("perplexity"))
 
 
-def infilling(losses: DataFrame, share: float = 0.2) -> DataFrame:
-    """id and score: the mean of the lowest standardized gains of bigram over unigram losses."""
-    of = Window.partitionBy("id")
-    z = (F.col("uni") - F.avg("uni").over(of)) / F.sqrt(F.var_pop("uni").over(of) + F.lit(1e-8)) - (F.col("bi") - F.avg("bi").over(of)) / F.sqrt(F.var_pop("bi").over(of) + F.lit(1e-8))
-    ranked = losses.select("id", "pos", z.alias("z")).select("id", "z", F.row_number().over(of.orderBy("z", "pos")).alias("r"), F.count(F.lit(1)).over(of).alias("n"))
-    return ranked.filter(F.col("r") <= F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(share)))).groupBy("id").agg(F.avg("z").alias("score"))
+def _deviation(mean: Column, square: Column) -> Column:
+    return F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)) + F.lit(1e-8))
+
+
+def _distributions(counts: Counts, weight: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The bigram model as probabilities: of words (tok, q: the unigram part), of pairs (prev, tok, p), the unigram sums
+    in one row, and after each word (prev) mean and sd of the log-probability and the likeliest word (star).
+
+    Sums over the vocabulary are those of the unigram part plus what the pairs change.
+    """
+    rest = round(1 - weight, 12)
+    words = counts.words.select("tok", (F.lit(rest) * (F.col("c") + 1) / F.lit(float(counts.n + counts.v))).alias("q"))
+    counted = counts.pairs.filter("prev is not null")
+    sums = near(stash(counted.groupBy("prev").agg(F.sum("cc").alias("cp")), "ahead-counts"))
+    p = F.lit(weight) * F.col("cc") / F.col("cp") + F.col("q")
+    known = counted.join(near(stash(words, "word-shares")), "tok").join(sums, "prev").withColumn("p", p)
+    pairs = stash(known.select("prev", "tok", "p", "q"), "pair-shares")
+    xlog = lambda x, k: x * F.pow(F.ln(x), k)
+    q, u = F.col("q"), F.col("q") / rest
+    parts = {"b1": xlog(q, 1), "b2": xlog(q, 2), "u1": xlog(u, 1), "u2": xlog(u, 2)}
+    base = words.agg(*(F.sum(v).alias(k) for k, v in parts.items()), F.min(F.struct((-q).alias("q"), "tok")).alias("top"))
+    base = stash(base, "unigram-sums")
+    p = F.col("p")
+    ahead = pairs.groupBy("prev").agg(
+        F.sum(xlog(p, 1) - xlog(q, 1)).alias("d1"),
+        F.sum(xlog(p, 2) - xlog(q, 2)).alias("d2"),
+        F.min(F.struct((-p).alias("q"), "tok")).alias("best"),
+    )
+    mean = F.col("b1") + F.col("d1")
+    moments = ahead.crossJoin(F.broadcast(base)).select(
+        "prev", mean.alias("mean"), _deviation(mean, F.col("b2") + F.col("d2")).alias("sd"), F.least("best", "top").alias("star")
+    )
+    return words, pairs, base, stash(moments, "moments")
+
+
+def vocabulary_moments(docs: DataFrame, weight: float = 0.7, **names: str) -> DataFrame:
+    """After each word that another follows: mean and sd of the log-probability over the vocabulary, likeliest word."""
+    ahead = _distributions(count(docs, **names), weight)[3]
+    return ahead.select("prev", "mean", "sd", F.col("star.tok").alias("likeliest"))
 
 
 def token_infilling(docs: DataFrame, weight: float = 0.7, **names: str) -> DataFrame:
@@ -76,20 +176,9 @@ def token_infilling(docs: DataFrame, weight: float = 0.7, **names: str) -> DataF
     as the model sees one word back.  A word that nothing follows is followed by the unigram distribution.
     """
     toks = token_table(docs, **names)
-    uni = toks.groupBy("tok").agg(F.count(F.lit(1)).alias("c"))
-    sums = uni.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"))
+    words, pairs, base, ahead = _distributions(count(docs, **names), weight)
     rest = round(1 - weight, 12)
-    words = uni.crossJoin(F.broadcast(sums)).select("tok", (F.lit(rest) * (F.col("c") + 1) / (F.col("n") + F.col("v"))).alias("q"))
-    counted = toks.filter("pos > 0").groupBy("prev", "tok").agg(F.count(F.lit(1)).alias("cc"))
-    pairs = counted.join(words, "tok").join(counted.groupBy("prev").agg(F.sum("cc").alias("cp")), "prev").withColumn("p", F.lit(weight) * F.col("cc") / F.col("cp") + F.col("q"))
-    xlog = lambda x, k: x * F.pow(F.ln(x), k)
-    q, p, u = F.col("q"), F.col("p"), F.col("q") / rest
-    top = F.struct((-q).alias("q"), "tok")
-    base = words.agg(F.sum(xlog(q, 1)).alias("b1"), F.sum(xlog(q, 2)).alias("b2"), F.sum(xlog(u, 1)).alias("u1"), F.sum(xlog(u, 2)).alias("u2"), F.min(top).alias("top"))
-    sd = lambda mean, square: F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)) + F.lit(1e-8))
-    ahead = pairs.groupBy("prev").agg(F.sum(xlog(p, 1) - xlog(q, 1)).alias("d1"), F.sum(xlog(p, 2) - xlog(q, 2)).alias("d2"), F.min(F.struct((-p).alias("q"), "tok")).alias("best"))
-    mean = F.col("b1") + F.col("d1")
-    ahead = ahead.crossJoin(F.broadcast(base)).select("prev", mean.alias("mean"), sd(mean, F.col("b2") + F.col("d2")).alias("sd"), F.least("best", "top").alias("star"))
+    q, u = F.col("q"), F.col("q") / rest
     model = pairs.join(ahead, "prev").select("prev", "tok", ((F.ln("p") - F.col("mean")) / F.col("sd")).alias("z"), ((F.ln("p") - F.ln(-F.col("star.q"))) / F.col("sd")).alias("r0"), F.col("star.tok").alias("star"))
     order = Window.partitionBy("id").orderBy("pos")
     rows = toks.filter("pos > 0").join(model, ["prev", "tok"])
@@ -98,7 +187,7 @@ def token_infilling(docs: DataFrame, weight: float = 0.7, **names: str) -> DataF
     known = pairs.select(F.col("prev").alias("star"), F.col("tok").alias("next"), "p")
     other = other.join(words.withColumnRenamed("tok", "next"), "next").join(ahead.select(F.col("prev").alias("star"), "mean", "sd"), "star", "left").join(known, ["star", "next"], "left").crossJoin(F.broadcast(base))
     lone = F.col("mean").isNull()
-    after = F.when(lone, (F.ln(u) - F.col("u1")) / sd(F.col("u1"), F.col("u2"))).otherwise((F.ln(F.coalesce("p", "q")) - F.col("mean")) / F.col("sd"))
+    after = F.when(lone, (F.ln(u) - F.col("u1")) / _deviation(F.col("u1"), F.col("u2"))).otherwise((F.ln(F.coalesce("p", "q")) - F.col("mean")) / F.col("sd"))
     other = other.select("star", "next", after.alias("other"))
     return rows.join(other, ["star", "next"], "left").select("id", "pos", "n", (F.col("r0") + F.coalesce(F.col("z") - F.col("other"), F.lit(0.0))).alias("r"))
 

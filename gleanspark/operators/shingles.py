@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleanspark.functions.text import normalize
+from gleanspark.sources.scratch import near, stash
 
 BLOCK = 256
 
@@ -48,24 +49,33 @@ def capped_index(corpus: DataFrame, id_col: str, size: int, most: int) -> DataFr
     return first.orderBy("first", "hash").limit(most).select("hash")
 
 
-def coverage_label(docs: DataFrame, index: DataFrame, id_col: str, size: int, match: int, compat: bool = False) -> DataFrame:
+def coverage_label(
+    docs: DataFrame, index: DataFrame, id_col: str, size: int, match: int, compat: bool = False, text_col: str = "text"
+) -> DataFrame:
     """``id_col`` and label: 1 if all shingles of some window of ``match`` characters are in the index.
 
     Every run of match - size + 1 covered positions holds a multiple of that length, so only those positions are
-    looked up first and whole texts only where one is found.  With ``compat``, a ``size`` above ``match`` labels
-    every text of ``match`` characters 1 and looks up shorter ones whole; otherwise it is an error.
+    looked up first, and whole texts only where one is found: two readings, the first of which shuffles ids of hits
+    alone while the index is small enough to broadcast.  With ``compat``, a ``size`` above ``match`` labels every text
+    of ``match`` characters 1 and looks up shorter ones whole; otherwise it is an error.
     """
-    texts = normalized(docs, id_col)
+    texts = normalized(docs, id_col, text_col)
+    known = near(stash(index, "index"))
     run = match - size + 1
     if run < 1:
         if not compat:
             raise ValueError("the shingle is longer than the match: every long text would be positive")
-        short = texts.filter((F.length("norm") < match) & (F.length("norm") > 0)).select("id", short_hash(F.col("norm")).alias("hash")).join(index, "hash", "left_semi")
+        some = texts.filter((F.length("norm") < match) & (F.length("norm") > 0)).select("id", short_hash(F.col("norm")).alias("hash"))
+        short = some.join(known, "hash", "left_semi")
         hits = short.select("id").union(texts.filter(F.length("norm") >= match).select("id"))
+        hits = hits.distinct()
     else:
-        some = windows(texts, size, run).select("id", short_hash(F.col("shingle")).alias("hash")).join(index, "hash", "left_semi").select("id").distinct()
-        near = texts.join(some, "id", "left_semi")
-        found = windows(near, size).select("id", "p", short_hash(F.col("shingle")).alias("hash")).join(index, "hash", "left_semi")
-        islands = found.select("id", "p", (F.col("p") - F.row_number().over(Window.partitionBy("id").orderBy("p"))).alias("g"))
-        hits = islands.groupBy("id", "g").count().filter(F.col("count") >= run).select("id")
-    return texts.select("id").join(hits.distinct().withColumn("hit", F.lit(1)), "id", "left").select(F.col("id").alias(id_col), F.coalesce("hit", F.lit(0)).alias("label"))
+        tried = windows(texts, size, run).select("id", short_hash(F.col("shingle")).alias("hash"))
+        some = stash(tried.join(known, "hash", "left_semi").select("id").distinct(), "hit-texts")
+        found = windows(texts.join(near(some), "id", "left_semi"), size)
+        found = found.select("id", "p", short_hash(F.col("shingle")).alias("hash")).join(known, "hash", "left_semi")
+        place = F.col("p") - F.row_number().over(Window.partitionBy("id").orderBy("p"))
+        islands = found.select("id", "p", place.alias("g")).groupBy("id", "g").count()
+        hits = near(stash(islands.filter(F.col("count") >= run).select("id").distinct(), "covered-texts"))
+    labelled = docs.select(F.col(id_col).alias("id")).join(hits.withColumn("hit", F.lit(1)), "id", "left")
+    return labelled.select(F.col("id").alias(id_col), F.coalesce("hit", F.lit(0)).alias("label"))

@@ -143,31 +143,61 @@ def losses(s, d):
     return ngram.token_losses(table(s, d, "documents"))
 
 
-@query(f"with {_LOSS} select id doc_id, round(avg(uni), 6) nll from ls group by id")
+def _all(s, d, scores, **fill):
+    """Scores (by id) as rows of all documents; texts of too few tokens take the values of ``fill``."""
+    return ngram.of_all_texts(table(s, d, "documents"), scores, fill).withColumnRenamed("id", "doc_id")
+
+
+def _of_all(select: str, inner: str) -> str:
+    return f"with {_LOSS}, x as ({inner}) select doc_id, {select} from documents left join x on id = doc_id"
+
+
+@query(_of_all("coalesce(nll, 0) nll", "select id, round(avg(uni), 6) nll from ls group by id"))
 def unigram_nll(s, d):
-    return losses(s, d).groupBy(F.col("id").alias("doc_id")).agg(r6(F.avg("uni"), "nll"))
+    docs = table(s, d, "documents")
+    sums = ngram.unigram_losses(docs, ngram.count_words(docs)).select("id", r6(F.col("total") / F.col("n"), "nll"))
+    return _all(s, d, sums, nll=0.0)
 
 
-@query(f"with {_LOSS} select id doc_id, round(avg(bi), 6) nll, count(*) n_losses from ls group by id")
+@query(_of_all("coalesce(nll, 0) nll, coalesce(n_losses, 0) n_losses", "select id, round(avg(bi), 6) nll, count(*) n_losses from ls group by id"))
 def bigram_nll(s, d):
-    return losses(s, d).groupBy(F.col("id").alias("doc_id")).agg(r6(F.avg("bi"), "nll"), F.count(F.lit(1)).alias("n_losses"))
+    sums = losses(s, d).groupBy("id").agg(r6(F.avg("bi"), "nll"), F.count(F.lit(1)).alias("n_losses"))
+    return _all(s, d, sums, nll=0.0, n_losses=0)
 
 
 @query(f"with {_LOSS} select id doc_id, round(avg(bi), 6) mean_nll, round(sum(bi), 4) total_nll from ls where pos >= 32 group by id")
 def suffix_nll(s, d):
-    return losses(s, d).filter("pos >= 32").groupBy(F.col("id").alias("doc_id")).agg(r6(F.avg("bi"), "mean_nll"), F.round(F.sum("bi"), 4).alias("total_nll"))
+    """Losses of what follows the first 32 tokens, for the texts that have more (the others have no suffix)."""
+    rest = losses(s, d).filter("pos >= 32").groupBy(F.col("id").alias("doc_id"))
+    return rest.agg(r6(F.avg("bi"), "mean_nll"), F.round(F.sum("bi"), 4).alias("total_nll"))
 
 
-@query(f"with {_LOSS}, p as (select id, exp(avg(bi)) t, exp(avg(uni)) r from ls group by id) select id doc_id, round(t, 4) perplexity, round(ln(t + 1e-8) / ln(r + 1e-8), 6) small from p")
+@query(_of_all("round(t, 4) perplexity, round(ln(t + 1e-8) / ln(r + 1e-8), 6) small", "select id, exp(avg(bi)) t, exp(avg(uni)) r from ls group by id"))
 def perplexity_metrics(s, d):
-    p = losses(s, d).groupBy(F.col("id").alias("doc_id")).agg(F.exp(F.avg("bi")).alias("t"), F.exp(F.avg("uni")).alias("r"))
-    return p.select("doc_id", F.round("t", 4).alias("perplexity"), r6(X.log_ratio(F.col("t"), F.col("r")), "small"))
+    """Null for texts without losses."""
+    p = losses(s, d).groupBy("id").agg(F.exp(F.avg("bi")).alias("t"), F.exp(F.avg("uni")).alias("r"))
+    return _all(s, d, p.select("id", F.round("t", 4).alias("perplexity"), r6(X.log_ratio(F.col("t"), F.col("r")), "small")))
+
 
+_WC = W.replace("lower(text)", "text")
+_CASED = f"""ck as (select doc_id id, unnest({_WC}) tok, unnest(range(0, len({_WC}))) pos from documents),
+cu as (select tok, count(*) c from ck group by tok), cs as (select sum(c) n, count(*) v from cu),
+lo as (select id, avg(-ln(cast(c + 1 as double) / (n + v))) o from ck join cu using (tok), cs where pos > 0 group by id),
+ll as (select id, avg(-ln(cast(coalesce(c, 0) + 1 as double) / (n + v))) l from ck left join cu on cu.tok = lower(ck.tok), cs where pos > 0 group by id)"""
 
-@query(f"with {_LOSS}, p as (select id, avg(bi) b, avg(uni) a from ls group by id) select id doc_id, round(case when a > 0 then b / a else 0 end, 6) ratio from p")
+
+@query(f"with {_CASED} select doc_id, round(case when l > 0 then o / l else 0 end, 6) ratio, round(ln(exp(o) + 1e-8) / ln(exp(l) + 1e-8), 6) log_ratio from documents left join lo on lo.id = doc_id left join ll on ll.id = doc_id")
 def lowercase_ratio(s, d):
-    p = losses(s, d).groupBy(F.col("id").alias("doc_id")).agg(F.avg("bi").alias("b"), F.avg("uni").alias("a"))
-    return p.select("doc_id", r6(F.when(F.col("a") > 0, F.col("b") / F.col("a")).otherwise(0.0), "ratio"))
+    """Mean loss of a text over that of its lower-cased form under one model of words in their own case, 0 where the
+    latter is 0; and the logarithms' ratio of both perplexities."""
+    docs = table(s, d, "documents")
+    counts = ngram.count_words(docs, cased=True)
+    own = ngram.unigram_losses(docs, counts, cased=True).select("id", (F.col("total") / F.col("n")).alias("o"))
+    low = ngram.unigram_losses(docs, counts, lower=True).select("id", (F.col("total") / F.col("n")).alias("l"))
+    both = own.join(low, "id").select(
+        "id", r6(F.when(F.col("l") > 0, F.col("o") / F.col("l")).otherwise(0.0), "ratio"), r6(X.log_ratio(F.exp("o"), F.exp("l")), "log_ratio")
+    )
+    return _all(s, d, both, ratio=0.0)
 
 
 @query()
@@ -175,9 +205,9 @@ def zlib_len(s, d):
     return table(s, d, "documents").select("doc_id", ml.zlib_length("text").alias("zlib_bytes"))
 
 
-@query(f"with {_LOSS}, m as (select id, bi, avg(bi) over (partition by id order by pos rows between 31 preceding and current row) m, row_number() over (partition by id order by pos) r from ls) select id doc_id, round(-case when max(r) >= 32 then min(m) filter (where r >= 32) else avg(bi) end, 6) score from m group by id")
+@query(f"with {_LOSS}, m as (select id, bi, avg(bi) over (partition by id order by pos rows between 31 preceding and current row) m, row_number() over (partition by id order by pos) r from ls), x as (select id, round(-case when max(r) >= 32 then min(m) filter (where r >= 32) else avg(bi) end, 6) score from m group by id) select doc_id, coalesce(score, 0) score from documents left join x on id = doc_id")
 def window_min(s, d):
-    return ngram.window_minimum(losses(s, d), 32).select(F.col("id").alias("doc_id"), r6("score", "score"))
+    return _all(s, d, ngram.window_minimum(losses(s, d), 32).select("id", r6("score", "score")), score=0.0)
 
 
 @query(f"with {_LOSS}, m as (select id, uni, avg(uni) over (partition by id order by pos rows between current row and 31 following) m, row_number() over (partition by id order by pos) r, count(*) over (partition by id) n from ls) select id doc_id, round(exp(case when max(n) < 32 then avg(uni) else coalesce(min(m) filter (where r <= n - 32), 'inf'::double) end), 4) perplexity from m group by id")
@@ -211,9 +241,10 @@ _VOTES = ", ".join(f"sum(uni - bi) over (partition by id order by pos rows betwe
 _SHARES = ", ".join(f"case when max(r) >= {w} then avg(case when s{w} > 0 then 1.0::double else 0 end) filter (where r >= {w}) end" for w in _SIZES)
 
 
-@query(f"with {_LOSS}, v as (select id, row_number() over (partition by id order by pos) r, {_VOTES} from ls), t as (select id, list_filter([{_SHARES}], lambda x: x is not null) t from v group by id) select id doc_id, round(list_sum(t) / len(t), 6) score from t where len(t) > 0")
+@query(f"with {_LOSS}, v as (select id, row_number() over (partition by id order by pos) r, {_VOTES} from ls), t as (select id, list_filter([{_SHARES}], lambda x: x is not null) t from v group by id), x as (select id, round(list_sum(t) / len(t), 6) score from t where len(t) > 0) select doc_id, coalesce(score, 0) score from documents left join x on id = doc_id")
 def wbc_score(s, d):
-    return ngram.window_vote(losses(s, d), _SIZES).select(F.col("id").alias("doc_id"), r6("score", "score"))
+    """0 for texts of fewer than two losses."""
+    return _all(s, d, ngram.window_vote(losses(s, d), _SIZES).select("id", r6("score", "score")), score=0.0)
 
 
 @query(f"with {_LOSS}, o as (select id, bi, row_number() over (partition by id order by bi) r, count(*) over (partition by id) n from ls) select id doc_id, round(avg(bi), 6) score from o where r <= greatest(1, floor(n * cast(0.2 as double))) group by id")
@@ -222,19 +253,6 @@ def bottom_k_mean(s, d):
     return a.select("doc_id", r6(X.bottom_k_mean(F.col("a"), 0.2), "score"))
 
 
-_INFILL = "z as (select id, pos, (uni - avg(uni) over w) / sqrt(var_pop(uni) over w + 1e-8) - (bi - avg(bi) over w) / sqrt(var_pop(bi) over w + 1e-8) z from {t} window w as (partition by id)), k as (select id, z, row_number() over (partition by id order by z, pos) r, count(*) over (partition by id) n from z) select id doc_id, round(avg(z), 5) score from k where r <= greatest(1, floor(n * cast(0.2 as double))) group by id"
-
-
-@query(f"with {_LOSS}, " + _INFILL.format(t="ls"))
-def infilling_score(s, d):
-    return ngram.infilling(losses(s, d)).select(F.col("id").alias("doc_id"), F.round("score", 5).alias("score"))
-
-
-@query(f"with {_LOSS}, p as (select * from ls where pos between 1 and 64), " + _INFILL.format(t="p"))
-def prefix_infilling(s, d):
-    return ngram.infilling(losses(s, d).filter("pos between 1 and 64")).select(F.col("id").alias("doc_id"), F.round("score", 5).alias("score"))
-
-
 _GREEDY = """uq as (select tok, cast(0.3 as double) * (c + 1) / (n + v) q, cast(c + 1 as double) / (n + v) u from u, sm),
 b as (select sum(q * ln(q)) b1, sum(q * ln(q) * ln(q)) b2, sum(u * ln(u)) u1, sum(u * ln(u) * ln(u)) u2 from uq),
 tt as (select tok t, q tq from uq order by q desc, tok limit 1),
@@ -245,19 +263,32 @@ zr as (select id, pos, star, (ln(p) - ln(sp)) / sd r0, lead(tok) over w nxt, lea
 rr as (select id, pos, n, r0 + coalesce(z - case when hx.h is null then (ln(uq.u) - u1) / sqrt(greatest(u2 - u1 * u1, 0) + 1e-8) else (ln(coalesce(mp.p, uq.q)) - mu) / sd end, 0) r from zr left join uq on uq.tok = nxt left join hx on hx.h = zr.star left join mp on mp.prev = zr.star and mp.tok = nxt, b),
 kk as (select id, r, row_number() over (partition by id order by r, pos) k, count(*) over (partition by id) m from rr where {where}),
 sr as (select id, avg(r) score from kk where k <= greatest(1, floor(m * cast(0.1 as double))) group by id)
-select doc_id, round(coalesce(score, 0), 5) score from documents left join sr on id = doc_id"""
+select doc_id, round(coalesce(score, 0), 5) + 0.0::double score from documents left join sr on id = doc_id"""
 
 
 @query(f"with {_LOSS}, " + _GREEDY.format(where="n >= 2"))
-def infilling_counterfactual(s, d):
+def infilling_score(s, d):
+    """Standardized log-probability less that of the likeliest word, with the next place's difference; lowest tenth."""
     docs = table(s, d, "documents")
-    return ngram.infilling_mean(docs, ngram.token_infilling(docs)).select(F.col("id").alias("doc_id"), F.round("score", 5).alias("score"))
+    return ngram.infilling_mean(docs, ngram.token_infilling(docs)).select(F.col("id").alias("doc_id"), (F.round("score", 5) + F.lit(0.0)).alias("score"))
 
 
 @query(f"with {_LOSS}, " + _GREEDY.format(where="n >= 4 and pos > n - 64"))
-def last_window_infilling(s, d):
+def prefix_infilling(s, d):
+    """The same over the last 64 tokens; 0 below four."""
     docs = table(s, d, "documents")
-    return ngram.infilling_mean(docs, ngram.token_infilling(docs), last=64, least=4).select(F.col("id").alias("doc_id"), F.round("score", 5).alias("score"))
+    return ngram.infilling_mean(docs, ngram.token_infilling(docs), last=64, least=4).select(F.col("id").alias("doc_id"), (F.round("score", 5) + F.lit(0.0)).alias("score"))
+
+
+@query(f"with {_LOSS}, " + _GREEDY.split("zr as (")[0].rstrip().rstrip(",") + " select h prev, round(mu, 6) mean, round(sd, 6) sd from hx")
+def vocabulary_moments(s, d):
+    """Mean and deviation of the log-probability over the vocabulary after each word."""
+    return ngram.vocabulary_moments(table(s, d, "documents")).select("prev", r6("mean", "mean"), r6("sd", "sd"))
+
+
+@query(f"select doc_id, cast(n as bigint) input_tokens, cast(greatest(n - 1, 0) as bigint) nll_len, n - 1 < 2 short from (select doc_id, coalesce(len({W}), 0) n from documents)")
+def wbc_diagnostics(s, d):
+    return ngram.vote_diagnostics(table(s, d, "documents")).withColumnRenamed("id", "doc_id")
 
 
 # Rankings over two exact scores: distinct words per word, and characters per word
