@@ -61,10 +61,14 @@ def minmax01(a: Column) -> Column:
 
 
 def softmax(a: Column) -> Column:
-    """Softmax that ignores NaN and infinite entries; uniform if nothing is left."""
-    finite = F.transform(a, lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(None)).otherwise(x))
-    parts = let(F.array_max(finite), lambda m: F.transform(finite, lambda x: F.coalesce(F.exp(x - m), F.lit(0.0))))
-    return let(parts, lambda p: let(total(p), lambda t: F.transform(p, lambda x: F.when(t > 0, x / t).otherwise(F.lit(1.0) / F.size(p)))))
+    """Softmax; NaN and minus infinite entries count as -10,000, infinite ones as 10,000."""
+    parts = lambda x: let(F.array_max(x), lambda m: F.transform(x, lambda y: F.exp(y - m)))
+    shares = lambda p: let(total(p), lambda t: F.transform(p, lambda y: y / t))
+    return let(let(finite(a, F.lit(-1e4), F.lit(1e4), -1e4), parts), shares)
+
+
+def log_softmax(a: Column) -> Column:
+    return let(F.ln(total(F.transform(a, lambda x: F.exp(x)))), lambda t: F.transform(a, lambda x: x - t))
 
 
 def mix_uniform(p: Column, share: float) -> Column:
@@ -82,14 +86,43 @@ def sigmoid(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 
 
-def penalty(a: Column, mode: str) -> Column:
-    """Penalties of candidates: ``delta`` to the least, ``absolute``, or ``zscore`` (sample deviation)."""
+def finite(a: Column, nan: Column, high: Column, low: float = 0.0) -> Column:
+    """An array with NaN, infinite and minus infinite entries replaced."""
+    inf = float("inf")
+    return F.transform(a, lambda x: F.when(F.isnan(x), nan).when(x == inf, high).when(x == -inf, F.lit(low)).otherwise(x))
+
+
+def penalty(risks: Column, prefix: Column, mode: str = "delta") -> Column:
+    """Penalties of candidates within 0 and 1 by their risks.
+
+    ``delta``: how far they exceed the prefix's risk; ``absolute``: the risks themselves; ``zscore``: standardized
+    (sample deviation), zeros where that is below 1e-8.
+    """
+    clean = finite(risks, prefix, prefix)
     if mode == "absolute":
-        return a
+        return minmax01(clean)
     if mode == "delta":
-        return let(F.array_min(a), lambda m: F.transform(a, lambda x: x - m))
-    mean = total(a) / F.size(a)
-    return let(mean, lambda m: let(F.sqrt(total(F.transform(a, lambda x: (x - m) * (x - m))) / F.greatest(F.size(a) - 1, F.lit(1))), lambda s: F.transform(a, lambda x: (x - m) / (s + 1e-8))))
+        return minmax01(F.transform(clean, lambda x: F.greatest(x - prefix, F.lit(0.0))))
+    if mode != "zscore":
+        raise ValueError(f"no such mode: {mode}")
+
+    def scaled(r: Column) -> Column:
+        spread = lambda m: F.sqrt(total(F.transform(r, lambda x: (x - m) * (x - m))) / F.greatest(F.size(r) - 1, F.lit(1)))
+        zeros = F.transform(r, lambda x: F.lit(0.0))
+        z = lambda m, s: minmax01(F.transform(r, lambda x: (x - m) / (s + 1e-8)))
+        return let(total(r) / F.size(r), lambda m: let(spread(m), lambda s: F.when(s < 1e-8, zeros).otherwise(z(m, s))))
+
+    return let(clean, scaled)
+
+
+def safe_float(text: Column, default: float = 0.0) -> Column:
+    """A finite number, or ``default`` for anything else."""
+    x = text.try_cast("double")
+    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), F.lit(default)).otherwise(x)
+
+
+def safe_div(a: Column, b: Column, least: float = 1e-12) -> Column:
+    return a / F.greatest(b, F.lit(least))
 
 
 def log_ratio(a: Column, b: Column, eps: float = 1e-8) -> Column:
@@ -112,4 +145,5 @@ def decayed_temperature(length: Column) -> Column:
 
 
 def sanitized(a: Column) -> Column:
+    """An array with zeros for NaN and large numbers for infinite entries."""
     return F.transform(a, lambda x: F.when(F.isnan(x), 0.0).when(x == float("inf"), 1e10).when(x == float("-inf"), -1e10).otherwise(x))

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gleanspark.operators.running import running
+from gleanspark.sources.scratch import near, stash
+
 
 def unpivot(df: DataFrame, keys: Sequence[str], values: Sequence[str], name: str = "metric", value: str = "score") -> DataFrame:
     return df.unpivot(list(keys), list(values), name, value)
@@ -31,38 +35,116 @@ def precision_at_k(df: DataFrame, by: Sequence[str], ks: Sequence[int], *, score
     return rows.select(*by, "n", each.alias("_p")).select(*by, "_p.k", "_p.precision", "n").filter(F.col("k") <= F.col("n"))
 
 
-def average_ranks(df: DataFrame, by: Sequence[str], score: str) -> Column:
-    """Rank of a score among its group, ties averaged."""
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(score)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, score)) - 1) / F.lit(2.0)
+def precision_report(
+    df: DataFrame,
+    by: Sequence[str],
+    ks: Sequence[int],
+    *,
+    score: str = "score",
+    label: str = "label",
+    order: str = "i",
+    lower_better: bool = True,
+    finite_only: bool = False,
+    expected: DataFrame | None = None,
+) -> DataFrame:
+    """by, k, precision, n_samples, n_labeled, n_positive, n_negative and status, a row for each group and k.
+
+    With ``finite_only`` rows without a finite score are left out first, and n_samples counts what is left; otherwise
+    they rank like NaN.  precision is null where k exceeds the group, where one of the k best has no label, or where the
+    group has no finite score (or, unless ``finite_only``, no label).  ``expected`` has the groups to report on, with
+    status "no samples" where there are none.
+    """
+    value = F.coalesce(F.col(score).cast("double"), F.lit(float("nan")))
+    rows = df.withColumn("_s", value).withColumn("_ok", ~F.isnan("_s") & (F.abs("_s") != float("inf")))
+    totals = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_all"), F.count_if("_ok").alias("_finite"))
+    used = rows.filter("_ok") if finite_only else rows
+    best = [F.asc("_s"), F.asc(order)] if lower_better else [F.desc("_s"), F.desc(order)]
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*best))
+    top = used.withColumn("_r", rank).filter(F.col("_r") <= max(ks))
+    hits = lambda k: F.when(F.count(F.when(F.col("_r") <= k, F.col(label))) == k, F.sum(F.when(F.col("_r") <= k, F.col(label))) / float(k))
+    sums = top.groupBy(*by).agg(*(hits(k).alias(f"_{k}") for k in ks))
+    counts = used.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_used"),
+        F.count(label).alias("n_labeled"),
+        F.count_if(F.col(label) == 1).alias("n_positive"),
+    )
+    joined = _join_nulls(_join_nulls(totals, counts, by), sums, by)
+    if expected is not None:
+        joined = _join_nulls(expected.select(*by), joined, by)
+    n, none = F.coalesce("_used", "_all", F.lit(0)), F.lit(0).cast("long")
+    bad = F.col("_finite") == 0 if finite_only else (F.col("_finite") == 0) | (F.coalesce("n_labeled", none) == 0)
+    words = "no finite scores" if finite_only else "no valid scores or labels"
+    status = F.when(F.col("_all").isNull(), "no samples").when(bad, words).otherwise("ok")
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"_{k}").alias("p")) for k in ks)))
+    out = joined.select("*", status.alias("status"), each.alias("_e"))
+    return out.select(
+        *by,
+        "_e.k",
+        F.when(F.col("status") == "ok", F.col("_e.p")).alias("precision"),
+        n.cast("long").alias("n_samples"),
+        F.coalesce("n_labeled", none).alias("n_labeled"),
+        F.coalesce("n_positive", none).alias("n_positive"),
+        (F.coalesce("n_labeled", none) - F.coalesce("n_positive", none)).alias("n_negative"),
+        "status",
+    )
+
+
+def _join_nulls(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Left join on ``by``, nulls being equal."""
+    other = b.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(by)), *(c for c in b.columns if c not in by))
+    if not by:
+        return a.crossJoin(F.broadcast(other))
+    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(by)))
+    return a.join(other, same, "left").drop(*(f"_k{i}" for i in range(len(by))))
+
+
+def average_ranks(df: DataFrame, by: Sequence[str], score: str, name: str) -> DataFrame:
+    """``df`` with the rank of its score in its group, ties averaged; ranks come from counts of distinct scores."""
+    counts = df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = running(counts, by, [score], {"_below": F.col("_c")})
+    ranks = ranked.select(*by, score, (F.col("_below") + (F.col("_c") + 1) / F.lit(2.0)).alias(name))
+    return _join_nulls(df, ranks, [*by, score])
 
 
 def roc_auc(df: DataFrame, by: Sequence[str], *, score: str = "score", label: str = "label") -> DataFrame:
     """by, auc, auc_dir (the better of both directions), n_pos, n_neg; null with one class only.
 
-    Scores are counted first; ranks then are running sums over distinct scores, not over rows.
+    Scores are counted first; wins then come from running sums over ranges of distinct scores.
     """
     counts = df.groupBy(*by, score).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = counts.withColumn("u", F.col("p") * (below + F.col("q") / F.lit(2.0)))
-    got = wins.groupBy(*by).agg(F.sum("u").alias("u"), F.sum("p").cast("long").alias("n_pos"), F.sum("q").cast("long").alias("n_neg"))
+    below = running(counts, by, [score], {"below": F.col("q")})
+    wins = below.withColumn("u", F.col("p") * (F.col("below") + F.col("q") / F.lit(2.0)))
+    positive, negative = F.sum("p").cast("long").alias("n_pos"), F.sum("q").cast("long").alias("n_neg")
+    got = wins.groupBy(*by).agg(F.sum("u").alias("u"), positive, negative)
     auc = F.try_divide(F.col("u"), (F.col("n_pos") * F.col("n_neg")).cast("double"))
     return got.select(*by, auc.alias("auc"), F.greatest(auc, 1 - auc).alias("auc_dir"), "n_pos", "n_neg")
 
 
 def oriented(df: DataFrame, by: Sequence[str], split: str = "split", on: str = "val", score: str = "score") -> DataFrame:
     """``df`` with scores negated where that gives the better AUC on the rows of split ``on``."""
-    flips = roc_auc(df.filter(F.col(split) == on), by, score=score).select(*by, F.coalesce(F.col("auc") < 0.5, F.lit(False)).alias("_flip"))
-    joined = df.join(F.broadcast(flips), list(by), "left") if by else df.crossJoin(F.broadcast(flips))
+    flips = roc_auc(df.filter(F.col(split) == on), by, score=score)
+    flips = flips.select(*by, F.coalesce(F.col("auc") < 0.5, F.lit(False)).alias("_flip"))
+    joined = _join_nulls(df, near(stash(flips, "directions")), by)
     return joined.withColumn(score, F.when(F.col("_flip"), -F.col(score)).otherwise(F.col(score))).drop("_flip")
 
 
 def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """a, b, rho of each pair of columns; null where a column is constant."""
-    ranked = df.select(*(average_ranks(df, (), c).alias(c) for c in columns))
+    ranked = df.select(*columns)
+    for c in columns:
+        ranked = average_ranks(ranked, (), c, f"_rank_{c}")
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    rho = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.when((F.stddev_pop(a) >= 1e-12) & (F.stddev_pop(b) >= 1e-12), F.corr(a, b)).alias("rho")) for a, b in pairs]
-    return ranked.agg(*(r.alias(f"_{i}") for i, r in enumerate(rho))).select(F.explode(F.array(*(f"_{i}" for i in range(len(pairs))))).alias("_r")).select("_r.*")
+    varied = lambda c: F.stddev_pop(f"_rank_{c}") >= 1e-12
+    rho = [
+        F.struct(
+            F.lit(a).alias("a"),
+            F.lit(b).alias("b"),
+            F.when(varied(a) & varied(b), F.corr(f"_rank_{a}", f"_rank_{b}")).alias("rho"),
+        )
+        for a, b in pairs
+    ]
+    row = ranked.agg(*(r.alias(f"_{i}") for i, r in enumerate(rho)))
+    return row.select(F.explode(F.array(*(f"_{i}" for i in range(len(pairs))))).alias("_r")).select("_r.*")
 
 
 def best_threshold(df: DataFrame, by: Sequence[str], *, score: str = "score", label: str = "label", higher: bool = True) -> DataFrame:
@@ -71,14 +153,27 @@ def best_threshold(df: DataFrame, by: Sequence[str], *, score: str = "score", la
     Scores are counted first, so that one sweep of running sums tries every midpoint.
     """
     counts = df.groupBy(*by, score).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("q"))
-    w = Window.partitionBy(*by).orderBy(score)
-    low = w.rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    s = counts.select(*by, ((F.col(score) + F.lead(score).over(w)) / 2).alias("threshold"), F.sum("p").over(low).alias("pl"), F.sum("q").over(low).alias("ql"), F.sum("p").over(whole).alias("pt"), F.sum("q").over(whole).alias("qt"))
-    s = s.filter("threshold is not null and pt > 0 and qt > 0")
+    totals = df.groupBy(*by).agg(F.sum(label).alias("pt"), F.sum(1 - F.col(label)).alias("qt"))
+    below = running(counts, by, [score], {"pl": F.col("p"), "ql": F.col("q"), "_n": F.lit(1).cast("long")})
+    above = below.select(*by, F.col("_n"), F.col(score).alias("_next"), "pl", "ql")
+    pairs = _join_nulls(above, below.select(*by, (F.col("_n") + 1).alias("_n"), F.col(score).alias("_low")), [*by, "_n"])
+    s = _join_nulls(pairs.filter(F.col("_low").isNotNull()), totals, by).filter("pt > 0 and qt > 0")
     right = (F.col("ql") / F.col("qt") + (F.col("pt") - F.col("pl")) / F.col("pt")) / 2
-    s = s.withColumn("balanced_accuracy", F.round(right if higher else 1 - right, 12))
-    return s.groupBy(*by).agg(F.min_by(F.struct("threshold", "balanced_accuracy"), F.struct(-F.col("balanced_accuracy"), F.col("threshold"))).alias("_b")).select(*by, "_b.*")
+    tried = s.select(
+        *by,
+        ((F.col("_low") + F.col("_next")) / 2).alias("threshold"),
+        F.round(right if higher else 1 - right, 12).alias("balanced_accuracy"),
+    )
+    first = F.struct(-F.col("balanced_accuracy"), F.col("threshold"))
+    best = tried.groupBy(*by).agg(F.min_by(F.struct("threshold", "balanced_accuracy"), first).alias("_b"))
+    return best.select(*by, "_b.*")
+
+
+def balanced_accuracy(df: DataFrame, by: Sequence[str], *, label: str = "label", predicted: str = "predicted") -> DataFrame:
+    """by and balanced_accuracy: the mean of both classes' recalls; 0 where a class is empty."""
+    right = lambda v: F.count_if((F.col(label) == v) & (F.col(predicted) == v)) / F.count_if(F.col(label) == v)
+    both = (F.count_if(F.col(label) == 0) > 0) & (F.count_if(F.col(label) == 1) > 0)
+    return df.groupBy(*by).agg(F.when(both, (right(0) + right(1)) / 2).otherwise(0.0).alias("balanced_accuracy"))
 
 
 def class_medians(df: DataFrame, by: Sequence[str], *, score: str = "score", label: str = "label") -> DataFrame:
@@ -88,17 +183,54 @@ def class_medians(df: DataFrame, by: Sequence[str], *, score: str = "score", lab
     return got.withColumn("midpoint", F.coalesce((F.col("median_0") + F.col("median_1")) / 2, "median_1", "median_0"))
 
 
-def majority_threshold(df: DataFrame, by: Sequence[str], *, score: str = "score", label: str = "label", eps: float = 1e-9) -> DataFrame:
-    """by, threshold: below all scores where members are the majority, above all otherwise."""
-    return df.groupBy(*by).agg(F.when(F.avg(label) >= 0.5, F.min(score) - eps).otherwise(F.max(score) + eps).alias("threshold"))
+def midpoint_threshold(df: DataFrame, by: Sequence[str], *, score: str = "score", label: str = "label", higher: bool = True) -> DataFrame:
+    """by and threshold: the midpoint of the classes' medians or, where that puts all rows on one side, the median of
+    the class beyond it; null where that does too, and with one class only."""
+    m = lambda v: F.percentile(F.when(F.col(label) == v, F.col(score)), 0.5)
+    got = df.groupBy(*by).agg(m(0).alias("_0"), m(1).alias("_1"), F.min(score).alias("_low"), F.max(score).alias("_high"))
+    splits = lambda t: (F.col("_high") > t) & (F.col("_low") <= t) if higher else (F.col("_low") < t) & (F.col("_high") >= t)
+    middle, other = (F.col("_0") + F.col("_1")) / 2, F.col("_1" if higher else "_0")
+    found = F.when(splits(middle), middle).when(splits(other) & middle.isNotNull(), other)
+    return got.select(*by, found.alias("threshold"))
+
+
+def majority_threshold(df: DataFrame, by: Sequence[str], *, score: str = "score", label: str = "label", higher: bool = True) -> DataFrame:
+    """by and threshold: one that gives all rows the majority's label (0 on ties), just outside the scores."""
+    member = F.count_if(F.col(label) == 1) > F.count_if(F.col(label) == 0)
+    eps = F.lit(1e-9) * F.greatest(F.lit(1.0), F.abs(F.max(score)))
+    below = member if higher else ~member
+    return df.groupBy(*by).agg(F.when(below, F.min(score) - eps).otherwise(F.max(score) + eps).alias("threshold"))
+
+
+def calibrated_threshold(df: DataFrame, by: Sequence[str], *, score: str = "score", label: str = "label", higher: bool = True) -> DataFrame:
+    """by, threshold and method: the best midpoint, else the medians' midpoint, else the majority's side."""
+    names = {"score": score, "label": label, "higher": higher}
+    best = best_threshold(df, by, **names).select(*by, F.col("threshold").alias("_best"))
+    middle = midpoint_threshold(df, by, **names).withColumnRenamed("threshold", "_middle")
+    every = majority_threshold(df, by, **names).withColumnRenamed("threshold", "_every")
+    joined = _join_nulls(_join_nulls(every, middle, by), best, by)
+    method = F.when(F.col("_best").isNotNull(), "sweep").when(F.col("_middle").isNotNull(), "medians").otherwise("majority")
+    return joined.select(*by, F.coalesce("_best", "_middle", "_every").alias("threshold"), method.alias("method"))
 
 
 def threshold_label(score: Column, threshold: Column, higher: bool = True) -> Column:
     return (score > threshold if higher else score < threshold).cast("int")
 
 
-def median_label(df: DataFrame, by: Sequence[str], *, score: str = "score", higher: bool = True, least: int = 4) -> DataFrame:
-    """``df`` with label: strictly beyond the group's median; null in groups of fewer than ``least`` rows."""
-    med = df.groupBy(*by).agg(F.percentile(score, 0.5).alias("_m"), F.count(F.lit(1)).alias("_n"))
-    joined = df.join(med, list(by)) if by else df.crossJoin(F.broadcast(med))
-    return joined.withColumn("label", F.when(F.col("_n") >= least, threshold_label(F.col(score), F.col("_m"), higher))).drop("_m", "_n")
+def proxy_label(df: DataFrame, by: Sequence[str], threshold: float | None = None, *, score: str = "score", higher: bool = True) -> DataFrame:
+    """``df`` with label: whether a score lies strictly beyond the threshold, or without one beyond its group's median.
+
+    Null in degenerate groups: fewer than 2 rows (4 for the median), constant scores, or one side empty.
+    """
+    beyond = F.percentile(score, 0.5) if threshold is None else F.lit(float(threshold))
+    aggs = [beyond.alias("_t"), F.count(score).alias("_n"), F.min(score).alias("_low"), F.max(score).alias("_high")]
+    joined = _join_nulls(df, df.groupBy(*by).agg(*aggs), by)
+    t = F.col("_t")
+    both = (F.col("_high") > t) & (F.col("_low") <= t) if higher else (F.col("_low") < t) & (F.col("_high") >= t)
+    usable = both & (F.col("_n") >= (4 if threshold is None else 2)) & (F.col("_low") < F.col("_high"))
+    label = F.when(usable, threshold_label(F.col(score), t, higher))
+    return joined.withColumn("label", label).drop("_t", "_n", "_low", "_high")
+
+
+def median_label(df: DataFrame, by: Sequence[str], *, score: str = "score", higher: bool = True) -> DataFrame:
+    return proxy_label(df, by, score=score, higher=higher)

@@ -319,9 +319,44 @@ def precision_at_k(s, d):
     return ranking.precision_at_k(long(s, d), ["metric"], _KS)
 
 
-@query(f"with {_SC} " + _PK.format(by="metric, lang,", pb="metric, lang", t="lg"))
+_ODD = "case when i % 11 = 0 then 'nan'::double when i % 13 = 0 then 'inf'::double else score end"
+
+
+def _report_sql(rows: str, by: str, finite: bool, expected: str = "") -> str:
+    """Rows (by, i, score, label) as the report that ``ranking.precision_report`` gives."""
+    ok = "not isnan(score) and not isinf(score)"
+    same = " and ".join(f"{{a}}.{b} is not distinct from {{b}}.{b}" for b in by.split(", "))
+    on = lambda a, b: same.format(a=a, b=b)
+    bad = "fin = 0" if finite else "fin = 0 or labeled = 0"
+    word = "no finite scores" if finite else "no valid scores or labels"
+    keys = ", ".join(f"x.{b}" for b in by.split(", "))
+    return f"""rw as ({rows}), us as (select * from rw {f"where {ok}" if finite else ""}),
+rk as (select *, row_number() over (partition by {by} order by score, i) r from us),
+tt as (select {by}, count(*) al, count(*) filter (where {ok}) fin from rw group by {by}),
+uc as (select {by}, count(*) used, count(label) labeled, count(*) filter (where label = 1) pos from us group by {by}),
+pk as (select {by}, k, case when count(label) = k then sum(label)::double / k end p from rk, (select unnest([10, 50, 100]) k) where r <= k group by {by}, k),
+ex as ({expected or f"select {by} from tt"}),
+rp as (select {keys}, kk.k, case when al is null then 'no samples' when {bad} then '{word}' else 'ok' end status, p, cast(coalesce(used, al, 0) as bigint) n_samples, cast(coalesce(labeled, 0) as bigint) n_labeled, cast(coalesce(pos, 0) as bigint) n_positive
+from ex x cross join (select unnest([10, 50, 100]) k) kk left join tt on {on("x", "tt")} left join uc on {on("x", "uc")} left join pk on {on("x", "pk")} and pk.k = kk.k)
+select * exclude (p), n_labeled - n_positive n_negative, case when status = 'ok' then p end "precision" from rp"""
+
+
+@query(f"with {_SC}, " + _report_sql(f"select metric, source, i, {_ODD} score, label from lg", "metric, source", True))
 def precision_by_source(s, d):
-    return ranking.precision_at_k(long(s, d), ["metric", "lang"], _KS)
+    """Within each source, finite scores only (every 11th score is made NaN, every 13th infinite)."""
+    odd = F.when(F.col("i") % 11 == 0, float("nan")).when(F.col("i") % 13 == 0, float("inf")).otherwise(F.col("score"))
+    return ranking.precision_report(long(s, d).withColumn("score", odd), ["metric", "source"], _KS, finite_only=True)
+
+
+@query(f"with {_SC}, al as (unpivot (select i, source, ttr, wlen from sc) on ttr, wlen into name metric value score), " + _report_sql(f"select metric, source, al.i, {_ODD.replace('i %', 'al.i %')} score, quality label from al left join labels on doc_id = al.i", "metric, source", False, "select metric, source from (select unnest(['ttr', 'wlen']) metric), (select unnest(['src0', 'src1', 'src2', 'src3', 'none']) source)"))
+def precision_by_method(s, d):
+    """Within each expected source, NaN scores and unlabelled rows kept; null where k exceeds the source."""
+    lab = table(s, d, "labels").select(F.col("doc_id").alias("i"), F.col("quality").alias("label"))
+    rows = ranking.unpivot(scores(s, d), ["i", "source"], ["ttr", "wlen"]).join(lab, "i", "left")
+    odd = F.when(F.col("i") % 11 == 0, float("nan")).when(F.col("i") % 13 == 0, float("inf")).otherwise(F.col("score"))
+    sources_ = ("src0", "src1", "src2", "src3", "none")
+    expected = s.createDataFrame([(m, x) for m in ("ttr", "wlen") for x in sources_], "metric string, source string")
+    return ranking.precision_report(rows.withColumn("score", odd), ["metric", "source"], _KS, expected=expected)
 
 
 _MATRIX = "mx as (select i, metric, score, 'quality' kind, label from lg union all select i, metric, score, 'toxic', toxic from lg)"
@@ -498,10 +533,10 @@ def layer_transitions(s, d):
     return got.select("label", "vec_id", r6("distance", "distance"), r6("cosine", "cosine"))
 
 
-@query(f"with {_EM} select vec_id, round(len(list_filter(v, lambda x: x > 0))::double / len(v), 6) positive, round(list_max(list_transform(v, lambda x: abs(x))), 6) peak from em")
+@query(f"with {_EM}, e as (select vec_id, v, list_transform(v, lambda x: exp(x - list_max(v))) e from em), p as (select vec_id, v, list_transform(e, lambda x: x / list_sum(e)) p from e) select vec_id, " + ", ".join(f"round(len(list_filter(v, lambda x: {c}))::double / len(v), 6) {n}" for n, c in (("sparsity", "abs(x) < 0.05::double"), ("utilization", "abs(x) > 0.05::double"), ("positive", "x > 0"), ("negative", "x < 0"))) + ", round(list_max(list_transform(v, lambda x: abs(x))), 6) peak, round(-list_sum(list_transform(p, lambda x: x * ln(greatest(x, 1e-12::double)))), 5) entropy from p")
 def activation_stats(s, d):
-    got = table(s, d, "embeddings").select("vec_id", *sequences.activation_stats(F.col("embedding")))
-    return got.select("vec_id", r6("positive", "positive"), r6("peak", "peak"))
+    got = table(s, d, "embeddings").select("vec_id", *sequences.activation_stats(F.col("embedding"), 0.05))
+    return got.select("vec_id", *(r6(c, c) for c in got.columns[1:-1]), F.round("entropy", 5).alias("entropy"))
 
 
 @query(f"with {_EM}, p as (select vec_id id, v[k] o, v[k + 8] h, v[k + 16] delta from em, (select unnest(range(1, 9)) k)) select id, round(8.0::double * sum(o * h * delta), 6) score from p group by id")
@@ -525,13 +560,13 @@ def prediction_stats(s, d):
     return rows.groupBy("label").agg(r6(F.avg("entropy"), "entropy"), r6(F.avg("top1"), "top1"), r6(F.avg("margin"), "margin"), F.round(sequences.stability("top1"), 5).alias("stability"))
 
 
-@query(f"with {_EM}, c as (select label, unnest(range(0, 64)) k, list_transform(v, lambda x: abs(x) / list_sum(list_transform(v, lambda y: abs(y)))) w from em), m as (select label, k // 8 t, k % 8 s, avg(w[k + 1]) w from c group by all), r as (select label, t, sum(-w * ln(greatest(w, 1e-8::double))) h, max(w) top, sum(w * abs(t - s)) far, sum(w) filter (where t = s) own, coalesce(sum(w) filter (where t = s + 1), 0) prev from m group by label, t) select label, round(avg(h), 6) entropy, round(avg(top), 6) concentration, round(avg(far), 6) distance, round(avg(own), 6) self_mass, round(avg(prev), 6) prev_mass from r group by label")
+@query(f"with {_EM}, c as (select label, unnest(range(0, 64)) k, list_transform(v, lambda x: abs(x) / list_sum(list_transform(v, lambda y: abs(y)))) w from em), m as (select label, k // 8 t, k % 8 s, avg(w[k + 1]) w from c group by all), r as (select label, t, sum(-w * ln(greatest(w, 1e-8::double))) h, max(w) top, sum(w * abs(t - s)) far, sum(w) filter (where t = s) own, coalesce(sum(w) filter (where t = s + 1), 0) prev from m group by label, t) select label, round(avg(h), 6) entropy, round(avg(top), 6) concentration, round(avg(far), 6) distance, round(avg(own), 6) self_mass, round(avg(prev), 6) prev_mass, any_value(sp) sparsity from r join (select label, round(count(*) filter (where w < md)::double / count(*), 6) sp from (select *, quantile_disc(w, 0.5) over (partition by label) md from m) group by label) using (label) group by label")
 def attention_stats(s, d):
     v = F.transform("embedding", lambda x: F.abs(x.cast("double")))
     cells = table(s, d, "embeddings").select(F.col("label").alias("layer"), F.col("vec_id").alias("head"), X.let(v, lambda a: X.let(X.total(a), lambda z: F.transform(a, lambda x: x / z))).alias("w"))
     cells = cells.select("layer", "head", F.posexplode("w").alias("k", "w")).select("layer", "head", F.expr("k div 8").alias("t"), F.expr("k % 8").alias("s"), "w")
     got = sequences.attention_stats(cells)
-    return got.select(F.col("layer").alias("label"), *(r6(c, c) for c in ("entropy", "concentration", "distance", "self_mass", "prev_mass")))
+    return got.select(F.col("layer").alias("label"), *(r6(c, c) for c in ("entropy", "concentration", "distance", "self_mass", "prev_mass", "sparsity")))
 
 
 _AROUND = ", ".join(f"coalesce(round(stddev_pop(x) filter (where x > 0 and k between {low} and {high}), 6) * case when count(*) filter (where x > 0 and k between {low} and {high}) >= 2 then 1 else 0 end, 0) {name}" for name, low, high in (("first", 1, 3), ("mid", 31, 35), ("last", 62, 64)))
@@ -551,7 +586,7 @@ def contrastive_adjust(s, d):
     return moved.select("vec_id", (F.col("k") + 1).cast("long").alias("k"), r6("adjusted", "adjusted"))
 
 
-_SM = f"{_EM}, t as (select vec_id, list_slice(v, 1, 8) lp from em), e as (select vec_id, lp, list_transform(lp, lambda x: exp(x - list_max(lp))) e from t), sp as (select vec_id, lp, list_transform(e, lambda x: x / list_sum(e)) p from e), mu as (select vec_id, lp, list_transform(p, lambda x: cast(0.999 as double) * x + 0.001::double / 8) p from sp), hn as (select vec_id, lp, least(1.0, greatest(0.0, -list_sum(list_transform(p, lambda x: x / list_sum(p) * ln(x / list_sum(p)))) / (ln(8.0::double) + 1e-8))) h from mu), ad as (select vec_id, list_transform(lp, lambda x: x - cast(0.5 as double) * (1 + (1 - h)) * (x - list_min(lp)) / (list_max(lp) - list_min(lp) + 1e-8)) a from hn), ex as (select vec_id, list_transform(a, lambda x: exp(x - list_max(a))) e from ad)"
+_SM = f"{_EM}, t as (select vec_id, list_slice(v, 1, 8) lp from em), e as (select vec_id, lp, list_transform(lp, lambda x: exp(x - list_max(lp))) e from t), sp as (select vec_id, lp, list_transform(e, lambda x: x / list_sum(e)) p from e), hn as (select vec_id, lp, least(1.0, greatest(0.0, -list_sum(list_transform(p, lambda x: x / list_sum(p) * ln(x / list_sum(p)))) / (ln(8.0::double) + 1e-8))) h from sp), ad as (select vec_id, list_transform(lp, lambda x: x - cast(0.5 as double) * (1 + (1 - h)) * (x - list_min(lp)) / (list_max(lp) - list_min(lp) + 1e-8)) a from hn), ex as (select vec_id, list_transform(a, lambda x: exp(x - list_max(a))) e from ad)"
 
 
 @query(f"with {_SM} select vec_id, round(list_max(e) / list_sum(e), 5) top, round(list_min(e) / list_sum(e), 5) low from ex")
@@ -610,7 +645,7 @@ def top_n_per_metric(s, d):
 
 @query("with n as (select *, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 i, count(*) over () n from lineitem) select ((i + 1) * 7 - 1) // n shard, count(*) rows, min(i) first from n group by 1")
 def shard_assign(s, d):
-    from gleanspark.plans.ordinals import with_ordinal
+    from gleanspark.operators.running import with_ordinal
 
     rows = with_ordinal(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "i")
     n = rows.count()
@@ -623,23 +658,26 @@ def shard_merge_checks(s, d):
     return summaries.merge_checks(e.union(e.filter("i % 97 = 0")), "i")
 
 
-@query("select user_id, event_id, event_type from events qualify row_number() over (partition by user_id order by event_id desc) = 1")
+@query("select user_id, event_id, event_type, row_number() over (order by first, user_id) - 1 place from (select *, min(event_id) over (partition by user_id) first from events qualify row_number() over (partition by user_id order by event_id desc) = 1)")
 def manifest_upsert(s, d):
     e = table(s, d, "events").select("user_id", "event_id", "event_type")
     return summaries.upsert(e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1"), "user_id", "event_id")
 
 
-@query()
+@query("select doc_id, source from documents order by sha256('7:' || doc_id), doc_id limit 100")
 def sample_n(s, d):
     return summaries.sample_n(table(s, d, "documents").select("doc_id", "source"), 100, "doc_id", 7)
 
 
-@query()
+@query("""with k as (select doc_id, quality, sha256('7:' || doc_id) h from labels), r as (select *, (row_number() over (partition by quality order by h, doc_id) - 0.5::double) / count(*) over (partition by quality) sh from k),
+o as (select *, row_number() over (order by sh, quality nulls first, h, doc_id) - 1 place, count(*) over () n from r),
+m as (select *, ceil(round(0.2::double * n, 9)) t from o)
+select doc_id, quality, case when place < t then 'test' when place < t + ceil(round(0.25::double * (n - t), 9)) then 'val' else 'train' end split from m""")
 def stratified_split(s, d):
     return summaries.stratified_split(table(s, d, "labels"), "doc_id", "quality", 7).select("doc_id", "quality", "split")
 
 
-@query()
+@query(f"with {_COVER.replace('with ', '')}, {_LOSS}, nl as (select doc_id, coalesce(avg(uni), 0) nll from documents left join ls on id = doc_id group by doc_id), fr as (select lang, doc_id i, label, round(nll, 6) score from cov join nl using (doc_id) join documents using (doc_id)) " + _PK.format(by="lang,", pb="lang", t="fr"))
 def flagship(s, d):
     """Which documents hold a benchmark passage, and how well a cheap loss ranks them: P@k by language."""
     rows = _coverage(s, d).join(unigram_nll(s, d), "doc_id").join(table(s, d, "documents").select("doc_id", "lang"), "doc_id")
