@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
@@ -35,6 +36,20 @@ def member_probability(model: PipelineModel, df: DataFrame, vec: str) -> DataFra
     return model.transform(rows).withColumn("p_member", vector_to_array("probability")[1]).drop("_v", "_s", "rawPrediction", "probability", "prediction")
 
 
+def score_texts(df: DataFrame, key: str, column: str, score: Callable[[list], list[float]]) -> DataFrame:
+    """key and score of every row: ``score`` gets the column's values of a batch and gives as many numbers.
+
+    What the function needs (a model) is sent with it once a worker; batches are Arrow's.
+    """
+
+    def run(batches):
+        for part in batches:
+            yield pd.DataFrame({key: part[key], "score": [float(x) for x in score(part[column].tolist())]})
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, column).mapInPandas(run, f"`{key}` {kind}, score double")
+
+
 def decode(prompts: DataFrame, successors: dict[str, list[tuple[str, float]]], *, steps: int = 16, temperature: float = 1.0, seed: int = 0) -> DataFrame:
     """id and the words drawn step by step from a bounded table of successors, one prompt (id, last) at a time."""
     import numpy as np

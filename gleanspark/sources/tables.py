@@ -62,6 +62,28 @@ def read_corpus(df: DataFrame, order: str, most: int, longer: int = 50) -> DataF
     return df.orderBy(order).limit(most).withColumn("text", text).filter(F.length("text") > longer)
 
 
+def only(df: DataFrame, key: str, names: str) -> DataFrame:
+    """The rows whose key is in a comma-separated list; all of them where that is empty."""
+    wanted = [n.strip() for n in names.split(",") if n.strip()]
+    return df.filter(F.col(key).isin(wanted)) if wanted else df
+
+
+def constant_label(df: DataFrame, value: int) -> DataFrame:
+    return df.withColumn("label", F.lit(value))
+
+
+def row_filters(df: DataFrame, *, stream: str, order: str, equal: dict[str, str], least: int, most: int, cap: int | None = None) -> DataFrame:
+    """Rows whose columns equal the given values (in any case; unset ones don't count) and whose text has ``least``
+    characters; texts are cut to ``most``; the first ``cap`` of each stream."""
+    for name, value in equal.items():
+        if value:
+            df = df.filter(F.lower(F.coalesce(name, F.lit(""))) == value.lower())
+    df = df.filter(F.length("text") >= least).withColumn("text", F.left("text", F.lit(most)))
+    if cap is None:
+        return df
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(stream).orderBy(order))).filter(F.col("_n") <= cap).drop("_n")
+
+
 def pairs(df: DataFrame) -> DataFrame:
     """member and nonmember columns as rows of text and label."""
     return df.selectExpr("i", "stack(2, member, 1, nonmember, 0) as (text, label)")

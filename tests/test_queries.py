@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from gleanspark.plans.queries import QUERIES, SQL
+from gleanspark.plans import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 
