@@ -5,16 +5,19 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
+from gleanspark.functions.text import DECAY
+
 
 @F.pandas_udf(LongType())
 def zlib_length(texts: pd.Series) -> pd.Series:
@@ -50,20 +53,65 @@ def score_texts(df: DataFrame, key: str, column: str, score: Callable[[list], li
     return df.select(key, column).mapInPandas(run, f"`{key}` {kind}, score double")
 
 
-def decode(prompts: DataFrame, successors: dict[str, list[tuple[str, float]]], *, steps: int = 16, temperature: float = 1.0, seed: int = 0) -> DataFrame:
-    """id and the words drawn step by step from a bounded table of successors, one prompt (id, last) at a time."""
-    import numpy as np
+def save_forests(models: dict[str, PipelineModel], path: str, spark: SparkSession) -> None:
+    """One artifact for each preset below ``path``, and a manifest of their names."""
+    for preset, model in models.items():
+        model.write().overwrite().save(f"{path}/models/{preset}")
+    spark.createDataFrame([(p,) for p in sorted(models)], "preset string").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+
+
+def apply_forest(spark: SparkSession, path: str, preset: str, df: DataFrame, vec: str) -> DataFrame:
+    """Probabilities by a stored artifact; an error for a preset that the manifest lacks."""
+    known = [r.preset for r in spark.read.schema("preset string").json(f"{path}/manifest").collect()]
+    if preset not in known:
+        raise ValueError(f"no artifact for {preset}; there are {known}")
+    return member_probability(PipelineModel.load(f"{path}/models/{preset}"), df, vec)
+
+
+def decode(
+    prompts: DataFrame,
+    successors: dict[str, list[tuple[str, float]]],
+    *,
+    steps: int = 16,
+    temperature: float = 1.0,
+    seed: int = 0,
+    mode: str = "baseline",
+    top_k: int = 20,
+    share: float = 0.95,
+    strength: float = 0.35,
+) -> DataFrame:
+    """id and the words drawn step by step from a bounded table of successors, one prompt (id, last) at a time.
+
+    Modes: baseline (all successors), top_k, nucleus (the fewest that hold ``share``), decay (temperatures fall over the
+    first twenty lengths) and cheap (log-probabilities less a share of their own scaled values).
+    """
+
+    def chances(options: list[tuple[str, float]], length: int) -> np.ndarray:
+        lp = np.array([x for _, x in options])
+        if mode == "decay":
+            lp = lp / (DECAY[length - 1] if 1 <= length <= len(DECAY) else 1.0)
+        if mode == "cheap" and np.ptp(lp) >= 1e-8:
+            lp = lp - strength * (lp - lp.min()) / (np.ptp(lp) + 1e-8)
+        p = np.exp((lp - lp.max()) / temperature)
+        p /= p.sum()
+        order = np.argsort(-p, kind="stable")
+        if mode == "top_k":
+            p[order[top_k:]] = 0
+        elif mode == "nucleus":
+            p[order[np.cumsum(p[order]) - p[order] >= share]] = 0
+        elif mode not in ("baseline", "cheap", "decay"):
+            raise ValueError(f"no such mode: {mode}")
+        return p / p.sum()
 
     def run(batches):
         for part in batches:
             out = []
             for i, last in zip(part["id"], part["last"], strict=True):
                 rng, words, now = np.random.default_rng([seed, int(i)]), [], last
-                for _ in range(steps):
+                for step in range(steps):
                     if not (options := successors.get(now)):
                         break
-                    p = np.exp(np.array([lp for _, lp in options]) / temperature)
-                    now = options[rng.choice(len(options), p=p / p.sum())][0]
+                    now = options[rng.choice(len(options), p=chances(options, step + 1))][0]
                     words.append(now)
                 out.append((i, words))
             yield pd.DataFrame(out, columns=["id", "words"])

@@ -206,6 +206,26 @@ def infilling_mean(docs: DataFrame, scores: DataFrame, share: float = 0.1, last:
     return docs.select(F.col(id_col).alias("id")).join(got, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def greedy_successors(counts: Counts) -> DataFrame:
+    """prev and tok: the word that most often follows each word, the first by code point on ties."""
+    pairs = counts.pairs.filter("prev is not null")
+    return pairs.groupBy("prev").agg(F.min_by("tok", F.struct((-F.col("cc")).alias("c"), "tok")).alias("tok"))
+
+
+def greedy_decode(prompts: DataFrame, successors: DataFrame, steps: int) -> DataFrame:
+    """``prompts`` with words: what greedy decoding adds after the column last, step by step for all prompts at once.
+
+    A step is a join with the stored successors (broadcast where small); a prompt ends where its last word has none.
+    """
+    after = near(stash(successors.select(F.col("prev").alias("_prev"), F.col("tok").alias("_next")), "successors"))
+    rows = prompts.withColumns({"_now": F.col("last"), "words": F.array().cast("array<string>")})
+    for _ in range(steps):
+        rows = rows.join(after, F.col("_now") == F.col("_prev"), "left")
+        more = F.when(F.col("_next").isNotNull(), F.concat("words", F.array("_next"))).otherwise(F.col("words"))
+        rows = rows.withColumns({"words": more, "_now": F.col("_next")}).drop("_prev", "_next")
+    return rows.drop("_now")
+
+
 def window_sizes(low: int, high: int, n: int) -> list[int]:
     """Geometric window sizes; (2, 40, 10) has a list of its own (fixed value)."""
     if (low, high, n) == (2, 40, 10):

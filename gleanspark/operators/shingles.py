@@ -43,10 +43,16 @@ def build_index(corpus: DataFrame, id_col: str, size: int) -> DataFrame:
     return shingle_hashes(normalized(corpus, id_col), size).select("hash").distinct()
 
 
-def capped_index(corpus: DataFrame, id_col: str, size: int, most: int) -> DataFrame:
-    """The first ``most`` distinct hashes in order of id and position (texts below the per-text cap)."""
-    first = shingle_hashes(normalized(corpus, id_col), size).groupBy("hash").agg(F.min(F.struct("id", "p")).alias("first"))
-    return first.orderBy("first", "hash").limit(most).select("hash")
+def capped_index(corpus: DataFrame, id_col: str, size: int, most: int, per_text: int = 50_000) -> DataFrame:
+    """The first ``most`` distinct hashes in order of id and position, at most ``per_text`` new ones of each text.
+
+    A hash that a text's cap leaves out is not taken from a later text either.
+    """
+    hashes = shingle_hashes(normalized(corpus, id_col), size)
+    first = hashes.groupBy("hash").agg(F.min(F.struct("id", "p")).alias("first"))
+    rank = F.row_number().over(Window.partitionBy("first.id").orderBy("first.p", "hash"))
+    kept = first.withColumn("rank", rank).filter(F.col("rank") <= per_text)
+    return kept.orderBy("first", "hash").limit(most).select("hash")
 
 
 def coverage_label(
