@@ -4,6 +4,9 @@ A batch's distinct pre-tokens are held as one flat array of symbol ids with ragg
 every sequence finds its pair of lowest rank and merges all of that pair's occurrences at once; sequences
 without a mergeable pair leave with their number of symbols.  A merge only makes pairs of higher rank (each
 symbol is made by one merge), so merging a pair's occurrences together gives what one-by-one merging gives.
+
+Texts are cut into pre-tokens here, by expressions; only those with characters that this Python's Unicode tables lack
+are cut by the library's own normalizer and expressions, whose tables are of another version.
 """
 
 from __future__ import annotations
@@ -34,6 +37,15 @@ def byte_symbols() -> list[str]:
     return [chr(moved.get(b, b)) for b in range(256)]
 
 
+def newer_characters() -> str:
+    """A character class of what has no category here but one in the expressions' tables."""
+    known = regex.compile(r"\P{Cn}").match
+    found = [c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn" and known(chr(c))]
+    starts = [*found[:1], *(b for a, b in zip(found, found[1:], strict=False) if b != a + 1)]
+    ends = [*(a for a, b in zip(found, found[1:], strict=False) if b != a + 1), *found[-1:]]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True))
+
+
 @dataclass(frozen=True)
 class MergeTable:
     """A byte-level BPE vocabulary with word ends as arrays; its size is that of the vocabulary file."""
@@ -46,6 +58,8 @@ class MergeTable:
     size: int
     split: str
     specials: tuple[str, ...]
+    newer: str  # characters without a category here that the expressions' tables know
+    cutter: str  # the library's normalizer and pre-tokenizer, with an empty vocabulary
 
     @classmethod
     def load(cls, path: str) -> MergeTable:
@@ -62,6 +76,7 @@ class MergeTable:
             keys[order], order.astype(np.int32), np.array([vocab[a + b] for a, b in merges], np.int32),
             np.array([vocab[s] for s in symbols], np.int32), np.array([vocab[s + end] for s in symbols], np.int32),
             size, pattern.replace(r"\s", WHITE), tuple(t["content"] for t in spec.get("added_tokens", [])),
+            newer_characters(), json.dumps(spec | {"added_tokens": [], "post_processor": None, "model": {"type": "BPE", "vocab": {}, "merges": []}}),
         )
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -119,8 +134,21 @@ class Counter:
         self.find = regex.compile(table.split).findall
         self.cut = regex.compile("|".join(map(regex.escape, sorted(table.specials, key=len, reverse=True))) or r"(?!)")
 
+        self.newer = regex.compile(f"[{table.newer}]" if table.newer else r"(?!)").search
+        self.cutter, self.byte = None, {c: b for b, c in enumerate(byte_symbols())}
+
+    def _by_library(self, text: str) -> list[str]:
+        if self.cutter is None:
+            from tokenizers import Tokenizer
+
+            self.cutter = Tokenizer.from_str(self.table.cutter)
+        words = self.cutter.pre_tokenizer.pre_tokenize_str(self.cutter.normalizer.normalize_str(text))
+        return [bytes(map(self.byte.__getitem__, w)).decode("utf-8") for w, _ in words]
+
     def _split(self, text: str) -> list[str]:
         if not text.isascii():
+            if self.newer(text):
+                return self._by_library(text)
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower() looks at a final sigma's place
         return self.find(text.lower())
 
@@ -148,7 +176,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
     """``id_col``, n_bytes, n_tokens and over_limit (n_tokens > ``limit``) of every row.
 
     A null text counts as empty (0 bytes, 0 tokens); a null id stays null; repeated rows stay repeated; other
-    columns are dropped, whatever their names.  Whole texts are counted, at any length.
+    columns are dropped, whatever their names.  Whole texts are counted, at any length.  An empty table gives none.
     """
     table = MergeTable.load(tokenizer)
 
