@@ -32,7 +32,7 @@ from gleanspark.llm.repeats import REMEMBERED, WordHash, _mixed
 #: Registers are BANDS * ROWS; at a similarity of 0.8 a pair misses all bands with a probability of 3e-6.
 BANDS, ROWS = 24, 4
 #: Bytes of text that a worker hashes at a time; shingles in a block of the last comparison.
-CHUNK, BLOCK = 1_000_000, 400_000
+CHUNK, BLOCK = 1_000_000, 100_000
 LEADERS = 3
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanspark.llm import leaks, lines, mixing, neardup, quality, repeats, secret_scan, tokens, urls, warc
+from gleanspark.llm import leaks, lines, mixing, neardup, oracles, quality, repeats, secret_scan, tokens, urls, warc
 from gleanspark.llm.common import tables
 
 TOKENIZER = "word_bpe_49k.json"
@@ -59,6 +59,23 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2("line_dedup.text", 256).alias("text_sha256"))
 
 
-_ALL = (op1_token_counts, op2_substring_dedup, op3_warc, op4_mixing, op5_quality_rules, op6_url_filter, op7_near_duplicates, op8_decontamination, op9_secret_scan, op10_line_dedup)
+_ALL = (
+    op1_token_counts,
+    op2_substring_dedup,
+    op3_warc,
+    op4_mixing,
+    op5_quality_rules,
+    op6_url_filter,
+    op7_near_duplicates,
+    op8_decontamination,
+    op9_secret_scan,
+    op10_line_dedup,
+)
 QUERIES = {f.__name__: f for f in _ALL}
-SQL: dict[str, str] = {"op10_line_dedup": lines.sql()}
+SQL: dict[str, str] = {
+    "op2_substring_dedup": oracles.repeats(),
+    "op3_warc": oracles.warc(),
+    "op5_quality_rules": oracles.rules(),
+    "op6_url_filter": oracles.urls(URL_RULES),
+    "op10_line_dedup": lines.sql(),
+}

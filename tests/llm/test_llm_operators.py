@@ -66,6 +66,29 @@ def test_tokens_equal_the_library():
     assert tokens.Counter(tokens.MergeTable.load(path))(texts) == want
 
 
+def test_tokens_equal_the_library_on_all_code_points():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{c}b{c}1" for c in points[i : i + 16]) for i in range(0, len(points), 16)]
+    want = [len(e.ids) for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert tokens.Counter(tokens.MergeTable.load(path))(texts) == want
+
+
+def test_tokens_equal_the_library_on_documents(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in tokens.count_tokens(docs, path).collect()}
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    n = [len(e.ids) for e in Tokenizer.from_file(path).encode_batch([t for _, t in rows], add_special_tokens=False)]
+    assert got == {d: (len(t.encode()), k, k > 2048) for (d, t), k in zip(rows, n, strict=True)}
+
+
 def test_repeats_equal_brute_force(spark):
     rng = random.Random(2)
     docs = []
