@@ -21,8 +21,8 @@ from pyspark.sql.window import Window
 
 from gleanspark.llm.common import count_words, stash
 
-#: Documents of one source and size that are ranked together at most, about.
-CELL = 100_000
+#: Documents of one source and size that are ranked together, about, unless that makes more than so many cells.
+CELL, CELLS = 1_000, 1_000_000
 #: Words are summed as decimals, in which the order of the sum does not show: reruns find the same tilts.
 EXACT = "decimal(38,9)"
 
@@ -84,7 +84,7 @@ def solve_tilts(hist: DataFrame, sums: dict[int, tuple[int, int, float]], cap: f
 
 
 def _quotas(cells: pd.DataFrame) -> pd.DataFrame:
-    """Extra copies of each cell of one source (bounded by its sizes, and its documents over ``CELL``)."""
+    """Extra copies of each cell of one source (bounded by its sizes and ``CELLS``)."""
     cells = cells.sort_values(["size", "salt"], ascending=[False, True])
     want = have = 0.0
     extra = []
@@ -121,7 +121,8 @@ def mix(docs: DataFrame, weights: Callable[[list[str | None]], dict[str | None,
     solved = spark.createDataFrame([(k, min(v, 1e300) if v > 0 else max(v, -1e300)) for k, v in tilts.items()], "k long, tilt double")
     bound = math.log(cap)
     rate = F.when(F.col("tilt") >= 1e300, F.lit(float(cap))).when(F.col("tilt") <= -1e300, F.lit(0.0)).when(F.col("tilt") * F.col("size") >= bound, F.lit(float(cap))).otherwise(F.exp(F.col("tilt") * F.col("size")))
-    rated = hist.join(near(solved), "k").select("k", "size", F.ceil(F.col("n") / CELL).alias("salts"), rate.alias("rate"))
+    cell = max(CELL, sum(n for _, n in totals.values()) // CELLS)
+    rated = hist.join(near(solved), "k").select("k", "size", F.ceil(F.col("n") / cell).alias("salts"), rate.alias("rate"))
     whole = F.floor("rate").cast("long")
     dealt = numbered.filter("size > 0").join(rated, ["k", "size"]).withColumn("salt", F.pmod("order", "salts"))
     dealt = stash(dealt.withColumn("whole", whole), "dealt")
