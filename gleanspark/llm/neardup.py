@@ -32,7 +32,7 @@ from gleanspark.llm.repeats import REMEMBERED, WordHash, _mixed
 #: Registers are BANDS * ROWS; at a similarity of 0.8 a pair misses all bands with a probability of 3e-6.
 BANDS, ROWS = 24, 4
 #: Bytes of text that a worker hashes at a time; shingles in a block of the last comparison.
-CHUNK, BLOCK = 1_000_000, 100_000
+CHUNK, BLOCK = 1_000_000, 50_000
 LEADERS = 3
 
 
@@ -270,13 +270,16 @@ def _between_classes(members: DataFrame, bags: DataFrame, classes: DataFrame, si
     if open_.isEmpty():
         return None
     with_bag = open_.join(bags, "id")
-    whole = stash(with_bag.groupBy("bucket").agg(F.ceil(F.sum(F.size("bag")) / BLOCK).cast("int").alias("blocks")), "blocks")
-    dealt = with_bag.join(_small(whole), "bucket").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    every = F.explode(F.expr("sequence(0, blocks - 1)"))
-    one = ["id", "class", "bag"]
-    targets = dealt.select("bucket", "own", every.alias("other"), *one, F.lit(False).alias("query"))
-    queries = dealt.filter("class <> main").select("bucket", every.alias("own"), F.col("own").alias("other"), *one, F.lit(True).alias("query"))
-    found = targets.union(queries).groupBy("bucket", "own", "other").applyInPandas(_compare(similarity), "a long, b long")
+    blocks = lambda size: F.greatest(F.lit(1), F.ceil(size / BLOCK)).cast("int")
+    size, outside = F.size("bag"), F.col("class") != F.col("main")
+    whole = with_bag.groupBy("bucket").agg(blocks(F.sum(size)).alias("ts"), blocks(F.sum(F.when(outside, size))).alias("qs"))
+    whole = stash(whole, "blocks")
+    dealt = with_bag.join(_small(whole), "bucket")
+    one = lambda n, name: F.pmod(F.xxhash64("id"), n).cast("int").alias(name)
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
+    targets = dealt.select("bucket", one("ts", "t"), every("qs", "q"), "id", "class", "bag", F.lit(False).alias("query"))
+    queries = dealt.filter(outside).select("bucket", every("ts", "t"), one("qs", "q"), "id", "class", "bag", F.lit(True).alias("query"))
+    found = targets.union(queries).groupBy("bucket", "t", "q").applyInPandas(_compare(similarity), "a long, b long")
     return stash(found.distinct(), "late-links")
 
 
