@@ -139,7 +139,7 @@ def flat_report(s, d):
 def wide_report(s, d):
     """Metric rows in their order, a column for each model (language) and k."""
     pk = ranking.precision_at_k(long(s, d), ["metric", "lang"], (10,)).withColumn("metric", F.when(F.col("metric") == "ttr", "zlib").otherwise("Other"))
-    got = sources.wide(pk, "metric", ["lang", "k"], "precision")
+    got = sources.wide(pk, "metric", ["lang", "k"], "precision", names=[f"{m}_P@10" for m in ("de", "en", "es", "fr")])
     return got.select("metric", F.col("place").cast("int").alias("place"), *(c for c in got.columns if c not in ("metric", "place")))
 
 

@@ -313,10 +313,13 @@ def write_tree(tree: dict, path: str) -> None:
 WIDE_ROWS = ("Perplexity", "zlib", "Lowercase", "Window", "Small")
 
 
-def wide(rows: DataFrame, row: str, columns: Sequence[str], value: str, places: int = 2) -> DataFrame:
-    """One row per ``row`` (with its place) and a column per combination of ``columns``, as text with fixed decimals."""
+def wide(rows: DataFrame, row: str, columns: Sequence[str], value: str, places: int = 2, names: Sequence[str] | None = None) -> DataFrame:
+    """One row per ``row`` (with its place) and a column per combination of ``columns``, as text with fixed decimals.
+
+    ``names`` are the combinations to show (present or not); without them all are looked up first.
+    """
     name = F.concat_ws("_P@", *(F.col(c).cast("string") for c in columns))
-    got = rows.withColumn("_c", name).groupBy(row).pivot("_c").agg(F.first(F.format_string(f"%.{places}f", F.col(value))))
+    got = rows.withColumn("_c", name).groupBy(row).pivot("_c", list(names) if names else None).agg(F.first(F.format_string(f"%.{places}f", F.col(value))))
     known = F.array_position(F.array(*map(F.lit, WIDE_ROWS)), F.col(row))
     return got.withColumn("place", F.when(known > 0, known).otherwise(F.lit(len(WIDE_ROWS) + 1)))
 
