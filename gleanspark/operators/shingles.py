@@ -19,14 +19,20 @@ def short_hash(text: Column) -> Column:
 def windows(docs: DataFrame, size: int, step: int = 1) -> DataFrame:
     """id, p (from 1) and shingle at every ``step``-th position of each normalized text (columns id, norm).
 
-    Long texts are first cut into overlapping blocks: a substring is found from the text's start, so taking all
-    of them from one text would be quadratic in its length.
+    An expression steps through a text and looks ahead, as taking substrings by place scans a text from its start
+    each time.  Where every position counts, texts are first cut into overlapping blocks, so that no array of all
+    shingles of a long text is made.
     """
     n = F.length("norm")
-    blocks = docs.filter(n >= size).select("id", F.explode(F.sequence(F.lit(0), n - size, F.lit(BLOCK))).alias("at"), "norm").select("id", "at", F.substring("norm", F.col("at") + 1, F.lit(BLOCK + size - 1)).alias("part"))
-    first, last = F.lit(step) - F.col("at") % step, F.least(F.length("part") - (size - 1), F.lit(BLOCK))
-    placed = blocks.filter(first <= last).select("id", "at", "part", F.explode(F.sequence(first, last, F.lit(step))).alias("q"))
-    return placed.select("id", (F.col("at") + F.col("q")).alias("p"), F.substring("part", F.col("q"), F.lit(size)).alias("shingle"))
+    if step > 1:
+        found = F.regexp_extract_all(F.substring("norm", step, 2**31 - 1), F.lit(f"(?s)(?=(.{{{size}}})).{{1,{step}}}"), F.lit(1))
+        placed = docs.filter(n >= size + step - 1).select("id", F.posexplode(found).alias("k", "shingle"))
+        return placed.select("id", ((F.col("k") + 1) * step).alias("p"), "shingle")
+    cut = F.regexp_extract_all("norm", F.lit(f"(?s)(?=(.{{1,{BLOCK + size - 1}}})).{{1,{BLOCK}}}"), F.lit(1))
+    blocks = docs.filter(n >= size).select("id", F.posexplode(cut).alias("k", "part")).filter(F.length("part") >= size)
+    places = F.sequence(F.lit(1), F.least(F.length("part") - (size - 1), F.lit(BLOCK)))
+    placed = blocks.select("id", "k", "part", F.explode(places).alias("q"))
+    return placed.select("id", (F.col("k") * BLOCK + F.col("q")).alias("p"), F.substring("part", F.col("q"), F.lit(size)).alias("shingle"))
 
 
 def normalized(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
