@@ -12,6 +12,7 @@ are cut by the library's own normalizer and expressions, whose tables are of ano
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -134,7 +135,7 @@ class Counter:
         self.find = regex.compile(table.split).findall
         self.cut = regex.compile("|".join(map(regex.escape, sorted(table.specials, key=len, reverse=True))) or r"(?!)")
 
-        self.newer = regex.compile(f"[{table.newer}]" if table.newer else r"(?!)").search
+        self.newer = re.compile(f"[{table.newer}]" if table.newer else r"(?!)").search
         self.cutter, self.byte = None, {c: b for b, c in enumerate(byte_symbols())}
 
     def _by_library(self, text: str) -> list[str]:
