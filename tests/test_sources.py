@@ -86,6 +86,19 @@ def test_compressed_lengths(spark):
     assert got == {i: len(zlib.compress((t or "").encode())) for i, t in enumerate(texts)}
 
 
+def test_ratios_of_losses_and_compressed_lengths(spark):
+    from gleanspark.plans import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    nll = {r.doc_id: r.nll for r in QUERIES["bigram_nll"](spark, sf).collect()}
+    size = {r.doc_id: len(zlib.compress((r.text or "").encode())) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = QUERIES["zlib_ratios"](spark, sf).collect()
+    assert len(got) == len(size)
+    for r in got:
+        assert r.ratio == pytest.approx(nll[r.doc_id] / (8 * size[r.doc_id]), abs=1e-8)
+        assert r.log_ratio == pytest.approx(math.log(math.exp(nll[r.doc_id]) + 1e-8) / math.log(size[r.doc_id] + 1e-8), abs=2e-6)
+
+
 def test_forests_are_stored_and_applied(spark, tmp_path):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.normal(1.5 * (i % 3 == 0), 1, 6)], float(i % 3 == 0)) for i in range(300)]
