@@ -23,7 +23,9 @@ def components(links: DataFrame) -> DataFrame:
         least = now.join(seen, "node").select("node", "root", F.least("root", "near").alias("low"))
         jump = now.select(F.col("node").alias("low"), F.col("root").alias("top"))
         best = F.coalesce("top", "low")
-        moved = least.join(jump, "low", "left").select("node", best.alias("root"), (best != F.col("root")).alias("moved"))
+        moved = least.join(jump, "low", "left").select(
+            "node", best.alias("root"), (best != F.col("root")).alias("moved")
+        )
         new = stash(moved, "roots")
         free(now)
         now = new

@@ -21,7 +21,15 @@ def _lines(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)))
 
 
-def boilerplate(docs: DataFrame, *, ratio: float = 0.1, min_pages: int = 3, min_texts: int = 2, host_col: str = "source", text_col: str = "text") -> DataFrame:
+def boilerplate(
+    docs: DataFrame,
+    *,
+    ratio: float = 0.1,
+    min_pages: int = 3,
+    min_texts: int = 2,
+    host_col: str = "source",
+    text_col: str = "text",
+) -> DataFrame:
     """host, line, n_pages and host_pages of each line that exceeds ``ratio`` on its host.
 
     A page counts once for a line.  The line must be on ``min_pages`` pages and, so that a page's own copies do
@@ -31,19 +39,32 @@ def boilerplate(docs: DataFrame, *, ratio: float = 0.1, min_pages: int = 3, min_
     totals = rows.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
     exploded = rows.select("host", F.xxhash64("text").alias("t"), F.explode(_lines(F.col("text"))).alias("line"))
     enough = (F.col("n_pages") >= min_pages) & (F.col("n_pages") > F.lit(ratio) * F.col("host_pages"))
-    counted = exploded.groupBy("host", F.xxhash64("line").alias("h")).agg(F.count(F.lit(1)).alias("n_pages"), F.min("t").alias("t0"), F.max("t").alias("t1"))
+    counted = exploded.groupBy("host", F.xxhash64("line").alias("h")).agg(
+        F.count(F.lit(1)).alias("n_pages"), F.min("t").alias("t0"), F.max("t").alias("t1")
+    )
     if min_texts > 1:
         counted = counted.filter("t0 < t1")
-    likely = stash(counted.filter(F.col("n_pages") >= min_pages).join(totals, counted["host"].eqNullSafe(totals["host"])).filter(enough).select(counted["host"], "h", "host_pages"), "likely-lines")
-    mine = exploded.withColumn("h", F.xxhash64("line")).alias("a").join(_maybe_broadcast(likely).alias("b"), F.expr("a.h = b.h and a.host <=> b.host"))
-    exact = mine.groupBy("a.host", "line", "host_pages").agg(F.count(F.lit(1)).alias("n_pages"), F.min("t").alias("t0"), F.max("t").alias("t1"))
+    likely = stash(
+        counted.filter(F.col("n_pages") >= min_pages).join(
+            totals, counted["host"].eqNullSafe(totals["host"])
+        ).filter(enough).select(counted["host"], "h", "host_pages"),
+        "likely-lines",
+    )
+    mine = exploded.withColumn("h", F.xxhash64("line")).alias("a").join(
+        _maybe_broadcast(likely).alias("b"), F.expr("a.h = b.h and a.host <=> b.host")
+    )
+    exact = mine.groupBy("a.host", "line", "host_pages").agg(
+        F.count(F.lit(1)).alias("n_pages"), F.min("t").alias("t0"), F.max("t").alias("t1")
+    )
     if min_texts > 1:
         exact = exact.filter("t0 < t1")
     return exact.filter(enough).select("host", "line", "n_pages", "host_pages")
 
 
 def _maybe_broadcast(df: DataFrame) -> DataFrame:
-    chars = F.lit(24).cast("long") + sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns), F.lit(0))
+    chars = F.lit(24).cast("long") + sum(
+        (F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns), F.lit(0)
+    )
     size = df.agg(F.sum(chars)).first()[0] or 0
     return F.broadcast(df) if size <= BROADCAST_CHARS else df
 
@@ -96,9 +117,13 @@ def _with_places(docs: DataFrame, found: DataFrame, host_col: str, text_col: str
     Lines meet the lists by host and hash; what a row gets back are its own lines of that hash.
     """
     stored = stash(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    lines = stored.select(F.col(row).alias("r"), F.col(host_col).alias("o"), F.posexplode(F.split(text_col, "\n")).alias("at", "x"))
+    lines = stored.select(
+        F.col(row).alias("r"), F.col(host_col).alias("o"), F.posexplode(F.split(text_col, "\n")).alias("at", "x")
+    )
     lists = found.select("host", "line", F.xxhash64("line").alias("h"))
-    hits = lines.select("r", "o", "at", F.xxhash64("x").alias("h")).alias("a").join(lists.alias("b"), F.expr("a.h = b.h and a.o <=> b.host"))
+    hits = lines.select("r", "o", "at", F.xxhash64("x").alias("h")).alias("a").join(
+        lists.alias("b"), F.expr("a.h = b.h and a.o <=> b.host")
+    )
     places = stash(hits.groupBy("r").agg(F.collect_list(F.struct("at", "line")).alias(gone)), "places")
     return stored.join(places.withColumnRenamed("r", row), row, "left").drop(row)
 

@@ -33,7 +33,9 @@ def cycled_weights(sources: list[str | None], cycle: tuple[float, ...] = (3, 1,
     return {s: cycle[k % len(cycle)] for k, s in enumerate(order)}
 
 
-def share(sizes: dict[str | None, int], weights: dict[str | None, float], budget: float, cap: float) -> dict[str | None, float]:
+def share(
+    sizes: dict[str | None, int], weights: dict[str | None, float], budget: float, cap: float
+) -> dict[str | None, float]:
     """Targets by weight, at most ``cap`` times the source's size; the excess goes to the others by weight."""
     out, open_, left = {}, {s for s in sizes if weights.get(s, 0) > 0}, budget
     out |= {s: 0.0 for s in sizes if s not in open_}
@@ -49,10 +51,20 @@ def share(sizes: dict[str | None, int], weights: dict[str | None, float], budget
     return out
 
 
-def solve_tilts(hist: DataFrame, sums: dict[int, tuple[int, int, float]], cap: float, rounds: int = 80, close: float = 1e-7) -> dict[int, float]:
+def solve_tilts(
+    hist: DataFrame, sums: dict[int, tuple[int, int, float]], cap: float, rounds: int = 80, close: float = 1e-7
+) -> dict[int, float]:
     """Tilt by source number; ``hist`` has k, size and n, ``sums`` words, documents with words, and the target."""
     spark = hist.sparkSession
-    tilts = {k: math.inf if t >= cap * w * (1 - 1e-12) else -math.inf if t <= 0 else 0.0 for k, (w, n, t) in sums.items() if w}
+    tilts = {
+        k: math.inf
+        if t >= cap * w * (1 - 1e-12)
+        else -math.inf
+        if t <= 0
+        else 0.0
+        for k, (w, n, t) in sums.items()
+        if w
+    }
     scale = {k: w / n for k, (w, n, _) in sums.items() if w}  # mean size: tilts are per mean document
     at = {k: math.log(sums[k][2] / sums[k][0]) for k, v in tilts.items() if v == 0}
     low, high = {k: -math.inf for k in at}, {k: math.inf for k in at}
@@ -64,7 +76,9 @@ def solve_tilts(hist: DataFrame, sums: dict[int, tuple[int, int, float]], cap: f
         x = F.col("tilt") * F.col("size")
         words = F.col("n") * F.col("size") * F.exp(F.least(x, F.lit(math.log(cap))))
         slope = F.when(x < math.log(cap), words * F.col("size")).otherwise(0.0)
-        found = hist.join(F.broadcast(now) if len(at) <= 10_000 else now, "k").groupBy("k").agg(F.sum(words.cast(EXACT)).alias("f"), F.sum(slope.cast(EXACT)).alias("d")).collect()
+        found = hist.join(F.broadcast(now) if len(at) <= 10_000 else now, "k").groupBy("k").agg(
+            F.sum(words.cast(EXACT)).alias("f"), F.sum(slope.cast(EXACT)).alias("d")
+        ).collect()
         for k, f, d in ((k, float(f), float(d)) for k, f, d in found):
             miss, v = f - sums[k][2], at[k]
             if abs(miss) <= close * sums[k][2]:
@@ -95,7 +109,17 @@ def _quotas(cells: pd.DataFrame) -> pd.DataFrame:
     return cells.assign(extra=extra)[["k", "size", "salt", "extra"]]
 
 
-def mix(docs: DataFrame, weights: Callable[[list[str | None]], dict[str | None, float]] = cycled_weights, *, percent: float = 150.0, cap: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
+def mix(
+    docs: DataFrame,
+    weights: Callable[[list[str | None]], dict[str | None, float]] = cycled_weights,
+    *,
+    percent: float = 150.0,
+    cap: int = 2,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    seed: int = 0,
+) -> DataFrame:
     """``id_col``, source, size, source_size, target, rate, copies and taken (copies * size) of every row.
 
     Sizes are words; targets share ``percent`` of all words by ``weights`` and stop at ``cap`` times a source's
@@ -107,29 +131,54 @@ def mix(docs: DataFrame, weights: Callable[[list[str | None]], dict[str | None,
     """
     spark = docs.sparkSession
     order = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), count_words(F.col(text_col)).alias("size"), order.alias("order"))
+    sized = docs.select(
+        F.col(id_col).alias("id"),
+        F.col(source_col).alias("source"),
+        count_words(F.col(text_col)).alias("size"),
+        order.alias("order"),
+    )
     sized = stash(sized, "sizes")
-    totals = {r[0]: (r[1], r[2]) for r in sized.groupBy("source").agg(F.sum("size"), F.count(F.when(F.col("size") > 0, 1))).collect()}
+    totals = {
+        r[0]: (r[1], r[2])
+        for r in sized.groupBy("source").agg(F.sum("size"), F.count(F.when(F.col("size") > 0, 1))).collect()
+    }
     names = list(totals)
-    targets = share({s: w for s, (w, _) in totals.items()}, weights(names), percent / 100 * sum(w for w, _ in totals.values()), cap)
+    targets = share(
+        {s: w for s, (w, _) in totals.items()}, weights(names), percent / 100 * sum(w for w, _ in totals.values()), cap
+    )
     small = len(names) <= 10_000
-    numbers = spark.createDataFrame([(s, k, totals[s][0], float(targets[s])) for k, s in enumerate(names)], "source string, k long, source_size long, target double")
+    numbers = spark.createDataFrame(
+        [(s, k, totals[s][0], float(targets[s])) for k, s in enumerate(names)],
+        "source string, k long, source_size long, target double",
+    )
     near = (lambda d: F.broadcast(d)) if small else (lambda d: d)
-    numbered = sized.join(near(numbers.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    numbered = sized.join(
+        near(numbers.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s")), "left"
+    ).drop("_s")
     hist = stash(numbered.filter("size > 0").groupBy("k", "size").agg(F.count(F.lit(1)).alias("n")), "size-counts")
     tilts = solve_tilts(hist, {k: (*totals[s], targets[s]) for k, s in enumerate(names)}, cap)
-    solved = spark.createDataFrame([(k, min(v, 1e300) if v > 0 else max(v, -1e300)) for k, v in tilts.items()], "k long, tilt double")
+    solved = spark.createDataFrame(
+        [(k, min(v, 1e300) if v > 0 else max(v, -1e300)) for k, v in tilts.items()], "k long, tilt double"
+    )
     bound = math.log(cap)
-    rate = F.when(F.col("tilt") >= 1e300, F.lit(float(cap))).when(F.col("tilt") <= -1e300, F.lit(0.0)).when(F.col("tilt") * F.col("size") >= bound, F.lit(float(cap))).otherwise(F.exp(F.col("tilt") * F.col("size")))
+    rate = F.when(F.col("tilt") >= 1e300, F.lit(float(cap))).when(F.col("tilt") <= -1e300, F.lit(0.0)).when(
+        F.col("tilt") * F.col("size") >= bound, F.lit(float(cap))
+    ).otherwise(F.exp(F.col("tilt") * F.col("size")))
     cell = max(CELL, sum(n for _, n in totals.values()) // CELLS)
-    rated = hist.join(near(solved), "k").select("k", "size", F.ceil(F.col("n") / cell).alias("salts"), rate.alias("rate"))
+    rated = hist.join(near(solved), "k").select(
+        "k", "size", F.ceil(F.col("n") / cell).alias("salts"), rate.alias("rate")
+    )
     whole = F.floor("rate").cast("long")
     dealt = numbered.filter("size > 0").join(rated, ["k", "size"]).withColumn("salt", F.pmod("order", "salts"))
     dealt = stash(dealt.withColumn("whole", whole), "dealt")
-    cells = dealt.groupBy("k", "size", "salt").agg(F.count(F.lit(1)).alias("n"), F.first(F.col("rate") - F.col("whole")).alias("part"))
+    cells = dealt.groupBy("k", "size", "salt").agg(
+        F.count(F.lit(1)).alias("n"), F.first(F.col("rate") - F.col("whole")).alias("part")
+    )
     quotas = cells.groupBy("k").applyInPandas(_quotas, "k long, size long, salt long, extra long")
     rank = F.row_number().over(Window.partitionBy("k", "size", "salt").orderBy("order", "id"))
-    taken = dealt.withColumn("rank", rank).join(quotas, ["k", "size", "salt"]).withColumn("copies", F.col("whole") + (F.col("rank") <= F.col("extra")).cast("long"))
+    taken = dealt.withColumn("rank", rank).join(quotas, ["k", "size", "salt"]).withColumn(
+        "copies", F.col("whole") + (F.col("rank") <= F.col("extra")).cast("long")
+    )
     columns = lambda d: d.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     empty = numbered.filter("size = 0").withColumn("rate", F.lit(1.0)).withColumn("copies", F.lit(1).cast("long"))
     return columns(taken).unionByName(columns(empty))

@@ -61,14 +61,18 @@ class Shingler:
         keep = np.arange(len(owner)) + self.width <= (begin + counts)[owner]
         short = np.flatnonzero((counts > 0) & (counts < self.width))
         alone = [self.hashes[b"\0" + b" ".join(words[i])] for i in short.tolist()]
-        return np.concatenate([owner[keep], short]), np.concatenate([run[: len(owner)][keep], np.array(alone, np.uint64)])
+        return np.concatenate([owner[keep], short]), np.concatenate(
+            [run[: len(owner)][keep], np.array(alone, np.uint64)]
+        )
 
 
 def weighted(owner: np.ndarray, shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Owner, shingle and number of each distinct pair, and the number of each sorted occurrence within its run."""
     order = np.lexsort((shingle, owner))
     owner, shingle = owner[order], shingle[order]
-    first = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (shingle[1:] != shingle[:-1])))) if len(owner) else np.empty(0, np.int64)
+    first = np.flatnonzero(
+        np.concatenate(([True], (owner[1:] != owner[:-1]) | (shingle[1:] != shingle[:-1])))
+    ) if len(owner) else np.empty(0, np.int64)
     times = np.diff(np.append(first, len(owner)))
     return owner[first], shingle[first], times, np.arange(len(owner)) - np.repeat(first, times)
 
@@ -88,7 +92,9 @@ def signatures(owner: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: in
         while len(pick):
             low, wide = (0.0, 1.0) if level == 0 else (2.0 ** (level - 1), 2.0 ** (level - 1))
             pick = pick[weight[pick] > low]
-            own, seed, w = owner[pick], _mixed(shingle[pick] + np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1)), weight[pick]
+            own, seed, w = owner[pick], _mixed(
+                shingle[pick] + np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+            ), weight[pick]
             x = np.zeros(len(pick))
             while len(own):
                 seed = _mixed(seed + np.uint64(0xD1342543DE82EF95))
@@ -96,8 +102,15 @@ def signatures(owner: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: in
                 on = x <= until[own]
                 own, seed, x, w = own[on], seed[on], x[on], w[on]
                 more = _mixed(seed ^ np.uint64(0xA0761D6478BD642F))
-                put = slice(None) if level == 0 else low + (_mixed(more) >> np.uint64(11)).astype(np.float64) * 2.0**-53 * wide < w
-                np.minimum.at(sig.reshape(-1), own[put] * registers + ((more[put] >> np.uint64(32)) * np.uint64(registers) >> np.uint64(32)).astype(np.int64), x[put])
+                put = slice(None) if level == 0 else low + (
+                    _mixed(more) >> np.uint64(11)
+                ).astype(np.float64) * 2.0**-53 * wide < w
+                np.minimum.at(
+                    sig.reshape(-1),
+                    own[put] * registers
+                    + ((more[put] >> np.uint64(32)) * np.uint64(registers) >> np.uint64(32)).astype(np.int64),
+                    x[put],
+                )
             level += 1
         todo = has & np.isinf(sig).any(axis=1)  # a register without an arrival so far: follow the processes further
         slack *= 3
@@ -158,7 +171,13 @@ def _bag(width: int):
             own, hashes, times, nth = weighted(*shingle([t for *_, t in held]))
             bag = _mixed(np.repeat(hashes, times) + _mixed(nth.astype(np.uint64))).view(np.int64)
             ends = np.cumsum(np.bincount(own, weights=times, minlength=len(held))).astype(np.int32)
-            yield pa.record_batch([pa.array([r[0] for r in held], pa.int64()), pa.ListArray.from_arrays(pa.array(np.concatenate((np.zeros(1, np.int32), ends))), pa.array(bag))], ["id", "bag"])
+            yield pa.record_batch(
+                [
+                    pa.array([r[0] for r in held], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(np.concatenate((np.zeros(1, np.int32), ends))), pa.array(bag)),
+                ],
+                ["id", "bag"],
+            )
 
     return run
 
@@ -215,12 +234,16 @@ def near_duplicates(
     text = F.coalesce(text_col, F.lit(""))
     key = F.unhex(F.md5(text.cast("binary"))).alias("key")
     rows_in = docs.select(F.col(id_col).cast("long").alias("id"), key, text.alias("text"))
-    signed = stash(rows_in.mapInArrow(_sign(width, bands, rows), "id long, key binary, bands array<long>"), "signatures")
+    signed = stash(
+        rows_in.mapInArrow(_sign(width, bands, rows), "id long, key binary, bands array<long>"), "signatures"
+    )
     known = signed.filter("id is not null")
     equal = stash(known.groupBy("key").agg(F.min("id").alias("rep")), "equal-texts")
     firsts = known.join(equal, (known["key"] == equal["key"]) & (known["id"] == equal["rep"]), "left_semi")
     banded = firsts.select("id", F.explode("bands").alias("bucket"))
-    leaders = [F.min(F.struct(F.xxhash64(F.lit(t), "id").alias("h"), "id"))["id"].alias(f"l{t}") for t in range(LEADERS)]
+    leaders = [
+        F.min(F.struct(F.xxhash64(F.lit(t), "id").alias("h"), "id"))["id"].alias(f"l{t}") for t in range(LEADERS)
+    ]
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *leaders).filter("n > 1")
     members = stash(banded.join(shared, "bucket"), "members")
     led = F.explode(F.array_distinct(F.array(*(f"l{t}" for t in range(LEADERS))))).alias("to")
@@ -228,9 +251,13 @@ def near_duplicates(
     pairs = stash(pairs.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct(), "pairs")
     several = near_ids(stash(members.select("id").distinct(), "several"))
     bags = stash(_with_bags(docs, several, width, id_col, text_col), "bags")
-    left, right = bags.select(F.col("id").alias("a"), F.col("bag").alias("x")), bags.select(F.col("id").alias("b"), F.col("bag").alias("y"))
+    left, right = bags.select(F.col("id").alias("a"), F.col("bag").alias("x")), bags.select(
+        F.col("id").alias("b"), F.col("bag").alias("y")
+    )
     both = F.size(F.array_intersect("x", "y"))
-    tried = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("all"))
+    tried = pairs.join(left, "a").join(right, "b").select(
+        "a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("all")
+    )
     near = tried.filter(F.col("both") >= F.lit(similarity) * (F.col("all") - F.col("both"))).select("a", "b")
     links = stash(near.union(_of_one_id(known, equal)), "near-links")
     free(pairs)
@@ -240,8 +267,12 @@ def near_duplicates(
     if more is not None and not more.isEmpty():
         classes = components(links.union(more))
     free(members, bags)
-    reps = equal.join(classes, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("root", "rep").alias("class_id"))
-    merged = signed.join(reps, "key", "left").select("id", F.when(F.col("id").isNotNull(), F.col("class_id")).alias("class_id"))
+    reps = equal.join(classes, F.col("rep") == F.col("node"), "left").select(
+        "key", F.coalesce("root", "rep").alias("class_id")
+    )
+    merged = signed.join(reps, "key", "left").select(
+        "id", F.when(F.col("id").isNotNull(), F.col("class_id")).alias("class_id")
+    )
     return merged.select(F.col("id").alias(id_col), "class_id")
 
 
@@ -272,13 +303,19 @@ def _between_classes(members: DataFrame, bags: DataFrame, classes: DataFrame, si
     with_bag = open_.join(bags, "id")
     blocks = lambda size: F.greatest(F.lit(1), F.ceil(size / BLOCK)).cast("int")
     size, outside = F.size("bag"), F.col("class") != F.col("main")
-    whole = with_bag.groupBy("bucket").agg(blocks(F.sum(size)).alias("ts"), blocks(F.sum(F.when(outside, size))).alias("qs"))
+    whole = with_bag.groupBy("bucket").agg(
+        blocks(F.sum(size)).alias("ts"), blocks(F.sum(F.when(outside, size))).alias("qs")
+    )
     whole = stash(whole, "blocks")
     dealt = with_bag.join(_small(whole), "bucket")
     one = lambda n, name: F.pmod(F.xxhash64("id"), n).cast("int").alias(name)
     every = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
-    targets = dealt.select("bucket", one("ts", "t"), every("qs", "q"), "id", "class", "bag", F.lit(False).alias("query"))
-    queries = dealt.filter(outside).select("bucket", every("ts", "t"), one("qs", "q"), "id", "class", "bag", F.lit(True).alias("query"))
+    targets = dealt.select(
+        "bucket", one("ts", "t"), every("qs", "q"), "id", "class", "bag", F.lit(False).alias("query")
+    )
+    queries = dealt.filter(outside).select(
+        "bucket", every("ts", "t"), one("qs", "q"), "id", "class", "bag", F.lit(True).alias("query")
+    )
     found = targets.union(queries).groupBy("bucket", "t", "q").applyInPandas(_compare(similarity), "a long, b long")
     return stash(found.distinct(), "late-links")
 
@@ -288,7 +325,9 @@ def brute_force(docs: list[tuple[int, str | None]], similarity: float = 0.8, wid
 
     def bag(text: str) -> Counter:
         w = text.encode().split()
-        return Counter(tuple(w[i : i + width]) for i in range(len(w) - width + 1)) if len(w) >= width else Counter([tuple(w)] * bool(w))
+        return Counter(
+            tuple(w[i : i + width]) for i in range(len(w) - width + 1)
+        ) if len(w) >= width else Counter([tuple(w)] * bool(w))
 
     bags = [(d, t or "", bag(t or "")) for d, t in docs]
     root = {d: d for d, _ in docs}

@@ -39,7 +39,9 @@ select page_id, cast(b as bigint) payload_bytes, array_to_string(list_transform(
 
 def _holds(r: quality.Rule) -> str:
     ratio = f"{r.measure}::double / greatest({r.per}, 1)"
-    bounds = [f"{ratio} >= {r.least}::double"] * (r.least is not None) + [f"{ratio} <= {r.most}::double"] * (r.most is not None)
+    bounds = [
+        f"{ratio} >= {r.least}::double"
+    ] * (r.least is not None) + [f"{ratio} <= {r.most}::double"] * (r.most is not None)
     return f"(n_words < {r.words} or ({' and '.join(bounds)}))"
 
 

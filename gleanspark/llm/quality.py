@@ -37,7 +37,9 @@ class Rule:
 
     def holds(self, m: Column) -> Column:
         ratio = m[self.measure] / F.greatest(m[self.per], F.lit(1))
-        bounds = [ratio >= F.lit(self.least)] * (self.least is not None) + [ratio <= F.lit(self.most)] * (self.most is not None)
+        bounds = [
+            ratio >= F.lit(self.least)
+        ] * (self.least is not None) + [ratio <= F.lit(self.most)] * (self.most is not None)
         ok = bounds[0] if len(bounds) == 1 else bounds[0] & bounds[1]
         return (m["n_words"] < self.words) | ok if self.words else ok
 
@@ -60,13 +62,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def _near_equal(items: Column, key: str) -> Column:
     """The ``i`` of the sorted structs whose ``key`` equals a neighbour's."""
     same = lambda k, d: F.get(items, k)[key] == F.get(items, k + F.lit(d))[key]
-    at = F.filter(F.sequence(F.lit(0), F.size(items) - 1), lambda k: F.coalesce(same(k, 1), F.lit(False)) | F.coalesce((k > 0) & same(k, -1), F.lit(False)))
+    at = F.filter(
+        F.sequence(F.lit(0), F.size(items) - 1),
+        lambda k: F.coalesce(same(k, 1), F.lit(False)) | F.coalesce((k > 0) & same(k, -1), F.lit(False)),
+    )
     return F.transform(at, lambda k: F.get(items, k)["i"])
 
 
 def _covered(places: Column, width: int) -> Column:
     """Words covered by windows that start at the sorted ``places``."""
-    steps = F.aggregate(F.sequence(F.lit(1), F.size(places) - 1), F.lit(0), lambda a, k: a + F.least(F.lit(width), F.get(places, k) - F.get(places, k - 1)))
+    steps = F.aggregate(
+        F.sequence(F.lit(1), F.size(places) - 1),
+        F.lit(0),
+        lambda a, k: a + F.least(F.lit(width), F.get(places, k) - F.get(places, k - 1)),
+    )
     return F.when(F.size(places) > 1, steps + width).otherwise(0)
 
 
@@ -106,14 +115,30 @@ def measures(text: Column) -> Column:
             F.size(x).alias("n_lines"),
             (F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines"),
             F.size(F.filter(x, lambda y: F.substring(F.ltrim(y), 1, 1).isin("•", "*", "-"))).alias("n_bullet_lines"),
-            F.size(F.filter(x, lambda y: F.rtrim(y).endswith("...") | F.rtrim(y).endswith("…"))).alias("n_ellipsis_lines"),
+            F.size(
+                F.filter(x, lambda y: F.rtrim(y).endswith("...") | F.rtrim(y).endswith("…"))
+            ).alias("n_ellipsis_lines"),
         ))
-        return let(counted, lambda c: F.struct(*(v.cast("long").alias(k) for k, v in fields.items()), *(c[k].cast("long").alias(k) for k in ("n_lines", "n_dup_lines", "n_bullet_lines", "n_ellipsis_lines"))))
+        return let(
+            counted,
+            lambda c: F.struct(
+                *(v.cast("long").alias(k) for k, v in fields.items()),
+                *(c[k].cast("long").alias(k) for k in ("n_lines", "n_dup_lines", "n_bullet_lines", "n_ellipsis_lines")),
+            ),
+        )
 
     return let(words, of)
 
 
-def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: str = "text", into: str = "quality", min_words: int = 10, max_repeat_percent: int = 20) -> DataFrame:
+def judge(
+    docs: DataFrame,
+    rules: tuple[Rule, ...] = RULES,
+    *,
+    text_col: str = "text",
+    into: str = "quality",
+    min_words: int = 10,
+    max_repeat_percent: int = 20,
+) -> DataFrame:
     """``docs`` with the struct ``into``: the measures, base_failed, kept and failed (names of the rules that fail).
 
     base_failed: fewer than ``min_words`` words, or more than ``max_repeat_percent`` percent of them repeated;
@@ -122,8 +147,12 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: str = "
     """
 
     def verdict(m: Column) -> Column:
-        failed = (m["n_words"] < min_words) | (F.lit(100) * m["n_repeat_words"] > F.lit(max_repeat_percent) * m["n_words"])
-        names = F.array_compact(F.array(*(F.when(~r.holds(m), F.lit(r.name)) for r in rules))) if rules else F.array().cast("array<string>")
+        failed = (m["n_words"] < min_words) | (
+            F.lit(100) * m["n_repeat_words"] > F.lit(max_repeat_percent) * m["n_words"]
+        )
+        names = F.array_compact(
+            F.array(*(F.when(~r.holds(m), F.lit(r.name)) for r in rules))
+        ) if rules else F.array().cast("array<string>")
         kept = ~failed
         for r in rules:
             kept = kept & r.holds(m)
@@ -143,6 +172,10 @@ def brute_force(text: str | None) -> dict[str, int | bool]:
     seen = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
     covered = {j for i in range(len(w) - 4) if seen[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
     return {
-        "n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": len(re.findall(SYMBOLS, text)), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(covered),
+        "n_words": len(w),
+        "word_chars": sum(map(len, w)),
+        "n_symbols": len(re.findall(SYMBOLS, text)),
+        "n_dup_lines": len(lines) - len(set(lines)),
+        "n_repeat_words": len(covered),
         "base_failed": len(w) < 10 or 100 * len(covered) > 20 * len(w),
     }

@@ -9,7 +9,13 @@ from gleanspark.llm import leaks, lines, mixing, neardup, oracles, quality, repe
 from gleanspark.llm.common import tables
 
 TOKENIZER = "word_bpe_49k.json"
-URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+URL_RULES = [
+    ("block", "com/en/"),
+    ("allow", "example.com/en/7"),
+    ("block", "net/de/"),
+    ("block", "example.net/de/8"),
+    ("block", "org/es/"),
+]
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,11 +31,19 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.round_trip(tables(spark, sf_dir, "pages"))
-    return read.select(warc.page_id("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), warc.page_id("refers_to").alias("refers_to"))
+    return read.select(
+        warc.page_id("id").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.col("type").alias("record_type"),
+        warc.page_id("refers_to").alias("refers_to"),
+    )
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(tables(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mixing.mix(tables(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken", "copies"
+    )
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +70,9 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = lines.drop_boilerplate(tables(spark, sf_dir, "documents"))
-    return done.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2("line_dedup.text", 256).alias("text_sha256"))
+    return done.select(
+        "doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2("line_dedup.text", 256).alias("text_sha256")
+    )
 
 
 _ALL = (

@@ -72,7 +72,9 @@ class Packer:
         """``large`` are the sorted numbers of the buckets to be split."""
         self.window, self.m, self.hashes = window, m, WordHash()
         self.large = np.empty(0, np.int32) if large is None else large
-        self.zip = zstandard.ZstdCompressor(level=1, dict_data=zstandard.ZstdCompressionDict(dictionary), write_dict_id=False).compress
+        self.zip = zstandard.ZstdCompressor(
+            level=1, dict_data=zstandard.ZstdCompressionDict(dictionary), write_dict_id=False
+        ).compress
 
     def __call__(self, rows: Iterable[tuple[int, int, str]]) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
         """Lists of buckets, smallest documents and packed data; rows are document, key of its text, text."""
@@ -116,7 +118,17 @@ class Packer:
         at = np.flatnonzero(np.arange(len(least)) + k <= ends[owner])
         fresh = np.concatenate(([True], (np.diff(at) != 1) | (least[at[1:]] != least[at[:-1]])))
         first = np.flatnonzero(fresh)
-        first = np.union1d(first, np.concatenate([np.arange(a, b, LONGEST) for a, b in zip(first, np.append(first[1:], len(at)), strict=True) if b - a > LONGEST] or [first[:0]])).astype(np.int64)
+        first = np.union1d(
+            first,
+            np.concatenate(
+                [
+                    np.arange(a, b, LONGEST)
+                    for a, b in zip(first, np.append(first[1:], len(at)), strict=True)
+                    if b - a > LONGEST
+                ]
+                or [first[:0]]
+            ),
+        ).astype(np.int64)
         last = np.append(first[1:], len(at)) - 1
         start, stop = at[first], at[last] + k  # words of each super-k-mer
         begin = np.cumsum(lens + 1) - lens - 1
@@ -134,14 +146,20 @@ class Packer:
         short = (keys == 0) & (starts < 1 << 16)
         one = np.flatnonzero((times == 1) & (same == np.arange(len(same))) & short)
         flat, compress = starts[one].astype("<u2").tobytes(), self.zip
-        out = (buckets[one].tolist(), docs[one].tolist(), [b"\x00" + flat[2 * j : 2 * j + 2] + compress(texts[i]) for j, i in enumerate(one.tolist())])
+        out = (
+            buckets[one].tolist(),
+            docs[one].tolist(),
+            [b"\x00" + flat[2 * j : 2 * j + 2] + compress(texts[i]) for j, i in enumerate(one.tolist())],
+        )
         if len(one) < len(texts):
             rest = np.flatnonzero((times[same] > 1) | ~short)
             rest = rest[np.lexsort((docs[rest], same[rest]))]
             for group in np.split(rest, np.flatnonzero(np.diff(same[rest])) + 1):
                 for j in range(0, len(group), LISTED):
                     i = group[j : j + LISTED]
-                    data = b"\x01" + struct.pack("<I", len(i)) + docs[i].tobytes() + keys[i].tobytes() + starts[i].tobytes() + compress(texts[i[0]])
+                    data = b"\x01" + struct.pack(
+                        "<I", len(i)
+                    ) + docs[i].tobytes() + keys[i].tobytes() + starts[i].tobytes() + compress(texts[i[0]])
                     for o, v in zip(out, (int(buckets[i[0]]), int(docs[i[0]]), data), strict=True):
                         o.append(v)
         return out
@@ -152,7 +170,9 @@ def _unpacked(doc: int, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray
     if data[0] == 0:
         return np.array([doc]), np.zeros(1, np.int64), np.frombuffer(data, "<u2", 1, 1).astype(np.int32), data[3:]
     n = struct.unpack_from("<I", data, 1)[0]
-    return np.frombuffer(data, np.int64, n, 5), np.frombuffer(data, np.int64, n, 5 + 8 * n), np.frombuffer(data, np.int32, n, 5 + 16 * n), data[5 + 20 * n :]
+    return np.frombuffer(data, np.int64, n, 5), np.frombuffer(data, np.int64, n, 5 + 8 * n), np.frombuffer(
+        data, np.int32, n, 5 + 16 * n
+    ), data[5 + 20 * n :]
 
 
 def _cost(data: bytes) -> int:
@@ -187,7 +207,10 @@ class Bucket:
             begin, end = np.append(0, gaps + 1), np.append(gaps, len(raw))
             lowest = int(found[0][0][0])
             k = self.window - 1
-            windows += [(text[a:b], lowest, which, i) for i, (a, b) in enumerate(zip(begin[: len(begin) - k].tolist(), end[k:].tolist(), strict=True))]
+            windows += [
+                (text[a:b], lowest, which, i)
+                for i, (a, b) in enumerate(zip(begin[: len(begin) - k].tolist(), end[k:].tolist(), strict=True))
+            ]
         windows.sort()
         least: list[dict[int, int]] = [{} for _ in alike]
         last, lowest = None, 0
@@ -212,7 +235,10 @@ _POWERS: list[np.ndarray] = []
 
 def _powers(n: int) -> list[np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
-        _POWERS[:] = [np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, b, np.uint64)))) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+        _POWERS[:] = [
+            np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, b, np.uint64))))
+            for b in (_BASE, pow(_BASE, -1, 1 << 64))
+        ]
     return _POWERS
 
 
@@ -249,7 +275,10 @@ def sort_windows(docs: list[int], data: list[bytes], window: int, unzip) -> list
     order = np.lexsort((mine, hashes))
     equal = hashes[order[1:]] == hashes[order[:-1]]
     left, right = order[:-1][equal], order[1:][equal]
-    if not all(joined[p:q] == joined[r:s] for p, q, r, s in zip(a[left].tolist(), b[left].tolist(), a[right].tolist(), b[right].tolist(), strict=True)):
+    if not all(
+        joined[p:q] == joined[r:s]
+        for p, q, r, s in zip(a[left].tolist(), b[left].tolist(), a[right].tolist(), b[right].tolist(), strict=True)
+    ):
         again = list(Bucket(window, unzip).feed(list(zip(docs, data, strict=True))))  # unequal windows share a hash
         return [np.concatenate(x) for x in zip(*again, strict=True)] or [np.empty(0, np.int64)] * 4
     runs = np.flatnonzero(np.concatenate(([True], ~equal)))
@@ -263,7 +292,9 @@ def sort_windows(docs: list[int], data: list[bytes], window: int, unzip) -> list
     which, offset = which[hit], offset[hit]
     cut = np.flatnonzero(np.concatenate(([True], (np.diff(which) != 0) | (np.diff(offset) != 1)))) if len(hit) else hit
     o = which[cut]
-    return [doc[o], key[o], (first[o] + offset[cut]).astype(np.int32), np.diff(np.append(cut, len(hit))).astype(np.int32)]
+    return [
+        doc[o], key[o], (first[o] + offset[cut]).astype(np.int32), np.diff(np.append(cut, len(hit))).astype(np.int32)
+    ]
 
 
 def _to_buckets(window: int, m: int, dictionary: bytes, large: np.ndarray):
@@ -273,7 +304,10 @@ def _to_buckets(window: int, m: int, dictionary: bytes, large: np.ndarray):
             parts = (batch.slice(i, 256) for i in range(0, batch.num_rows, 256))
             rows = (row for part in parts for row in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True))
             for buckets, docs, data in pack(rows):
-                yield pa.record_batch([pa.array(buckets, pa.int32()), pa.array(docs, pa.int64()), pa.array(data, pa.binary())], ["bucket", "doc", "data"])
+                yield pa.record_batch(
+                    [pa.array(buckets, pa.int32()), pa.array(docs, pa.int64()), pa.array(data, pa.binary())],
+                    ["bucket", "doc", "data"],
+                )
 
     return run
 
@@ -336,7 +370,12 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc, key and text; the key tells rows of one id apart and is 0 where ids are unique."""
     ids = docs.select(F.col(id_col).cast("long").alias("doc")).filter("doc is not null").groupBy("doc").count()
     unique = ids.filter("count > 1").isEmpty()
-    return docs.select(F.col(id_col).cast("long").alias("doc"), (F.lit(0) if unique else F.xxhash64(text_col)).cast("long").alias("key"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+    return docs.select(
+        F.col(id_col).cast("long").alias("doc"),
+        (F.lit(0) if unique else F.xxhash64(text_col)).cast("long").alias("key"),
+        F.col(text_col).alias("text"),
+        F.col(id_col).alias("id"),
+    )
 
 
 def _train(texts: list[str]) -> bytes:
@@ -358,7 +397,9 @@ def _large(rows: DataFrame, window: int, m: int, share: float, least: int) -> np
                 yield pa.record_batch([pa.array(own), pa.array(n)], ["bucket", "n"])
 
     counts = rows.sample(share, 7).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    found = counts.filter(F.col("n") > least * share).orderBy(F.desc("n"), "bucket").limit(SPLIT).select("bucket").collect()
+    found = counts.filter(
+        F.col("n") > least * share
+    ).orderBy(F.desc("n"), "bucket").limit(SPLIT).select("bucket").collect()
     return np.sort(np.array([r[0] for r in found], np.int32))
 
 
@@ -366,11 +407,15 @@ def _found(keyed: DataFrame, window: int, m: int, share: float = SHARE, least: i
     rows = keyed.select("doc", "key", "text").filter(F.col("doc").isNotNull() & F.col("text").isNotNull())
     dictionary = _train([r[0] for r in rows.select(F.substring("text", 1, SAMPLE_CHARS)).limit(SAMPLE_TEXTS).collect()])
     pack = _to_buckets(window, m, dictionary, _large(rows, window, m, share, least))
-    packed = rows.mapInArrow(pack, "bucket int, doc long, data binary").repartition("bucket").sortWithinPartitions("bucket", "doc")
+    packed = rows.mapInArrow(
+        pack, "bucket int, doc long, data binary"
+    ).repartition("bucket").sortWithinPartitions("bucket", "doc")
     return packed.mapInArrow(_from_buckets(window, dictionary), "doc long, key long, first int, n int")
 
 
-def find_repeats(docs: DataFrame, *, window: int = 13, m: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_repeats(
+    docs: DataFrame, *, window: int = 13, m: int = 2, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """Stretches of repeated windows: doc, key (tells rows of one id apart), first (word), n (windows).
 
     Each listed window's words also start in a document with a smaller id.
@@ -378,7 +423,9 @@ def find_repeats(docs: DataFrame, *, window: int = 13, m: int = 2, id_col: str =
     return _found(_keyed(docs, id_col, text_col), window, m)
 
 
-def remove_repeats(docs: DataFrame, *, window: int = 13, m: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, *, window: int = 13, m: int = 2, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """``id_col``, kept_text (kept words joined by one space), n_words and n_removed of every row.
 
     A word goes if a window of ``window`` words covers it whose words also start in a document with a smaller
@@ -418,6 +465,8 @@ def brute_force(docs: list[tuple[int, str | None]], window: int = 13) -> dict[in
             least.setdefault(tuple(words[d][i : i + window]), d)
     out = {}
     for d, w in words.items():
-        gone = {j for i in range(len(w) - window + 1) if least[tuple(w[i : i + window])] < d for j in range(i, i + window)}
+        gone = {
+            j for i in range(len(w) - window + 1) if least[tuple(w[i : i + window])] < d for j in range(i, i + window)
+        }
         out[d] = (len(w), len(gone), b" ".join(x for i, x in enumerate(w) if i not in gone).decode())
     return out

@@ -55,7 +55,13 @@ class Kind:
 
 
 BASE = (
-    Kind("assign", ("password", "passwd", "secret", "token", "apikey", "api_key"), r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I, lambda m: len(m[2]) >= 6),
+    Kind(
+        "assign",
+        ("password", "passwd", "secret", "token", "apikey", "api_key"),
+        r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+        re.A | re.I,
+        lambda m: len(m[2]) >= 6,
+    ),
     Kind("access", ("akia",), r"AKIA[A-Z0-9]+", re.A, lambda m: len(m[0]) >= 20),
 )
 HEX, HEX_LEAST, STRIDE = "hex", 24, 6
@@ -126,20 +132,33 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     def secrets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scan = Scanner()
         for texts in batches:
-            yield pd.Series([[{"kind": k, "start": a, "end": b, "value": t[a:b]} for k, a, b in scan(t)] for t in texts.tolist()], dtype=object)
+            yield pd.Series(
+                [[{"kind": k, "start": a, "end": b, "value": t[a:b]} for k, a, b in scan(t)] for t in texts.tolist()],
+                dtype=object,
+            )
 
     return docs.select(F.col(id_col), secrets(text_col).alias("secrets"))
 
 
 def joined(spans: Column) -> Column:
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))),
+        ",",
+    )
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Counts of the base kinds, the hash of their spans and all spans as text."""
     n = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("secrets", lambda s: s["kind"].isin("assign", "access", HEX))
-    return found.select(id_col, n("assign"), n("access"), n(HEX), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
+    return found.select(
+        id_col,
+        n("assign"),
+        n("access"),
+        n(HEX),
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("secrets")).alias("spans"),
+    )
 
 
 def brute_force(text: str | None) -> tuple[int, int, int, str]:

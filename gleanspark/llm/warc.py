@@ -39,16 +39,26 @@ def _field(value: str) -> str:
 
 def make_record(name: str, uri: str | None, payload: bytes, refers_to: str | None, date: str) -> bytes:
     """A response, or with ``refers_to`` a revisit, whose block keeps the HTTP header only."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    http = (
+        f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    )
     block = http if refers_to is not None else http + payload
-    fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<{name}>"), ("WARC-Date", date)]
+    fields = [
+        ("WARC-Type", "response" if refers_to is None else "revisit"),
+        ("WARC-Record-ID", f"<{name}>"),
+        ("WARC-Date", date),
+    ]
     if uri is not None:
         fields.append(("WARC-Target-URI", _field(uri)))
     if refers_to is not None:
         fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{refers_to}>")]
-    fields += [("WARC-Payload-Digest", "sha1:" + base32_sha1(payload)), ("WARC-Block-Digest", "sha1:" + base32_sha1(block))]
+    fields += [
+        ("WARC-Payload-Digest", "sha1:" + base32_sha1(payload)), ("WARC-Block-Digest", "sha1:" + base32_sha1(block))
+    ]
     fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
-    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode("utf-8", "replace") + b"\r\n" + block + b"\r\n\r\n"
+    return b"WARC/1.1\r\n" + "".join(
+        f"{k}: {v}\r\n" for k, v in fields
+    ).encode("utf-8", "replace") + b"\r\n" + block + b"\r\n\r\n"
 
 
 def parse_record(data: bytes) -> dict:
@@ -66,7 +76,9 @@ def parse_record(data: bytes) -> dict:
     for name in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if name not in fields:
             raise ValueError(f"{name} is missing")
-    if not fields["content-length"].isdecimal() or len(rest) != int(fields["content-length"]) + 4 or not rest.endswith(b"\r\n\r\n"):
+    if not fields["content-length"].isdecimal() or len(rest) != int(
+        fields["content-length"]
+    ) + 4 or not rest.endswith(b"\r\n\r\n"):
         raise ValueError(f"Content-Length {fields['content-length']}, but {len(rest) - 4} bytes")
     block = rest[:-4]
     digest = lambda name: fields.get(name, "").rpartition(":")[2] or None
@@ -75,7 +87,11 @@ def parse_record(data: bytes) -> dict:
     http, _, payload = block.partition(b"\r\n\r\n")
     whole, kind = len(payload), fields["warc-type"]
     if "msgtype=response" in fields.get("content-type", ""):
-        said = [line.partition(":")[2].strip() for line in http.decode("latin-1").split("\r\n") if line.lower().startswith("content-length:")]
+        said = [
+            line.partition(":")[2].strip()
+            for line in http.decode("latin-1").split("\r\n")
+            if line.lower().startswith("content-length:")
+        ]
         if kind == "revisit":
             whole = int(said[0]) if said and said[0].isdecimal() else None
         elif said and said[0].isdecimal() and int(said[0]) != len(payload):
@@ -85,7 +101,15 @@ def parse_record(data: bytes) -> dict:
     if (d := digest("warc-payload-digest")) and kind != "revisit" and d != base32_sha1(payload):
         raise ValueError("the payload does not have its digest")
     bare = lambda name: fields[name].strip("<>") if name in fields else None
-    return {"id": bare("warc-record-id"), "type": kind, "uri": fields.get("warc-target-uri"), "refers_to": bare("warc-refers-to"), "payload_digest": digest("warc-payload-digest"), "payload_bytes": whole, "payload": payload}
+    return {
+        "id": bare("warc-record-id"),
+        "type": kind,
+        "uri": fields.get("warc-target-uri"),
+        "refers_to": bare("warc-refers-to"),
+        "payload_digest": digest("warc-payload-digest"),
+        "payload_bytes": whole,
+        "payload": payload,
+    }
 
 
 def train(samples: list[bytes]) -> zstandard.ZstdCompressionDict:
@@ -93,7 +117,10 @@ def train(samples: list[bytes]) -> zstandard.ZstdCompressionDict:
     try:
         return zstandard.train_dictionary(DICTIONARY, samples)
     except zstandard.ZstdError:
-        return zstandard.ZstdCompressionDict(b"".join(s[:2048] for s in samples)[:DICTIONARY] or b"WARC/1.1\r\n", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return zstandard.ZstdCompressionDict(
+            b"".join(s[:2048] for s in samples)[:DICTIONARY] or b"WARC/1.1\r\n",
+            dict_type=zstandard.DICT_TYPE_RAWCONTENT,
+        )
 
 
 def write_archive(out: BinaryIO, records: list[bytes]) -> None:
@@ -134,7 +161,9 @@ def _store(folder: str) -> tuple[fs.FileSystem, str]:
     """The store of a folder and the folder's path within it; Hadoop's names of stores are known too."""
     scheme, colon, rest = folder.partition(":")
     if not colon or len(scheme) < 2:
-        raise ValueError(f"{folder} needs a scheme (like file: or s3a:), as machines without one look at their own disks")
+        raise ValueError(
+            f"{folder} needs a scheme (like file: or s3a:), as machines without one look at their own disks"
+        )
     try:
         if scheme == "file":
             return fs.LocalFileSystem(), "/" + rest.lstrip("/")
@@ -189,7 +218,9 @@ def write_warc(rows: DataFrame, folder: str, *, date: str = "2000-01-01T00:00:00
         if held:
             yield flush()
 
-    made = rows.select("id", "uri", F.col("payload").cast("string"), "refers_to").mapInArrow(run, "path string, records long, bytes long")
+    made = rows.select(
+        "id", "uri", F.col("payload").cast("string"), "refers_to"
+    ).mapInArrow(run, "path string, records long, bytes long")
     return stash(made, "archives")
 
 
@@ -212,16 +243,22 @@ def read_warc(spark: SparkSession, archives: DataFrame, folder: str, *, payloads
                         held.append(record)
                         size += length if payloads else 300
                         if size > 4_000_000:
-                            yield pa.record_batch([pa.array([r[c] for r in held], k) for c, k in zip(names, kinds, strict=True)], names)
+                            yield pa.record_batch(
+                                [pa.array([r[c] for r in held], k) for c, k in zip(names, kinds, strict=True)], names
+                            )
                             held, size = [], 0
                 if held:
-                    yield pa.record_batch([pa.array([r[c] for r in held], k) for c, k in zip(names, kinds, strict=True)], names)
+                    yield pa.record_batch(
+                        [pa.array([r[c] for r in held], k) for c, k in zip(names, kinds, strict=True)], names
+                    )
 
     n = max(1, min(archives.count(), spark.sparkContext.defaultParallelism * 16))
     return archives.select("path").repartition(n).mapInArrow(run, RECORD + ", payload binary" * payloads)
 
 
-def with_responses(pages: DataFrame, *, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
+def with_responses(
+    pages: DataFrame, *, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html"
+) -> DataFrame:
     """id, uri, payload and refers_to (record names) for every row; the largest id of equal payloads is the response.
 
     Payloads of fewer than ``min_bytes`` bytes are all responses.  Null payloads are empty; very long ones stay whole.
@@ -230,10 +267,16 @@ def with_responses(pages: DataFrame, *, min_bytes: int = 0, id_col: str = "page_
     are unless more than ``BROADCAST_IDS`` of them repeat.
     """
     name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")))
-    rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("uri"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload")).withColumn("_key", F.sha2("payload", 256))
+    rows = pages.select(
+        F.col(id_col).alias("_id"),
+        F.col(url_col).alias("uri"),
+        F.coalesce(F.col(payload_col), F.lit("")).alias("payload"),
+    ).withColumn("_key", F.sha2("payload", 256))
     groups = rows.select("_id", "_key").groupBy("_key").agg(F.max("_id").alias("_best"), F.count(F.lit(1)).alias("_n"))
     groups = near_ids(stash(groups.filter("_n > 1 and _best is not null").drop("_n"), "repeated-payloads"))
-    again = F.col("_best").isNotNull() & ~F.col("_best").eqNullSafe(F.col("_id")) & (F.octet_length("payload") >= min_bytes)
+    again = F.col("_best").isNotNull() & ~F.col("_best").eqNullSafe(F.col("_id")) & (
+        F.octet_length("payload") >= min_bytes
+    )
     joined = rows.join(groups, "_key", "left")
     return joined.select(name("_id").alias("id"), "uri", "payload", F.when(again, name("_best")).alias("refers_to"))
 

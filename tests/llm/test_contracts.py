@@ -44,7 +44,9 @@ def test_op1(spark):
     library = Tokenizer.from_file(public_tokenizers.path(queries.TOKENIZER))
     n = [len(e.ids) for e in library.encode_batch([r.text or "" for r in docs], add_special_tokens=False)]
     got = queries.op1_token_counts(spark, SF).collect()
-    assert {tuple(r)[:4] for r in got} == {(r.doc_id, len((r.text or "").encode()), k, k > 2048) for r, k in zip(docs, n, strict=True)}
+    assert {tuple(r)[:4] for r in got} == {
+        (r.doc_id, len((r.text or "").encode()), k, k > 2048) for r, k in zip(docs, n, strict=True)
+    }
 
 
 def test_op4(spark):
@@ -75,7 +77,9 @@ def test_op7(spark):
 
 
 def test_op8(spark):
-    want = leaks.brute_force([(r.doc_id, r.text) for r in rows(spark, "documents")], [tuple(r) for r in rows(spark, "benchmark")])
+    want = leaks.brute_force(
+        [(r.doc_id, r.text) for r in rows(spark, "documents")], [tuple(r) for r in rows(spark, "benchmark")]
+    )
     got = {(r.doc_id, r.item_id) for r in queries.op8_decontamination(spark, SF).collect()}
     assert got <= want and len(got) >= 0.9 * len(want)
 
@@ -83,7 +87,9 @@ def test_op8(spark):
 def test_op9(spark):
     docs = {r.doc_id: r.text for r in rows(spark, "documents")}
     got = queries.op9_secret_scan(spark, SF).collect()
-    assert {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got} == {d: secret_scan.brute_force(t) for d, t in docs.items()}
+    assert {
+        r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got
+    } == {d: secret_scan.brute_force(t) for d, t in docs.items()}
     for r in got:
         base = ",".join(s for s in r.spans.split(",") if s.split(":")[0] in ("assign", "access", "hex"))
         assert hashlib.sha256(base.encode()).hexdigest() == r.base_sha256

@@ -20,7 +20,9 @@ def test_leaks_need_more_than_scattered_words(spark):
     docs = [(i, " ".join(rng.choices(voc, k=rng.randint(50, 400)))) for i in range(300)]
     short = [(0, "w1 w2 w3"), (1, "w5 w9 w2 w7"), (2, "w1 w1 w2 w2 w3 w4 w5"), (3, " ".join(rng.choices(voc, k=30)))]
     bench = table(spark, short, "item_id long, text string")
-    assert {tuple(r)[:2] for r in leaks.find_leaks(table(spark, docs), bench).collect()} == leaks.brute_force(docs, short)
+    assert {
+        tuple(r)[:2] for r in leaks.find_leaks(table(spark, docs), bench).collect()
+    } == leaks.brute_force(docs, short)
     planted = [(1000, f"{docs[0][1]} w5 w9 w2 w7 {docs[1][1]}"), (1001, f"{docs[2][1]} {short[3][1]} {docs[3][1]}")]
     found = {tuple(r)[:2] for r in leaks.find_leaks(table(spark, docs + planted), bench).collect()}
     assert {(1000, 1), (1001, 3)} <= found and len({d for d, _ in found} - {1000, 1001}) <= 3
@@ -36,7 +38,10 @@ def test_leaks_of_common_words_and_far_answers(spark):
     half = [w if i % 5 < 3 or i >= 225 else "zz" for i, w in enumerate(item)]  # 60 % kept, the answer whole
     docs += [(500, f"{docs[0][1]} {phrase} {docs[1][1]}"), (501, " ".join(half))]
     items = [(0, phrase), (1, " ".join(item))]
-    found = {tuple(r)[:2] for r in leaks.find_leaks(table(spark, docs), table(spark, items, "item_id long, text string")).collect()}
+    found = {
+        tuple(r)[:2]
+        for r in leaks.find_leaks(table(spark, docs), table(spark, items, "item_id long, text string")).collect()
+    }
     assert {(500, 0), (501, 1)} <= found <= leaks.brute_force(docs, items)
     early = leaks.passages_of(1, items[1][1])[0]
     assert leaks.leak(early, half, 0, leaks.Bounds())[1]  # the answer lies some 200 words on
@@ -44,7 +49,10 @@ def test_leaks_of_common_words_and_far_answers(spark):
 
 def test_the_basis_has_fewer_dimensions_than_passages(spark):
     rng = np.random.default_rng(3)
-    rows = [(sorted(rng.choice(400, 20, replace=False).tolist()), [float(x) for x in rng.random(20) + 1]) for _ in range(150)]
+    rows = [
+        (sorted(rng.choice(400, 20, replace=False).tolist()), [float(x) for x in rng.random(20) + 1])
+        for _ in range(150)
+    ]
     dense = np.zeros((150, 400))
     for i, (at, v) in enumerate(rows):
         dense[i, at] = v
@@ -73,8 +81,22 @@ def test_secrets_that_stall_or_nest():
 
 def test_lines_keep_columns_of_any_name_and_long_lists(spark):
     rng = random.Random(4)
-    rows = [(i, "\n".join(rng.choices(["menu", "foot", "x"] + [f"l{k}" for k in range(40)], k=8)), rng.choice(["s", None]), 1, 2, 3, 4) for i in range(120)]
-    docs = spark.createDataFrame([(*r, i % 5) for i, r in enumerate(rows)], "doc_id long, text string, source string, _host int, _drop int, _row int, _gone int, r int")
+    rows = [
+        (
+            i,
+            "\n".join(rng.choices(["menu", "foot", "x"] + [f"l{k}" for k in range(40)], k=8)),
+            rng.choice(["s", None]),
+            1,
+            2,
+            3,
+            4,
+        )
+        for i in range(120)
+    ]
+    docs = spark.createDataFrame(
+        [(*r, i % 5) for i, r in enumerate(rows)],
+        "doc_id long, text string, source string, _host int, _drop int, _row int, _gone int, r int",
+    )
     want = {r.doc_id: tuple(r) for r in lines.drop_boilerplate(docs).collect()}
     got = {r.doc_id: tuple(r) for r in lines.drop_boilerplate(docs, broadcast_chars=0).collect()}
     assert want == got and sum(r[-1].n_dropped for r in want.values()) > 0
@@ -85,7 +107,12 @@ def test_lines_keep_columns_of_any_name_and_long_lists(spark):
 def test_near_duplicates_of_shared_ids(spark):
     a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
     c = " ".join(f"c{i}" for i in range(30))
-    got = sorted(map(tuple, neardup.near_duplicates(table(spark, [(0, b), (1, a), (1, b), (2, a), (3, c), (None, a)])).collect()), key=str)
+    got = sorted(
+        map(
+            tuple, neardup.near_duplicates(table(spark, [(0, b), (1, a), (1, b), (2, a), (3, c), (None, a)])).collect()
+        ),
+        key=str,
+    )
     assert got == [(0, 0), (1, 0), (1, 0), (2, 0), (3, 3), (None, None)]
 
 
@@ -118,8 +145,13 @@ def test_repeats_in_split_buckets_and_of_rows_of_one_id(spark, monkeypatch):
     keyed = repeats._keyed(table(spark, docs), "doc_id", "text")
     rows = keyed.select("doc", "key", "text").filter("text is not null")
     assert len(repeats._large(rows, 7, 2, 1.0, 20)) > 5
-    monkeypatch.setattr(repeats, "_large", lambda rows, window, m, share, least, of=repeats._large: of(rows, window, m, 1.0, 20))
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in repeats.remove_repeats(table(spark, docs), window=7).collect()}
+    monkeypatch.setattr(
+        repeats, "_large", lambda rows, window, m, share, least, of=repeats._large: of(rows, window, m, 1.0, 20)
+    )
+    got = {
+        r.doc_id: (r.n_words, r.n_removed, r.kept_text)
+        for r in repeats.remove_repeats(table(spark, docs), window=7).collect()
+    }
     assert got == want
 
 
@@ -138,10 +170,24 @@ def test_unequal_windows_of_one_hash(monkeypatch):
 
 def test_urls_of_many_rules_by_join(spark):
     rng = random.Random(7)
-    rules = [(rng.choice(["block", "allow"]), f"{rng.choice(['a.com', 'com', 'b.a.com'])}/{'/'.join(rng.choices(['x', 'yy', 'z'], k=rng.randint(0, 3)))}") for _ in range(300)]
-    made = [(i, f"http://{rng.choice(['a.com', 'b.a.com', 'c.b.a.com', 'd.com', 'net'])}/{'/'.join(rng.choices(['x', 'yy', 'yyy', 'z'], k=rng.randint(0, 4)))}") for i in range(300)]
+    rules = [
+        (
+            rng.choice(["block", "allow"]),
+            f"{rng.choice(['a.com', 'com', 'b.a.com'])}/{'/'.join(rng.choices(['x', 'yy', 'z'], k=rng.randint(0, 3)))}",
+        )
+        for _ in range(300)
+    ]
+    made = [
+        (
+            i,
+            f"http://{rng.choice(['a.com', 'b.a.com', 'c.b.a.com', 'd.com', 'net'])}/{'/'.join(rng.choices(['x', 'yy', 'yyy', 'z'], k=rng.randint(0, 4)))}"
+        )
+        for i in range(300)
+    ]
     pages = spark.createDataFrame(made, "page_id long, url string")
-    assert sorted(urls.judge_urls(pages, rules).collect()) == sorted(urls.judge_urls(pages, rules, broadcast_chars=0).collect())
+    assert sorted(urls.judge_urls(pages, rules).collect()) == sorted(
+        urls.judge_urls(pages, rules, broadcast_chars=0).collect()
+    )
 
 
 def test_warc_errors_name_archive_and_record(tmp_path):
@@ -166,8 +212,13 @@ def test_warc_equals_plain_computation(spark):
     best: dict[bytes, int] = {}
     for page, data in rows:
         best[data] = max(page, best.get(data, page))
-    want = {p: (len(d), warc.base32_sha1(d), "response" if best[d] == p else "revisit", None if best[d] == p else best[d]) for p, d in rows}
-    got = warc.round_trip(pages).select(warc.page_id("id"), "payload_bytes", "payload_digest", "type", warc.page_id("refers_to")).collect()
+    want = {
+        p: (len(d), warc.base32_sha1(d), "response" if best[d] == p else "revisit", None if best[d] == p else best[d])
+        for p, d in rows
+    }
+    got = warc.round_trip(pages).select(
+        warc.page_id("id"), "payload_bytes", "payload_digest", "type", warc.page_id("refers_to")
+    ).collect()
     assert {r[0]: tuple(r)[1:] for r in got} == want
 
 
@@ -183,7 +234,9 @@ def test_mixing_equals_plain_optimum(spark):
             low, high = -1.0, 1.0
             for _ in range(200):
                 tilt = (low + high) / 2
-                low, high = (tilt, high) if (np.minimum(2, np.exp(tilt * sizes)) * sizes).sum() < target else (low, tilt)
+                low, high = (tilt, high) if (
+                    np.minimum(2, np.exp(tilt * sizes)) * sizes
+                ).sum() < target else (low, tilt)
             assert np.allclose([r.rate for r in mine], np.minimum(2, np.exp(tilt * sizes)), rtol=1e-4)
         assert all(int(r.rate) <= r.copies <= int(np.ceil(r.rate)) for r in mine)
         assert abs(sum(r.taken for r in mine) - target) <= 400

@@ -29,7 +29,9 @@ def test_stages_equal_brute_force(spark):
         elif name == "line dedup":
             drops = {(r.host, r.line) for r in lines.boilerplate(docs).collect()}
             for d, r in before.items():
-                assert after[d].text == "\n".join(x for x in r.text.split("\n") if (r.source, x) not in drops) and after[d].n_chars == len(after[d].text)
+                assert after[d].text == "\n".join(
+                    x for x in r.text.split("\n") if (r.source, x) not in drops
+                ) and after[d].n_chars == len(after[d].text)
         elif name == "near-duplicates":
             classes = neardup.brute_force([(d, r.text) for d, r in before.items()])
             assert set(after) == set(classes.values())
@@ -38,16 +40,23 @@ def test_stages_equal_brute_force(spark):
             assert set(after) == set(before) - gone
         docs = done
     mixed = cp.STAGES[-1][1](spark, docs, SF).collect()
-    assert {r.doc_id for r in mixed} == {r.doc_id for r in docs.collect()} and sum(r.taken for r in mixed) == pytest.approx(sum(r.target for r in {r.source: r for r in mixed}.values()), rel=0.02)
+    assert {r.doc_id for r in mixed} == {r.doc_id for r in docs.collect()} and sum(
+        r.taken for r in mixed
+    ) == pytest.approx(sum(r.target for r in {r.source: r for r in mixed}.values()), rel=0.02)
 
 
 def test_rows_without_or_with_shared_ids(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
     item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
     rows = [(0, b), (1, a), (1, b), (None, c), (None, c), (2, c), (None, f"{a} {item}"), (None, None)]
-    docs = spark.createDataFrame([(i, t, "en", "s", 1, 7) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, row int")
+    docs = spark.createDataFrame(
+        [(i, t, "en", "s", 1, 7) for i, t in rows],
+        "doc_id long, text string, lang string, source string, n_chars long, row int",
+    )
     kept = cp.keep_one_of_near_duplicates(spark, docs, SF)
-    assert sorted(r.text or "" for r in kept.collect()) == sorted(["", a, b, c, f"{a} {item}"]) and kept.columns == docs.columns
+    assert sorted(
+        r.text or "" for r in kept.collect()
+    ) == sorted(["", a, b, c, f"{a} {item}"]) and kept.columns == docs.columns
     clean = cp.drop_leaks(spark, docs, SF).collect()
     assert sorted(map(str, clean)) == sorted(str(r) for r in docs.collect() if item not in (r.text or ""))
 
