@@ -45,7 +45,9 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents into whose text no benchmark item leaks; rows are told apart by a hash of id and text."""
     row = F.xxhash64("doc_id", "text")
     texts = docs.select(row.alias("row"), "text")
-    found = leaks.find_leaks(texts, tables(spark, sf_dir, "benchmark"), id_col="row").select(F.col("row").alias("leak")).distinct()
+    found = leaks.find_leaks(
+        texts, tables(spark, sf_dir, "benchmark"), id_col="row"
+    ).select(F.col("row").alias("leak")).distinct()
     leaking = near_ids(stash(found, "leaking"))
     return docs.join(leaking, row == leaking["leak"], "left_anti")
 
