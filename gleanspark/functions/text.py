@@ -57,7 +57,12 @@ def cosine(a: Column, b: Column) -> Column:
 def minmax01(a: Column) -> Column:
     """(x - min) / (span + 1e-8); zeros where the span is below 1e-8."""
     low, span = F.array_min(a), F.array_max(a) - F.array_min(a)
-    return let(F.struct(low.alias("low"), span.alias("span")), lambda s: F.transform(a, lambda x: F.when(s["span"] < 1e-8, F.lit(0.0)).otherwise((x - s["low"]) / (s["span"] + 1e-8))))
+    return let(
+        F.struct(low.alias("low"), span.alias("span")),
+        lambda s: F.transform(
+            a, lambda x: F.when(s["span"] < 1e-8, F.lit(0.0)).otherwise((x - s["low"]) / (s["span"] + 1e-8))
+        ),
+    )
 
 
 def softmax(a: Column) -> Column:
@@ -89,7 +94,9 @@ def sigmoid(x: Column) -> Column:
 def finite(a: Column, nan: Column, high: Column, low: float = 0.0) -> Column:
     """An array with NaN, infinite and minus infinite entries replaced."""
     inf = float("inf")
-    return F.transform(a, lambda x: F.when(F.isnan(x), nan).when(x == inf, high).when(x == -inf, F.lit(low)).otherwise(x))
+    return F.transform(
+        a, lambda x: F.when(F.isnan(x), nan).when(x == inf, high).when(x == -inf, F.lit(low)).otherwise(x)
+    )
 
 
 def penalty(risks: Column, prefix: Column, mode: str = "delta") -> Column:
@@ -136,7 +143,28 @@ def bottom_k_mean(a: Column, share: float) -> Column:
 
 
 #: Temperatures of the first twenty lengths (fixed values); 1 beyond.
-DECAY = (10.0, 9.53, 9.06, 8.59, 8.12, 7.65, 7.18, 6.71, 6.24, 5.77, 5.30, 4.83, 4.36, 3.89, 3.42, 2.95, 2.49, 2.01, 1.54, 1.0)
+DECAY = (
+    10.0,
+    9.53,
+    9.06,
+    8.59,
+    8.12,
+    7.65,
+    7.18,
+    6.71,
+    6.24,
+    5.77,
+    5.30,
+    4.83,
+    4.36,
+    3.89,
+    3.42,
+    2.95,
+    2.49,
+    2.01,
+    1.54,
+    1.0,
+)
 
 
 def decayed_temperature(length: Column) -> Column:
@@ -146,4 +174,6 @@ def decayed_temperature(length: Column) -> Column:
 
 def sanitized(a: Column) -> Column:
     """An array with zeros for NaN and large numbers for infinite entries."""
-    return F.transform(a, lambda x: F.when(F.isnan(x), 0.0).when(x == float("inf"), 1e10).when(x == float("-inf"), -1e10).otherwise(x))
+    return F.transform(
+        a, lambda x: F.when(F.isnan(x), 0.0).when(x == float("inf"), 1e10).when(x == float("-inf"), -1e10).otherwise(x)
+    )

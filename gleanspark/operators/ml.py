@@ -28,15 +28,21 @@ def zlib_length(texts: pd.Series) -> pd.Series:
 def fit_forest(df: DataFrame, vec: str, label: str, *, trees: int = 50, depth: int = 5, seed: int = 0) -> PipelineModel:
     """Standardized random forest with balanced class weights n / (2 n_c)."""
     n = df.groupBy(label).count().withColumn("_w", F.sum("count").over(Window.partitionBy()) / (2 * F.col("count")))
-    rows = df.join(F.broadcast(n.select(label, "_w")), label).withColumn("_v", array_to_vector(F.transform(vec, lambda x: x.cast("double"))))
+    rows = df.join(F.broadcast(n.select(label, "_w")), label).withColumn(
+        "_v", array_to_vector(F.transform(vec, lambda x: x.cast("double")))
+    )
     scaler = StandardScaler(inputCol="_v", outputCol="_s", withMean=True)
-    forest = RandomForestClassifier(featuresCol="_s", labelCol=label, weightCol="_w", numTrees=trees, maxDepth=depth, seed=seed)
+    forest = RandomForestClassifier(
+        featuresCol="_s", labelCol=label, weightCol="_w", numTrees=trees, maxDepth=depth, seed=seed
+    )
     return Pipeline(stages=[scaler, forest]).fit(rows)
 
 
 def member_probability(model: PipelineModel, df: DataFrame, vec: str) -> DataFrame:
     rows = df.withColumn("_v", array_to_vector(F.transform(vec, lambda x: x.cast("double"))))
-    return model.transform(rows).withColumn("p_member", vector_to_array("probability")[1]).drop("_v", "_s", "rawPrediction", "probability", "prediction")
+    return model.transform(rows).withColumn("p_member", vector_to_array("probability")[1]).drop(
+        "_v", "_s", "rawPrediction", "probability", "prediction"
+    )
 
 
 def score_texts(df: DataFrame, key: str, column: str, score: Callable[[list], list[float]]) -> DataFrame:
@@ -57,7 +63,9 @@ def save_forests(models: dict[str, PipelineModel], path: str, spark: SparkSessio
     """One artifact for each preset below ``path``, and a manifest of their names."""
     for preset, model in models.items():
         model.write().overwrite().save(f"{path}/models/{preset}")
-    spark.createDataFrame([(p,) for p in sorted(models)], "preset string").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    spark.createDataFrame(
+        [(p,) for p in sorted(models)], "preset string"
+    ).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
 
 
 def apply_forest(spark: SparkSession, path: str, preset: str, df: DataFrame, vec: str) -> DataFrame:

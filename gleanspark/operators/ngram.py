@@ -16,7 +16,9 @@ from gleanspark.sources.scratch import near, stash
 def token_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, pos (from 0), tok and prev (null for the first token)."""
     words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w"))
-    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))))
+    before = F.concat(
+        F.array(F.lit(None).cast("string")), F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0)))
+    )
     pairs = F.arrays_zip(before.alias("prev"), F.col("w").alias("tok"))
     placed = words.filter(F.size("w") > 0).select("id", F.posexplode(pairs).alias("pos", "t"))
     return placed.select("id", "pos", F.col("t.tok").alias("tok"), F.col("t.prev").alias("prev"))
@@ -51,14 +53,26 @@ def _counts(pairs: DataFrame | None, words: DataFrame) -> Counts:
     return Counts(pairs, words, int(n), int(v))
 
 
-def unigram_losses(docs: DataFrame, counts: Counts, id_col: str = "doc_id", text_col: str = "text", *, lower: bool = False, cased: bool = False, first: bool = False) -> DataFrame:
+def unigram_losses(
+    docs: DataFrame,
+    counts: Counts,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    *,
+    lower: bool = False,
+    cased: bool = False,
+    first: bool = False,
+) -> DataFrame:
     """id, n and total: number and sum of the add-one unigram losses of each text's tokens but the first (or with it).
 
     No token is shuffled while the words can be broadcast; beyond that, words are counted by text first.  Words that
     the counts lack have the loss of a count of 0.  ``lower`` looks up the lower-cased words.
     """
     w = tokens(F.col(text_col), cased and not lower)
-    words = docs.select(F.col(id_col).alias("id"), F.explode(w if first else F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1)))).alias("tok"))
+    words = docs.select(
+        F.col(id_col).alias("id"),
+        F.explode(w if first else F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1)))).alias("tok"),
+    )
     known = near(counts.words)
     each = words.withColumn("m", F.lit(1).cast("long"))
     if known is counts.words:
@@ -93,25 +107,41 @@ def vote_diagnostics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """id, input_tokens, nll_len (losses that both models have) and short (too few to vote) of every text."""
     n = F.size(F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>"))).cast("long")
     losses = F.greatest(n - 1, F.lit(0).cast("long"))
-    return docs.select(F.col(id_col).alias("id"), n.alias("input_tokens"), losses.alias("nll_len"), (losses < 2).alias("short"))
+    return docs.select(
+        F.col(id_col).alias("id"), n.alias("input_tokens"), losses.alias("nll_len"), (losses < 2).alias("short")
+    )
 
 
 def window_vote(losses: DataFrame, sizes: Sequence[int]) -> DataFrame:
     """id and score: the mean over window sizes of the share of windows whose reference loss exceeds the target's."""
     order = Window.partitionBy("id").orderBy("pos")
     n = F.count(F.lit(1)).over(Window.partitionBy("id"))
-    votes = [F.when(F.sum(F.col("uni") - F.col("bi")).over(order.rowsBetween(1 - w, 0)) > 0, 1).otherwise(0).alias(f"v{w}") for w in sizes]
+    votes = [
+        F.when(F.sum(F.col("uni") - F.col("bi")).over(order.rowsBetween(1 - w, 0)) > 0, 1).otherwise(0).alias(f"v{w}")
+        for w in sizes
+    ]
     rows = losses.select("id", n.alias("n"), F.row_number().over(order).alias("r"), *votes)
     share = [F.when(F.max("n") >= w, F.avg(F.when(F.col("r") >= w, F.col(f"v{w}").cast("double")))) for w in sizes]
     got = rows.groupBy("id").agg(F.array_compact(F.array(*share)).alias("t"))
-    return got.filter(F.size("t") > 0).select("id", (F.aggregate("t", F.lit(0.0), lambda a, x: a + x) / F.size("t")).alias("score"))
+    return got.filter(F.size("t") > 0).select(
+        "id", (F.aggregate("t", F.lit(0.0), lambda a, x: a + x) / F.size("t")).alias("score")
+    )
 
 
 def window_minimum(losses: DataFrame, width: int) -> DataFrame:
     """id and score: minus the least mean loss of ``width`` tokens; of all tokens where there are fewer."""
     order = Window.partitionBy("id").orderBy("pos")
-    rows = losses.select("id", F.col("bi"), F.avg("bi").over(order.rowsBetween(1 - width, 0)).alias("m"), F.row_number().over(order).alias("r"))
-    return rows.groupBy("id").agg((-F.when(F.max("r") >= width, F.min(F.when(F.col("r") >= width, F.col("m")))).otherwise(F.avg("bi"))).alias("score"))
+    rows = losses.select(
+        "id",
+        F.col("bi"),
+        F.avg("bi").over(order.rowsBetween(1 - width, 0)).alias("m"),
+        F.row_number().over(order).alias("r"),
+    )
+    return rows.groupBy("id").agg(
+        (
+            -F.when(F.max("r") >= width, F.min(F.when(F.col("r") >= width, F.col("m")))).otherwise(F.avg("bi"))
+        ).alias("score")
+    )
 
 
 def window_perplexity(losses: DataFrame, width: int) -> DataFrame:
@@ -121,7 +151,13 @@ def window_perplexity(losses: DataFrame, width: int) -> DataFrame:
     one is scored whole.
     """
     order = Window.partitionBy("id").orderBy("pos")
-    rows = losses.select("id", "uni", F.avg("uni").over(order.rowsBetween(0, width - 1)).alias("m"), F.row_number().over(order).alias("r"), F.count(F.lit(1)).over(Window.partitionBy("id")).alias("n"))
+    rows = losses.select(
+        "id",
+        "uni",
+        F.avg("uni").over(order.rowsBetween(0, width - 1)).alias("m"),
+        F.row_number().over(order).alias("r"),
+        F.count(F.lit(1)).over(Window.partitionBy("id")).alias("n"),
+    )
     best = F.coalesce(F.min(F.when(F.col("r") <= F.col("n") - width, F.col("m"))), F.lit(float("inf")))
     return rows.groupBy("id").agg(F.exp(F.when(F.max("n") < width, F.avg("uni")).otherwise(best)).alias("perplexity"))
 
@@ -146,7 +182,9 @@ def _distributions(counts: Counts, weight: float) -> tuple[DataFrame, DataFrame,
     xlog = lambda x, k: x * F.pow(F.ln(x), k)
     q, u = F.col("q"), F.col("q") / rest
     parts = {"b1": xlog(q, 1), "b2": xlog(q, 2), "u1": xlog(u, 1), "u2": xlog(u, 2)}
-    base = words.agg(*(F.sum(v).alias(k) for k, v in parts.items()), F.min(F.struct((-q).alias("q"), "tok")).alias("top"))
+    base = words.agg(
+        *(F.sum(v).alias(k) for k, v in parts.items()), F.min(F.struct((-q).alias("q"), "tok")).alias("top")
+    )
     base = stash(base, "unigram-sums")
     p = F.col("p")
     ahead = pairs.groupBy("prev").agg(
@@ -156,7 +194,10 @@ def _distributions(counts: Counts, weight: float) -> tuple[DataFrame, DataFrame,
     )
     mean = F.col("b1") + F.col("d1")
     moments = ahead.crossJoin(F.broadcast(base)).select(
-        "prev", mean.alias("mean"), _deviation(mean, F.col("b2") + F.col("d2")).alias("sd"), F.least("best", "top").alias("star")
+        "prev",
+        mean.alias("mean"),
+        _deviation(mean, F.col("b2") + F.col("d2")).alias("sd"),
+        F.least("best", "top").alias("star")
     )
     return words, pairs, base, stash(moments, "moments")
 
@@ -179,20 +220,47 @@ def token_infilling(docs: DataFrame, weight: float = 0.7, **names: str) -> DataF
     words, pairs, base, ahead = _distributions(count(docs, **names), weight)
     rest = round(1 - weight, 12)
     q, u = F.col("q"), F.col("q") / rest
-    model = pairs.join(ahead, "prev").select("prev", "tok", ((F.ln("p") - F.col("mean")) / F.col("sd")).alias("z"), ((F.ln("p") - F.ln(-F.col("star.q"))) / F.col("sd")).alias("r0"), F.col("star.tok").alias("star"))
+    model = pairs.join(ahead, "prev").select(
+        "prev",
+        "tok",
+        ((F.ln("p") - F.col("mean")) / F.col("sd")).alias("z"),
+        ((F.ln("p") - F.ln(-F.col("star.q"))) / F.col("sd")).alias("r0"),
+        F.col("star.tok").alias("star"),
+    )
     order = Window.partitionBy("id").orderBy("pos")
     rows = toks.filter("pos > 0").join(model, ["prev", "tok"])
-    rows = rows.select("id", "pos", "r0", "star", F.lead("tok").over(order).alias("next"), F.lead("z").over(order).alias("z"), (F.count(F.lit(1)).over(Window.partitionBy("id")) + 1).alias("n"))
+    rows = rows.select(
+        "id",
+        "pos",
+        "r0",
+        "star",
+        F.lead("tok").over(order).alias("next"),
+        F.lead("z").over(order).alias("z"),
+        (F.count(F.lit(1)).over(Window.partitionBy("id")) + 1).alias("n"),
+    )
     other = rows.filter("next is not null").select("star", "next").distinct()
     known = pairs.select(F.col("prev").alias("star"), F.col("tok").alias("next"), "p")
-    other = other.join(words.withColumnRenamed("tok", "next"), "next").join(ahead.select(F.col("prev").alias("star"), "mean", "sd"), "star", "left").join(known, ["star", "next"], "left").crossJoin(F.broadcast(base))
+    other = other.join(words.withColumnRenamed("tok", "next"), "next").join(
+        ahead.select(F.col("prev").alias("star"), "mean", "sd"), "star", "left"
+    ).join(known, ["star", "next"], "left").crossJoin(F.broadcast(base))
     lone = F.col("mean").isNull()
-    after = F.when(lone, (F.ln(u) - F.col("u1")) / _deviation(F.col("u1"), F.col("u2"))).otherwise((F.ln(F.coalesce("p", "q")) - F.col("mean")) / F.col("sd"))
+    after = F.when(
+        lone, (F.ln(u) - F.col("u1")) / _deviation(F.col("u1"), F.col("u2"))
+    ).otherwise((F.ln(F.coalesce("p", "q")) - F.col("mean")) / F.col("sd"))
     other = other.select("star", "next", after.alias("other"))
-    return rows.join(other, ["star", "next"], "left").select("id", "pos", "n", (F.col("r0") + F.coalesce(F.col("z") - F.col("other"), F.lit(0.0))).alias("r"))
+    return rows.join(other, ["star", "next"], "left").select(
+        "id", "pos", "n", (F.col("r0") + F.coalesce(F.col("z") - F.col("other"), F.lit(0.0))).alias("r")
+    )
 
 
-def infilling_mean(docs: DataFrame, scores: DataFrame, share: float = 0.1, last: int | None = None, least: int = 2, id_col: str = "doc_id") -> DataFrame:
+def infilling_mean(
+    docs: DataFrame,
+    scores: DataFrame,
+    share: float = 0.1,
+    last: int | None = None,
+    least: int = 2,
+    id_col: str = "doc_id",
+) -> DataFrame:
     """id and score of every text: the mean of the lowest ``share`` of r, over the ``last`` tokens if given.
 
     A text of fewer than ``least`` tokens, or none, scores 0.
@@ -201,9 +269,15 @@ def infilling_mean(docs: DataFrame, scores: DataFrame, share: float = 0.1, last:
     if last is not None:
         some = some.filter(F.col("pos") > F.col("n") - last)
     of = Window.partitionBy("id")
-    ranked = some.select("id", "r", F.row_number().over(of.orderBy("r", "pos")).alias("k"), F.count(F.lit(1)).over(of).alias("m"))
-    got = ranked.filter(F.col("k") <= F.greatest(F.lit(1), F.floor(F.col("m") * F.lit(share)))).groupBy("id").agg(F.avg("r").alias("score"))
-    return docs.select(F.col(id_col).alias("id")).join(got, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    ranked = some.select(
+        "id", "r", F.row_number().over(of.orderBy("r", "pos")).alias("k"), F.count(F.lit(1)).over(of).alias("m")
+    )
+    got = ranked.filter(
+        F.col("k") <= F.greatest(F.lit(1), F.floor(F.col("m") * F.lit(share)))
+    ).groupBy("id").agg(F.avg("r").alias("score"))
+    return docs.select(F.col(id_col).alias("id")).join(got, "id", "left").select(
+        "id", F.coalesce("score", F.lit(0.0)).alias("score")
+    )
 
 
 def greedy_successors(counts: Counts) -> DataFrame:

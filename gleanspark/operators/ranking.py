@@ -13,11 +13,23 @@ from gleanspark.operators.running import running
 from gleanspark.sources.scratch import near, stash
 
 
-def unpivot(df: DataFrame, keys: Sequence[str], values: Sequence[str], name: str = "metric", value: str = "score") -> DataFrame:
+def unpivot(
+    df: DataFrame, keys: Sequence[str], values: Sequence[str], name: str = "metric", value: str = "score"
+) -> DataFrame:
     return df.unpivot(list(keys), list(values), name, value)
 
 
-def precision_at_k(df: DataFrame, by: Sequence[str], ks: Sequence[int], *, score: str = "score", label: str = "label", order: str = "i", lower_better: bool = True, finite_only: bool = False) -> DataFrame:
+def precision_at_k(
+    df: DataFrame,
+    by: Sequence[str],
+    ks: Sequence[int],
+    *,
+    score: str = "score",
+    label: str = "label",
+    order: str = "i",
+    lower_better: bool = True,
+    finite_only: bool = False,
+) -> DataFrame:
     """by, k, precision, n: the mean label of the k best rows; no row where k exceeds the group.
 
     NaN scores come last when low is better and first otherwise, as an argsort has them; ``finite_only`` drops
@@ -31,8 +43,14 @@ def precision_at_k(df: DataFrame, by: Sequence[str], ks: Sequence[int], *, score
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     sums = top.groupBy(*by).agg(*(F.sum(F.when(F.col("_rank") <= k, F.col(label))).alias(f"_{k}") for k in ks))
     rows = sizes.join(sums, list(by)) if by else sizes.crossJoin(sums)
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), (F.col(f"_{k}") / F.lit(float(k))).alias("precision")) for k in ks if k > 0)))
-    return rows.select(*by, "n", each.alias("_p")).select(*by, "_p.k", "_p.precision", "n").filter(F.col("k") <= F.col("n"))
+    each = F.explode(
+        F.array(
+            *(F.struct(F.lit(k).alias("k"), (F.col(f"_{k}") / F.lit(float(k))).alias("precision")) for k in ks if k > 0)
+        )
+    )
+    return rows.select(*by, "n", each.alias("_p")).select(
+        *by, "_p.k", "_p.precision", "n"
+    ).filter(F.col("k") <= F.col("n"))
 
 
 def precision_report(
@@ -120,7 +138,9 @@ def roc_auc(df: DataFrame, by: Sequence[str], *, score: str = "score", label: st
     return got.select(*by, auc.alias("auc"), F.greatest(auc, 1 - auc).alias("auc_dir"), "n_pos", "n_neg")
 
 
-def oriented(df: DataFrame, by: Sequence[str], split: str = "split", on: str = "val", score: str = "score") -> DataFrame:
+def oriented(
+    df: DataFrame, by: Sequence[str], split: str = "split", on: str = "val", score: str = "score"
+) -> DataFrame:
     """``df`` with scores negated where that gives the better AUC on the rows of split ``on``."""
     flips = roc_auc(df.filter(F.col(split) == on), by, score=score)
     flips = flips.select(*by, F.coalesce(F.col("auc") < 0.5, F.lit(False)).alias("_flip"))
@@ -147,7 +167,9 @@ def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return row.select(F.explode(F.array(*(f"_{i}" for i in range(len(pairs))))).alias("_r")).select("_r.*")
 
 
-def best_threshold(df: DataFrame, by: Sequence[str], *, score: str = "score", label: str = "label", higher: bool = True) -> DataFrame:
+def best_threshold(
+    df: DataFrame, by: Sequence[str], *, score: str = "score", label: str = "label", higher: bool = True
+) -> DataFrame:
     """by, threshold, balanced_accuracy: the best midpoint of neighbouring distinct scores, the smallest on ties.
 
     Scores are counted first, so that one sweep of running sums tries every midpoint.
@@ -156,7 +178,9 @@ def best_threshold(df: DataFrame, by: Sequence[str], *, score: str = "score", la
     totals = df.groupBy(*by).agg(F.sum(label).alias("pt"), F.sum(1 - F.col(label)).alias("qt"))
     below = running(counts, by, [score], {"pl": F.col("p"), "ql": F.col("q"), "_n": F.lit(1).cast("long")})
     above = below.select(*by, F.col("_n"), F.col(score).alias("_next"), "pl", "ql")
-    pairs = _join_nulls(above, below.select(*by, (F.col("_n") + 1).alias("_n"), F.col(score).alias("_low")), [*by, "_n"])
+    pairs = _join_nulls(
+        above, below.select(*by, (F.col("_n") + 1).alias("_n"), F.col(score).alias("_low")), [*by, "_n"]
+    )
     s = _join_nulls(pairs.filter(F.col("_low").isNotNull()), totals, by).filter("pt > 0 and qt > 0")
     right = (F.col("ql") / F.col("qt") + (F.col("pt") - F.col("pl")) / F.col("pt")) / 2
     tried = s.select(
@@ -169,7 +193,9 @@ def best_threshold(df: DataFrame, by: Sequence[str], *, score: str = "score", la
     return best.select(*by, "_b.*")
 
 
-def balanced_accuracy(df: DataFrame, by: Sequence[str], *, label: str = "label", predicted: str = "predicted") -> DataFrame:
+def balanced_accuracy(
+    df: DataFrame, by: Sequence[str], *, label: str = "label", predicted: str = "predicted"
+) -> DataFrame:
     """by and balanced_accuracy: the mean of both classes' recalls; 0 where a class is empty."""
     right = lambda v: F.count_if((F.col(label) == v) & (F.col(predicted) == v)) / F.count_if(F.col(label) == v)
     both = (F.count_if(F.col(label) == 0) > 0) & (F.count_if(F.col(label) == 1) > 0)
@@ -183,18 +209,24 @@ def class_medians(df: DataFrame, by: Sequence[str], *, score: str = "score", lab
     return got.withColumn("midpoint", F.coalesce((F.col("median_0") + F.col("median_1")) / 2, "median_1", "median_0"))
 
 
-def midpoint_threshold(df: DataFrame, by: Sequence[str], *, score: str = "score", label: str = "label", higher: bool = True) -> DataFrame:
+def midpoint_threshold(
+    df: DataFrame, by: Sequence[str], *, score: str = "score", label: str = "label", higher: bool = True
+) -> DataFrame:
     """by and threshold: the midpoint of the classes' medians or, where that puts all rows on one side, the median of
     the class beyond it; null where that does too, and with one class only."""
     m = lambda v: F.percentile(F.when(F.col(label) == v, F.col(score)), 0.5)
-    got = df.groupBy(*by).agg(m(0).alias("_0"), m(1).alias("_1"), F.min(score).alias("_low"), F.max(score).alias("_high"))
+    got = df.groupBy(*by).agg(
+        m(0).alias("_0"), m(1).alias("_1"), F.min(score).alias("_low"), F.max(score).alias("_high")
+    )
     splits = lambda t: (F.col("_high") > t) & (F.col("_low") <= t) if higher else (F.col("_low") < t) & (F.col("_high") >= t)
     middle, other = (F.col("_0") + F.col("_1")) / 2, F.col("_1" if higher else "_0")
     found = F.when(splits(middle), middle).when(splits(other) & middle.isNotNull(), other)
     return got.select(*by, found.alias("threshold"))
 
 
-def majority_threshold(df: DataFrame, by: Sequence[str], *, score: str = "score", label: str = "label", higher: bool = True) -> DataFrame:
+def majority_threshold(
+    df: DataFrame, by: Sequence[str], *, score: str = "score", label: str = "label", higher: bool = True
+) -> DataFrame:
     """by and threshold: one that gives all rows the majority's label (0 on ties), just outside the scores."""
     member = F.count_if(F.col(label) == 1) > F.count_if(F.col(label) == 0)
     eps = F.lit(1e-9) * F.greatest(F.lit(1.0), F.abs(F.max(score)))
@@ -202,14 +234,18 @@ def majority_threshold(df: DataFrame, by: Sequence[str], *, score: str = "score"
     return df.groupBy(*by).agg(F.when(below, F.min(score) - eps).otherwise(F.max(score) + eps).alias("threshold"))
 
 
-def calibrated_threshold(df: DataFrame, by: Sequence[str], *, score: str = "score", label: str = "label", higher: bool = True) -> DataFrame:
+def calibrated_threshold(
+    df: DataFrame, by: Sequence[str], *, score: str = "score", label: str = "label", higher: bool = True
+) -> DataFrame:
     """by, threshold and method: the best midpoint, else the medians' midpoint, else the majority's side."""
     names = {"score": score, "label": label, "higher": higher}
     best = best_threshold(df, by, **names).select(*by, F.col("threshold").alias("_best"))
     middle = midpoint_threshold(df, by, **names).withColumnRenamed("threshold", "_middle")
     every = majority_threshold(df, by, **names).withColumnRenamed("threshold", "_every")
     joined = _join_nulls(_join_nulls(every, middle, by), best, by)
-    method = F.when(F.col("_best").isNotNull(), "sweep").when(F.col("_middle").isNotNull(), "medians").otherwise("majority")
+    method = F.when(F.col("_best").isNotNull(), "sweep").when(
+        F.col("_middle").isNotNull(), "medians"
+    ).otherwise("majority")
     return joined.select(*by, F.coalesce("_best", "_middle", "_every").alias("threshold"), method.alias("method"))
 
 
@@ -217,7 +253,9 @@ def threshold_label(score: Column, threshold: Column, higher: bool = True) -> Co
     return (score > threshold if higher else score < threshold).cast("int")
 
 
-def proxy_label(df: DataFrame, by: Sequence[str], threshold: float | None = None, *, score: str = "score", higher: bool = True) -> DataFrame:
+def proxy_label(
+    df: DataFrame, by: Sequence[str], threshold: float | None = None, *, score: str = "score", higher: bool = True
+) -> DataFrame:
     """``df`` with label: whether a score lies strictly beyond the threshold, or without one beyond its group's median.
 
     Null in degenerate groups: fewer than 2 rows (4 for the median), constant scores, or one side empty.

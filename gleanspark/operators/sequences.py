@@ -13,7 +13,9 @@ from gleanspark.functions.text import cosine, entropy01, let, minmax01, norm, pe
 def overlap(a: Column, b: Column) -> Column:
     """Share of equal places over the shorter length; 0 if that is 0."""
     n = F.least(F.size(a), F.size(b))
-    same = F.size(F.filter(F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: x == y), lambda x: x))
+    same = F.size(
+        F.filter(F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: x == y), lambda x: x)
+    )
     return F.when(n > 0, same / n).otherwise(0.0)
 
 
@@ -32,7 +34,12 @@ def explored(scores: Column, share: Column | float) -> Column:
 
 def cheap_logits(lp: Column, strength: float, scale: float, sign: float = 1.0) -> Column:
     """Log-probabilities less a penalty that grows with confidence."""
-    return let(entropy01(softmax(lp)), lambda h: F.zip_with(lp, minmax01(lp), lambda x, m: x - F.lit(strength * sign) * (1 + F.lit(scale) * (1 - h)) * m))
+    return let(
+        entropy01(softmax(lp)),
+        lambda h: F.zip_with(
+            lp, minmax01(lp), lambda x, m: x - F.lit(strength * sign) * (1 + F.lit(scale) * (1 - h)) * m
+        ),
+    )
 
 
 def mean_gate(a: Column, b: Column, gamma: float) -> Column:
@@ -48,21 +55,38 @@ def contrastive(target: Column, reference: Column | None, strength: float, gamma
     cheap = cheap_logits(target, 0.35, 0.5)
     if reference is None:
         return cheap
-    moved = let(mean_gate(target, reference, gamma), lambda g: F.zip_with(target, reference, lambda t, r: t + F.lit(strength) * g * (r - t)))
+    moved = let(
+        mean_gate(target, reference, gamma),
+        lambda g: F.zip_with(target, reference, lambda t, r: t + F.lit(strength) * g * (r - t)),
+    )
     return F.when(reference.isNotNull() & (F.size(reference) == F.size(target)), moved).otherwise(cheap)
 
 
-def gated(lp: Column, risks: Column, prefix: Column, strength: float, gamma: float, aux: float = 0.0, mode: str = "delta", sign: float = 1.0) -> Column:
+def gated(
+    lp: Column,
+    risks: Column,
+    prefix: Column,
+    strength: float,
+    gamma: float,
+    aux: float = 0.0,
+    mode: str = "delta",
+    sign: float = 1.0,
+) -> Column:
     """Log-probabilities less a capped penalty of the candidates' risks, gated by the prefix's risk (slow and fast)."""
     pen = penalty(risks, prefix, mode)
     side = minmax01(lp) if aux > 0 else F.transform(lp, lambda x: F.lit(0.0))
     both = F.zip_with(pen, side, lambda g, a: F.least(F.lit(1.0), g + F.lit(aux) * a))
-    return let(sigmoid(F.lit(gamma) * prefix), lambda w: F.zip_with(lp, both, lambda x, g: x - F.lit(strength * sign) * w * g))
+    return let(
+        sigmoid(F.lit(gamma) * prefix), lambda w: F.zip_with(lp, both, lambda x, g: x - F.lit(strength * sign) * w * g)
+    )
 
 
 def legacy_fast(lp: Column, prefix: Column, strength: float, gamma: float, sign: float = 1.0) -> Column:
     """The fast mode without candidates' risks: penalties by the log-probabilities themselves."""
-    return let(sigmoid(F.lit(gamma) * prefix), lambda w: F.zip_with(lp, minmax01(lp), lambda x, m: x - F.lit(strength * sign) * w * m))
+    return let(
+        sigmoid(F.lit(gamma) * prefix),
+        lambda w: F.zip_with(lp, minmax01(lp), lambda x, m: x - F.lit(strength * sign) * w * m),
+    )
 
 
 def refreshed(step: Column, every: int, first: Column) -> Column:
@@ -80,10 +104,25 @@ def sparse_risks(lp: Column, risks: Column, prefix: Column, top: int, scored: Co
     """Risks of the ``top`` likeliest candidates where the step scores any; the prefix's risk for all others."""
     order = F.array_sort(F.transform(lp, lambda x, i: F.struct((-x).alias("v"), i.alias("i"))))
     best = F.transform(F.slice(order, 1, max(top, 1)), lambda s: s["i"])
-    return let(best, lambda b: F.transform(risks, lambda r, i: F.when(scored & F.array_contains(b, i) & F.lit(top > 0), r).otherwise(prefix)))
+    return let(
+        best,
+        lambda b: F.transform(
+            risks, lambda r, i: F.when(scored & F.array_contains(b, i) & F.lit(top > 0), r).otherwise(prefix)
+        ),
+    )
 
 
-def vote_gate(lp: Column, reference: Column | None, risks: Column | None, prefix: Column, vote: Column, strength: float, contrast: float, gamma: float, mode: str = "delta") -> Column:
+def vote_gate(
+    lp: Column,
+    reference: Column | None,
+    risks: Column | None,
+    prefix: Column,
+    vote: Column,
+    strength: float,
+    contrast: float,
+    gamma: float,
+    mode: str = "delta",
+) -> Column:
     """Log-probabilities moved under the product of the risk's and the window vote's gates.
 
     Along the difference to a reference of the same words; else less the candidates' penalties, or without risks
@@ -107,7 +146,10 @@ def adjusted(scores: Column) -> Column:
 def top_k_only(p: Column, k: int) -> Column:
     """A distribution cut to its ``k`` likeliest entries (ties by place) and renormalized."""
     order = F.array_sort(F.transform(p, lambda x, i: F.struct((-x).alias("v"), i.alias("i"))))
-    return let(F.transform(F.slice(order, 1, k), lambda s: s["i"]), lambda b: _renormalized(F.transform(p, lambda x, i: F.when(F.array_contains(b, i), x).otherwise(0.0))))
+    return let(
+        F.transform(F.slice(order, 1, k), lambda s: s["i"]),
+        lambda b: _renormalized(F.transform(p, lambda x, i: F.when(F.array_contains(b, i), x).otherwise(0.0))),
+    )
 
 
 def nucleus_only(p: Column, share: float) -> Column:
@@ -115,9 +157,16 @@ def nucleus_only(p: Column, share: float) -> Column:
     order = F.array_sort(F.transform(p, lambda x, i: F.struct((-x).alias("v"), i.alias("i"))))
 
     def kept(s: Column) -> Column:
-        before = F.transform(s, lambda e, k: F.struct(e["i"].alias("i"), total(F.transform(F.slice(s, F.lit(1), k), lambda f: -f["v"])).alias("b")))
+        before = F.transform(
+            s,
+            lambda e, k: F.struct(
+                e["i"].alias("i"), total(F.transform(F.slice(s, F.lit(1), k), lambda f: -f["v"])).alias("b")
+            ),
+        )
         ids = F.transform(F.filter(before, lambda e: e["b"] < share), lambda e: e["i"])
-        return let(ids, lambda b: _renormalized(F.transform(p, lambda x, i: F.when(F.array_contains(b, i), x).otherwise(0.0))))
+        return let(
+            ids, lambda b: _renormalized(F.transform(p, lambda x, i: F.when(F.array_contains(b, i), x).otherwise(0.0)))
+        )
 
     return let(order, kept)
 
@@ -145,7 +194,9 @@ def array_vote(pairs: Column, sizes: list[int]) -> Column:
         return F.when(n >= w, wins / (n - w + 1))
 
     shares = F.array_compact(F.array(*(share(w) for w in sizes)))
-    return F.when(n < 2, F.lit(0.0)).otherwise(let(shares, lambda a: F.when(F.size(a) > 0, total(a) / F.size(a)).otherwise(0.0)))
+    return F.when(n < 2, F.lit(0.0)).otherwise(
+        let(shares, lambda a: F.when(F.size(a) > 0, total(a) / F.size(a)).otherwise(0.0))
+    )
 
 
 def feature_norms(v: Column) -> list[Column]:
@@ -169,7 +220,15 @@ def _masked(a: Column) -> list[Column]:
 
     some = lambda c: F.when(n > 0, c).otherwise(0.0)
     std = let(mean, lambda m: F.sqrt(total(F.transform(a, lambda x: (x - m) * (x - m))) / n))
-    return [some(mean).alias("mean"), some(std).alias("std"), some(F.get(a, F.lit(0))).alias("min"), some(F.get(a, n - 1)).alias("max"), some(F.get(a, F.floor((n - 1) / 2).cast("int"))).alias("median"), some(quantile(0.25)).alias("p25"), some(quantile(0.75)).alias("p75")]
+    return [
+        some(mean).alias("mean"),
+        some(std).alias("std"),
+        some(F.get(a, F.lit(0))).alias("min"),
+        some(F.get(a, n - 1)).alias("max"),
+        some(F.get(a, F.floor((n - 1) / 2).cast("int"))).alias("median"),
+        some(quantile(0.25)).alias("p25"),
+        some(quantile(0.75)).alias("p75"),
+    ]
 
 
 def context_evolution(rows: DataFrame, group: str, order: str, vec: str) -> DataFrame:
@@ -178,7 +237,9 @@ def context_evolution(rows: DataFrame, group: str, order: str, vec: str) -> Data
     w = Window.partitionBy(group, "d").orderBy(order)
     mean = F.avg("x").over(w.rowsBetween(Window.unboundedPreceding, 0))
     moved = dims.select(group, order, "d", mean.alias("m")).withColumn("step", F.col("m") - F.lag("m").over(w))
-    return moved.filter("step is not null").groupBy(group, order).agg(F.sqrt(F.sum(F.col("step") * F.col("step"))).alias("change"))
+    return moved.filter("step is not null").groupBy(group, order).agg(
+        F.sqrt(F.sum(F.col("step") * F.col("step"))).alias("change")
+    )
 
 
 def transitions(rows: DataFrame, group: str, order: str, vec: str) -> DataFrame:
@@ -193,7 +254,12 @@ def transition_extremes(moves: DataFrame, group: str, order: str, length: int |
     """group and the places (0 to 1) of the least and greatest distance among its moves, the first on ties."""
     first = lambda c: F.min_by(F.col(order), F.struct(c, F.col(order)))
     low, high = F.min(order), F.max(order)
-    got = moves.groupBy(group).agg(first(F.col("distance")).alias("at_least"), first(-F.col("distance")).alias("at_most"), low.alias("_low"), high.alias("_high"))
+    got = moves.groupBy(group).agg(
+        first(F.col("distance")).alias("at_least"),
+        first(-F.col("distance")).alias("at_most"),
+        low.alias("_low"),
+        high.alias("_high"),
+    )
     span = F.greatest(F.col("_high") - F.col("_low"), F.lit(1))
     place = lambda c: ((F.col(c) - F.col("_low")) / span).alias(c)
     return got.select(group, place("at_least"), place("at_most"))
@@ -215,7 +281,9 @@ def attention_stats(cells: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("t") == F.col("s") + 1, F.col("w"))).alias("prev"),
     )
     lower = mean.groupBy("layer").agg(F.expr("percentile_disc(0.5) within group (order by w)").alias("m"))
-    sparse = mean.join(F.broadcast(lower), "layer").groupBy("layer").agg((F.count_if(F.col("w") < F.col("m")) / F.count(F.lit(1))).alias("sparsity"))
+    sparse = mean.join(F.broadcast(lower), "layer").groupBy("layer").agg(
+        (F.count_if(F.col("w") < F.col("m")) / F.count(F.lit(1))).alias("sparsity")
+    )
     stats = row.groupBy("layer").agg(
         F.avg("h").alias("entropy"),
         F.avg("top").alias("concentration"),
@@ -250,7 +318,11 @@ def activation_stats(v: Column, eps: float = 1e-6) -> list[Column]:
 
 def prediction_stats(p: Column) -> list[Column]:
     top = F.sort_array(p, False)
-    return [(-total(F.transform(p, lambda x: x * F.ln(F.greatest(x, F.lit(1e-12)))))).alias("entropy"), F.get(top, F.lit(0)).alias("top1"), (F.get(top, F.lit(0)) - F.coalesce(F.get(top, F.lit(1)), F.lit(0.0))).alias("margin")]
+    return [
+        (-total(F.transform(p, lambda x: x * F.ln(F.greatest(x, F.lit(1e-12)))))).alias("entropy"),
+        F.get(top, F.lit(0)).alias("top1"),
+        (F.get(top, F.lit(0)) - F.coalesce(F.get(top, F.lit(1)), F.lit(0.0))).alias("margin"),
+    ]
 
 
 def stability(top1: str) -> Column:
@@ -268,7 +340,9 @@ def local_std(v: Column, mask: Column, reach: int = 2) -> list[Column]:
         spread = lambda k: let(total(k) / F.size(k), lambda m: F.sqrt(total(F.transform(k, lambda x: (x - m) * (x - m))) / F.size(k)))
         return let(part, lambda k: F.when(F.size(k) >= 2, spread(k)).otherwise(0.0))
 
-    return [near(c).alias(name) for name, c in (("first", F.lit(0)), ("mid", F.floor(n / 2).cast("int")), ("last", n - 1))]
+    return [
+        near(c).alias(name) for name, c in (("first", F.lit(0)), ("mid", F.floor(n / 2).cast("int")), ("last", n - 1))
+    ]
 
 
 def seeded_pairs(vocabulary: int, hidden: int, n: int, seed: int) -> list[tuple[int, int]]:
@@ -279,7 +353,12 @@ def seeded_pairs(vocabulary: int, hidden: int, n: int, seed: int) -> list[tuple[
 
 def select_mc_arrays(o: Column, h: Column, pairs: list[tuple[int, int]], deltas: list[float], scale: float) -> Column:
     """The same score of one row's arrays, over pairs that all rows share."""
-    drawn = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(float(d)).alias("d")) for (i, j), d in zip(pairs, deltas, strict=True)))
+    drawn = F.array(
+        *(
+            F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(float(d)).alias("d"))
+            for (i, j), d in zip(pairs, deltas, strict=True)
+        )
+    )
     return F.lit(scale) * total(F.transform(drawn, lambda p: F.get(o, p["i"]) * F.get(h, p["j"]) * p["d"]))
 
 

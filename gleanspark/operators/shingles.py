@@ -25,14 +25,20 @@ def windows(docs: DataFrame, size: int, step: int = 1) -> DataFrame:
     """
     n = F.length("norm")
     if step > 1:
-        found = F.regexp_extract_all(F.substring("norm", step, 2**31 - 1), F.lit(f"(?s)(?=(.{{{size}}})).{{1,{step}}}"), F.lit(1))
+        found = F.regexp_extract_all(
+            F.substring("norm", step, 2**31 - 1), F.lit(f"(?s)(?=(.{{{size}}})).{{1,{step}}}"), F.lit(1)
+        )
         placed = docs.filter(n >= size + step - 1).select("id", F.posexplode(found).alias("k", "shingle"))
         return placed.select("id", ((F.col("k") + 1) * step).alias("p"), "shingle")
     cut = F.regexp_extract_all("norm", F.lit(f"(?s)(?=(.{{1,{BLOCK + size - 1}}})).{{1,{BLOCK}}}"), F.lit(1))
     blocks = docs.filter(n >= size).select("id", F.posexplode(cut).alias("k", "part")).filter(F.length("part") >= size)
     places = F.sequence(F.lit(1), F.least(F.length("part") - (size - 1), F.lit(BLOCK)))
     placed = blocks.select("id", "k", "part", F.explode(places).alias("q"))
-    return placed.select("id", (F.col("k") * BLOCK + F.col("q")).alias("p"), F.substring("part", F.col("q"), F.lit(size)).alias("shingle"))
+    return placed.select(
+        "id",
+        (F.col("k") * BLOCK + F.col("q")).alias("p"),
+        F.substring("part", F.col("q"), F.lit(size)).alias("shingle"),
+    )
 
 
 def normalized(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
@@ -42,7 +48,11 @@ def normalized(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFram
 def shingle_hashes(docs: DataFrame, size: int) -> DataFrame:
     """id, p and hash; a shorter text that isn't empty is one shingle."""
     long = windows(docs, size).select("id", "p", short_hash(F.col("shingle")).alias("hash"))
-    return long.union(docs.filter((F.length("norm") < size) & (F.length("norm") > 0)).select("id", F.lit(1).alias("p"), short_hash(F.col("norm")).alias("hash")))
+    return long.union(
+        docs.filter((F.length("norm") < size) & (F.length("norm") > 0)).select(
+            "id", F.lit(1).alias("p"), short_hash(F.col("norm")).alias("hash")
+        )
+    )
 
 
 def build_index(corpus: DataFrame, id_col: str, size: int) -> DataFrame:
@@ -77,7 +87,9 @@ def coverage_label(
     if run < 1:
         if not compat:
             raise ValueError("the shingle is longer than the match: every long text would be positive")
-        some = texts.filter((F.length("norm") < match) & (F.length("norm") > 0)).select("id", short_hash(F.col("norm")).alias("hash"))
+        some = texts.filter(
+            (F.length("norm") < match) & (F.length("norm") > 0)
+        ).select("id", short_hash(F.col("norm")).alias("hash"))
         short = some.join(known, "hash", "left_semi")
         hits = short.select("id").union(texts.filter(F.length("norm") >= match).select("id"))
         hits = hits.distinct()

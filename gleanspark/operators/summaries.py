@@ -19,13 +19,26 @@ PARTS = (0.05, 0.25, 0.5, 0.75, 0.95)
 def five_stats(x: str) -> list[Column]:
     """mean, sum, std (population), min, max; NaN in, NaN out, as arrays have it."""
     nan = F.bool_or(F.isnan(x))
-    return [F.avg(x).alias("mean"), F.sum(x).alias("sum"), F.stddev_pop(x).alias("std"), F.when(nan, float("nan")).otherwise(F.min(x)).alias("min"), F.max(x).alias("max")]
+    return [
+        F.avg(x).alias("mean"),
+        F.sum(x).alias("sum"),
+        F.stddev_pop(x).alias("std"),
+        F.when(nan, float("nan")).otherwise(F.min(x)).alias("min"),
+        F.max(x).alias("max"),
+    ]
 
 
 def dist_summary(df: DataFrame, x: str, by: str | None = None) -> DataFrame:
     """One row for all and, with ``by``, one for each of its values: n, mean, std, min, max and percentiles."""
     marks = [F.percentile(x, p).alias(f"p{round(p * 100)}") for p in PARTS]
-    aggs = [F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), *marks]
+    aggs = [
+        F.count(F.lit(1)).alias("n"),
+        F.avg(x).alias("mean"),
+        F.stddev_pop(x).alias("std"),
+        F.min(x).alias("min"),
+        F.max(x).alias("max"),
+        *marks,
+    ]
     return df.agg(*aggs) if by is None else df.rollup(by).agg(*aggs)
 
 
@@ -51,7 +64,9 @@ def length_stats(df: DataFrame, by: str, text_col: str = "text") -> DataFrame:
         F.struct(F.lit("words").alias("unit"), words.alias("v")),
     )
     rows = df.select(F.col(by), F.explode(units).alias("u")).select(by, "u.*")
-    sums = rows.groupBy(by, "unit").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"))
+    sums = rows.groupBy(by, "unit").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.min("v").alias("min"), F.max("v").alias("max")
+    )
     marks = nearest_ranks(rows, "v", (0.5, 0.9, 0.99), (by, "unit"))
     wide = marks.groupBy(F.col(by).alias("_by"), F.col("unit").alias("_unit")).agg(
         *(F.max(F.when(F.col("p") == p, F.col("value"))).alias(f"p{round(p * 100)}") for p in (0.5, 0.9, 0.99))
@@ -63,12 +78,21 @@ def length_stats(df: DataFrame, by: str, text_col: str = "text") -> DataFrame:
 def zero_quantification(df: DataFrame, x: str, short: Column, by: str) -> DataFrame:
     zero = F.col(x) == 0
     count = lambda c, name: F.count_if(c).alias(name)
-    return df.rollup(by).agg(F.count(F.lit(1)).alias("n"), count(zero, "zero"), (F.count_if(zero) / F.count(F.lit(1))).alias("zero_share"), count(short, "short"), count(zero & short, "zero_short"), count(zero & ~short, "zero_long"))
+    return df.rollup(by).agg(
+        F.count(F.lit(1)).alias("n"),
+        count(zero, "zero"),
+        (F.count_if(zero) / F.count(F.lit(1))).alias("zero_share"),
+        count(short, "short"),
+        count(zero & short, "zero_short"),
+        count(zero & ~short, "zero_long"),
+    )
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """The first row of each key by ``order``."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
+    return df.withColumn(
+        "_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    ).filter("_n = 1").drop("_n")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, batch: str) -> DataFrame:
@@ -89,8 +113,12 @@ def union_first(tables: Sequence[DataFrame], key: str) -> DataFrame:
 
 def positional_join(a: DataFrame, b: DataFrame, index: str) -> DataFrame:
     """Both tables' columns by equal index; an error unless each index is once in either."""
-    marks = a.select(index, F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(b.select(index, F.lit(0).alias("a"), F.lit(1).alias("b")))
-    odd = marks.groupBy(index).agg(F.sum("a").alias("a"), F.sum("b").alias("b")).filter("a <> 1 or b <> 1").limit(3).collect()
+    marks = a.select(index, F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(
+        b.select(index, F.lit(0).alias("a"), F.lit(1).alias("b"))
+    )
+    odd = marks.groupBy(index).agg(
+        F.sum("a").alias("a"), F.sum("b").alias("b")
+    ).filter("a <> 1 or b <> 1").limit(3).collect()
     if odd:
         raise ValueError(f"rows do not match: {[(r[0], r.a, r.b) for r in odd]} (index, rows in either table)")
     return a.join(b, index)
@@ -107,10 +135,19 @@ def merge_payloads(shards: Sequence[DataFrame], model: str, example: str) -> Dat
 
 def mode_summary(rows: DataFrame, by: str, modes: Sequence[str]) -> DataFrame:
     """by, mode, mean_overlap, mean_lcp and n_scored over the columns <mode>_overlap and <mode>_lcp; 0 without values."""
-    each = F.explode(F.array(*(F.struct(F.lit(m).alias("mode"), F.col(f"{m}_overlap").alias("o"), F.col(f"{m}_lcp").alias("l")) for m in modes)))
+    each = F.explode(
+        F.array(
+            *(
+                F.struct(F.lit(m).alias("mode"), F.col(f"{m}_overlap").alias("o"), F.col(f"{m}_lcp").alias("l"))
+                for m in modes
+            )
+        )
+    )
     long = rows.select(by, each.alias("m")).select(by, "m.*")
     mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
-    return long.groupBy(by, "mode").agg(mean("o").alias("mean_overlap"), mean("l").alias("mean_lcp"), F.count("o").alias("n_scored"))
+    return long.groupBy(by, "mode").agg(
+        mean("o").alias("mean_overlap"), mean("l").alias("mean_lcp"), F.count("o").alias("n_scored")
+    )
 
 
 def wall_and_span(rows: DataFrame, by: str, wall: str, index: str) -> DataFrame:
@@ -127,12 +164,18 @@ def gate(rows: DataFrame, keep: Column, least: int, *, label: str | None = None,
     return kept
 
 
-def skip_existing(runs: DataFrame, manifest: DataFrame, key: str, done: Sequence[str] = ("ok", "skipped_existing")) -> DataFrame:
+def skip_existing(
+    runs: DataFrame, manifest: DataFrame, key: str, done: Sequence[str] = ("ok", "skipped_existing")
+) -> DataFrame:
     """The runs that the manifest does not have as done."""
-    return runs.join(near(stash(manifest.filter(F.col("status").isin(*done)).select(key).distinct(), "done")), key, "left_anti")
+    return runs.join(
+        near(stash(manifest.filter(F.col("status").isin(*done)).select(key).distinct(), "done")), key, "left_anti"
+    )
 
 
-def keyed_config(rows: DataFrame, configs: dict[str, dict[str, str]], key: str, default: str | None = None) -> DataFrame:
+def keyed_config(
+    rows: DataFrame, configs: dict[str, dict[str, str]], key: str, default: str | None = None
+) -> DataFrame:
     """``rows`` with the fields of the configuration that their key names; a miss is an error, or takes ``default``."""
     spark = rows.sparkSession
     fields = sorted({f for c in configs.values() for f in c})
@@ -140,7 +183,9 @@ def keyed_config(rows: DataFrame, configs: dict[str, dict[str, str]], key: str,
     table = F.broadcast(spark.createDataFrame([(k, *(c.get(f) for f in fields)) for k, c in configs.items()], schema))
     wanted = F.col(key)
     if default is None:
-        missing = rows.select(key).distinct().join(table, wanted.eqNullSafe(F.col("_key")), "left_anti").limit(3).collect()
+        missing = rows.select(key).distinct().join(
+            table, wanted.eqNullSafe(F.col("_key")), "left_anti"
+        ).limit(3).collect()
         if missing:
             raise ValueError(f"no configuration for {[r[0] for r in missing]}")
     else:
@@ -156,7 +201,12 @@ def shard_of(i: Column, n: Column, shards: int) -> Column:
 def merge_checks(df: DataFrame, index: str) -> DataFrame:
     """n, distinct, duplicated indexes and missing ones within the span."""
     per = df.groupBy(index).agg(F.count(F.lit(1)).alias("c"))
-    return per.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_distinct"), F.count_if(F.col("c") > 1).alias("n_duplicated"), (F.max(index) - F.min(index) + 1 - F.count(F.lit(1))).alias("n_missing"))
+    return per.agg(
+        F.sum("c").alias("n"),
+        F.count(F.lit(1)).alias("n_distinct"),
+        F.count_if(F.col("c") > 1).alias("n_duplicated"),
+        (F.max(index) - F.min(index) + 1 - F.count(F.lit(1))).alias("n_missing"),
+    )
 
 
 def config_signatures(runs: DataFrame, config: str, *, skip: Sequence[str], defaults: dict[str, str]) -> DataFrame:
@@ -165,7 +215,9 @@ def config_signatures(runs: DataFrame, config: str, *, skip: Sequence[str], defa
     ``config`` is a map of strings; keys it lacks take their ``defaults``, keys in ``skip`` don't count.  More than
     one row means that the runs must not be merged.
     """
-    missing = F.create_map(*(F.lit(x) for kv in defaults.items() for x in kv)) if defaults else F.create_map().cast("map<string,string>")
+    missing = F.create_map(
+        *(F.lit(x) for kv in defaults.items() for x in kv)
+    ) if defaults else F.create_map().cast("map<string,string>")
     own = F.coalesce(config, F.create_map().cast("map<string,string>"))
     whole = F.map_concat(F.map_filter(missing, lambda k, _: ~F.map_contains_key(own, k)), own)
     entries = F.sort_array(F.map_entries(F.map_filter(whole, lambda k, _: ~k.isin(list(skip)))))
@@ -202,7 +254,9 @@ def stratified_split(df: DataFrame, key: str, label: str, seed: int, test: float
     Rows are numbered within their label in a seeded order, and labels take turns by the share of them that has been
     dealt, so that each split has each label's share within a row.
     """
-    numbered = running(df.withColumn("_order", seeded(key, seed)), [label], ["_order", key], {"_k": F.lit(1).cast("long")})
+    numbered = running(
+        df.withColumn("_order", seeded(key, seed)), [label], ["_order", key], {"_k": F.lit(1).cast("long")}
+    )
     sizes = numbered.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_n"))
     placed = numbered.join(F.broadcast(sizes), F.col(label).eqNullSafe(F.col("_label")))
     at = ((F.col("_k") + 0.5) / F.col("_n")).alias("_at")
@@ -218,4 +272,10 @@ def pair_delta(df: DataFrame, run: str, base: str, post: str, on: str, value: st
     """Value of the post run less that of the base run; status tells where one is missing."""
     a = df.filter(F.col(run) == base).select(on, F.col(value).alias("base"))
     b = df.filter(F.col(run) == post).select(on, F.col(value).alias("post"))
-    return a.join(b, on, "full").select(on, "base", "post", (F.col("post") - F.col("base")).alias("delta"), F.when(F.col("base").isNull() | F.col("post").isNull(), "missing").otherwise("ok").alias("status"))
+    return a.join(b, on, "full").select(
+        on,
+        "base",
+        "post",
+        (F.col("post") - F.col("base")).alias("delta"),
+        F.when(F.col("base").isNull() | F.col("post").isNull(), "missing").otherwise("ok").alias("status"),
+    )

@@ -21,59 +21,88 @@ def _plain(text="text"):
 def jsonl_scan(s, d):
     path = scratch_path(s, "jsonl")
     sources.write_jsonl(table(s, d, "documents").select("doc_id", "text"), path)
-    return sources.read_jsonl(s, path, "doc_id long, text string", strict=True).select("doc_id", F.sha2("text", 256).alias("text_sha"))
+    return sources.read_jsonl(
+        s, path, "doc_id long, text string", strict=True
+    ).select("doc_id", F.sha2("text", 256).alias("text_sha"))
 
 
-@query("select count(*) filter (where event_id % 7 = 0) n_malformed, count(*) n_rows, count(*) filter (where event_id % 7 <> 0) n_good from events")
+@query(
+    "select count(*) filter (where event_id % 7 = 0) n_malformed, count(*) n_rows, count(*) filter (where event_id % "
+    "7 <> 0) n_good from events"
+)
 def jsonl_malformed(s, d):
     """Every seventh line is cut off; those are reported and give rows of nulls."""
     path = scratch_path(s, "broken")
     line = F.to_json(F.struct("event_id"))
-    table(s, d, "events").select(F.when(F.col("event_id") % 7 == 0, F.left(line, F.lit(5))).otherwise(line)).write.text(path)
+    table(s, d, "events").select(
+        F.when(F.col("event_id") % 7 == 0, F.left(line, F.lit(5))).otherwise(line)
+    ).write.text(path)
     bad = sources.malformed(s, path, "event_id long").agg(F.count(F.lit(1)).alias("n_malformed"))
-    rows = sources.read_jsonl(s, path, "event_id long").agg(F.count(F.lit(1)).alias("n_rows"), F.count("event_id").alias("n_good"))
+    rows = sources.read_jsonl(s, path, "event_id long").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("event_id").alias("n_good")
+    )
     return bad.crossJoin(F.broadcast(rows))
 
 
-@query(f"select i, sha256(t) text_sha from (select row_number() over (order by doc_id) - 1 i, {_ASCII} t from documents) where trim(t) <> '' and i % 5 <> 2")
+@query(
+    f"select i, sha256(t) text_sha from (select row_number() over (order by doc_id) - 1 i, {_ASCII} t from documents) "
+    f"where trim(t) <> '' and i % 5 <> 2"
+)
 def jsonl_indexed(s, d):
     """One file whose every fifth line is blank: places count blank lines."""
     path = scratch_path(s, "indexed")
-    rows = table(s, d, "documents").select("doc_id", _plain().alias("text")).repartitionByRange(1, "doc_id").sortWithinPartitions("doc_id")
+    rows = table(s, d, "documents").select(
+        "doc_id", _plain().alias("text")
+    ).repartitionByRange(1, "doc_id").sortWithinPartitions("doc_id")
     blank = (F.row_number().over(ranking.Window.orderBy("doc_id")) - 1) % 5 == 2
     rows.select(F.when(blank, F.lit("")).otherwise(F.to_json(F.struct("text"))).alias("value")).write.text(path)
     got = sources.read_indexed(s, path, "text string").filter(F.trim("text") != "")
     return got.select("i", F.sha2("text", 256).alias("text_sha"))
 
 
-@query(f"select sha256(t) text_sha, count(*) n from (select trim({_ASCII}, ' ') t from documents) where t <> '' group by t")
+@query(
+    f"select sha256(t) text_sha, count(*) n from (select trim({_ASCII}, ' ') t from documents) where t <> '' group by t"
+)
 def text_lines(s, d):
     path = scratch_path(s, "lines")
     table(s, d, "documents").select(F.concat(F.lit("  "), _plain())).write.text(path)
     return sources.read_lines(s, path).groupBy(F.sha2("text", 256).alias("text_sha")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select doc_id, coalesce(case when doc_id % 4 <> 0 then source end, '') source, sha256(trim(text, ' ')) text_sha from documents where trim(text, ' ') <> ''")
+@query(
+    "select doc_id, coalesce(case when doc_id % 4 <> 0 then source end, '') source, sha256(trim(text, ' ')) text_sha "
+    "from documents where trim(text, ' ') <> ''"
+)
 def labeled_scan(s, d):
     path = scratch_path(s, "samples")
-    rows = table(s, d, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 4 != 0, F.col("source")).alias("source"))
+    rows = table(s, d, "documents").select(
+        "doc_id", "text", F.when(F.col("doc_id") % 4 != 0, F.col("source")).alias("source")
+    )
     sources.write_jsonl(rows, path)
     got = sources.labelled(sources.read_jsonl(s, path, "doc_id long, text string, source string"))
     return got.select("doc_id", "source", F.sha2("text", 256).alias("text_sha"))
 
 
-@query("select (select count(*) from documents) = (select count(text) from documents) all_text, (select count(*) from documents d left join labels l using (doc_id) where l.quality is null) = 0 all_labelled")
+@query(
+    "select (select count(*) from documents) = (select count(text) from documents) all_text, (select count(*) from "
+    "documents d left join labels l using (doc_id) where l.quality is null) = 0 all_labelled"
+)
 def presence_gates(s, d):
     """Whether all rows have a text, and whether all have a label."""
     rows = table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left")
-    return s.createDataFrame([(sources.all_present(rows, "text"), sources.all_present(rows, "quality"))], "all_text boolean, all_labelled boolean")
+    return s.createDataFrame(
+        [(sources.all_present(rows, "text"), sources.all_present(rows, "quality"))],
+        "all_text boolean, all_labelled boolean",
+    )
 
 
 @query(f"with {_SC} " + _PK.format(by="metric,", pb="metric", t="lg"))
 def csv_report(s, d):
     path = scratch_path(s, "csv")
     sources.write_csv(ranking.precision_at_k(long(s, d), ["metric"], _KS), path)
-    return s.read.schema("metric string, k int, precision double, n long").option("header", True).csv(path).select("metric", "k", "precision", "n")
+    return s.read.schema(
+        "metric string, k int, precision double, n long"
+    ).option("header", True).csv(path).select("metric", "k", "precision", "n")
 
 
 @query("select event_type model, count(*) n, round(sum(value), 3) total from events group by event_type")
@@ -91,7 +120,12 @@ def run_discovery(s, d):
     """Folders with samples or metadata, at any depth; another file makes no run."""
     path = scratch_path(s, "runs")
     one = table(s, d, "region").select(F.to_json(F.struct("*")).alias("value")).coalesce(1)
-    for folder, name in (("run0", "samples.jsonl"), ("x/run1", "run_meta.json"), ("run2", "notes.txt"), ("x/y/run3", "samples_labeled.jsonl")):
+    for folder, name in (
+        ("run0", "samples.jsonl"),
+        ("x/run1", "run_meta.json"),
+        ("run2", "notes.txt"),
+        ("x/y/run3", "samples_labeled.jsonl"),
+    ):
         _write_file(s, f"{path}/{folder}/{name}", "\n".join(r.value for r in one.collect()))
     return sources.runs_in(s, path).select(F.regexp_extract("run", "([^/]+)$", 1).alias("run"))
 
@@ -110,7 +144,11 @@ def loss_files(s, d):
     _write_file(s, f"{path}-t.json", str([x / 8 for x in range(40)]))
     _write_file(s, f"{path}-r.json", str([x / 4 for x in range(30)]))
     got = sources.read_losses(s, f"{path}-t.json", f"{path}-r.json")
-    return got.select(F.size("target").alias("n_target"), F.size("reference").alias("n_reference"), F.size(sequences.loss_zip(F.col("target"), F.col("reference"))).alias("n"))
+    return got.select(
+        F.size("target").alias("n_target"),
+        F.size("reference").alias("n_reference"),
+        F.size(sequences.loss_zip(F.col("target"), F.col("reference"))).alias("n"),
+    )
 
 
 @query(f"with {_BENCH.format(k=50)} select distinct substr(sha256(g), 1, 16) hash, 50 shingle_chars from bs")
@@ -125,31 +163,66 @@ def index_store(s, d):
 def split_store(s, d):
     path = scratch_path(s, "splits")
     split = F.when(F.col("doc_id") % 3 == 0, "test").otherwise("train").alias("split")
-    sources.write_splits(table(s, d, "labels").select(F.col("doc_id").alias("i"), F.col("quality").alias("label"), split), path)
-    return sources.read_splits(s, path, f"i long, label {table(s, d, 'labels').schema['quality'].dataType.simpleString()}, split string")
-
-
-@query(f"with {_SC}, pk as ({_PK.format(by='metric,', pb='metric', t='lg')}) select metric, " + ", ".join(f"regexp_replace(max(printf('%.4f', \"precision\")) filter (where k = {k}), '\\.?0+$', '') \"P@{k}\"" for k in _KS) + " from pk group by metric")
+    sources.write_splits(
+        table(s, d, "labels").select(F.col("doc_id").alias("i"), F.col("quality").alias("label"), split), path
+    )
+    return sources.read_splits(
+        s, path, f"i long, label {table(s, d, 'labels').schema['quality'].dataType.simpleString()}, split string"
+    )
+
+
+@query(
+    f"with {_SC}, pk as ({_PK.format(by='metric,', pb='metric', t='lg')}) select metric, "
+    + ", ".join(
+        f"regexp_replace(max(printf('%.4f', \"precision\")) filter (where k = {k}), '\\.?0+$', '') \"P@{k}\""
+        for k in _KS
+    )
+    + " from pk group by metric"
+)
 def flat_report(s, d):
     """P@k as text with up to four decimals, trailing zeros dropped."""
     return sources.flat(ranking.precision_at_k(long(s, d), ["metric"], _KS), ["metric"], "k", "precision", _KS)
 
 
-@query(f"with {_SC}, pk as ({_PK.format(by='metric, lang,', pb='metric, lang', t='lg')}) select case metric when 'ttr' then 'zlib' else 'Other' end metric, case metric when 'ttr' then 2 else 6 end place, " + ", ".join(f"max(printf('%.2f', \"precision\")) filter (where lang = '{m}' and k = 10) \"{m}_P@10\"" for m in ("de", "en", "es", "fr")) + " from pk where k = 10 group by pk.metric")
+@query(
+    f"with {_SC}, pk as ({_PK.format(by='metric, lang,', pb='metric, lang', t='lg')}) select case metric when 'ttr' "
+    f"then 'zlib' else 'Other' end metric, case metric when 'ttr' then 2 else 6 end place, "
+    + ", ".join(
+        f"max(printf('%.2f', \"precision\")) filter (where lang = '{m}' and k = 10) \"{m}_P@10\""
+        for m in ("de", "en", "es", "fr")
+    )
+    + " from pk where k = 10 group by pk.metric"
+)
 def wide_report(s, d):
     """Metric rows in their order, a column for each model (language) and k."""
-    pk = ranking.precision_at_k(long(s, d), ["metric", "lang"], (10,)).withColumn("metric", F.when(F.col("metric") == "ttr", "zlib").otherwise("Other"))
+    pk = ranking.precision_at_k(long(s, d), ["metric", "lang"], (10,)).withColumn(
+        "metric", F.when(F.col("metric") == "ttr", "zlib").otherwise("Other")
+    )
     got = sources.wide(pk, "metric", ["lang", "k"], "precision", names=[f"{m}_P@10" for m in ("de", "en", "es", "fr")])
-    return got.select("metric", F.col("place").cast("int").alias("place"), *(c for c in got.columns if c not in ("metric", "place")))
+    return got.select(
+        "metric", F.col("place").cast("int").alias("place"), *(c for c in got.columns if c not in ("metric", "place"))
+    )
 
 
-@query("select 'shard_' || k || case when k % 2 = 0 then '.json' else '.txt' end \"name\", case when k % 2 = 0 then k else -1 end number from (select unnest(range(0, 6)) k)")
+@query(
+    "select 'shard_' || k || case when k % 2 = 0 then '.json' else '.txt' end \"name\", case when k % 2 = 0 then k "
+    "else -1 end number from (select unnest(range(0, 6)) k)"
+)
 def shard_number(s, d):
-    k = s.range(6).select("id", F.concat(F.lit("shard_"), F.col("id").cast("string"), F.when(F.col("id") % 2 == 0, ".json").otherwise(".txt")).alias("name"))
+    k = s.range(6).select(
+        "id",
+        F.concat(
+            F.lit("shard_"), F.col("id").cast("string"), F.when(F.col("id") % 2 == 0, ".json").otherwise(".txt")
+        ).alias("name"),
+    )
     return k.select("name", sources.shard_number(F.col("name")).alias("number"))
 
 
-_TAGS = ", ".join(f"({k}, '{n}', '{f}')" for k, (n, f) in enumerate([(n, "sampling") for n in sources.STRATEGIES] + [(n, "decoding") for n in sources.DECODERS]))
+_TAGS = ", ".join(
+    f"({k}, '{n}', '{f}')"
+    for k,
+    (n, f) in enumerate([(n, "sampling") for n in sources.STRATEGIES] + [(n, "decoding") for n in sources.DECODERS])
+)
 
 
 @query(f"select cast(place as bigint) place, source, family from (values {_TAGS}) t(place, source, family)")
@@ -157,7 +230,10 @@ def source_table(s, d):
     return sources.source_table(s)
 
 
-@query("with c as (select user_id, count(*) n from events group by user_id) select n % 3 mode, count(*) n_runs from c group by 1")
+@query(
+    "with c as (select user_id, count(*) n from events group by user_id) select n % 3 mode, count(*) n_runs from c "
+    "group by 1"
+)
 def config_signatures(s, d):
     """Configurations of runs (users): a missing key takes its default, the run's own name does not count."""
     runs = table(s, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
@@ -168,33 +244,62 @@ def config_signatures(s, d):
     return got.select(F.get("signature", F.lit(0))["value"].cast("long").alias("mode"), "n_runs")
 
 
-@query("select 'documents' stream, doc_id id, sha256(text) text_sha from documents where doc_id % 2 = 0 union all select 'ids', vec_id, sha256(array_to_string(list_transform(list_slice(embedding, 1, 5), lambda x: 'w' || cast(floor(abs(x) * 8) as bigint)), ' ')) from embeddings union all select 'chat', conv_id, sha256(string_agg(coalesce(text, ''), chr(10) order by turn, text)) from conversations group by conv_id")
+@query(
+    "select 'documents' stream, doc_id id, sha256(text) text_sha from documents where doc_id % 2 = 0 union all select "
+    "'ids', vec_id, sha256(array_to_string(list_transform(list_slice(embedding, 1, 5), lambda x: 'w' || "
+    "cast(floor(abs(x) * 8) as bigint)), ' ')) from embeddings union all select 'chat', conv_id, "
+    "sha256(string_agg(coalesce(text, ''), chr(10) order by turn, text)) from conversations group by conv_id"
+)
 def stream_modes(s, d):
     """Texts, token ids by a vocabulary, and chat messages as one stream."""
     docs = sources.corpus_rows(table(s, d, "documents").filter("doc_id % 2 = 0"))
     ids = F.transform(F.slice("embedding", 1, 5), lambda x: F.floor(F.abs(x) * 8))
-    vocabulary = s.range(4096).select(F.col("id").alias("token"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("word"))
-    coded = sources.corpus_rows(table(s, d, "embeddings").select("vec_id", ids.alias("ids")), tokens="ids", vocabulary=vocabulary)
+    vocabulary = s.range(4096).select(
+        F.col("id").alias("token"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("word")
+    )
+    coded = sources.corpus_rows(
+        table(s, d, "embeddings").select("vec_id", ids.alias("ids")), tokens="ids", vocabulary=vocabulary
+    )
     turns = F.sort_array(F.collect_list(F.struct("turn", F.col("text").alias("content"))))
     chats = sources.corpus_rows(table(s, d, "conversations").groupBy("conv_id").agg(turns.alias("m")), messages="m")
     part = lambda df, name, key: df.select(F.lit(name).alias("stream"), F.col(key).alias("id"), F.sha2("text", 256).alias("text_sha"))
-    return part(docs, "documents", "doc_id").unionByName(part(coded, "ids", "vec_id")).unionByName(part(chats, "chat", "conv_id"))
+    return part(docs, "documents", "doc_id").unionByName(part(coded, "ids", "vec_id")).unionByName(
+        part(chats, "chat", "conv_id")
+    )
 
 
 @query("select doc_id, sha256(trim(text, ' ')) text_sha from documents where length(trim(text, ' ')) >= 400")
 def prefix_stream(s, d):
     """Prefixes from the first source that can be read; the first two cannot."""
     missing = lambda: s.read.parquet(f"{d}/missing.parquet")
-    named = [("a", None, missing), ("a", None, missing), ("b", "x", missing), ("c", None, lambda: table(s, d, "documents"))]
+    named = [
+        ("a", None, missing), ("a", None, missing), ("b", "x", missing), ("c", None, lambda: table(s, d, "documents"))
+    ]
     texts = sources.prefix_stream(named, 400)
     ids = table(s, d, "documents").select("doc_id", F.trim("text").alias("t"))
-    return ids.join(texts.distinct(), F.col("t") == F.col("text"), "left_semi").select("doc_id", F.sha2("t", 256).alias("text_sha"))
-
-
-_NEXT = f"tb as (select item_id id, {W} w from benchmark), tk as (select id, unnest(w) tok, unnest(range(0, len(w))) pos from tb), pv as (select *, lag(tok) over (partition by id order by pos) prev from tk), cc as (select prev, tok, count(*) c from pv where prev is not null group by all), nx as (select prev, tok from cc qualify row_number() over (partition by prev order by c desc, tok) = 1)"
-
-
-@query(f"with recursive {_NEXT}, pr as (select id, w[10] last, list_slice(w, 11, 18) truth from tb where len(w) >= 10), st(id, k, now, ws) as (select id, 0, last, cast([] as varchar[]) from pr union all select st.id, k + 1, nx.tok, list_append(ws, nx.tok) from st join nx on nx.prev = st.now where k < 8), fi as (select id, ws from st qualify row_number() over (partition by id order by k desc) = 1), ov as (select id, ws, truth, least(len(ws), len(truth)) n from fi join pr using (id)) select id item_id, sha256(array_to_string(ws, ' ')) words_sha, case when n > 0 then round(len(list_filter(range(1, n + 1), lambda k: ws[k] = truth[k]))::double / n, 9) else 0 end overlap, cast(coalesce(list_min(list_filter(range(1, n + 1), lambda k: ws[k] <> truth[k])) - 1, n) as int) lcp from ov")
+    return ids.join(
+        texts.distinct(), F.col("t") == F.col("text"), "left_semi"
+    ).select("doc_id", F.sha2("t", 256).alias("text_sha"))
+
+
+_NEXT = (
+    f"tb as (select item_id id, {W} w from benchmark), tk as (select id, unnest(w) tok, unnest(range(0, len(w))) pos "
+    f"from tb), pv as (select *, lag(tok) over (partition by id order by pos) prev from tk), cc as (select prev, tok, "
+    f"count(*) c from pv where prev is not null group by all), nx as (select prev, tok from cc qualify row_number() "
+    f"over (partition by prev order by c desc, tok) = 1)"
+)
+
+
+@query(
+    f"with recursive {_NEXT}, pr as (select id, w[10] last, list_slice(w, 11, 18) truth from tb where len(w) >= 10), "
+    f"st(id, k, now, ws) as (select id, 0, last, cast([] as varchar[]) from pr union all select st.id, k + 1, nx.tok, "
+    f"list_append(ws, nx.tok) from st join nx on nx.prev = st.now where k < 8), fi as (select id, ws from st qualify "
+    f"row_number() over (partition by id order by k desc) = 1), ov as (select id, ws, truth, least(len(ws), "
+    f"len(truth)) n from fi join pr using (id)) select id item_id, sha256(array_to_string(ws, ' ')) words_sha, case "
+    f"when n > 0 then round(len(list_filter(range(1, n + 1), lambda k: ws[k] = truth[k]))::double / n, 9) else 0 end "
+    f"overlap, cast(coalesce(list_min(list_filter(range(1, n + 1), lambda k: ws[k] <> truth[k])) - 1, n) as int) lcp "
+    f"from ov"
+)
 def decode_benchmark(s, d):
     """Greedy continuation of each item's first ten words, against what follows: overlap and common prefix."""
     items = table(s, d, "benchmark")

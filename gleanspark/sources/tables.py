@@ -27,7 +27,9 @@ def malformed(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """file and text of each malformed line (blank lines are none)."""
     parsed = F.from_json("value", f"{schema}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value", parsed.alias("_r"))
-    return lines.filter("_r._corrupt_record is not null and trim(value) <> ''").select("file", F.col("value").alias("text"))
+    return lines.filter(
+        "_r._corrupt_record is not null and trim(value) <> ''"
+    ).select("file", F.col("value").alias("text"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -74,7 +76,9 @@ def place_scores(bundle: DataFrame, scores: DataFrame, index: str = "i") -> Data
 
 def labelled(df: DataFrame) -> DataFrame:
     """Samples that aren't blank, trimmed, with an empty source for a missing one."""
-    return df.withColumn("text", F.trim("text")).filter("text <> ''").withColumn("source", F.coalesce("source", F.lit("")))
+    return df.withColumn("text", F.trim("text")).filter("text <> ''").withColumn(
+        "source", F.coalesce("source", F.lit(""))
+    )
 
 
 def all_present(df: DataFrame, column: str) -> bool:
@@ -107,7 +111,9 @@ def constant_label(df: DataFrame, value: int) -> DataFrame:
     return df.withColumn("label", F.lit(value))
 
 
-def row_filters(df: DataFrame, *, stream: str, order: str, equal: dict[str, str], least: int, most: int, cap: int | None = None) -> DataFrame:
+def row_filters(
+    df: DataFrame, *, stream: str, order: str, equal: dict[str, str], least: int, most: int, cap: int | None = None
+) -> DataFrame:
     """Rows whose columns equal the given values (in any case; unset ones don't count) and whose text has ``least``
     characters; texts are cut to ``most``; the first ``cap`` of each stream."""
     for name, value in equal.items():
@@ -116,7 +122,9 @@ def row_filters(df: DataFrame, *, stream: str, order: str, equal: dict[str, str]
     df = df.filter(F.length("text") >= least).withColumn("text", F.left("text", F.lit(most)))
     if cap is None:
         return df
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(stream).orderBy(order))).filter(F.col("_n") <= cap).drop("_n")
+    return df.withColumn(
+        "_n", F.row_number().over(Window.partitionBy(stream).orderBy(order))
+    ).filter(F.col("_n") <= cap).drop("_n")
 
 
 def pairs(df: DataFrame) -> DataFrame:
@@ -124,7 +132,14 @@ def pairs(df: DataFrame) -> DataFrame:
     return df.selectExpr("i", "stack(2, member, 1, nonmember, 0) as (text, label)")
 
 
-def corpus_rows(df: DataFrame, *, text: str | None = None, tokens: str | None = None, vocabulary: DataFrame | None = None, messages: str | None = None) -> DataFrame:
+def corpus_rows(
+    df: DataFrame,
+    *,
+    text: str | None = None,
+    tokens: str | None = None,
+    vocabulary: DataFrame | None = None,
+    messages: str | None = None,
+) -> DataFrame:
     """``df`` with text from a field (or content), from token ids by a vocabulary (token, word), or from chat messages.
 
     Ids without a word are skipped; messages are joined by line ends.
@@ -141,7 +156,9 @@ def corpus_rows(df: DataFrame, *, text: str | None = None, tokens: str | None =
     words = ids.join(near(stash(vocabulary.select("token", "word"), "vocabulary")), "token")
     joined = words.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_p", "word")))["word"].alias("_w"))
     back = keyed.join(joined, "_row", "left")
-    return back.withColumn("text", F.array_join(F.coalesce("_w", F.array().cast("array<string>")), " ")).drop("_row", "_w")
+    return back.withColumn(
+        "text", F.array_join(F.coalesce("_w", F.array().cast("array<string>")), " ")
+    ).drop("_row", "_w")
 
 
 def open_first(readers: Sequence[Callable[[], DataFrame]]) -> DataFrame:
@@ -157,7 +174,9 @@ def open_first(readers: Sequence[Callable[[], DataFrame]]) -> DataFrame:
     raise failed if failed else ValueError("no source is given")
 
 
-def prefix_stream(sources: Sequence[tuple[str, str | None, Callable[[], DataFrame]]], min_chars: int, text_col: str = "text") -> DataFrame:
+def prefix_stream(
+    sources: Sequence[tuple[str, str | None, Callable[[], DataFrame]]], min_chars: int, text_col: str = "text"
+) -> DataFrame:
     """Trimmed texts of at least ``min_chars`` from the first readable source; one of a name and configuration is tried once."""
     tried: dict[tuple[str, str | None], Callable[[], DataFrame]] = {}
     for name, config, read in sources:
@@ -184,7 +203,9 @@ def web_text_split(archives: DataFrame, language: str = "eng") -> DataFrame:
     """
     parts = archives.select("file", F.posexplode(F.split("value", "WARC/1.0")).alias("n", "record"))
     last = F.max("n").over(Window.partitionBy("file"))
-    lines = parts.withColumn("last", last).filter("n > 0 and n < last").select("file", "n", F.split("record", "\r?\n").alias("l"))
+    lines = parts.withColumn("last", last).filter("n > 0 and n < last").select(
+        "file", "n", F.split("record", "\r?\n").alias("l")
+    )
     return _in_language(lines, language)
 
 
@@ -195,7 +216,9 @@ def _in_language(lines: DataFrame, language: str) -> DataFrame:
 
 def by_model(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
     """Reports of all models in one scan; the model is the parent folder's name."""
-    return spark.read.schema(schema).json(pattern.replace("{model}", "*")).withColumn("model", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
+    return spark.read.schema(schema).json(pattern.replace("{model}", "*")).withColumn(
+        "model", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
+    )
 
 
 def runs_in(spark: SparkSession, folder: str) -> DataFrame:
@@ -240,7 +263,9 @@ def read_thresholds(path: str, metrics: Sequence[str], schema: str = THRESHOLDS)
 
 def write_index(index: DataFrame, path: str, size: int) -> None:
     """A shingle index with the length of its shingles."""
-    index.select("hash", F.lit(size).alias("shingle_chars")).write.mode("overwrite").partitionBy("shingle_chars").parquet(path)
+    index.select(
+        "hash", F.lit(size).alias("shingle_chars")
+    ).write.mode("overwrite").partitionBy("shingle_chars").parquet(path)
 
 
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
@@ -313,13 +338,17 @@ def write_tree(tree: dict, path: str) -> None:
 WIDE_ROWS = ("Perplexity", "zlib", "Lowercase", "Window", "Small")
 
 
-def wide(rows: DataFrame, row: str, columns: Sequence[str], value: str, places: int = 2, names: Sequence[str] | None = None) -> DataFrame:
+def wide(
+    rows: DataFrame, row: str, columns: Sequence[str], value: str, places: int = 2, names: Sequence[str] | None = None
+) -> DataFrame:
     """One row per ``row`` (with its place) and a column per combination of ``columns``, as text with fixed decimals.
 
     ``names`` are the combinations to show (present or not); without them all are looked up first.
     """
     name = F.concat_ws("_P@", *(F.col(c).cast("string") for c in columns))
-    got = rows.withColumn("_c", name).groupBy(row).pivot("_c", list(names) if names else None).agg(F.first(F.format_string(f"%.{places}f", F.col(value))))
+    got = rows.withColumn("_c", name).groupBy(row).pivot("_c", list(names) if names else None).agg(
+        F.first(F.format_string(f"%.{places}f", F.col(value)))
+    )
     known = F.array_position(F.array(*map(F.lit, WIDE_ROWS)), F.col(row))
     return got.withColumn("place", F.when(known > 0, known).otherwise(F.lit(len(WIDE_ROWS) + 1)))
 
@@ -351,7 +380,9 @@ def short_number(x: str, places: int = 4) -> Column:
 
 def markdown(rows: list[dict], columns: Sequence[str]) -> str:
     head = ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
-    return "\n".join(head + ["| " + " | ".join("N/A" if r.get(c) is None else str(r[c]) for c in columns) + " |" for r in rows])
+    return "\n".join(
+        head + ["| " + " | ".join("N/A" if r.get(c) is None else str(r[c]) for c in columns) + " |" for r in rows]
+    )
 
 
 def html(rows: list[dict], columns: Sequence[str]) -> str:
@@ -373,7 +404,9 @@ def example_seed(seed: int, example: int, mode: int) -> int:
 
 
 #: Where samples come from, in reporting order: the strategies, then the decoding modes (fixed values).
-STRATEGIES = ("top_k", "top_k_internet", "temperature_decay", "temperature_decay_internet", "nucleus", "nucleus_internet")
+STRATEGIES = (
+    "top_k", "top_k_internet", "temperature_decay", "temperature_decay_internet", "nucleus", "nucleus_internet"
+)
 DECODERS = (
     "memorization_baseline",
     "memorization_topk_control",
@@ -392,4 +425,6 @@ DECODERS = (
 def source_table(spark: SparkSession) -> DataFrame:
     """place, source and family of each kind of sample."""
     named = [(s, "sampling") for s in STRATEGIES] + [(s, "decoding") for s in DECODERS]
-    return spark.createDataFrame([(k, s, f) for k, (s, f) in enumerate(named)], "place long, source string, family string")
+    return spark.createDataFrame(
+        [(k, s, f) for k, (s, f) in enumerate(named)], "place long, source string, family string"
+    )

@@ -13,7 +13,9 @@ def stream_index(spark: SparkSession, folder: str, schema: str, id_col: str, siz
     """Append each new distinct hash of the texts that arrive in ``folder`` to the index in ``out``."""
     texts = spark.readStream.schema(schema).json(folder)
     hashes = shingle_hashes(normalized(texts, id_col), size).select("hash").dropDuplicates(["hash"])
-    return hashes.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
+    return hashes.writeStream.format("parquet").option(
+        "checkpointLocation", checkpoint
+    ).trigger(availableNow=True).start(out)
 
 
 def score_batches(stream: DataFrame, score: Callable[[DataFrame], DataFrame], out: str, checkpoint: str):
@@ -22,4 +24,6 @@ def score_batches(stream: DataFrame, score: Callable[[DataFrame], DataFrame], ou
     def one(batch: DataFrame, number: int) -> None:
         score(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(one).option(
+        "checkpointLocation", checkpoint
+    ).trigger(availableNow=True).start()

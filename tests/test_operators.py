@@ -24,11 +24,16 @@ def test_coverage(spark, size, match):
     rng = random.Random(size)
     word = lambda n: "".join(rng.choices("ab c", k=n))
     corpus = [(i, word(40)) for i in range(6)]
-    docs = [(i, rng.choice([word(rng.randint(0, 30)), word(5) + corpus[i % 6][1][3:25] + word(300), " ", ""])) for i in range(80)]
+    docs = [
+        (i, rng.choice([word(rng.randint(0, 30)), word(5) + corpus[i % 6][1][3:25] + word(300), " ", ""]))
+        for i in range(80)
+    ]
     norm = lambda t: " ".join(t.split())
     index = {norm(t)[i : i + size] for _, t in corpus for i in range(len(norm(t)) - size + 1)}
     idx = shingles.build_index(spark.createDataFrame(corpus, "item long, text string"), "item", size)
-    got = dict(shingles.coverage_label(spark.createDataFrame(docs, "doc long, text string"), idx, "doc", size, match).collect())
+    got = dict(
+        shingles.coverage_label(spark.createDataFrame(docs, "doc long, text string"), idx, "doc", size, match).collect()
+    )
     assert got == {i: naive_label(norm(t), index, size, match) for i, t in docs}
 
 
@@ -46,7 +51,9 @@ def test_normalize(spark):
 
 def test_precision_with_nan_ties_and_short_groups(spark):
     nan = float("nan")
-    df = spark.createDataFrame([(0, 1.0, 1), (1, nan, 1), (2, 1.0, 0), (3, 0.5, 1), (4, math.inf, 0)], "i long, score double, label int")
+    df = spark.createDataFrame(
+        [(0, 1.0, 1), (1, nan, 1), (2, 1.0, 0), (3, 0.5, 1), (4, math.inf, 0)], "i long, score double, label int"
+    )
     p = lambda **kw: {r.k: r.precision for r in ranking.precision_at_k(df, [], [0, 1, 2, 3, 5, 6], **kw).collect()}
     assert p() == {1: 1.0, 2: 1.0, 3: 2 / 3, 5: 3 / 5}
     assert p(lower_better=False) == {1: 1.0, 2: 0.5, 3: 1 / 3, 5: 3 / 5}
@@ -72,10 +79,16 @@ def test_auc_and_threshold_against_loops(spark):
 def test_window_vote_against_loop(spark):
     rng = random.Random(2)
     rows = [(d, p, rng.random(), rng.random()) for d, n in enumerate((1, 2, 3, 9, 40)) for p in range(n)]
-    got = dict(ngram.window_vote(spark.createDataFrame(rows, "id long, pos int, uni double, bi double"), (2, 3, 8)).collect())
+    got = dict(
+        ngram.window_vote(spark.createDataFrame(rows, "id long, pos int, uni double, bi double"), (2, 3, 8)).collect()
+    )
     for d in range(5):
         x = [u - b for i, _, u, b in rows if i == d]
-        t = [sum(sum(x[i : i + w]) > 0 for i in range(len(x) - w + 1)) / (len(x) - w + 1) for w in (2, 3, 8) if w <= len(x)]
+        t = [
+            sum(sum(x[i : i + w]) > 0 for i in range(len(x) - w + 1)) / (len(x) - w + 1)
+            for w in (2, 3, 8)
+            if w <= len(x)
+        ]
         assert got.get(d) == (pytest.approx(sum(t) / len(t)) if t else None)
 
 
@@ -108,10 +121,20 @@ def naive_infilling(texts, last=None, least=2):
 
 def test_infilling_against_loop(spark):
     rng = random.Random(4)
-    texts = [None, "", "a", "a b", "a b c", *(" ".join(rng.choices("abcdefgh", [9, 5, 3, 2, 2, 1, 1, 1], k=k)) for k in (4, 9, 25, 40)), "z a end"]
+    texts = [
+        None,
+        "",
+        "a",
+        "a b",
+        "a b c",
+        *(" ".join(rng.choices("abcdefgh", [9, 5, 3, 2, 2, 1, 1, 1], k=k)) for k in (4, 9, 25, 40)),
+        "z a end",
+    ]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     scores = ngram.token_infilling(docs)
-    assert dict(ngram.infilling_mean(docs, scores).collect()) == {i: pytest.approx(v, abs=1e-9) for i, v in enumerate(naive_infilling(texts))}
+    assert dict(ngram.infilling_mean(docs, scores).collect()) == {
+        i: pytest.approx(v, abs=1e-9) for i, v in enumerate(naive_infilling(texts))
+    }
 
 
 def test_infilling_of_the_last_tokens(spark):
@@ -119,7 +142,9 @@ def test_infilling_of_the_last_tokens(spark):
     texts = ["", "a b c", "a b c d", *(" ".join(rng.choices("abcdef", [6, 4, 3, 2, 1, 1], k=k)) for k in (6, 7, 30))]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = dict(ngram.infilling_mean(docs, ngram.token_infilling(docs), last=6, least=4).collect())
-    assert got == {i: pytest.approx(v, abs=1e-9) for i, v in enumerate(naive_infilling(texts, last=6, least=4))} and got[1] == 0.0
+    assert got == {
+        i: pytest.approx(v, abs=1e-9) for i, v in enumerate(naive_infilling(texts, last=6, least=4))
+    } and got[1] == 0.0
 
 
 def test_window_sizes():
@@ -128,7 +153,9 @@ def test_window_sizes():
 
 def test_shards_splits_and_merges(spark):
     df = spark.range(10).withColumn("s", summaries.shard_of(F.col("id"), F.lit(10), 4))
-    assert [r.s for r in df.orderBy("id").collect()] == [next(s for s in range(4) if 10 * s // 4 <= i < 10 * (s + 1) // 4) for i in range(10)]
+    assert [r.s for r in df.orderBy("id").collect()] == [
+        next(s for s in range(4) if 10 * s // 4 <= i < 10 * (s + 1) // 4) for i in range(10)
+    ]
     rows = spark.createDataFrame([(0,), (1,), (1,), (4,)], "i long")
     assert tuple(summaries.merge_checks(rows, "i").first()) == (4, 3, 1, 2)
     lab = spark.range(192).withColumn("y", (F.col("id") % 2).cast("int"))
@@ -139,45 +166,85 @@ def test_shards_splits_and_merges(spark):
 
 
 def test_distributions_sum_to_one(spark):
-    df = spark.createDataFrame([([0.1, -2.0, 3.0],), ([1.0, 1.0, 1.0],), ([float("nan"), float("-inf"), 0.0],)], "lp array<double>")
+    df = spark.createDataFrame(
+        [([0.1, -2.0, 3.0],), ([1.0, 1.0, 1.0],), ([float("nan"), float("-inf"), 0.0],)], "lp array<double>"
+    )
     lp = F.col("lp")
-    forms = [X.softmax(lp), sequences.adjusted(sequences.cheap_logits(lp, 0.5, 1.0)), sequences.adjusted(sequences.contrastive(lp, X.minmax01(lp), 1.0, 0.5)), *(sequences.explored(sequences.gated(lp, lp, F.lit(0.2), 0.5, 1.0, 0.5, m), 0.07) for m in ("zscore", "delta", "absolute"))]
-    forms += [sequences.explored(sequences.vote_gate(lp, r, k, F.lit(0.3), F.lit(0.4), 0.5, 0.5, 5.0), 0.1) for r in (None, lp) for k in (None, lp)]
-    forms += [sequences.nucleus_only(X.softmax(lp), 0.5), sequences.top_k_only(X.softmax(lp), 2), sequences.explored(sequences.legacy_fast(lp, F.lit(0.1), 0.3, 5.0), 0.0)]
+    forms = [
+        X.softmax(lp),
+        sequences.adjusted(sequences.cheap_logits(lp, 0.5, 1.0)),
+        sequences.adjusted(sequences.contrastive(lp, X.minmax01(lp), 1.0, 0.5)),
+        *(
+            sequences.explored(sequences.gated(lp, lp, F.lit(0.2), 0.5, 1.0, 0.5, m), 0.07)
+            for m in ("zscore", "delta", "absolute")
+        ),
+    ]
+    forms += [
+        sequences.explored(sequences.vote_gate(lp, r, k, F.lit(0.3), F.lit(0.4), 0.5, 0.5, 5.0), 0.1)
+        for r in (None, lp)
+        for k in (None, lp)
+    ]
+    forms += [
+        sequences.nucleus_only(X.softmax(lp), 0.5),
+        sequences.top_k_only(X.softmax(lp), 2),
+        sequences.explored(sequences.legacy_fast(lp, F.lit(0.1), 0.3, 5.0), 0.0),
+    ]
     for row in df.select(*(X.total(f).alias(f"c{i}") for i, f in enumerate(forms))).collect():
         assert all(v == pytest.approx(1.0) for v in row)
 
 
 def test_overlap_and_prefix(spark):
-    df = spark.createDataFrame([(["a", "b", "c"], ["a", "b", "x", "y"]), ([], ["a"]), (["a"], ["a"])], "a array<string>, b array<string>")
-    got = df.select(sequences.overlap(F.col("a"), F.col("b")), sequences.common_prefix(F.col("a"), F.col("b"))).collect()
+    df = spark.createDataFrame(
+        [(["a", "b", "c"], ["a", "b", "x", "y"]), ([], ["a"]), (["a"], ["a"])], "a array<string>, b array<string>"
+    )
+    got = df.select(
+        sequences.overlap(F.col("a"), F.col("b")), sequences.common_prefix(F.col("a"), F.col("b"))
+    ).collect()
     assert [tuple(r) for r in got] == [(pytest.approx(2 / 3), 2), (0.0, 0), (1.0, 1)]
 
 
 def test_sources(spark, tmp_path):
     (tmp_path / "s.jsonl").write_text('{"text": " a ", "label": 1}\n\n{"text": " "}\n{"text": "b", "source": "x"}\n')
     df = tables.labelled(tables.read_jsonl(spark, str(tmp_path / "s.jsonl"), tables.SAMPLES))
-    assert sorted((r.text, r.source) for r in df.collect()) == [("a", ""), ("b", "x")] and not tables.all_present(df, "label")
-    assert [r.i for r in tables.read_indexed(spark, str(tmp_path / "s.jsonl"), "text string").orderBy("i").collect()] == [0, 2, 3]
+    assert sorted(
+        (r.text, r.source) for r in df.collect()
+    ) == [("a", ""), ("b", "x")] and not tables.all_present(df, "label")
+    assert [
+        r.i for r in tables.read_indexed(spark, str(tmp_path / "s.jsonl"), "text string").orderBy("i").collect()
+    ] == [0, 2, 3]
     dense = tables.dense_by_index(spark.createDataFrame([(2, 1.5)], "i long, x double"))
     assert [(r.i, math.isnan(r.x)) for r in dense.orderBy("i").collect()] == [(0, True), (1, True), (2, False)]
     assert tables.override({"a": {"b": 1, "c": 2}}, "a.b=-1") == {"a": {"b": -1.0, "c": 2}}
     head = ["", *[f"h{i}" for i in range(6)], "WARC-Identified-Content-Language: eng,fra", "x", "", "body"]
     (tmp_path / "w.wet").write_text("WARC/1.0".join(["", *["\n".join(head)] * 3]))
-    assert [r.text.strip() for r in tables.web_text_records(spark, str(tmp_path / "w.wet")).collect()] == ["body", "body"]
+    assert [
+        r.text.strip() for r in tables.web_text_records(spark, str(tmp_path / "w.wet")).collect()
+    ] == ["body", "body"]
 
 
 def test_config_signatures(spark):
-    runs = spark.createDataFrame([({"a": "1", "models": "x"},), ({"a": "1", "b": "0"},), ({"a": "1", "b": "2"},), (None,)], "config map<string,string>")
+    runs = spark.createDataFrame(
+        [({"a": "1", "models": "x"},), ({"a": "1", "b": "0"},), ({"a": "1", "b": "2"},), (None,)],
+        "config map<string,string>",
+    )
     got = summaries.config_signatures(runs, "config", skip=["models"], defaults={"b": "0"})
-    assert sorted((tuple(map(tuple, r.signature)), r.n_runs) for r in got.collect()) == [((("a", "1"), ("b", "0")), 2), ((("a", "1"), ("b", "2")), 1), ((("b", "0"),), 1)]
+    assert sorted((tuple(map(tuple, r.signature)), r.n_runs) for r in got.collect()) == [
+        ((("a", "1"), ("b", "0")), 2), ((("a", "1"), ("b", "2")), 1), ((("b", "0"),), 1)
+    ]
 
 
 def test_local_std_and_window_perplexity_at_the_edges(spark):
     v = spark.createDataFrame([([1.0, 3.0, 5.0], [1, 0, 1]), ([2.0], [1]), ([], [])], "v array<double>, m array<int>")
-    assert [tuple(r) for r in v.select(*sequences.local_std(F.col("v"), F.col("m"))).collect()] == [(2.0, 2.0, 2.0), (0.0, 0.0, 0.0), (0.0, 0.0, 0.0)]
-    losses = spark.createDataFrame([(i, p, 0.0 if p < n - 1 else -1.0) for i, n in ((1, 2), (2, 3), (3, 4)) for p in range(n)], "id long, pos int, uni double")
-    assert {r.id: r.perplexity for r in ngram.window_perplexity(losses, 3).collect()} == {1: pytest.approx(math.exp(-0.5)), 2: math.inf, 3: 1.0}
+    assert [
+        tuple(r) for r in v.select(*sequences.local_std(F.col("v"), F.col("m"))).collect()
+    ] == [(2.0, 2.0, 2.0), (0.0, 0.0, 0.0), (0.0, 0.0, 0.0)]
+    losses = spark.createDataFrame(
+        [(i, p, 0.0 if p < n - 1 else -1.0) for i, n in ((1, 2), (2, 3), (3, 4)) for p in range(n)],
+        "id long, pos int, uni double",
+    )
+    assert {
+        r.id: r.perplexity for r in ngram.window_perplexity(losses, 3).collect()
+    } == {1: pytest.approx(math.exp(-0.5)), 2: math.inf, 3: 1.0}
 
 
 def test_decode_is_reproducible(spark):
@@ -191,7 +258,13 @@ def test_stream_index_equals_batch(spark, tmp_path):
     from gleanspark.streaming.index import stream_index
 
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.json").write_text('{"id": 1, "text": "the quick brown fox"}\n{"id": 2, "text": "quick brown foxes"}\n')
-    stream_index(spark, str(tmp_path / "in"), "id long, text string", "id", 8, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    (tmp_path / "in" / "a.json").write_text(
+        '{"id": 1, "text": "the quick brown fox"}\n{"id": 2, "text": "quick brown foxes"}\n'
+    )
+    stream_index(
+        spark, str(tmp_path / "in"), "id long, text string", "id", 8, str(tmp_path / "out"), str(tmp_path / "cp")
+    ).awaitTermination()
     batch = shingles.build_index(spark.read.schema("id long, text string").json(str(tmp_path / "in")), "id", 8)
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, batch.collect()))
+    assert sorted(
+        map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())
+    ) == sorted(map(tuple, batch.collect()))

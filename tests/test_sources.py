@@ -52,13 +52,17 @@ def test_degenerate_labels_and_reports(spark):
     few = spark.createDataFrame([(k, float(k)) for k in range(3)], "i long, score double")
     assert {r.label for r in ranking.proxy_label(few, []).collect()} == {None}
     assert [r.label for r in ranking.proxy_label(few, [], 0.5).orderBy("i").collect()] == [0, 1, 1]
-    empty = ranking.precision_report(one.filter("i < 0"), ["g"], (1,), expected=spark.createDataFrame([("g",)], "g string"))
+    empty = ranking.precision_report(
+        one.filter("i < 0"), ["g"], (1,), expected=spark.createDataFrame([("g",)], "g string")
+    )
     assert [(r.status, r.precision, r.n_samples) for r in empty.collect()] == [("no samples", None, 0)]
     assert ranking.balanced_accuracy(one.withColumn("predicted", F.lit(1)).filter("label = 1"), ["g"]).first()[1] == 0.0
 
 
 def test_documents_of_thresholds_and_configurations(spark, tmp_path):
-    rows = spark.createDataFrame([("wbc", 0.25, True), ("inf", -1.0, False)], "metric string, threshold double, higher boolean")
+    rows = spark.createDataFrame(
+        [("wbc", 0.25, True), ("inf", -1.0, False)], "metric string, threshold double, higher boolean"
+    )
     path = str(tmp_path / "t.json")
     tables.write_thresholds(rows, path, n_rows_used=9)
     assert tables.read_thresholds(path, ["wbc", "inf"]) == {"wbc": (0.25, True), "inf": (-1.0, False)}
@@ -72,11 +76,18 @@ def test_documents_of_thresholds_and_configurations(spark, tmp_path):
 
 
 def test_metric_tree_and_markdown(spark):
-    rows = spark.createDataFrame([("m", "zlib", "s", 10, 0.5), ("m", "zlib", "s", 50, float("nan")), ("m", "zlib", "t", 10, 1.0)], "model string, metric string, source string, k int, precision double")
-    assert tables.metric_tree(rows, ["model", "metric", "source", "k"], "precision") == {"m": {"zlib": {"s": {"10": 0.5, "50": None}, "t": {"10": 1.0}}}}
+    rows = spark.createDataFrame(
+        [("m", "zlib", "s", 10, 0.5), ("m", "zlib", "s", 50, float("nan")), ("m", "zlib", "t", 10, 1.0)],
+        "model string, metric string, source string, k int, precision double",
+    )
+    assert tables.metric_tree(rows, ["model", "metric", "source", "k"], "precision") == {
+        "m": {"zlib": {"s": {"10": 0.5, "50": None}, "t": {"10": 1.0}}}
+    }
     text = tables.markdown_by_model(rows, (10, 50))
     assert "## m: zlib" in text and "| s | 0.500 | N/A |" in text and "| t | 1.000 | N/A |" in text
-    assert tables.html([{"a": "<", "b": None}], ["a", "b"]) == "<table><tr><th>a</th><th>b</th></tr><tr><td>&lt;</td><td></td></tr></table>"
+    assert tables.html(
+        [{"a": "<", "b": None}], ["a", "b"]
+    ) == "<table><tr><th>a</th><th>b</th></tr><tr><td>&lt;</td><td></td></tr></table>"
 
 
 def test_compressed_lengths(spark):
@@ -91,12 +102,17 @@ def test_ratios_of_losses_and_compressed_lengths(spark):
 
     sf = "/root/testdata/sf0.001"
     nll = {r.doc_id: r.nll for r in QUERIES["bigram_nll"](spark, sf).collect()}
-    size = {r.doc_id: len(zlib.compress((r.text or "").encode())) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    size = {
+        r.doc_id: len(zlib.compress((r.text or "").encode()))
+        for r in spark.read.parquet(f"{sf}/documents.parquet").collect()
+    }
     got = QUERIES["zlib_ratios"](spark, sf).collect()
     assert len(got) == len(size)
     for r in got:
         assert r.ratio == pytest.approx(nll[r.doc_id] / (8 * size[r.doc_id]), abs=1e-8)
-        assert r.log_ratio == pytest.approx(math.log(math.exp(nll[r.doc_id]) + 1e-8) / math.log(size[r.doc_id] + 1e-8), abs=2e-6)
+        assert r.log_ratio == pytest.approx(
+            math.log(math.exp(nll[r.doc_id]) + 1e-8) / math.log(size[r.doc_id] + 1e-8), abs=2e-6
+        )
 
 
 def test_forests_are_stored_and_applied(spark, tmp_path):
@@ -127,8 +143,12 @@ def test_decoding_modes(spark):
 
 def test_risks_are_refreshed_and_sparse(spark):
     rows = [("p", k, float(k)) for k in range(1, 8)]
-    df = spark.createDataFrame(rows, "p string, step long, risk double").withColumn("fresh", sequences.refreshed(F.col("step"), 3, F.col("step") == 1))
-    got = [r.c for r in df.withColumn("c", sequences.cached("risk", F.col("fresh"), "p", "step")).orderBy("step").collect()]
+    df = spark.createDataFrame(rows, "p string, step long, risk double").withColumn(
+        "fresh", sequences.refreshed(F.col("step"), 3, F.col("step") == 1)
+    )
+    got = [
+        r.c for r in df.withColumn("c", sequences.cached("risk", F.col("fresh"), "p", "step")).orderBy("step").collect()
+    ]
     assert got == [1.0, 1.0, 3.0, 3.0, 3.0, 6.0, 6.0]
     one = spark.createDataFrame([([-1.0, -3.0, -2.0], [9.0, 8.0, 7.0])], "lp array<double>, r array<double>")
     risks = lambda scored: one.select(sequences.sparse_risks(F.col("lp"), F.col("r"), F.lit(0.5), 2, F.lit(scored)).alias("r")).first().r
@@ -138,7 +158,9 @@ def test_risks_are_refreshed_and_sparse(spark):
 def test_capped_index_by_text(spark):
     docs = spark.createDataFrame([(1, "abcdefgh"), (2, "abcdxyz")], "id long, text string")
     of = lambda *x: {r.hash for r in docs.limit(1).select(F.explode(F.array(*(shingles.short_hash(F.lit(s)) for s in x))).alias("hash")).collect()}
-    assert {r.hash for r in shingles.capped_index(docs, "id", 4, 100, per_text=2).collect()} == of("abcd", "bcde", "bcdx", "cdxy")
+    assert {
+        r.hash for r in shingles.capped_index(docs, "id", 4, 100, per_text=2).collect()
+    } == of("abcd", "bcde", "bcdx", "cdxy")
 
 
 def test_each_batch_is_scored_once(spark, tmp_path):
@@ -148,5 +170,7 @@ def test_each_batch_is_scored_once(spark, tmp_path):
     (tmp_path / "in" / "a.json").write_text('{"id": 1, "x": 2}\n{"id": 2, "x": 3}\n')
     for _ in range(2):
         stream = spark.readStream.schema("id long, x long").json(str(tmp_path / "in"))
-        score_batches(stream, lambda b: b.withColumn("y", F.col("x") * 10), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+        score_batches(
+            stream, lambda b: b.withColumn("y", F.col("x") * 10), str(tmp_path / "out"), str(tmp_path / "cp")
+        ).awaitTermination()
     assert sorted((r.id, r.y) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, 20), (2, 30)]
