@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import BROADCAST_IDS, free, near_ids, stash
+from gleanspark.llm.common import BROADCAST_IDS, free, near_ids, stash, trimmed
 from gleanspark.llm.graph import components
 from gleanspark.llm.repeats import REMEMBERED, WordHash, _mixed
 
@@ -144,6 +144,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def _sign(width: int, bands: int, rows: int):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(width)
         for held in _chunks(_rows(batches)):
@@ -165,6 +166,7 @@ def _sign(width: int, bands: int, rows: int):
 
 
 def _bag(width: int):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(width)
         for held in _chunks(_rows(batches)):

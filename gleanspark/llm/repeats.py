@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import stash
+from gleanspark.llm.common import stash, trimmed
 
 #: Bytes of text that a worker packs at a time, windows in one packed string, words whose hash it remembers,
 #: documents listed in one row, rows of a bucket and bytes of unpacked strings that are sorted at a time.
@@ -298,6 +298,7 @@ def sort_windows(docs: list[int], data: list[bytes], window: int, unzip) -> list
 
 
 def _to_buckets(window: int, m: int, dictionary: bytes, large: np.ndarray):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = Packer(window, m, dictionary, large)
         for batch in batches:
@@ -313,6 +314,7 @@ def _to_buckets(window: int, m: int, dictionary: bytes, large: np.ndarray):
 
 
 def _from_buckets(window: int, dictionary: bytes):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, unzip = ["doc", "key", "first", "n"], _unzip(dictionary)
         state, now, held, lone = Bucket(window, unzip), None, [], True
@@ -389,6 +391,7 @@ def _train(texts: list[str]) -> bytes:
 def _large(rows: DataFrame, window: int, m: int, share: float, least: int) -> np.ndarray:
     """Sorted numbers of the buckets that would have more than ``least`` rows, by a share of the documents."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = Packer(window, m)
         for batch in batches:
