@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
-from collections.abc import Callable, Iterator
-from functools import wraps
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,21 +43,5 @@ def count_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """``run``, giving freed memory back to the system at its end, as workers wait for their next task."""
-
-    @wraps(run)
-    def outer(batches: Iterator) -> Iterator:
-        try:
-            yield from run(batches)
-        finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
-            if trim:
-                trim(0)
-
-    return outer
-
-
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
