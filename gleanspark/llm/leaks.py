@@ -1,11 +1,13 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Benchmark items are cut into passages.  A randomised SVD, its products dealt over tasks, of the TF-IDF rows of these
-passages and of a bounded sample of corpus passages gives a latent basis of far fewer dimensions than passages;
-document frequencies are counted over the whole corpus, and the sample comes from the same reading.  Term weights are
-the square root of the inverse document frequency on either side, so that a product weighs a shared word once, and
-latent directions are scaled to equal variance, so that those that all passages of a language share don't hide the
-others.
+Benchmark items are cut into passages.  A truncated SVD of the TF-IDF rows of these passages and of all passages of the
+corpus gives a latent basis of far fewer dimensions than passages.  One reading of the corpus counts document
+frequencies and multiplies its co-occurrence counts by the benchmark's own leading directions (a randomised SVD, its
+products dealt over tasks); the decomposition follows from that product (Nystrom's method).  The corpus as a whole
+weighs as much as the benchmark.  Products are sums of whole numbers, whatever task a document is in.
+Term weights are the square root of the inverse document frequency on either side, so that a product weighs a shared
+word once, and latent directions are scaled to equal variance, so that those that all passages of a language share
+don't hide the others.
 
 Every document is read in overlapping windows.  A window is a candidate for a passage if its latent product with it
 reaches a share of the passage's product with itself (the cosine, times the window's latent length over the
@@ -28,18 +30,17 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import stash
+from gleanspark.llm.common import free, stash
 
 #: Characters and different words of benchmark text in a block: latent rows of its words are 64 MB at a rank of 128.
 BLOCK_CHARS, BLOCK_WORDS = 8_000_000, 125_000
 #: Words of a window's step (windows are two steps) and of a passage; bytes of text that a worker reads at a time.
 STEP, PASSAGE, CHUNK = 48, 48, 1_000_000
-#: Corpus passages that the basis is fitted on besides the benchmark's, at most (those of the least hashes).
-SAMPLE = 512
+#: Steps whose products are summed at a time; the largest number in the directions that corpus counts are multiplied by.
+STEPS_OF_SUM, LEVELS = 512, 1024
 #: Items of fewer words leak nothing; passages of fewer words than ``SHORT`` leak only as a whole, word by word.
 LEAST, SHORT = 4, 8
 #: Words in a block of rows of the basis when products are summed; rows of a task.
@@ -136,52 +137,93 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield held
 
 
-def frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[int, np.ndarray, list[list[int]]]:
-    """Documents in all, those with each word of the vocabulary, and up to ``SAMPLE`` corpus passages as word numbers.
-
-    One reading.  A task yields a row for each word it met and its ``SAMPLE`` documents of the least text hash, one
-    passage each; of these the least of all are taken, whatever the tasks.
+def _numbers(texts: list[list[str]], vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Word number, text and step (numbered on through the texts) of each word of the vocabulary; steps in all."""
+    get, none = vocabulary.get, len(vocabulary)
+    counts = np.array([len(w) for w in texts], np.int64)
+    ids = np.fromiter((i for w in texts for i in map(get, w, repeat(none))), np.int64, counts.sum())
+    own = np.repeat(np.arange(len(texts)), counts)
+    steps = -(-counts // STEP)
+    place = np.arange(len(ids)) - (np.cumsum(counts) - counts)[own]
+    step = (np.cumsum(steps) - steps)[own] + place // STEP
+    known = ids < none
+    return ids[known], own[known], step[known], int(steps.sum())
+
+
+def _add_products(out: np.ndarray, ids: np.ndarray, step: np.ndarray, directions: np.ndarray) -> None:
+    """Add to ``out`` the steps' co-occurrence counts times ``directions`` (whole numbers): sums are exact."""
+    starts = np.flatnonzero(np.append(True, np.diff(step) != 0)) if len(step) else np.empty(0, np.int64)
+    ends = np.append(starts, len(ids))
+    for i in range(0, len(starts), STEPS_OF_SUM):
+        low, high = ends[i], ends[min(i + STEPS_OF_SUM, len(starts))]
+        part, firsts = ids[low:high], starts[i : i + STEPS_OF_SUM] - low
+        sums = np.add.reduceat(directions[part], firsts, axis=0).astype(np.float64)
+        of = np.repeat(np.arange(len(firsts)), np.diff(np.append(firsts, len(part))))
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        words = np.flatnonzero(np.append(True, np.diff(part) != 0))
+        out[part[words]] += np.add.reduceat(sums[of[order]], words, axis=0)
+
+
+def frequencies(
+    docs: DataFrame, vocabulary: dict[str, int], directions: np.ndarray
+) -> tuple[int, np.ndarray, int, np.ndarray]:
+    """Documents, those with each word of the vocabulary, passages, and their co-occurrence counts times ``directions``.
+
+    One reading of the whole corpus: a document's passages are all its steps.  A task yields its sums for the words it
+    met, by blocks of words.
     """
-    size = len(vocabulary)
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    size, wide = directions.shape
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, directions.astype(np.float32)))
+    kinds = "start long, docs long, passages long, words binary, n binary, product binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, get = shared.value.keys(), shared.value.get
-        counts, total = np.zeros(size, np.int64), 0
-        least: dict[int, list[int]] = {}
-        limit = 1 << 64
+        vocabulary, directions = shared.value
+        counts, total, passages = np.zeros(size, np.int64), 0, 0
+        out = np.zeros((size, wide))
         for held in _chunks(batches):
+            ids, own, step, n = _numbers([words_of(text) for (text,) in held], vocabulary)
             total += len(held)
-            for (text,) in held:
-                words = words_of(text)
-                counts[[get(w) for w in set(words) & known]] += 1
-                h = xxhash.xxh3_64_intdigest(text or "")
-                if h < limit and len(words) >= LEAST:
-                    at = h % max(1, len(words) - PASSAGE + 1)
-                    least[h] = [get(w) for w in words[at : at + PASSAGE] if w in known]
-                    if len(least) > 2 * SAMPLE:
-                        least = {k: least[k] for k in sorted(least)[:SAMPLE]}
-                        limit = max(least)
-        some = np.flatnonzero(counts)
-        of = [(h - (1 << 63), least[h]) for h in sorted(least)[:SAMPLE]]
-        columns = [
-            pa.array(np.concatenate([some, [-1], np.full(len(of), -2)])),
-            pa.array(np.concatenate([counts[some], [total], [h for h, _ in of]]).astype(np.int64)),
-            pa.array([None] * (len(some) + 1) + [w for _, w in of], pa.list_(pa.int64())),
-        ]
-        yield pa.record_batch(columns, ["word", "n", "passage"])
-
-    made = stash(docs.select("_text").mapInArrow(run, "word long, n long, passage array<long>"), "frequencies")
-    out, total = np.zeros(size), 0
-    for word, n in made.filter("word > -2").groupBy("word").agg(F.sum("n").alias("n")).collect():
-        if word < 0:
-            total = n
-        else:
-            out[word] = n
-    sample = made.filter("word = -2").groupBy("n").agg(
-        F.first("passage").alias("p")
-    ).orderBy("n").limit(SAMPLE).collect()
-    return total, out, [list(r.p) for r in sample]
+            passages += n
+            counts += np.bincount(np.unique(own * size + ids) % size, minlength=size)
+            _add_products(out, ids, step, directions)
+        rows = [(-1, total, passages, b"", b"", b"")]
+        for i in range(0, size, ROWS_OF_SUM):
+            some = i + np.flatnonzero(counts[i : i + ROWS_OF_SUM])
+            product = out[some].astype(np.int64)
+            if len(some) and abs(product).max() < 1 << 31:
+                product = product.astype(np.int32)
+            rows.append((i, 0, 0, *(x.tobytes() for x in (some, counts[some], product))))
+        types = [pa.int64()] * 3 + [pa.binary()] * 3
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+        yield pa.record_batch(columns, [k.split()[0] for k in kinds.split(", ")])
+
+    def added(part: pd.DataFrame) -> pd.DataFrame:
+        start = int(part["start"].iloc[0])
+        here = min(ROWS_OF_SUM, size - start) if start >= 0 else 0
+        n, out = np.zeros(here, np.int64), np.zeros((here, wide), np.int64)
+        for words, counts, product in zip(part["words"], part["n"], part["product"], strict=True):
+            at = np.frombuffer(words, np.int64) - start
+            n[at] += np.frombuffer(counts, np.int64)
+            kind = np.int32 if len(product) == 4 * len(at) * wide else np.int64
+            out[at] += np.frombuffer(product, kind).reshape(len(at), wide)
+        sums = [int(part[k].sum()) for k in ("docs", "passages")]
+        return pd.DataFrame([(start, *sums, b"", n.tobytes(), out.tobytes())], columns=part.columns)
+
+    made = stash(docs.select("_text").mapInArrow(run, kinds), "frequencies")
+    sums = made.groupBy("start").applyInPandas(added, kinds).collect()
+    free(made)
+    shared.unpersist()
+    df, product = np.zeros(size), np.zeros((size, wide))
+    total = passages = 0
+    for r in sums:
+        if r.start < 0:
+            total, passages = r.docs, r.passages
+            continue
+        n = np.frombuffer(bytes(r.n), np.int64)
+        df[r.start : r.start + len(n)] = n
+        product[r.start : r.start + len(n)] = np.frombuffer(bytes(r.product), np.int64).reshape(-1, wide)
+    return total, df, passages, product
 
 
 def latent_basis(spark: SparkSession, rows: list[tuple[list[int], list[float]]], width: int, rank: int, seed: int = 7):
@@ -230,6 +272,21 @@ def latent_basis(spark: SparkSession, rows: list[tuple[list[int], list[float]]],
     return basis @ turn[:, order], np.sqrt(np.maximum(values[order], 0.0))
 
 
+def fit(
+    directions: np.ndarray, product: np.ndarray, weights: np.ndarray, rank: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Leading singular vectors and values of weighted rows, from ``product``: their co-occurrence times ``directions``.
+
+    Nystrom's method; the weights cancel in the small matrix.
+    """
+    small = directions.T @ product
+    values, turn = np.linalg.eigh((small + small.T) / 2)
+    some = values > 1e-10 * max(values[-1], 1e-300)
+    root = weights[:, None] * (product @ (turn[:, some] / np.sqrt(values[some])))
+    basis, values, _ = np.linalg.svd(root, full_matrices=False)
+    return basis[:, :rank], values[:rank]
+
+
 def _joined(of: np.ndarray, own: np.ndarray) -> np.ndarray:
     """Presence in a step joined over the region that ``leak`` reads: the step before it and the two after it too."""
     out = of.copy()
@@ -269,19 +326,14 @@ class Searcher:
     def __call__(self, texts: list[str | None]) -> Iterator[tuple[int, int, float, bool]]:
         """Text number, passage number, share and answer of the leaks."""
         words = [words_of(t) for t in texts]
-        get, none = self.vocabulary.get, len(self.vocabulary)
+        none = len(self.vocabulary)
         steps = np.array([-(-len(w) // STEP) for w in words], np.int64)
         last = np.cumsum(steps)
         n = int(last[-1]) if len(last) else 0
         if not n:
             return
-        counts = np.array([len(w) for w in words], np.int64)
-        ids = np.fromiter((i for w in words for i in map(get, w, repeat(none))), np.int64, counts.sum())
-        place = np.arange(len(ids)) - np.repeat(np.cumsum(counts) - counts, counts)
-        step = np.repeat(last - steps, counts) + place // STEP
+        ids, _, step, _ = _numbers(words, self.vocabulary)
         own = np.repeat(np.arange(len(words)), steps)
-        known = ids < none
-        ids, step = ids[known], step[known]
         begins = np.searchsorted(step, np.arange(n + 1))
         wide = max(16, 8_000_000 // (none + 1))
         seen: dict[tuple[int, int], tuple[float, bool]] = {}
@@ -340,15 +392,22 @@ def _search_block(docs: DataFrame, passages: list[Passage], bounds: Bounds) -> D
     """id, item, overlap and answered of the leaks of one block of passages, which the driver holds."""
     spark = docs.sparkSession
     vocabulary = {w: i for i, w in enumerate(sorted({w for p in passages for w in p.words + p.answer}))}
-    total, df, sample = frequencies(docs, vocabulary)
-    weights = _weights(total, df)
-    rows = []
-    for own in [[vocabulary[w] for w in p.words] for p in passages] + sample[: len(passages)]:
-        at, n = np.unique(np.array(own, np.int64), return_counts=True)
-        rows.append((at.tolist(), (n * weights[at]).tolist()))
+    of = [np.array([vocabulary[w] for w in p.words], np.int64) for p in passages]
+    distinct = [np.unique(own, return_counts=True) for own in of]
+    own_df = np.bincount(np.concatenate([at for at, _ in distinct]), minlength=len(vocabulary))
+    first = _weights(len(passages), own_df)
+    rows = [(at.tolist(), (n * first[at]).tolist()) for at, n in distinct]
     rank = max(16, min(bounds.rank, len(passages) // 2))
-    basis, values = latent_basis(spark, rows, len(vocabulary), rank)
-    basis = basis[:, values > 1e-6 * values[0]] / values[values > 1e-6 * values[0]]
+    directions = first[:, None] * latent_basis(spark, rows, len(vocabulary), rank + 8)[0]
+    directions = np.round(directions * (LEVELS / np.maximum(abs(directions).max(axis=0), 1e-300)))
+    total, df, n, product = frequencies(docs, vocabulary, directions)
+    weights = _weights(total, df)
+    product *= len(passages) / max(n, 1)
+    numbers = np.repeat(np.arange(len(of)), [len(own) for own in of])
+    _add_products(product, np.concatenate(of), numbers, directions.astype(np.float32))
+    basis, values = fit(directions, product, weights, rank)
+    some = values > 1e-6 * values[0]
+    basis = basis[:, some] / values[some]
     shared = spark.sparkContext.broadcast((passages, vocabulary, (basis * weights[:, None]).astype(np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

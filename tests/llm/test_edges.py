@@ -65,6 +65,27 @@ def test_the_basis_has_fewer_dimensions_than_passages(spark):
     assert gap(whole) < 1e-2 and gap(basis) > 1  # products change with the dimensions that are left out
 
 
+def test_the_basis_is_fitted_on_every_corpus_passage(spark):
+    rng = random.Random(4)
+    names = [f"w{i}" for i in range(30)] + [f"other{i}" for i in range(30)]
+    docs = [(i, " ".join(rng.choices(names, k=rng.choice([0, 1, 47, 48, 49, 200])))) for i in range(1500)]
+    docs += [(1500, None), (1501, docs[3][1]), (1502, " ".join(rng.choices(names, k=30_000)))]
+    vocabulary = {f"w{i}": i for i in range(30)}
+    steps = [w[i : i + leaks.STEP] for _, t in docs for w in [leaks.words_of(t)] for i in range(0, len(w), leaks.STEP)]
+    dense = np.array([[step.count(w) for w in vocabulary] for step in steps], float)
+    directions = np.round(np.random.default_rng(2).uniform(-1, 1, (30, 30)) * leaks.LEVELS)
+    for parts in (1, 7):
+        rows = table(spark, docs).select(F.col("text").alias("_text")).repartition(parts)
+        total, df, n, product = leaks.frequencies(rows, vocabulary, directions)
+        assert (total, n) == (len(docs), len(steps))
+        assert df.tolist() == [sum(w in set(leaks.words_of(t)) for _, t in docs) for w in vocabulary]
+        assert (product == dense.T @ (dense @ directions)).all()  # to the last bit, however rows are dealt
+    weights = leaks._weights(total, df)
+    basis, values = leaks.fit(directions, product, weights, 30)
+    assert np.allclose(values, np.linalg.svd(dense * weights, compute_uv=False), rtol=1e-5)
+    assert np.allclose(np.linalg.norm(dense * weights @ basis, axis=0), values, rtol=1e-5)
+
+
 def test_secrets_that_stall_or_nest():
     scan = secret_scan.Scanner()
     began = time.time()
