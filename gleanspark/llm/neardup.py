@@ -22,7 +22,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanspark.llm.common import BROADCAST_IDS, free, near_ids, stash
@@ -31,8 +31,8 @@ from gleanspark.llm.repeats import REMEMBERED, WordHash, _mixed
 
 #: Registers are BANDS * ROWS; at a similarity of 0.8 a pair misses all bands with a probability of 3e-6.
 BANDS, ROWS = 24, 4
-#: Bytes of text that a worker hashes at a time; shingles in a block of the last comparison.
-CHUNK, BLOCK = 1_000_000, 50_000
+#: Bytes of text that a worker hashes at a time; shingles and members in a block of the last comparison, about.
+CHUNK, BLOCK, BLOCK_ROWS = 1_000_000, 250_000, 500
 LEADERS = 3
 
 
@@ -186,7 +186,7 @@ def _compare(similarity: float):
     """Links between the queries and the targets of one block, one for each query and class."""
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        targets, queries = block[~block["query"]], block[block["query"]]
+        targets, queries = block[block["target"]], block[block["query"]]
         out = []
         if len(targets) and len(queries):
             sizes = targets["bag"].map(len).to_numpy()
@@ -289,6 +289,17 @@ def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
 
 
+def _places() -> Column:
+    """Blocks (t, q) that a member goes to: as a target to all q of its t, if it asks to all t of its q, once to each."""
+    place = lambda t, q, target, query: F.struct(
+        t.alias("t"), q.alias("q"), target.alias("target"), query.alias("query")
+    )
+    t, q, asks = F.col("t"), F.col("q"), F.col("asks")
+    as_target = F.transform(F.sequence(F.lit(0), F.col("qs") - 1), lambda x: place(t, x, F.lit(True), asks & (x == q)))
+    others = F.filter(F.sequence(F.lit(0), F.col("ts") - 1), lambda x: asks & (x != t))
+    return F.concat(as_target, F.transform(others, lambda x: place(x, q, F.lit(False), F.lit(True))))
+
+
 def _between_classes(members: DataFrame, bags: DataFrame, classes: DataFrame, similarity: float) -> DataFrame | None:
     """Links between the classes that still share a bucket."""
     placed = members.filter("n > 2").select("bucket", "id").join(classes, F.col("id") == F.col("node"), "left")
@@ -301,22 +312,20 @@ def _between_classes(members: DataFrame, bags: DataFrame, classes: DataFrame, si
     if open_.isEmpty():
         return None
     with_bag = open_.join(bags, "id")
-    blocks = lambda size: F.greatest(F.lit(1), F.ceil(size / BLOCK)).cast("int")
     size, outside = F.size("bag"), F.col("class") != F.col("main")
-    whole = with_bag.groupBy("bucket").agg(
-        blocks(F.sum(size)).alias("ts"), blocks(F.sum(F.when(outside, size))).alias("qs")
-    )
+    blocks = lambda rows: F.greatest(
+        F.lit(1), F.ceil(F.sum(F.when(rows, size)) / BLOCK), F.ceil(F.count_if(rows) / BLOCK_ROWS)
+    ).cast("int")
+    whole = with_bag.groupBy("bucket").agg(blocks(F.lit(True)).alias("ts"), blocks(outside).alias("qs"))
     whole = stash(whole, "blocks")
-    dealt = with_bag.join(_small(whole), "bucket")
     one = lambda n, name: F.pmod(F.xxhash64("id"), n).cast("int").alias(name)
-    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
-    targets = dealt.select(
-        "bucket", one("ts", "t"), every("qs", "q"), "id", "class", "bag", F.lit(False).alias("query")
+    dealt = open_.join(_small(whole), "bucket").select(
+        "id", "bucket", "class", outside.alias("asks"), "ts", "qs", one("ts", "t"), one("qs", "q")
     )
-    queries = dealt.filter(outside).select(
-        "bucket", every("ts", "t"), one("qs", "q"), "id", "class", "bag", F.lit(True).alias("query")
+    placed = dealt.select("id", "bucket", "class", F.explode(_places()).alias("at")).select(
+        "id", "bucket", "class", "at.*"
     )
-    found = targets.union(queries).groupBy("bucket", "t", "q").applyInPandas(_compare(similarity), "a long, b long")
+    found = placed.join(bags, "id").groupBy("bucket", "t", "q").applyInPandas(_compare(similarity), "a long, b long")
     return stash(found.distinct(), "late-links")
 
 

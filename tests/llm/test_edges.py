@@ -137,6 +137,37 @@ def test_near_duplicates_of_shared_ids(spark):
     assert got == [(0, 0), (1, 0), (1, 0), (2, 0), (3, 3), (None, None)]
 
 
+def test_members_go_to_each_block_once_and_meet_all(spark):
+    ts, qs = 3, 2
+    made = [(i, i % ts, i % qs, i % 3 > 0, ts, qs) for i in range(24)]
+    rows = table(spark, made, "id long, t int, q int, asks boolean, ts int, qs int")
+    at = [(r.id, *r.at) for r in rows.select("id", F.explode(neardup._places()).alias("at")).collect()]
+    assert len({x[:3] for x in at}) == len(at)
+    assert len(at) == 24 * qs + 16 * (ts - 1)
+    blocks = {x[1:3] for x in at}
+    met = [
+        (a, b)
+        for block in blocks
+        for a in (x[0] for x in at if x[1:3] == block and x[4])
+        for b in (x[0] for x in at if x[1:3] == block and x[3])
+    ]
+    assert len(met) == len(set(met)) and set(met) == {(a, b) for a, *_ in made if a % 3 for b in range(24)}
+
+
+@pytest.mark.parametrize("limits", [(300, 500), (250_000, 3)])
+def test_classes_in_one_bucket_meet_in_any_blocks(spark, monkeypatch, limits):
+    monkeypatch.setattr(neardup, "BLOCK", limits[0])
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", limits[1])
+    ids = range(20)
+    texts = [" ".join(f"w{i // 2}x{k}" for k in range(60)) + f" end{i}" for i in ids]
+    docs = table(spark, list(zip(ids, texts, strict=True)))
+    members = table(spark, [(7, i, 20) for i in ids], "bucket long, id long, n long")
+    classes = table(spark, [(0, 0)], "node long, root long")  # each text is a class of its own
+    bags = neardup._with_bags(docs, table(spark, [(i,) for i in ids], "id long"), 5, "doc_id", "text")
+    found = {tuple(sorted(r)) for r in neardup._between_classes(members, bags, classes, 0.8).collect()}
+    assert found == {(i, i + 1) for i in ids if i % 2 == 0}
+
+
 def test_near_duplicates_by_number_of_edits(spark):
     """Recall of copies with up to 2 % of the words edited is at least 0.9, and no other pair is linked."""
     rng = random.Random(5)
