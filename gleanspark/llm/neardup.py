@@ -290,7 +290,7 @@ def _small(table: DataFrame) -> DataFrame:
 
 
 def _places() -> Column:
-    """Blocks (t, q) that a member goes to: as a target to all q of its t, if it asks to all t of its q, once to each."""
+    """Blocks (t, q) of a member: as a target all q of its t, if it asks all t of its q; it goes to each once."""
     place = lambda t, q, target, query: F.struct(
         t.alias("t"), q.alias("q"), target.alias("target"), query.alias("query")
     )
