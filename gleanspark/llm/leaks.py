@@ -25,7 +25,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -40,7 +40,11 @@ BLOCK_CHARS, BLOCK_WORDS = 8_000_000, 125_000
 #: Words of a window's step (windows are two steps) and of a passage; bytes of text that a worker reads at a time.
 STEP, PASSAGE, CHUNK = 48, 48, 1_000_000
 #: Steps whose products are summed at a time; the largest number in the directions that corpus counts are multiplied by.
-STEPS_OF_SUM, LEVELS = 512, 1024
+STEPS_OF_SUM, LEVELS = 1024, 1024
+#: A word in one of so many steps is multiplied as a matrix's column, a rarer one by itself.
+FREQUENT = 64
+#: Candidates whose common subsequences are found at a time; words that fit into the bits of a number.
+TRIED, BITS = 4096, 64
 #: Items of fewer words leak nothing; passages of fewer words than ``SHORT`` leak only as a whole, word by word.
 LEAST, SHORT = 4, 8
 #: Words in a block of rows of the basis when products are summed; rows of a task.
@@ -137,11 +141,19 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield held
 
 
-def _numbers(texts: list[list[str]], vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def _all_numbers(texts: list[list[str]], vocabulary: dict[str, int]) -> np.ndarray:
+    """Word number of each word, the vocabulary's size where it has none."""
+    of = map(vocabulary.get, chain.from_iterable(texts), repeat(len(vocabulary)))
+    return np.fromiter(of, np.int64, sum(map(len, texts)))
+
+
+def _numbers(
+    texts: list[list[str]], vocabulary: dict[str, int], ids: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Word number, text and step (numbered on through the texts) of each word of the vocabulary; steps in all."""
-    get, none = vocabulary.get, len(vocabulary)
+    none = len(vocabulary)
     counts = np.array([len(w) for w in texts], np.int64)
-    ids = np.fromiter((i for w in texts for i in map(get, w, repeat(none))), np.int64, counts.sum())
+    ids = _all_numbers(texts, vocabulary) if ids is None else ids
     own = np.repeat(np.arange(len(texts)), counts)
     steps = -(-counts // STEP)
     place = np.arange(len(ids)) - (np.cumsum(counts) - counts)[own]
@@ -150,19 +162,43 @@ def _numbers(texts: list[list[str]], vocabulary: dict[str, int]) -> tuple[np.nda
     return ids[known], own[known], step[known], int(steps.sum())
 
 
+def _sums(rows: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different numbers of ``own``, which is sorted, and the sum of the rows of each."""
+    starts = np.flatnonzero(np.append(True, np.diff(own) != 0))
+    return own[starts], np.add.reduceat(rows, starts, axis=0)
+
+
 def _add_products(out: np.ndarray, ids: np.ndarray, step: np.ndarray, directions: np.ndarray) -> None:
-    """Add to ``out`` the steps' co-occurrence counts times ``directions`` (whole numbers): sums are exact."""
+    """Add to ``out`` the steps' co-occurrence counts times ``directions`` (whole numbers): sums are exact.
+
+    Sums over a step's words are exact in single precision up to 2**24, beyond any that ``LEVELS`` and a step's or a
+    passage's words allow; those over steps are in double precision.
+    """
     starts = np.flatnonzero(np.append(True, np.diff(step) != 0)) if len(step) else np.empty(0, np.int64)
     ends = np.append(starts, len(ids))
     for i in range(0, len(starts), STEPS_OF_SUM):
         low, high = ends[i], ends[min(i + STEPS_OF_SUM, len(starts))]
         part, firsts = ids[low:high], starts[i : i + STEPS_OF_SUM] - low
-        sums = np.add.reduceat(directions[part], firsts, axis=0).astype(np.float64)
         of = np.repeat(np.arange(len(firsts)), np.diff(np.append(firsts, len(part))))
-        order = np.argsort(part, kind="stable")
-        part = part[order]
-        words = np.flatnonzero(np.append(True, np.diff(part) != 0))
-        out[part[words]] += np.add.reduceat(sums[of[order]], words, axis=0)
+        times = np.bincount(part, minlength=len(out))
+        common = np.flatnonzero(times * FREQUENT >= len(firsts))
+        column = np.full(len(out), -1)
+        column[common] = np.arange(len(common))
+        at = column[part]
+        dense = np.bincount((of * len(common) + at)[at >= 0], minlength=len(firsts) * len(common))
+        dense = dense.reshape(len(firsts), len(common)).astype(np.float32)
+        sums = dense @ directions[common]
+        rare = np.flatnonzero(at < 0)
+        part, of = part[rare], of[rare]
+        if len(part):
+            which, more = _sums(directions[part], of)
+            sums[which] += more
+        sums = sums.astype(np.float64)
+        out[common] += dense.T.astype(np.float64) @ sums
+        if len(part):
+            order = np.argsort(part, kind="stable")
+            which, more = _sums(sums[of[order]], part[order])
+            out[which] += more
 
 
 def frequencies(
@@ -315,9 +351,13 @@ class Searcher:
         square = (latent.astype(np.float64) ** 2).sum(axis=1)
         self.directions = (latent / np.maximum(square, 1e-9)[:, None]).T.astype(np.float32).copy()
         self.dark = np.flatnonzero(square < 1e-6)  # passages that the basis doesn't show are candidates everywhere
+        bits = [np.left_shift(np.uint64(1), np.arange(len(w), dtype=np.uint64)) if len(w) <= BITS else None for w in of]
+        #: Different words of each passage, and their places in it as bits; None for passages that the bits can't hold.
+        self.places = [None if b is None else self._places(np.array(w), b) for w, b in zip(of, bits, strict=True)]
         pad = lambda lists: np.array([w + [none] * (max(map(len, lists)) - len(w)) for w in lists], np.int32)
         self.of, self.answers = pad(of), pad([[vocabulary[w] for w in p.answer] for p in passages])
-        n, m = np.array([len(w) for w in of]), np.array([len(p.answer) for p in passages])
+        self.n = n = np.array([len(w) for w in of])
+        m = np.array([len(p.answer) for p in passages])
         self.least = np.where(n < SHORT, n, np.ceil(bounds.paraphrase * n - 1e-9)).astype(np.int32)
         self.enough = np.ceil(bounds.overlap * n - 1e-9).astype(np.int32)
         alone = np.array([p.around == 0 for p in passages])
@@ -332,9 +372,12 @@ class Searcher:
         n = int(last[-1]) if len(last) else 0
         if not n:
             return
-        ids, _, step, _ = _numbers(words, self.vocabulary)
+        every = _all_numbers(words, self.vocabulary)
+        ids, _, step, _ = _numbers(words, self.vocabulary, every)
         own = np.repeat(np.arange(len(words)), steps)
         begins = np.searchsorted(step, np.arange(n + 1))
+        sizes = np.array([len(w) for w in words], np.int64)
+        text_ends = np.cumsum(sizes)
         wide = max(16, 8_000_000 // (none + 1))
         seen: dict[tuple[int, int], tuple[float, bool]] = {}
         for i in range(0, n, wide):  # a block of steps, with those around that its windows and regions need
@@ -355,6 +398,10 @@ class Searcher:
             present = np.zeros((high - low, none + 1), bool)
             present[here, at] = True
             k, p = self._possible(_joined(present, own[low:high]), mine[k], p)
+            text = own[k + low]
+            first = (k + low - (last - steps)[text]) * STEP
+            keep = self._alike(every, (text_ends - sizes)[text], text_ends[text], first, p)
+            k, p = k[keep], p[keep]
             for step_, passage in zip((k + low).tolist(), p.tolist(), strict=True):
                 text = int(own[step_])
                 if seen.get((text, passage), (0.0, False))[0] < 1.0:
@@ -374,6 +421,61 @@ class Searcher:
             out[step[starts[i : i + 256]]] = np.add.reduceat(self.rows[part], starts[i : i + 256] - ends[i], axis=0)
         return out
 
+    @staticmethod
+    def _places(words: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        different, at = np.unique(words, return_inverse=True)
+        places = np.zeros(len(different), np.uint64)
+        np.bitwise_or.at(places, at, bits)
+        return different, places
+
+    def _alike(
+        self, every: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndarray, p: np.ndarray
+    ) -> np.ndarray:
+        """Numbers of the candidates whose common subsequence is long enough for a paraphrase, as ``leak`` finds it.
+
+        Many at a time, places of a passage being bits of a number.  Passages that are too short or too long for that
+        are kept.  ``begin`` and ``end`` bound a candidate's text in ``every``, ``first`` is its step's first word.
+        """
+        long = np.array([x is None for x in self.places])
+        kept = [np.flatnonzero((self.n[p] < SHORT) | long[p])]
+        tried = np.flatnonzero((self.n[p] >= SHORT) & ~long[p])
+        tried = tried[np.argsort(p[tried], kind="stable")]
+        table = np.zeros(len(self.vocabulary) + 1, np.uint64)
+        wide, span = 4 * STEP, self.bounds.span
+        for i in range(0, len(tried), TRIED):
+            some = tried[i : i + TRIED]
+            low = begin[some] + np.maximum(0, first[some] - STEP)
+            high = np.minimum(end[some], begin[some] + first[some] + 3 * STEP)
+            at = low[:, None] + np.arange(wide)
+            region = np.where(at < high[:, None], every[np.minimum(at, len(every) - 1)], len(self.vocabulary))
+            hits = np.zeros((len(some), wide + span * BITS), np.uint64)
+            cuts = np.flatnonzero(np.append(True, np.diff(p[some]) != 0))
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(some)], strict=True):
+                different, places = self.places[p[some[a]]]
+                table[different] = places
+                hits[a:b, :wide] = table[region[a:b]]
+                table[different] = 0
+            n = self.n[p[some]]
+            half = np.maximum(1, n // 2)
+            spans = -(-np.maximum(1, high - low - span * n + half) // half)
+            which = np.repeat(np.arange(len(some)), spans)
+            start = (np.arange(len(which)) - np.repeat(np.cumsum(spans) - spans, spans)) * half[which]
+            order = np.argsort(-n[which], kind="stable")
+            which, start = which[order], start[order]
+            base, length = which * hits.shape[1] + start, span * n[which]
+            flat = hits.ravel()
+            full = np.uint64(2**64 - 1) >> (64 - n[which]).astype(np.uint64)
+            rows = full.copy()
+            for t in range(int(length[0])):
+                m = int(np.searchsorted(-length, -t))  # spans of more than t words come first
+                row = rows[:m]
+                hit = row & flat[base[:m] + t]
+                rows[:m] = (row + hit) | (row - hit)
+            best = np.zeros(len(some), np.int64)
+            np.maximum.at(best, which, n[which] - np.bitwise_count(rows & full).astype(np.int64))
+            kept.append(some[best / n >= self.bounds.paraphrase])
+        return np.sort(np.concatenate(kept))
+
     def _possible(self, present: np.ndarray, k: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of candidates those whose region has the words of a leak: no subsequence is longer than the words present."""
         keep = []

@@ -86,6 +86,31 @@ def test_the_basis_is_fitted_on_every_corpus_passage(spark):
     assert np.allclose(np.linalg.norm(dense * weights @ basis, axis=0), values, rtol=1e-5)
 
 
+def test_only_candidates_with_words_in_order_are_compared_one_by_one(monkeypatch):
+    rng = random.Random(6)
+    names = [f"w{i}" for i in range(60)]
+    items = [rng.choices(names, k=k) for k in (5, 8, 9, 30, 63, 64, 65, 70, 150)]
+    passages = [p for i, w in enumerate(items) for p in leaks.passages_of(i, " ".join(w))]
+    texts = [" ".join(rng.choices([*names, "other"], k=k)) for k in (0, 1, 47, 48, 49, 95, 97, 400, 2000) for _ in "abc"]
+    for w in items:
+        half = [x if rng.random() < 0.6 else "other" for x in w]
+        texts += [" ".join(rng.choices(names, k=60) + x + rng.choices(names, k=30)) for x in (w, half)]
+    vocabulary = {w: i for i, w in enumerate(names)}
+    bounds = leaks.Bounds(cosine=-1e9)  # all are candidates
+    want, tried, compared, one = {}, 0, [], leaks.leak
+    for i, text in enumerate(texts):
+        words = leaks.words_of(text)
+        for j, p in enumerate(passages):
+            found = [f for first in range(0, len(words), leaks.STEP) if (f := one(p, words, first, bounds))]
+            tried += -(-len(words) // leaks.STEP)
+            if found:
+                want[i, j] = max(found)
+    monkeypatch.setattr(leaks, "leak", lambda *a: compared.append(one(*a)) or compared[-1])
+    search = leaks.Searcher(passages, vocabulary, np.eye(60, dtype=np.float32), bounds)
+    assert {(i, j): (share, answered) for i, j, share, answered in search([*texts, None])} == want
+    assert {j for _, j in want} == set(range(len(passages))) and len(compared) < tried / 4
+
+
 def test_secrets_that_stall_or_nest():
     scan = secret_scan.Scanner()
     began = time.time()
