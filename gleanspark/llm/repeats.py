@@ -5,7 +5,7 @@ the same minimiser travel as one packed string (their words, once each) to the m
 windows have equal minimisers, so they meet in one bucket; there their words are sorted and equal neighbours
 share the smallest document that holds them.  Buckets arrive sorted by document and are read as a stream:
 a bucket that one document alone fills is passed over, and what is kept in memory are the distinct windows of
-one bucket.  Equal packed strings of one map batch are merged before the shuffle, so that a passage in a third
+one bucket, up to a number: rows with other windows are put aside and read again, as often as it takes.  Equal packed strings of one map batch are merged before the shuffle, so that a passage in a third
 of all documents costs its bucket one row per batch and not one per document.
 
 Buckets that a sample of the documents shows to be large (a frequent pair of words) are split by a second minimiser of
@@ -17,6 +17,7 @@ Packed strings travel compressed with a small dictionary, as neighbours share mo
 from __future__ import annotations
 
 import struct
+import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -41,6 +42,11 @@ SAMPLE_TEXTS, SAMPLE_CHARS, DICTIONARY = 400, 4000, 16_384
 LARGE, SHARE, SECOND, SPLIT = 200_000, 0.01, 6, 1_000_000
 
 
+#: Distinct windows of a bucket in memory (some 230 bytes each), not counting those of the rows sorted last; bytes of
+#: rows put aside that are not yet in a file.
+SEEN, ASIDE = 300_000, 4_000_000
+
+
 class WordHash(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = h = xxhash.xxh3_64_intdigest(word)
@@ -188,17 +194,48 @@ def _unzip(dictionary: bytes):
 
 
 class Bucket:
-    """Windows of one bucket, fed by ascending document."""
+    """Windows of one bucket, fed by ascending document.
+
+    Once ``SEEN`` windows are known, rows that hold others are put aside in their order, for another ``Bucket``: all
+    rows of a window are judged here if it is known, and all are put aside if not.  Rows that hold both are judged
+    twice and their stretches may be given twice.
+    """
 
     def __init__(self, window: int, unzip):
-        self.window, self.unzip, self.seen = window, unzip, {}
+        self.window, self.unzip, self.seen, self.aside = window, unzip, {}, None
+
+    def _put_aside(self, rows: Iterable[tuple[int, bytes]]) -> None:
+        if self.aside is None:
+            self.aside = tempfile.SpooledTemporaryFile(ASIDE)
+        for doc, data in rows:
+            self.aside.write(struct.pack("<qI", doc, len(data)) + data)
+
+    def put_aside(self) -> Iterator[list[tuple[int, bytes]]]:
+        """Rows that another bucket must judge, some at a time; this one's windows are forgotten."""
+        self.seen = {}
+        if self.aside is None:
+            return
+        with self.aside as file:
+            file.seek(0)
+            rows = []
+            while head := file.read(12):
+                doc, size = struct.unpack("<qI", head)
+                rows.append((doc, file.read(size)))
+                if len(rows) == SORTED:
+                    yield rows
+                    rows = []
+            if rows:
+                yield rows
 
     def feed(self, rows: list[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, ...]]:
         """Documents, keys, first words and numbers of windows that a smaller document holds too."""
         alike: dict[bytes, list[tuple[np.ndarray, ...]]] = {}
+        number: dict[bytes, int] = {}
+        of = []
         for doc, data in rows:
             docs, keys, starts, text = _unpacked(doc, data)
             alike.setdefault(text, []).append((docs, keys, starts))
+            of.append(number.setdefault(text, len(number)))
         windows = []
         for which, (text, found) in enumerate(alike.items()):
             text = self.unzip(text)
@@ -213,11 +250,16 @@ class Bucket:
             ]
         windows.sort()
         least: list[dict[int, int]] = [{} for _ in alike]
-        last, lowest = None, 0
+        last, lowest, later = None, 0, set()
+        full, unknown = len(self.seen) >= SEEN, np.iinfo(np.int64).max
         for text, doc, which, i in windows:
             if text != last:
-                last, lowest = text, self.seen.setdefault(text, doc)
+                last, lowest = text, self.seen.get(text, unknown) if full else self.seen.setdefault(text, doc)
+            if lowest == unknown:
+                later.add(which)
             least[which][i] = lowest
+        if later:
+            self._put_aside(row for row, which in zip(rows, of, strict=True) if which in later)
         for which, found in enumerate(alike.values()):
             docs, keys, starts = (np.concatenate(x) for x in zip(*found, strict=True))
             firsts = np.array([least[which][i] for i in range(len(least[which]))])
@@ -323,6 +365,13 @@ def _from_buckets(window: int, dictionary: bytes):
             if found := list(state.feed(rows)):
                 yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names)
 
+        def finish() -> Iterator[pa.RecordBatch]:
+            nonlocal state
+            while state.aside is not None:
+                rest, state = state.put_aside(), Bucket(window, unzip)
+                for rows in rest:
+                    yield from work(rows)
+
         def flush() -> pa.RecordBatch:
             return pa.record_batch([pa.array(x) for x in sort_windows(*small, window, unzip)], names)
 
@@ -341,6 +390,7 @@ def _from_buckets(window: int, dictionary: bytes):
                         cost = sum(_cost(x) for _, x in held)
                         if state.seen or len(held) > SORTED or cost > 4 * SORTED_BYTES:
                             yield from work(held)
+                            yield from finish()
                         else:
                             small[0].extend(d for d, _ in held)
                             small[1].extend(x for _, x in held)
@@ -360,6 +410,7 @@ def _from_buckets(window: int, dictionary: bytes):
                     held = held[SORTED:]
         if not lone:
             yield from work(held)
+            yield from finish()
         if small[0]:
             yield flush()
 

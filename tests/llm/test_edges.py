@@ -6,6 +6,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -111,6 +112,37 @@ def test_only_candidates_with_words_in_order_are_compared_one_by_one(monkeypatch
     assert {j for _, j in want} == set(range(len(passages))) and len(compared) < tried / 4
 
 
+def test_a_large_bucket_is_read_again_rather_than_held(monkeypatch):
+    monkeypatch.setattr(repeats, "SEEN", 1000, raising=False)
+    monkeypatch.setattr(repeats, "ASIDE", 20_000, raising=False)
+    sizes, feed = [], repeats.Bucket.feed
+
+    def fed(self, rows):
+        yield from feed(self, rows)
+        sizes.append(len(self.seen))
+
+    monkeypatch.setattr(repeats.Bucket, "feed", fed)
+    rng = random.Random(8)
+    names = [f"name{i}" for i in range(3000)]
+    docs = [(i, " ".join(rng.choices(names, k=9))) for i in range(1500)]
+    docs += [(1500 + i, f"{docs[j][1]} {rng.choice(names)}") for i, j in enumerate(rng.sample(range(1500), 300))]
+    docs += [(1800 + i, docs[j][1]) for i, j in enumerate(rng.sample(range(1800), 300))]
+    pack = repeats.Packer(5, 2)
+    rows = [row for part in pack((d, 0, t) for d, t in docs) for row in zip(*part, strict=True)]
+    rows = sorted((0, doc, data) for _, doc, data in rows)  # all meet in one bucket
+    kinds = {"bucket": pa.int32(), "doc": pa.int64(), "data": pa.binary()}
+    columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)]
+    made = pa.record_batch(columns, list(kinds))
+    batches = [made.slice(i, 700) for i in range(0, len(rows), 700)]
+    gone = {}
+    for out in repeats._from_buckets(5, b"")(iter(batches)):
+        for doc, _, first, n in zip(*(c.to_pylist() for c in out.columns), strict=True):
+            gone.setdefault(doc, set()).update(range(first, first + n + 4))
+    want = {d: removed for d, (_, removed, _) in repeats.brute_force(docs, 5).items() if removed}
+    assert {d: len(places) for d, places in gone.items()} == want and len(want) > 500
+    assert max(sizes) < 1000 + 5 * repeats.SORTED, max(sizes)
+
+
 def test_secrets_that_stall_or_nest():
     scan = secret_scan.Scanner()
     began = time.time()
