@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import WORD, fresh, stash
+from gleanspark.llm.common import BROADCAST_CHARS, WORD, broadcast_small, fresh, let, stash
 
-#: The boilerplate table is broadcast up to this many characters; a host's list is searched in place up to this length.
-BROADCAST_CHARS, SHORT_LIST = 8_000_000, 256
+#: A host's list of boilerplate is searched in place up to this length.
+SHORT_LIST = 256
 
 
 def _lines(text: Column) -> Column:
@@ -37,7 +37,11 @@ def boilerplate(
     """
     rows = docs.select(F.col(host_col).alias("host"), F.col(text_col).alias("text"))
     totals = rows.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
-    exploded = rows.select("host", F.xxhash64("text").alias("t"), F.explode(_lines(F.col("text"))).alias("line"))
+    each = let(
+        F.xxhash64("text"),  # once a text, not once a line
+        lambda t: F.transform(_lines(F.col("text")), lambda x: F.struct(t.alias("t"), x.alias("line"))),
+    )
+    exploded = rows.select("host", F.explode(each).alias("x")).select("host", "x.t", "x.line")
     enough = (F.col("n_pages") >= min_pages) & (F.col("n_pages") > F.lit(ratio) * F.col("host_pages"))
     counted = exploded.groupBy("host", F.xxhash64("line").alias("h")).agg(
         F.count(F.lit(1)).alias("n_pages"), F.min("t").alias("t0"), F.max("t").alias("t1")
@@ -51,7 +55,7 @@ def boilerplate(
         "likely-lines",
     )
     mine = exploded.withColumn("h", F.xxhash64("line")).alias("a").join(
-        _maybe_broadcast(likely).alias("b"), F.expr("a.h = b.h and a.host <=> b.host")
+        broadcast_small(likely).alias("b"), F.expr("a.h = b.h and a.host <=> b.host")
     )
     exact = mine.groupBy("a.host", "line", "host_pages").agg(
         F.count(F.lit(1)).alias("n_pages"), F.min("t").alias("t0"), F.max("t").alias("t1")
@@ -61,14 +65,6 @@ def boilerplate(
     return exact.filter(enough).select("host", "line", "n_pages", "host_pages")
 
 
-def _maybe_broadcast(df: DataFrame) -> DataFrame:
-    chars = F.lit(24).cast("long") + sum(
-        (F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns), F.lit(0)
-    )
-    size = df.agg(F.sum(chars)).first()[0] or 0
-    return F.broadcast(df) if size <= BROADCAST_CHARS else df
-
-
 def drop_boilerplate(
     docs: DataFrame,
     *,
@@ -100,7 +96,7 @@ def drop_boilerplate(
         kept = F.filter(lines, lambda x: ~F.array_contains(gone, x))
     else:
         joined = _with_places(docs, found, host_col, text_col, row, gone)
-        kept = F.filter(lines, lambda x, i: ~F.exists(gone, lambda g: (g["at"] == i) & (g["line"] == x)))
+        kept = _between(lines, F.col(gone))
     kept = F.when(F.col(gone).isNull(), lines).otherwise(kept)
     zero = F.lit(0)
     done = F.struct(
@@ -111,6 +107,24 @@ def drop_boilerplate(
     return joined.withColumn(into, done).drop(gone)
 
 
+def _between(lines: Column, places: Column) -> Column:
+    """The lines but for those at ``places`` (structs of at and line), as slices between them."""
+
+    def slices(ls: Column, at: Column) -> Column:
+        before, after = F.concat(F.array(F.lit(-1)), at), F.concat(at, F.array(F.size(ls)))
+        return F.flatten(F.zip_with(before, after, lambda a, b: F.slice(ls, a + 2, b - a - 1)))
+
+    return let(
+        lines,
+        lambda ls: let(
+            F.array_sort(
+                F.transform(F.filter(places, lambda g: F.get(ls, g["at"]) == g["line"]), lambda g: g["at"])
+            ),
+            lambda at: slices(ls, at),
+        ),
+    )
+
+
 def _with_places(docs: DataFrame, found: DataFrame, host_col: str, text_col: str, row: str, gone: str) -> DataFrame:
     """``docs`` with ``gone``: the places of a text's boilerplate lines, for lists too long to send to every task.
 

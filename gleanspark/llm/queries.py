@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanspark.llm import leaks, lines, mixing, neardup, oracles, quality, repeats, secret_scan, tokens, urls, warc
+from gleanspark.llm import (
+    divergence,
+    infill,
+    leaks,
+    lines,
+    mixing,
+    neardup,
+    oracles,
+    quality,
+    repeats,
+    secret_scan,
+    tokens,
+    urls,
+    warc,
+)
 from gleanspark.llm.common import tables
 
 TOKENIZER = "word_bpe_49k.json"
@@ -75,6 +89,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digest(tables(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(tables(spark, sf_dir, "documents"))
+
+
 _ALL = (
     op1_token_counts,
     op2_substring_dedup,
@@ -86,6 +108,8 @@ _ALL = (
     op8_decontamination,
     op9_secret_scan,
     op10_line_dedup,
+    op11_fill_in_middle,
+    op12_source_divergence,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 SQL: dict[str, str] = {
@@ -94,4 +118,6 @@ SQL: dict[str, str] = {
     "op5_quality_rules": oracles.rules(),
     "op6_url_filter": oracles.urls(URL_RULES),
     "op10_line_dedup": lines.sql(),
+    "op11_fill_in_middle": infill.sql(),
+    "op12_source_divergence": divergence.sql(),
 }
