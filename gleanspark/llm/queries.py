@@ -19,6 +19,7 @@ from gleanspark.llm import (
     tokens,
     urls,
     warc,
+    wrapper,
 )
 from gleanspark.llm.common import tables
 
@@ -97,6 +98,12 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(tables(spark, sf_dir, "documents"))
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = wrapper.extract(tables(spark, sf_dir, "pages"))
+    text = F.col("main.text")
+    return done.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+
+
 _ALL = (
     op1_token_counts,
     op2_substring_dedup,
@@ -110,6 +117,7 @@ _ALL = (
     op10_line_dedup,
     op11_fill_in_middle,
     op12_source_divergence,
+    op13_html_extraction,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 SQL: dict[str, str] = {
