@@ -1,27 +1,31 @@
 """Divergence of sources by wide term vectors.
 
-Each language's terms become arrays indexed by its sources.  Higher-order functions turn an array into contributions
-of pairs of sources, which partial sums take in ahead of the shuffle.  A pair in which neither source has the term
+Workers count a document's terms and sum them over documents; each language's terms then become arrays indexed by its
+sources.  Higher-order functions turn an array into contributions of pairs of sources, which partial sums take in ahead
+of the shuffle.  A pair in which neither source has the term
 contributes the same for each such term; that share is multiplied out at the end instead of emitted, so that rows grow
 with the sources a term occurs in, not with all pairs.
 """
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import broadcast_small, let, stash
+from gleanspark.llm.common import broadcast_small, stash
 
 #: A run of letters A to Z and of all characters beyond ASCII.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SCALE = 1_000_000_000
-
-
-def terms_of(text: Column) -> Column:
-    """The text's terms in order, A to Z lower-cased and no other letter."""
-    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(TERM), F.lit(0))
+#: Each byte's lower-case letter, byte of a longer character, or the space that stands for all that ends a term.
+FOLDED = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
+#: Counts that a worker holds before it hands them on, and bytes of a text that it cuts into terms at a time.
+HELD, CHUNK = 400_000, 4_000_000
 
 
 def share(count: Column, n: Column, v: Column) -> Column:
@@ -40,20 +44,56 @@ def _columns(docs: DataFrame, text_col: str, lang_col: str, source_col: str) ->
     return docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in names))
 
 
-def _counts(rows: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences) and docs (documents that hold the term).
+def terms_of(text: bytes) -> Iterator[list[bytes]]:
+    """The terms of a text in order, A to Z lower-cased and no other letter, in lists of bounded length."""
+    folded, at = text.translate(FOLDED), 0
+    while at < len(folded):
+        end = folded.find(b" ", at + CHUNK)
+        end = len(folded) if end < 0 else end
+        yield folded[at:end].split()
+        at = end
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, source, term, n and docs, summed over documents until there are too many."""
+    n: dict[tuple[str, str], Counter[bytes]] = defaultdict(Counter)
+    docs: dict[tuple[str, str], Counter[bytes]] = defaultdict(Counter)
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for (lang, source), counts in n.items():
+            columns = [
+                pa.array([lang] * len(counts), pa.string()),
+                pa.array([source] * len(counts), pa.string()),
+                pa.array(list(counts), pa.binary()),
+                pa.array(list(counts.values()), pa.int64()),
+                pa.array([docs[lang, source][t] for t in counts], pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
+        n.clear(), docs.clear()
+
+    held = 0
+    for batch in batches:
+        for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            mine, seen = n[lang, source], set()
+            held -= len(mine)
+            for terms in terms_of(text):
+                mine.update(terms)
+                seen.update(terms)
+            docs[lang, source].update(seen)
+            held += len(mine)
+            if held > HELD:
+                yield from rows()
+                held = 0
+    yield from rows()
 
-    A document's terms are sorted, so that the first of each run of equal ones counts the document.
-    """
-    marked = let(
-        F.array_sort(terms_of(F.col("text"))),
-        lambda s: F.transform(
-            s, lambda x, i: F.struct(x.alias("term"), F.get(s, i - 1).eqNullSafe(x).alias("again"))
-        ),
+
+def _counts(rows: DataFrame) -> DataFrame:
+    """lang, source, term, n (occurrences) and docs (documents that hold the term)."""
+    each = rows.select("lang", "source", F.col("text").cast("binary")).mapInArrow(
+        _count, "lang string, source string, term binary, n long, docs long"
     )
-    each = rows.select("lang", "source", F.explode(marked).alias("x"))
-    return each.groupBy("lang", "source", F.col("x.term").alias("term")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("x.again")).alias("docs")
+    return each.groupBy("lang", "source", F.col("term").cast("string").alias("term")).agg(
+        F.sum("n").alias("n"), F.sum("docs").alias("docs")
     )
 
 
@@ -109,13 +149,13 @@ def _joined(wide: DataFrame, groups: DataFrame) -> DataFrame:
     )
     held = F.filter(F.sequence(F.lit(0), F.size("counts") - 1), lambda i: F.get("counts", i) > 0)
     q = share(F.col("total"), F.col("all"), F.col("v"))
-    return each.select("lang", "term", "sources", "absent", p.alias("p"), q.alias("q"), held.alias("held"))
+    return each.select("lang", "term", "counts", "sources", "absent", p.alias("p"), q.alias("q"), held.alias("held"))
 
 
 def pair_sums(wide: DataFrame, groups: DataFrame) -> DataFrame:
     """lang, source, item (another source of the language) and value: the pair's distance over all kept terms."""
     places = F.sequence(F.lit(0), F.size("p") - 1)
-    others = lambda i: F.filter(places, lambda j: (j > i) | ((j < i) & ~F.array_contains("held", j)))
+    others = lambda i: F.filter(places, lambda j: (j > i) | ((j < i) & (F.get("counts", j) == 0)))
     more = lambda i, j: F.struct(
         F.least(i, j).alias("i"),
         F.greatest(i, j).alias("j"),

@@ -50,12 +50,11 @@ DEPTH = 150
 #: Children of a node from which unlike neighbours are folded, too.
 WIDE = 64
 
-_TOKEN = re.compile(
-    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z>][^>]*(?:>|\Z)|</>"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>",
-    re.DOTALL,
-)
+_OTHER = r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z>][^>]*(?:>|\Z)|</>"
+_TAG = r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>{})>"
+_TOKEN = re.compile(_OTHER + _TAG.format(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+"), re.DOTALL)
+#: From the first tag on whose quotes never close, quotes are not heeded: each would be looked for to the page's end.
+_LOOSE = re.compile(_OTHER + _TAG.format(r"[^>]*"), re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _MAY_MATTER = re.compile(r"class|id|hidden|role|style|data-ad|aria-|item", re.IGNORECASE)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -138,7 +137,7 @@ def parse(html: str) -> Node:
     stack: list[tuple[str, Node, int]] = [("html", root, 0)]  # tag, the block it is or lies in, that block's level
     opened: dict[str, int] = {}
     run: list[str] = []
-    links, at = 0, 0
+    links, at, token = 0, 0, _TOKEN
 
     def flush() -> None:
         nonlocal links
@@ -186,19 +185,25 @@ def parse(html: str) -> Node:
         if lt < 0:
             say(html[at:])
             break
-        m = _TOKEN.match(html, lt)
+        m = token.match(html, lt)
+        if m is None and token is _TOKEN and html[lt + 1 : lt + 3].strip("/")[:1].isalpha():
+            token = _LOOSE
+            m = token.match(html, lt)
         if m is None:
+            if html.find(">", lt) < 0:
+                say(html[at:])
+                break
             say(html[at : lt + 1])
             at = lt + 1
             continue
         if lt > at:
             say(html[at:lt])
         at = m.end()
-        tag = (m["tag"] or m["tag2"] or "").lower()
+        tag = (m["tag"] or "").lower()
         if not tag:
             continue
-        rest = m["rest"] or m["rest2"] or ""
-        if m["end"] or m["end2"]:
+        rest = m["rest"]
+        if m["end"]:
             if tag == "br":
                 run.append(" ")
             elif tag != "html" and (opened.get(tag) or tag in HEADINGS):
