@@ -73,7 +73,9 @@ def softmax(a: Column) -> Column:
 
 
 def log_softmax(a: Column) -> Column:
-    return let(F.ln(total(F.transform(a, lambda x: F.exp(x)))), lambda t: F.transform(a, lambda x: x - t))
+    """Shifted by the maximum, so that no exponential overflows."""
+    rest = lambda m: F.ln(total(F.transform(a, lambda x: F.exp(x - m))))
+    return let(F.array_max(a), lambda m: let(rest(m), lambda t: F.transform(a, lambda x: x - m - t)))
 
 
 def mix_uniform(p: Column, share: float) -> Column:

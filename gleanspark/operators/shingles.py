@@ -76,30 +76,29 @@ def coverage_label(
 ) -> DataFrame:
     """``id_col`` and label: 1 if all shingles of some window of ``match`` characters are in the index.
 
-    Every run of match - size + 1 covered positions holds a multiple of that length, so only those positions are
-    looked up first, and whole texts only where one is found: two readings, the first of which shuffles ids of hits
-    alone while the index is small enough to broadcast.  With ``compat``, a ``size`` above ``match`` labels every text
-    of ``match`` characters 1 and looks up shorter ones whole; otherwise it is an error.
+    Of a text shorter than ``match`` any shingle in the index is enough, and one shorter than ``size`` is a shingle by
+    itself; an empty or null text is 0.  Every run of match - size + 1 covered positions holds a multiple of that length,
+    so only those positions of longer texts are looked up first, and whole texts only where one is found: two readings,
+    the first of which shuffles ids of hits alone while the index is small enough to broadcast.  With ``compat``, a
+    ``size`` above ``match`` labels every text of ``match`` characters 1; otherwise it is an error.
     """
     texts = normalized(docs, id_col, text_col)
     known = near(stash(index, "index"))
     run = match - size + 1
+    if run < 1 and not compat:
+        raise ValueError("the shingle is longer than the match: every long text would be positive")
+    n = F.length("norm")
+    short = shingle_hashes(texts.filter((n < match) & (n > 0)), size).join(known, "hash", "left_semi").select("id")
     if run < 1:
-        if not compat:
-            raise ValueError("the shingle is longer than the match: every long text would be positive")
-        some = texts.filter(
-            (F.length("norm") < match) & (F.length("norm") > 0)
-        ).select("id", short_hash(F.col("norm")).alias("hash"))
-        short = some.join(known, "hash", "left_semi")
-        hits = short.select("id").union(texts.filter(F.length("norm") >= match).select("id"))
-        hits = hits.distinct()
+        long = texts.filter(n >= match).select("id")
     else:
-        tried = windows(texts, size, run).select("id", short_hash(F.col("shingle")).alias("hash"))
+        tried = windows(texts.filter(n >= match), size, run).select("id", short_hash(F.col("shingle")).alias("hash"))
         some = stash(tried.join(known, "hash", "left_semi").select("id").distinct(), "hit-texts")
         found = windows(texts.join(near(some), "id", "left_semi"), size)
         found = found.select("id", "p", short_hash(F.col("shingle")).alias("hash")).join(known, "hash", "left_semi")
         place = F.col("p") - F.row_number().over(Window.partitionBy("id").orderBy("p"))
         islands = found.select("id", "p", place.alias("g")).groupBy("id", "g").count()
-        hits = near(stash(islands.filter(F.col("count") >= run).select("id").distinct(), "covered-texts"))
+        long = islands.filter(F.col("count") >= run).select("id")
+    hits = near(stash(short.union(long).distinct(), "covered-texts"))
     labelled = docs.select(F.col(id_col).alias("id")).join(hits.withColumn("hit", F.lit(1)), "id", "left")
     return labelled.select(F.col("id").alias(id_col), F.coalesce("hit", F.lit(0)).alias("label"))

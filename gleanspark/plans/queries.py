@@ -135,7 +135,9 @@ _COVER = (
     f"documents), ds as (select doc_id, p, substr(n, p, 50) g from (select doc_id, n, unnest(range(1, "
     f"greatest(length(n) - 48, 1))) p from nd)), hit as (select doc_id, p - row_number() over (partition by doc_id "
     f"order by p) r from ds where g in (select g from idx)), pos as (select distinct doc_id from (select doc_id, r "
-    f"from hit group by all having count(*) >= 51)), cov as (select nd.doc_id, source, cast(pos.doc_id is not null as "
+    f"from hit group by all having count(*) >= 51) union select doc_id from ds join nd using (doc_id) where length(n) < "
+    f"100 and g in (select g from idx) union select doc_id from nd where length(n) < 50 and n <> '' and n in (select g "
+    f"from idx)), cov as (select nd.doc_id, source, cast(pos.doc_id is not null as "
     f"int) label from nd left join pos using (doc_id))"
 )
 

@@ -67,8 +67,8 @@ def indexed(rows: DataFrame, order: Sequence[str], index: str = "i") -> DataFram
 
 def place_scores(bundle: DataFrame, scores: DataFrame, index: str = "i") -> DataFrame:
     """``bundle`` with the scores of its index (NaN where missing); an error where their lengths differ."""
-    top = lambda df: (df.agg(F.max(index)).first()[0] or -1) + 1
-    if (n := bundle.count()) != (m := top(scores)):
+    top = scores.agg(F.max(index)).first()[0]
+    if (n := bundle.count()) != (m := 0 if top is None else top + 1):
         raise ValueError(f"{n} rows, but scores of {m}")
     doubles = [f.name for f in scores.schema if f.dataType == T.DoubleType()]
     return bundle.join(scores, index, "left").withColumns({c: F.coalesce(c, F.lit(float("nan"))) for c in doubles})

@@ -13,8 +13,9 @@ from gleanspark.sources import tables
 
 
 def naive_label(norm, index, size, match):
-    if len(norm) < size:
-        return 0
+    if len(norm) < match:
+        parts = {norm[i : i + size] for i in range(max(len(norm) - size + 1, 1))} - {""}
+        return int(bool(parts & index))
     ok = [norm[i : i + size] in index for i in range(len(norm) - size + 1)]
     return int(any(all(ok[i : i + match - size + 1]) for i in range(len(norm) - match + 1)))
 
@@ -25,11 +26,12 @@ def test_coverage(spark, size, match):
     word = lambda n: "".join(rng.choices("ab c", k=n))
     corpus = [(i, word(40)) for i in range(6)]
     docs = [
-        (i, rng.choice([word(rng.randint(0, 30)), word(5) + corpus[i % 6][1][3:25] + word(300), " ", ""]))
+        (i, rng.choice([word(rng.randint(0, 30)), word(5) + corpus[i % 6][1][3:25] + word(300), " ", "", "ab", None]))
         for i in range(80)
     ]
-    norm = lambda t: " ".join(t.split())
-    index = {norm(t)[i : i + size] for _, t in corpus for i in range(len(norm(t)) - size + 1)}
+    corpus.append((6, "ab"))  # shorter than a shingle: one by itself
+    norm = lambda t: " ".join((t or "").split())
+    index = {norm(t)[i : i + size] for _, t in corpus for i in range(max(len(norm(t)) - size + 1, 1))}
     idx = shingles.build_index(spark.createDataFrame(corpus, "item long, text string"), "item", size)
     got = dict(
         shingles.coverage_label(spark.createDataFrame(docs, "doc long, text string"), idx, "doc", size, match).collect()
@@ -268,3 +270,19 @@ def test_stream_index_equals_batch(spark, tmp_path):
     assert sorted(
         map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())
     ) == sorted(map(tuple, batch.collect()))
+
+
+def test_log_softmax_of_large_entries(spark):
+    df = spark.createDataFrame([([800.0, 799.0],), ([-900.0, -900.0],), ([0.5, 1.5, 2.0],)], "a array<double>")
+    for a, got in df.select("a", X.log_softmax(F.col("a"))).collect():
+        top = max(a)
+        assert got == pytest.approx([x - top - math.log(sum(math.exp(y - top) for y in a)) for x in a])
+
+
+def test_scores_of_one_row_and_of_none(spark):
+    bundle = spark.createDataFrame([(0, "x")], "i long, t string")
+    scores = spark.createDataFrame([(0, 1.5)], "i long, s double")
+    assert [tuple(r) for r in tables.place_scores(bundle, scores).collect()] == [(0, "x", 1.5)]
+    assert tables.place_scores(bundle.limit(0), scores.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        tables.place_scores(bundle, scores.limit(0))
