@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -92,12 +91,6 @@ def bigram_model(counts: Counts, weight: float = 0.7) -> DataFrame:
     return joined.select("prev", "tok", (-F.ln(p_uni)).alias("uni"), bi.alias("bi"))
 
 
-def token_losses(docs: DataFrame, weight: float = 0.7, **names: str) -> DataFrame:
-    """id, pos and the losses uni (add-one unigram) and bi (bigram interpolated with it) of every token but the first."""
-    model = bigram_model(count(docs, **names), weight)
-    return token_table(docs, **names).filter("pos > 0").join(model, ["prev", "tok"]).select("id", "pos", "uni", "bi")
-
-
 def of_all_texts(docs: DataFrame, scores: DataFrame, fill: dict[str, object], id_col: str = "doc_id") -> DataFrame:
     """``scores`` (by id) for every text; texts without one (too few tokens) take the values of ``fill``."""
     return docs.select(F.col(id_col).alias("id")).join(scores, "id", "left").fillna(fill)
@@ -112,56 +105,6 @@ def vote_diagnostics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
-def window_vote(losses: DataFrame, sizes: Sequence[int]) -> DataFrame:
-    """id and score: the mean over window sizes of the share of windows whose reference loss exceeds the target's."""
-    order = Window.partitionBy("id").orderBy("pos")
-    n = F.count(F.lit(1)).over(Window.partitionBy("id"))
-    votes = [
-        F.when(F.sum(F.col("uni") - F.col("bi")).over(order.rowsBetween(1 - w, 0)) > 0, 1).otherwise(0).alias(f"v{w}")
-        for w in sizes
-    ]
-    rows = losses.select("id", n.alias("n"), F.row_number().over(order).alias("r"), *votes)
-    share = [F.when(F.max("n") >= w, F.avg(F.when(F.col("r") >= w, F.col(f"v{w}").cast("double")))) for w in sizes]
-    got = rows.groupBy("id").agg(F.array_compact(F.array(*share)).alias("t"))
-    return got.filter(F.size("t") > 0).select(
-        "id", (F.aggregate("t", F.lit(0.0), lambda a, x: a + x) / F.size("t")).alias("score")
-    )
-
-
-def window_minimum(losses: DataFrame, width: int) -> DataFrame:
-    """id and score: minus the least mean loss of ``width`` tokens; of all tokens where there are fewer."""
-    order = Window.partitionBy("id").orderBy("pos")
-    rows = losses.select(
-        "id",
-        F.col("bi"),
-        F.avg("bi").over(order.rowsBetween(1 - width, 0)).alias("m"),
-        F.row_number().over(order).alias("r"),
-    )
-    return rows.groupBy("id").agg(
-        (
-            -F.when(F.max("r") >= width, F.min(F.when(F.col("r") >= width, F.col("m")))).otherwise(F.avg("bi"))
-        ).alias("score")
-    )
-
-
-def window_perplexity(losses: DataFrame, width: int) -> DataFrame:
-    """id and perplexity: the least of windows of ``width`` tokens scored without context (column uni).
-
-    The last window is left out, as in the published table: a text of just ``width`` tokens is infinite, a shorter
-    one is scored whole.
-    """
-    order = Window.partitionBy("id").orderBy("pos")
-    rows = losses.select(
-        "id",
-        "uni",
-        F.avg("uni").over(order.rowsBetween(0, width - 1)).alias("m"),
-        F.row_number().over(order).alias("r"),
-        F.count(F.lit(1)).over(Window.partitionBy("id")).alias("n"),
-    )
-    best = F.coalesce(F.min(F.when(F.col("r") <= F.col("n") - width, F.col("m"))), F.lit(float("inf")))
-    return rows.groupBy("id").agg(F.exp(F.when(F.max("n") < width, F.avg("uni")).otherwise(best)).alias("perplexity"))
-
-
 def _deviation(mean: Column, square: Column) -> Column:
     return F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)) + F.lit(1e-8))
 

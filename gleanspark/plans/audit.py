@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleanspark.functions import text as X
+from gleanspark.operators import losses as arrays
 from gleanspark.operators import ranking, sequences, summaries
 from gleanspark.operators.running import with_ordinal
 from gleanspark.plans.queries import _AUC, _EM, _KS, _LOSS, _PK, _SC, W, _of_all, long, losses, query, r6, scores, table
@@ -550,10 +551,8 @@ def _auc_sql(rows: str, name: str) -> str:
     f"({_auc_sql('select quality label, coalesce(score, 0) score from labels join documents using (doc_id) left join y on id = doc_id', 'wbc')}) select round(auc, 9) auc, round(greatest(auc, 1 - auc), 9) auc_dir from a"
 )
 def wbc_auc(s, d):
-    from gleanspark.operators import ngram
-
     votes = of_all_documents(
-        s, d, ngram.window_vote(losses(s, d), (2, 5)).select("id", r6("score", "score")), score=0.0
+        s, d, arrays.window_vote(losses(s, d), (2, 5)).select("id", r6("score", "score")), score=0.0
     )
     rows = votes.join(table(s, d, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
     return ranking.roc_auc(rows, []).select(F.round("auc", 9).alias("auc"), F.round("auc_dir", 9).alias("auc_dir"))
@@ -580,11 +579,9 @@ _BASE = (
 )
 def baseline_aucs(s, d):
     """Perplexity and window baselines against the labels, on both splits."""
-    from gleanspark.operators import ngram
-
     loss = losses(s, d)
-    nll = of_all_documents(s, d, loss.groupBy("id").agg(r6(-F.avg("bi"), "perplexity")), perplexity=0.0)
-    window = of_all_documents(s, d, ngram.window_minimum(loss, 32).select("id", r6("score", "window")), window=0.0)
+    nll = of_all_documents(s, d, loss.select("id", r6(-arrays.mean(F.col("bi")), "perplexity")), perplexity=0.0)
+    window = of_all_documents(s, d, arrays.window_minimum(loss, 32).select("id", r6("score", "window")), window=0.0)
     lab = table(s, d, "labels").select("doc_id", F.col("quality").alias("label"))
     rows = lab.join(nll, "doc_id").join(window, "doc_id").withColumn(
         "split", F.when(F.col("doc_id") % 2 == 0, "val").otherwise("test")
@@ -799,16 +796,14 @@ def stream_row_filters(s, d):
     return got.select("source", "doc_id", F.sha2("text", 256).alias("text_sha"))
 
 
-_ASKED = _of_all("round(coalesce(a, 0), 6) score", "select id, avg(bi) a from ls where pos <= 8 group by id")
+_ASKED = _of_all("round(coalesce(a, 0), 6) score", "select id, avg(bi) a from ls group by id")
 
 
 @query(_ASKED)
 def scorer_surface(s, d):
-    """A scorer given as a function of batches: the mean of each text's first eight losses, from arrays."""
+    """A scorer given as a function of batches: the mean of each text's losses, from arrays."""
     from gleanspark.operators.ml import score_texts
 
-    a = losses(s, d).filter("pos <= 8").groupBy("id").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "bi")))["bi"].alias("losses")
-    )
+    a = losses(s, d).filter(F.size("bi") > 0).select("id", F.col("bi").alias("losses"))
     scored = score_texts(a, "id", "losses", lambda batch: [sum(x) / len(x) for x in batch])
     return of_all_documents(s, d, scored.select("id", r6("score", "score")), score=0.0)

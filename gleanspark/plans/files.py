@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleanspark.functions import text as X
+from gleanspark.operators.losses import mean
 from gleanspark.operators import ml, ngram, ranking, sequences, shingles, summaries
 from gleanspark.plans.queries import _BENCH, _KS, _PK, _SC, W, long, losses, query, r6, table
 from gleanspark.sources import tables as sources
@@ -319,7 +320,7 @@ def greedy_successors(s, d):
 @query()
 def zlib_ratios(s, d):
     """Log-perplexity over the logarithm of the compressed bytes, and mean loss over the compressed bits."""
-    p = losses(s, d).groupBy(F.col("id").alias("doc_id")).agg(F.avg("bi").alias("nll"))
+    p = losses(s, d).select(F.col("id").alias("doc_id"), mean(F.col("bi")).alias("nll"))
     size = table(s, d, "documents").select("doc_id", ml.zlib_length("text").alias("bytes"))
     rows = size.join(p, "doc_id", "left").withColumn("nll", F.coalesce("nll", F.lit(0.0)))
     ratio = X.log_ratio(F.exp("nll"), F.col("bytes").cast("double"))

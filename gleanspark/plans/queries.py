@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanspark.functions import text as X
+from gleanspark.operators import losses as arrays
 from gleanspark.operators import ml, ngram, ranking, sequences, shingles, summaries
 from gleanspark.sources import tables as sources
 
@@ -204,7 +205,8 @@ _LOSS = (
 
 
 def losses(s, d):
-    return ngram.token_losses(table(s, d, "documents"))
+    """id, uni and bi (arrays) of every document."""
+    return arrays.loss_arrays(table(s, d, "documents"))
 
 
 def _all(s, d, scores, **fill):
@@ -230,8 +232,11 @@ def unigram_nll(s, d):
     )
 )
 def bigram_nll(s, d):
-    sums = losses(s, d).groupBy("id").agg(r6(F.avg("bi"), "nll"), F.count(F.lit(1)).alias("n_losses"))
-    return _all(s, d, sums, nll=0.0, n_losses=0)
+    return losses(s, d).select(
+        F.col("id").alias("doc_id"),
+        F.coalesce(F.round(arrays.mean(F.col("bi")), 6), F.lit(0.0)).alias("nll"),
+        F.size("bi").cast("long").alias("n_losses"),
+    )
 
 
 @query(
@@ -240,8 +245,10 @@ def bigram_nll(s, d):
 )
 def suffix_nll(s, d):
     """Losses of what follows the first 32 tokens, for the texts that have more (the others have no suffix)."""
-    rest = losses(s, d).filter("pos >= 32").groupBy(F.col("id").alias("doc_id"))
-    return rest.agg(r6(F.avg("bi"), "mean_nll"), F.round(F.sum("bi"), 4).alias("total_nll"))
+    rest = losses(s, d).filter(F.size("bi") >= 32).select("id", F.slice("bi", F.lit(32), F.size("bi")).alias("a"))
+    return rest.select(
+        F.col("id").alias("doc_id"), r6(arrays.mean(F.col("a")), "mean_nll"), F.round(X.total(F.col("a")), 4).alias("total_nll")
+    )
 
 
 @query(
@@ -252,9 +259,9 @@ def suffix_nll(s, d):
 )
 def perplexity_metrics(s, d):
     """Null for texts without losses."""
-    p = losses(s, d).groupBy("id").agg(F.exp(F.avg("bi")).alias("t"), F.exp(F.avg("uni")).alias("r"))
-    return _all(
-        s, d, p.select("id", F.round("t", 4).alias("perplexity"), r6(X.log_ratio(F.col("t"), F.col("r")), "small"))
+    p = losses(s, d).select("id", *(F.exp(arrays.mean(F.col(c))).alias(n) for c, n in (("bi", "t"), ("uni", "r"))))
+    return p.select(
+        F.col("id").alias("doc_id"), F.round("t", 4).alias("perplexity"), r6(X.log_ratio(F.col("t"), F.col("r")), "small")
     )
 
 
@@ -296,7 +303,7 @@ def zlib_len(s, d):
     f"coalesce(score, 0) score from documents left join x on id = doc_id"
 )
 def window_min(s, d):
-    return _all(s, d, ngram.window_minimum(losses(s, d), 32).select("id", r6("score", "score")), score=0.0)
+    return _all(s, d, arrays.window_minimum(losses(s, d), 32).select("id", r6("score", "score")), score=0.0)
 
 
 @query(
@@ -306,7 +313,7 @@ def window_min(s, d):
     f"32), 'inf'::double) end), 4) perplexity from m group by id"
 )
 def window_perplexity(s, d):
-    return ngram.window_perplexity(losses(s, d), 32).select(
+    return arrays.window_perplexity(losses(s, d), 32).select(
         F.col("id").alias("doc_id"), F.round("perplexity", 4).alias("perplexity")
     )
 
@@ -361,7 +368,7 @@ _SHARES = ", ".join(
 )
 def wbc_score(s, d):
     """0 for texts of fewer than two losses."""
-    return _all(s, d, ngram.window_vote(losses(s, d), _SIZES).select("id", r6("score", "score")), score=0.0)
+    return _all(s, d, arrays.window_vote(losses(s, d), _SIZES).select("id", r6("score", "score")), score=0.0)
 
 
 @query(
@@ -370,7 +377,7 @@ def wbc_score(s, d):
     f"double))) group by id"
 )
 def bottom_k_mean(s, d):
-    a = losses(s, d).groupBy(F.col("id").alias("doc_id")).agg(F.collect_list("bi").alias("a"))
+    a = losses(s, d).filter(F.size("bi") > 0).select(F.col("id").alias("doc_id"), F.col("bi").alias("a"))
     return a.select("doc_id", r6(X.bottom_k_mean(F.col("a"), 0.2), "score"))
 
 

@@ -3,12 +3,13 @@
 import itertools
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from gleanspark.functions import text as X
-from gleanspark.operators import ml, ngram, ranking, sequences, shingles, summaries
+from gleanspark.operators import losses, ml, ngram, ranking, sequences, shingles, summaries
 from gleanspark.sources import tables
 
 
@@ -81,9 +82,8 @@ def test_auc_and_threshold_against_loops(spark):
 def test_window_vote_against_loop(spark):
     rng = random.Random(2)
     rows = [(d, p, rng.random(), rng.random()) for d, n in enumerate((1, 2, 3, 9, 40)) for p in range(n)]
-    got = dict(
-        ngram.window_vote(spark.createDataFrame(rows, "id long, pos int, uni double, bi double"), (2, 3, 8)).collect()
-    )
+    table = losses.arrays_of(spark.createDataFrame(rows, "id long, pos int, uni double, bi double"))
+    got = dict(losses.window_vote(table, (2, 3, 8)).collect())
     for d in range(5):
         x = [u - b for i, _, u, b in rows if i == d]
         t = [
@@ -240,12 +240,12 @@ def test_local_std_and_window_perplexity_at_the_edges(spark):
     assert [
         tuple(r) for r in v.select(*sequences.local_std(F.col("v"), F.col("m"))).collect()
     ] == [(2.0, 2.0, 2.0), (0.0, 0.0, 0.0), (0.0, 0.0, 0.0)]
-    losses = spark.createDataFrame(
-        [(i, p, 0.0 if p < n - 1 else -1.0) for i, n in ((1, 2), (2, 3), (3, 4)) for p in range(n)],
-        "id long, pos int, uni double",
+    rows = spark.createDataFrame(
+        [(i, p, 0.0 if p < n - 1 else -1.0, 0.0) for i, n in ((1, 2), (2, 3), (3, 4)) for p in range(n)],
+        "id long, pos int, uni double, bi double",
     )
     assert {
-        r.id: r.perplexity for r in ngram.window_perplexity(losses, 3).collect()
+        r.id: r.perplexity for r in losses.window_perplexity(losses.arrays_of(rows), 3).collect()
     } == {1: pytest.approx(math.exp(-0.5)), 2: math.inf, 3: 1.0}
 
 
@@ -286,3 +286,26 @@ def test_scores_of_one_row_and_of_none(spark):
     assert tables.place_scores(bundle.limit(0), scores.limit(0)).count() == 0
     with pytest.raises(ValueError):
         tables.place_scores(bundle, scores.limit(0))
+
+
+def test_loss_arrays_against_loop(spark):
+    """Blocks of any size give the same losses; odd texts have empty arrays, repeated rows stay."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices(["a", "B", "é", "c"], k=rng.randint(0, 30))) for _ in range(40)]
+    rows = [*enumerate(texts), (40, None), (41, " \t"), (42, "a"), (None, "a b a"), (7, texts[7]), (43, "a b " * 50_000)]
+    words = [(t or "").lower().split() for _, t in rows]
+    uni, pair, ahead = Counter(w for t in words for w in t), Counter(), Counter()
+    for t in words:
+        pair.update(itertools.pairwise(t))
+        ahead.update(t[:-1])
+    n, v = sum(uni.values()), len(uni)
+    q = {w: (c + 1) / (n + v) for w, c in uni.items()}
+    want = Counter()
+    for (i, _), t in zip(rows, words, strict=True):
+        both = [(-math.log(q[b]), -math.log(0.7 * pair[a, b] / ahead[a] + 0.3 * q[b])) for a, b in itertools.pairwise(t)]
+        want[i, tuple(tuple(round(x, 9) for x in c) for c in zip(*both, strict=True)) or ((), ())] += 1
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, block int")
+    for block_bytes in (50, 4_000_000):
+        got = losses.loss_arrays(df, block_bytes=block_bytes).collect()
+        assert Counter((r.id, *[tuple(tuple(round(x, 9) for x in c) for c in (r.uni, r.bi))]) for r in got) == want
+    assert losses.loss_arrays(df.limit(0)).count() == 0
