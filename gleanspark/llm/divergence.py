@@ -88,13 +88,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _counts(rows: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences) and docs (documents that hold the term)."""
+    """lang, source, term, n (occurrences) and docs (documents that hold the term).
+
+    Workers have summed already, so that their rows are dealt once, by language and term, for this and the next sums.
+    """
     each = rows.select("lang", "source", F.col("text").cast("binary")).mapInArrow(
         _count, "lang string, source string, term binary, n long, docs long"
     )
-    return each.groupBy("lang", "source", F.col("term").cast("string").alias("term")).agg(
-        F.sum("n").alias("n"), F.sum("docs").alias("docs")
-    )
+    dealt = each.withColumn("term", F.col("term").cast("string")).repartition("lang", "term")
+    return dealt.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def vectors(
@@ -155,26 +157,26 @@ def _joined(wide: DataFrame, groups: DataFrame) -> DataFrame:
 def pair_sums(wide: DataFrame, groups: DataFrame) -> DataFrame:
     """lang, source, item (another source of the language) and value: the pair's distance over all kept terms."""
     places = F.sequence(F.lit(0), F.size("p") - 1)
-    others = lambda i: F.filter(places, lambda j: (j > i) | ((j < i) & (F.get("counts", j) == 0)))
-    more = lambda i, j: F.struct(
-        F.least(i, j).alias("i"),
-        F.greatest(i, j).alias("j"),
-        (
-            distance(F.get("p", i), F.get("p", j)) - distance(F.get("absent", i), F.get("absent", j))
-        ).alias("f"),
+    each = _joined(wide, groups).withColumn("lacking", F.filter(places, lambda j: F.get("counts", j) == 0))
+    pair = lambda i, j: F.struct(
+        i.alias("i"), j.alias("j"), F.get("p", i).alias("p"), F.get("p", j).alias("q")
+    )
+    of = lambda i: F.concat(
+        F.transform(F.slice(places, i + 2, F.size("p")), lambda j: pair(i, j)),
+        F.transform(F.filter("lacking", lambda j: j < i), lambda j: pair(j, i)),
+    )
+    emitted = each.select("lang", F.explode(F.flatten(F.transform("held", of))).alias("x"))
+    sums = emitted.groupBy("lang", "x.i", "x.j").agg(
+        F.sum(distance(F.col("x.p"), F.col("x.q"))).alias("f"), F.count(F.lit(1)).alias("n")
     )
-    emitted = F.flatten(F.transform("held", lambda i: F.transform(others(i), lambda j: more(i, j))))
-    sums = (
-        _joined(wide, groups).select("lang", F.explode(emitted).alias("x"))
-        .groupBy("lang", "x.i", "x.j").agg(F.sum("x.f").alias("more"))
-    )
     rows = groups.select("*", F.posexplode("sources").alias("a", "source"))
-    base = lambda b: F.coalesce(F.col("v") * distance(F.get("absent", "a"), F.get("absent", b)), F.lit(0))
-    pair = lambda item, b: F.struct(item.alias("item"), b.alias("b"), base(b).cast("long").alias("base"))
-    pairs = rows.select("lang", "source", "a", F.explode(F.transform("sources", pair)).alias("x")).filter("a <> x.b")
+    base = lambda b: distance(F.get("absent", "a"), F.get("absent", b))
+    item = lambda item, b: F.struct(item.alias("item"), b.alias("b"), base(b).alias("base"))
+    pairs = rows.select("lang", "source", "a", "v", F.explode(F.transform("sources", item)).alias("x")).filter("a <> x.b")
     i, j = F.least("a", "x.b").alias("i"), F.greatest("a", "x.b").alias("j")
-    keyed = pairs.select("lang", "source", "x.item", i, j, "x.base")
-    value = F.col("base") + F.coalesce("more", F.lit(0))
+    keyed = pairs.select("lang", "source", "x.item", "v", i, j, "x.base")
+    zero = F.lit(0)
+    value = F.coalesce("f", zero) + F.coalesce((F.col("v") - F.coalesce("n", zero)) * F.col("base"), zero)
     return keyed.join(sums, ["lang", "i", "j"], "left").select("lang", "source", "item", value.alias("value"))
 
 
