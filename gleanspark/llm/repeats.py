@@ -5,11 +5,13 @@ the same minimiser travel as one packed string (their words, once each) to the m
 windows have equal minimisers, so they meet in one bucket; there their words are sorted and equal neighbours
 share the smallest document that holds them.  Buckets arrive sorted by document and are read as a stream:
 a bucket that one document alone fills is passed over, and what is kept in memory are the distinct windows of
-one bucket, up to a number: rows with other windows are put aside and read again, as often as it takes.  Equal packed strings of one map batch are merged before the shuffle, so that a passage in a third
-of all documents costs its bucket one row per batch and not one per document.
+one bucket, up to a number: rows with other windows are handed on, and their windows are dealt one by one, by a hash of
+all their words.  Equal packed strings of one map batch are merged before the shuffle, so that a passage in a third of
+all documents costs its bucket one row per batch and not one per document.
 
 Buckets that a sample of the documents shows to be large (a frequent pair of words) are split by a second minimiser of
-more words: equal windows share that one too, and still meet.
+more words, and those that are large still (a template's first words, with many different ends) by the whole window:
+equal windows share these too, and still meet.
 
 Packed strings travel compressed with a small dictionary, as neighbours share most of their words.
 """
@@ -17,8 +19,8 @@ Packed strings travel compressed with a small dictionary, as neighbours share mo
 from __future__ import annotations
 
 import struct
-import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -42,9 +44,10 @@ SAMPLE_TEXTS, SAMPLE_CHARS, DICTIONARY = 400, 4000, 16_384
 LARGE, SHARE, SECOND, SPLIT = 200_000, 0.01, 6, 1_000_000
 
 
-#: Distinct windows of a bucket in memory (some 230 bytes each), not counting those of the rows sorted last; bytes of
-#: rows put aside that are not yet in a file.
-SEEN, ASIDE = 300_000, 4_000_000
+#: Distinct windows of a bucket in memory (some 230 bytes each), not counting those of the rows sorted last.
+SEEN = 300_000
+#: Windows that are dealt one by one in a batch.
+DEALT = 20_000
 
 
 class WordHash(dict):
@@ -74,10 +77,10 @@ def _bucket(least: np.ndarray) -> np.ndarray:
 class Packer:
     """Super-k-mers of whole documents."""
 
-    def __init__(self, window: int, m: int, dictionary: bytes = b"", large: np.ndarray | None = None):
-        """``large`` are the sorted numbers of the buckets to be split."""
+    def __init__(self, window: int, m: int, dictionary: bytes = b"", large: Sequence[np.ndarray] = ()):
+        """``large`` are the sorted numbers of the buckets to be split by the second minimiser, and by the window."""
         self.window, self.m, self.hashes = window, m, WordHash()
-        self.large = np.empty(0, np.int32) if large is None else large
+        self.large = large
         self.zip = zstandard.ZstdCompressor(
             level=1, dict_data=zstandard.ZstdCompressionDict(dictionary), write_dict_id=False
         ).compress
@@ -114,10 +117,11 @@ class Packer:
         lens = np.fromiter(map(len, words), np.int64, n)
         h = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, n)
         least = self._least(h, lens, m)  # of the window that starts at each word
-        if len(self.large) and len(least):
-            at = np.minimum(np.searchsorted(self.large, _bucket(least)), len(self.large) - 1)
-            second = self._least(h, lens, min(SECOND, k))
-            least = np.where(self.large[at] == _bucket(least), _mixed(least + _mixed(second)), least)
+        for large, longer in zip(self.large, (min(SECOND, k), k), strict=False):
+            if len(large) and len(least):
+                at = np.minimum(np.searchsorted(large, _bucket(least)), len(large) - 1)
+                more = self._least(h, lens, longer)
+                least = np.where(large[at] == _bucket(least), _mixed(least + _mixed(more)), least)
         counts = np.array([len(ws) for _, _, ws in held])
         ends = np.cumsum(counts)
         owner = np.repeat(np.arange(len(held)), counts)[: len(least)]
@@ -145,7 +149,36 @@ class Packer:
         keys = np.array([x for _, x, _ in held], np.int64)[own]
         starts = (start - (ends - counts)[own]).astype(np.int32)
         buckets = _bucket(least[start])
-        texts = [joined[a:b] for a, b in cuts]
+        return self.rows(buckets, docs, keys, starts, [joined[a:b] for a, b in cuts])
+
+    def deal(self, rows: Iterable[tuple[int, bytes]], unzip) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+        """The windows of packed rows, one by one, in buckets by all their words."""
+        held: list[tuple[np.ndarray, ...]] = []
+        texts: list[bytes] = []
+
+        def packed() -> tuple[list[int], list[int], list[bytes]]:
+            buckets = np.array([xxhash.xxh32_intdigest(t) for t in texts], np.uint32).view(np.int32)
+            out = self.rows(buckets, *(np.concatenate(x) for x in zip(*held, strict=True)), texts)
+            held.clear(), texts.clear()
+            return out
+
+        for doc, data in rows:
+            docs, keys, starts, text = _unpacked(doc, data)
+            text = unzip(text)
+            gaps = [i for i, b in enumerate(text) if b == 32]
+            begin, end, k = [0, *(g + 1 for g in gaps)], [*gaps, len(text)], self.window - 1
+            for i, (a, b) in enumerate(zip(begin[: len(begin) - k], end[k:], strict=True)):
+                held.append((docs, keys, starts + i))
+                texts += [text[a:b]] * len(docs)
+                if len(texts) > DEALT:
+                    yield packed()
+        if texts:
+            yield packed()
+
+    def rows(
+        self, buckets: np.ndarray, docs: np.ndarray, keys: np.ndarray, starts: np.ndarray, texts: list[bytes]
+    ) -> tuple[list[int], list[int], list[bytes]]:
+        """Buckets, smallest documents and packed data; documents of equal texts share a row."""
         index: dict[bytes, int] = {}
         same = np.array([index.setdefault(t, i) for i, t in enumerate(texts)])
         times = np.bincount(same, minlength=len(texts))
@@ -196,36 +229,14 @@ def _unzip(dictionary: bytes):
 class Bucket:
     """Windows of one bucket, fed by ascending document.
 
-    Once ``SEEN`` windows are known, rows that hold others are put aside in their order, for another ``Bucket``: all
-    rows of a window are judged here if it is known, and all are put aside if not.  Rows that hold both are judged
-    twice and their stretches may be given twice.
+    Once ``most`` windows are known, rows that hold others go to ``rest``: all rows of a window are judged here if it is
+    known, and all are in ``rest`` if not.  Rows that hold both are judged twice and their stretches may be given twice.
     """
 
-    def __init__(self, window: int, unzip):
-        self.window, self.unzip, self.seen, self.aside = window, unzip, {}, None
-
-    def _put_aside(self, rows: Iterable[tuple[int, bytes]]) -> None:
-        if self.aside is None:
-            self.aside = tempfile.SpooledTemporaryFile(ASIDE)
-        for doc, data in rows:
-            self.aside.write(struct.pack("<qI", doc, len(data)) + data)
-
-    def put_aside(self) -> Iterator[list[tuple[int, bytes]]]:
-        """Rows that another bucket must judge, some at a time; this one's windows are forgotten."""
-        self.seen = {}
-        if self.aside is None:
-            return
-        with self.aside as file:
-            file.seek(0)
-            rows = []
-            while head := file.read(12):
-                doc, size = struct.unpack("<qI", head)
-                rows.append((doc, file.read(size)))
-                if len(rows) == SORTED:
-                    yield rows
-                    rows = []
-            if rows:
-                yield rows
+    def __init__(self, window: int, unzip, most: int | None = None):
+        self.window, self.unzip, self.most = window, unzip, SEEN if most is None else most
+        self.seen: dict[bytes, int] = {}
+        self.rest: list[tuple[int, bytes]] = []
 
     def feed(self, rows: list[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, ...]]:
         """Documents, keys, first words and numbers of windows that a smaller document holds too."""
@@ -251,7 +262,7 @@ class Bucket:
         windows.sort()
         least: list[dict[int, int]] = [{} for _ in alike]
         last, lowest, later = None, 0, set()
-        full, unknown = len(self.seen) >= SEEN, np.iinfo(np.int64).max
+        full, unknown = len(self.seen) >= self.most, np.iinfo(np.int64).max
         for text, doc, which, i in windows:
             if text != last:
                 last, lowest = text, self.seen.get(text, unknown) if full else self.seen.setdefault(text, doc)
@@ -259,7 +270,7 @@ class Bucket:
                 later.add(which)
             least[which][i] = lowest
         if later:
-            self._put_aside(row for row, which in zip(rows, of, strict=True) if which in later)
+            self.rest += [row for row, which in zip(rows, of, strict=True) if which in later]
         for which, found in enumerate(alike.values()):
             docs, keys, starts = (np.concatenate(x) for x in zip(*found, strict=True))
             firsts = np.array([least[which][i] for i in range(len(least[which]))])
@@ -321,7 +332,7 @@ def sort_windows(docs: list[int], data: list[bytes], window: int, unzip) -> list
         joined[p:q] == joined[r:s]
         for p, q, r, s in zip(a[left].tolist(), b[left].tolist(), a[right].tolist(), b[right].tolist(), strict=True)
     ):
-        again = list(Bucket(window, unzip).feed(list(zip(docs, data, strict=True))))  # unequal windows share a hash
+        again = list(Bucket(window, unzip, len(hashes)).feed(list(zip(docs, data, strict=True))))  # unequal windows share a hash
         return [np.concatenate(x) for x in zip(*again, strict=True)] or [np.empty(0, np.int64)] * 4
     runs = np.flatnonzero(np.concatenate(([True], ~equal)))
     least = np.empty(len(order), np.int64)
@@ -339,41 +350,59 @@ def sort_windows(docs: list[int], data: list[bytes], window: int, unzip) -> list
     ]
 
 
-def _to_buckets(window: int, m: int, dictionary: bytes, large: np.ndarray):
+def _rows_of(packed: Iterable[tuple[list[int], list[int], list[bytes]]]) -> Iterator[pa.RecordBatch]:
+    for buckets, docs, data in packed:
+        columns = [pa.array(buckets, pa.int32()), pa.array(docs, pa.int64()), pa.array(data, pa.binary())]
+        yield pa.record_batch(columns, ["bucket", "doc", "data"])
+
+
+def _to_windows(window: int, m: int, dictionary: bytes):
+    """Rows that a bucket handed on, dealt window by window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack, unzip = Packer(window, m, dictionary), _unzip(dictionary)
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            yield from _rows_of(pack.deal(rows, unzip))
+
+    return run
+
+
+def _to_buckets(window: int, m: int, dictionary: bytes, large: Sequence[np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = Packer(window, m, dictionary, large)
         for batch in batches:
             parts = (batch.slice(i, 256) for i in range(0, batch.num_rows, 256))
             rows = (row for part in parts for row in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True))
-            for buckets, docs, data in pack(rows):
-                yield pa.record_batch(
-                    [pa.array(buckets, pa.int32()), pa.array(docs, pa.int64()), pa.array(data, pa.binary())],
-                    ["bucket", "doc", "data"],
-                )
+            yield from _rows_of(pack(rows))
 
     return run
 
 
 def _from_buckets(window: int, dictionary: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, unzip = ["doc", "key", "first", "n"], _unzip(dictionary)
+        names, unzip = ["doc", "key", "first", "n", "rest"], _unzip(dictionary)
         state, now, held, lone = Bucket(window, unzip), None, [], True
         small: tuple[list[int], list[bytes]] = ([], [])  # rows of whole buckets
         size = 0
 
+        def judged(found: Iterable[np.ndarray]) -> pa.RecordBatch:
+            columns = [pa.array(x) for x in found]
+            return pa.record_batch([*columns, pa.nulls(len(columns[0]), pa.binary())], names)
+
         def work(rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
             if found := list(state.feed(rows)):
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names)
-
-        def finish() -> Iterator[pa.RecordBatch]:
-            nonlocal state
-            while state.aside is not None:
-                rest, state = state.put_aside(), Bucket(window, unzip)
-                for rows in rest:
-                    yield from work(rows)
+                yield judged(np.concatenate(x) for x in zip(*found, strict=True))
+            if state.rest:
+                docs, data = zip(*state.rest, strict=True)
+                none = [np.zeros(len(docs), t) for t in (np.int64, np.int32, np.int32)]
+                yield pa.record_batch(
+                    [pa.array(docs, pa.int64()), *map(pa.array, none), pa.array(data, pa.binary())], names
+                )
+                state.rest = []
 
         def flush() -> pa.RecordBatch:
-            return pa.record_batch([pa.array(x) for x in sort_windows(*small, window, unzip)], names)
+            return judged(sort_windows(*small, window, unzip))
 
         for batch in batches:
             if not batch.num_rows:
@@ -390,7 +419,6 @@ def _from_buckets(window: int, dictionary: bytes):
                         cost = sum(_cost(x) for _, x in held)
                         if state.seen or len(held) > SORTED or cost > 4 * SORTED_BYTES:
                             yield from work(held)
-                            yield from finish()
                         else:
                             small[0].extend(d for d, _ in held)
                             small[1].extend(x for _, x in held)
@@ -410,7 +438,6 @@ def _from_buckets(window: int, dictionary: bytes):
                     held = held[SORTED:]
         if not lone:
             yield from work(held)
-            yield from finish()
         if small[0]:
             yield flush()
 
@@ -437,11 +464,13 @@ def _train(texts: list[str]) -> bytes:
         return b"".join(parts)[:DICTIONARY]
 
 
-def _large(rows: DataFrame, window: int, m: int, share: float, least: int) -> np.ndarray:
+def _large(
+    rows: DataFrame, window: int, m: int, share: float, least: int, split: Sequence[np.ndarray] = ()
+) -> np.ndarray:
     """Sorted numbers of the buckets that would have more than ``least`` rows, by a share of the documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = Packer(window, m)
+        pack = Packer(window, m, large=split)
         for batch in batches:
             for buckets, _, _ in pack(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)):
                 own, n = np.unique(np.array(buckets, np.int32), return_counts=True)
@@ -457,11 +486,21 @@ def _large(rows: DataFrame, window: int, m: int, share: float, least: int) -> np
 def _found(keyed: DataFrame, window: int, m: int, share: float = SHARE, least: int = LARGE) -> DataFrame:
     rows = keyed.select("doc", "key", "text").filter(F.col("doc").isNotNull() & F.col("text").isNotNull())
     dictionary = _train([r[0] for r in rows.select(F.substring("text", 1, SAMPLE_CHARS)).limit(SAMPLE_TEXTS).collect()])
-    pack = _to_buckets(window, m, dictionary, _large(rows, window, m, share, least))
-    packed = rows.mapInArrow(
-        pack, "bucket int, doc long, data binary"
-    ).repartition("bucket").sortWithinPartitions("bucket", "doc")
-    return packed.mapInArrow(_from_buckets(window, dictionary), "doc long, key long, first int, n int")
+    large = [_large(rows, window, m, share, least)]
+    if len(large[0]):
+        large.append(_large(rows, window, m, share, least, large))
+
+    def judge(packed: DataFrame) -> DataFrame:
+        dealt = packed.repartition("bucket").sortWithinPartitions("bucket", "doc")
+        out = dealt.mapInArrow(_from_buckets(window, dictionary), "doc long, key long, first int, n int, rest binary")
+        return stash(out, "repeats")
+
+    kind = "bucket int, doc long, data binary"
+    judged = [judge(rows.mapInArrow(_to_buckets(window, m, dictionary, large), kind))]
+    while not (rest := judged[-1].filter("rest is not null")).isEmpty():
+        judged.append(judge(rest.select("doc", "rest").mapInArrow(_to_windows(window, m, dictionary), kind)))
+    found = [j.filter("rest is null").drop("rest") for j in judged]
+    return reduce(DataFrame.unionByName, found)
 
 
 def find_repeats(
@@ -485,7 +524,7 @@ def remove_repeats(
     words.  Very long texts are read whole.  Other columns are dropped, whatever their names.
     """
     keyed = _keyed(docs, id_col, text_col)
-    found = stash(_found(keyed, window, m), "repeats")
+    found = _found(keyed, window, m)
     by_row = found.groupBy("doc", "key").agg(F.collect_list("first").alias("first"), F.collect_list("n").alias("n"))
 
     @F.pandas_udf("kept_text string, n_words long, n_removed long")

@@ -112,9 +112,8 @@ def test_only_candidates_with_words_in_order_are_compared_one_by_one(monkeypatch
     assert {j for _, j in want} == set(range(len(passages))) and len(compared) < tried / 4
 
 
-def test_a_large_bucket_is_read_again_rather_than_held(monkeypatch):
+def test_a_large_bucket_is_handed_on_rather_than_held(monkeypatch):
     monkeypatch.setattr(repeats, "SEEN", 1000, raising=False)
-    monkeypatch.setattr(repeats, "ASIDE", 20_000, raising=False)
     sizes, feed = [], repeats.Bucket.feed
 
     def fed(self, rows):
@@ -134,10 +133,19 @@ def test_a_large_bucket_is_read_again_rather_than_held(monkeypatch):
     columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)]
     made = pa.record_batch(columns, list(kinds))
     batches = [made.slice(i, 700) for i in range(0, len(rows), 700)]
-    gone = {}
-    for out in repeats._from_buckets(5, b"")(iter(batches)):
-        for doc, _, first, n in zip(*(c.to_pylist() for c in out.columns), strict=True):
-            gone.setdefault(doc, set()).update(range(first, first + n + 4))
+    gone, rounds = {}, 0
+    while batches:
+        rest, rounds = [], rounds + 1
+        for out in repeats._from_buckets(5, b"")(iter(batches)):
+            for doc, _, first, n, data in zip(*(c.to_pylist() for c in out.columns), strict=True):
+                if data is None:
+                    gone.setdefault(doc, set()).update(range(first, first + n + 4))
+                else:
+                    rest.append((doc, data))
+        dealt = [row for part in pack.deal(rest, repeats._unzip(b"")) for row in zip(*part, strict=True)]
+        columns = [pa.array(c, k) for c, k in zip(zip(*sorted(dealt), strict=True), kinds.values(), strict=False)]
+        batches = [pa.record_batch(columns, list(kinds))] if dealt else []
+    assert rounds == 2  # windows that are dealt by all their words don't meet in one bucket again
     want = {d: removed for d, (_, removed, _) in repeats.brute_force(docs, 5).items() if removed}
     assert {d: len(places) for d, places in gone.items()} == want and len(want) > 500
     assert max(sizes) < 1000 + 5 * repeats.SORTED, max(sizes)
@@ -255,7 +263,7 @@ def test_repeats_in_split_buckets_and_of_rows_of_one_id(spark, monkeypatch):
     rows = keyed.select("doc", "key", "text").filter("text is not null")
     assert len(repeats._large(rows, 7, 2, 1.0, 20)) > 5
     monkeypatch.setattr(
-        repeats, "_large", lambda rows, window, m, share, least, of=repeats._large: of(rows, window, m, 1.0, 20)
+        repeats, "_large", lambda rows, window, m, share, least, *more, of=repeats._large: of(rows, window, m, 1.0, 20, *more)
     )
     got = {
         r.doc_id: (r.n_words, r.n_removed, r.kept_text)
@@ -370,3 +378,42 @@ def test_lines_of_a_very_long_text_in_linear_time(spark):
         assert all(r.n_lines == n and r.n_dropped == n // 2 for r in done)
         assert done[1].text == "\n".join(f"u1 {i}" for i in range(0, n, 2))
     assert took[1] < 12 * took[0] + 3
+
+
+def test_a_template_with_many_ends(spark, monkeypatch):
+    """First words that all share, with different ends: a bucket that no minimiser of six words splits."""
+    rng = random.Random(2)
+    names = [f"n{i}" for i in range(400)]
+    first = " ".join(f"t{i}" for i in range(12))
+    docs = [(i, f"{first} {' '.join(rng.choices(names, k=12))}") for i in range(300)]
+    docs += [(300 + i, docs[rng.randrange(300)][1]) for i in range(100)]
+    keyed = repeats._keyed(table(spark, docs), "doc_id", "text").select("doc", "key", "text")
+    first = repeats._large(keyed, 13, 2, 1.0, 20)
+    second = repeats._large(keyed, 13, 2, 1.0, 20, [first])
+    assert len(first) and len(second)
+    pack = repeats.Packer(13, 2, large=[first, second])
+    sizes = {}
+    for buckets, _, _ in pack((d, 0, t) for d, t in docs):
+        for b in buckets:
+            sizes[b] = sizes.get(b, 0) + 1
+    assert max(sizes.values()) < 20
+    want = repeats.brute_force(docs)
+    large = lambda rows, window, m, share, least, *more, of=repeats._large: of(rows, window, m, 1.0, 20, *more)
+    monkeypatch.setattr(repeats, "_large", large)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in repeats.remove_repeats(table(spark, docs)).collect()}
+    assert got == want and sum(r[1] for r in want.values()) >= 1800
+
+
+def test_a_hot_bucket_takes_linear_time(monkeypatch):
+    """Each row of a bucket with many distinct windows is read once, whatever their number."""
+    monkeypatch.setattr(repeats, "SEEN", 2000)
+    pack, took = repeats.Packer(5, 2), []
+    for n in (4_000, 16_000):
+        docs = [(i, f"aa bb {i} {i + 1} {i + 2} {i + 3} {i + 4}") for i in range(n)]
+        rows = sorted((0, d, x) for part in pack((d, 0, t) for d, t in docs) for _, d, x in zip(*part, strict=True))
+        columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)]
+        made = pa.record_batch(columns, ["bucket", "doc", "data"])
+        began = time.process_time()
+        assert sum(b.num_rows for b in repeats._from_buckets(5, b"")(iter([made.slice(i, 500) for i in range(0, len(rows), 500)])))
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 0.5
