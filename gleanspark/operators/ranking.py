@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gleanspark.operators.running import running
+from gleanspark.operators.running import quantiles, running
 from gleanspark.sources.scratch import near, stash
 
 
@@ -202,10 +202,17 @@ def balanced_accuracy(
     return df.groupBy(*by).agg(F.when(both, (right(0) + right(1)) / 2).otherwise(0.0).alias("balanced_accuracy"))
 
 
+def _medians(df: DataFrame, by: Sequence[str], score: str, label: str) -> DataFrame:
+    """by and the medians _0 and _1 of both classes; nothing for groups without scores."""
+    each = quantiles(df.filter(F.col(label).isin(0, 1)), score, [0.5], [*by, label])
+    of = lambda v: F.max(F.when(F.col(label) == v, F.col("q")[0])).alias(f"_{v}")
+    return each.groupBy(*by).agg(of(0), of(1))
+
+
 def class_medians(df: DataFrame, by: Sequence[str], *, score: str = "score", label: str = "label") -> DataFrame:
     """by, median_0, median_1 and their midpoint; with one class only, that class's median (fallback)."""
-    m = lambda v: F.percentile(F.when(F.col(label) == v, F.col(score)), 0.5)
-    got = df.groupBy(*by).agg(m(0).alias("median_0"), m(1).alias("median_1"))
+    got = _join_nulls(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), _medians(df, by, score, label), by).drop("_n")
+    got = got.withColumnsRenamed({"_0": "median_0", "_1": "median_1"})
     return got.withColumn("midpoint", F.coalesce((F.col("median_0") + F.col("median_1")) / 2, "median_1", "median_0"))
 
 
@@ -214,10 +221,8 @@ def midpoint_threshold(
 ) -> DataFrame:
     """by and threshold: the midpoint of the classes' medians or, where that puts all rows on one side, the median of
     the class beyond it; null where that does too, and with one class only."""
-    m = lambda v: F.percentile(F.when(F.col(label) == v, F.col(score)), 0.5)
-    got = df.groupBy(*by).agg(
-        m(0).alias("_0"), m(1).alias("_1"), F.min(score).alias("_low"), F.max(score).alias("_high")
-    )
+    ends = df.groupBy(*by).agg(F.min(score).alias("_low"), F.max(score).alias("_high"))
+    got = _join_nulls(ends, _medians(df, by, score, label), by)
     splits = lambda t: (F.col("_high") > t) & (F.col("_low") <= t) if higher else (F.col("_low") < t) & (F.col("_high") >= t)
     middle, other = (F.col("_0") + F.col("_1")) / 2, F.col("_1" if higher else "_0")
     found = F.when(splits(middle), middle).when(splits(other) & middle.isNotNull(), other)
@@ -260,9 +265,13 @@ def proxy_label(
 
     Null in degenerate groups: fewer than 2 rows (4 for the median), constant scores, or one side empty.
     """
-    beyond = F.percentile(score, 0.5) if threshold is None else F.lit(float(threshold))
-    aggs = [beyond.alias("_t"), F.count(score).alias("_n"), F.min(score).alias("_low"), F.max(score).alias("_high")]
-    joined = _join_nulls(df, df.groupBy(*by).agg(*aggs), by)
+    aggs = [F.count(score).alias("_n"), F.min(score).alias("_low"), F.max(score).alias("_high")]
+    ends = df.groupBy(*by).agg(*aggs)
+    if threshold is None:
+        ends = _join_nulls(ends, quantiles(df, score, [0.5], by).select(*by, F.col("q")[0].alias("_t")), by)
+    else:
+        ends = ends.withColumn("_t", F.lit(float(threshold)))
+    joined = _join_nulls(df, ends, by)
     t = F.col("_t")
     both = (F.col("_high") > t) & (F.col("_low") <= t) if higher else (F.col("_low") < t) & (F.col("_high") >= t)
     usable = both & (F.col("_n") >= (4 if threshold is None else 2)) & (F.col("_low") < F.col("_high"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gleanspark.sources.scratch import stash
+from gleanspark.sources.scratch import near, stash
 
 
 def running(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Mapping[str, Column]) -> DataFrame:
@@ -32,7 +32,7 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Mappin
     same = F.col("_part") == F.col("_p")
     for k, b in enumerate(by):
         same = same & F.col(b).eqNullSafe(F.col(f"_by{k}"))
-    joined = within.join(F.broadcast(before), same)
+    joined = within.join(near(stash(before, "range-sums")), same)
     added = joined.withColumns({name: F.col(name) + F.col(f"_b_{name}") for name in sums})
     return added.select(*df.columns, *sums)
 
@@ -40,3 +40,30 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Mappin
 def with_ordinal(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     """``df`` with each row's place (from 0) in ``order``, which must be total for a stable result."""
     return running(df, (), order, {name: F.lit(1).cast("long")})
+
+
+def quantiles(df: DataFrame, x: str, ps: Sequence[float], by: Sequence[str] = (), *, discrete: bool = False) -> DataFrame:
+    """by and q: the quantiles of the group's values, in the order of ``ps``; groups without values are missing.
+
+    Interpolated between the two places beside (n - 1) p or, if ``discrete``, the value at place ceil(n p) - 1.  Places
+    come from running counts of distinct values for all groups and parts at once, so that no task holds a group's values.
+    Nulls are left out; NaN is the largest value.
+    """
+    values = df.filter(F.col(x).isNotNull()).groupBy(*by, F.col(x).cast("double").alias("_x"))
+    counts = values.agg(F.count(F.lit(1)).alias("_c"))
+    placed = running(counts, by, ["_x"], {"_before": F.col("_c")})
+    n = placed.groupBy(*by).agg(F.sum("_c").alias("_n"))
+    sizes = near(stash(n.select(*(F.col(b).alias(f"_k{k}") for k, b in enumerate(by)), "_n"), "group-sizes"))
+    same = F.lit(True)
+    for k, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"_k{k}"))
+    here = lambda at: F.max(F.when((F.col("_before") <= at) & (at < F.col("_before") + F.col("_c")), F.col("_x")))
+    aggs, found = [], []
+    for k, p in enumerate(ps):
+        at = F.ceil(F.col("_n") * F.lit(p)) - 1 if discrete else (F.col("_n") - 1) * F.lit(float(p))
+        low, high = F.greatest(F.floor(at), F.lit(0)), F.greatest(F.ceil(at), F.lit(0))
+        aggs += [here(low).alias(f"_l{k}"), here(high).alias(f"_h{k}"), F.max(at - low).alias(f"_w{k}")]
+        a, b, w = (F.col(f"_{c}{k}") for c in "lhw")
+        found.append(F.when((w == 0) | (a == b), a).otherwise((1 - w) * a + w * b))
+    joined = placed.join(sizes, same) if by else placed.crossJoin(F.broadcast(sizes))  # one row where there is no group
+    return joined.groupBy(*by).agg(*aggs).select(*by, F.array(*found).alias("q"))

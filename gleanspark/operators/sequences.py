@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleanspark.functions.text import cosine, entropy01, let, minmax01, norm, penalty, sigmoid, softmax, total
+from gleanspark.operators.running import quantiles
+from gleanspark.sources.scratch import near, stash
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -280,8 +282,8 @@ def attention_stats(cells: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("t") == F.col("s"), F.col("w"))).alias("self"),
         F.sum(F.when(F.col("t") == F.col("s") + 1, F.col("w"))).alias("prev"),
     )
-    lower = mean.groupBy("layer").agg(F.expr("percentile_disc(0.5) within group (order by w)").alias("m"))
-    sparse = mean.join(F.broadcast(lower), "layer").groupBy("layer").agg(
+    lower = quantiles(mean, "w", [0.5], ["layer"], discrete=True).select("layer", F.col("q")[0].alias("m"))
+    sparse = mean.join(near(stash(lower, "medians")), "layer").groupBy("layer").agg(
         (F.count_if(F.col("w") < F.col("m")) / F.count(F.lit(1))).alias("sparsity")
     )
     stats = row.groupBy("layer").agg(

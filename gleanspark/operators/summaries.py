@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gleanspark.operators.running import running, with_ordinal
+from gleanspark.operators.running import quantiles, running, with_ordinal
 from gleanspark.sources.scratch import near, stash
 
 PARTS = (0.05, 0.25, 0.5, 0.75, 0.95)
@@ -30,16 +30,20 @@ def five_stats(x: str) -> list[Column]:
 
 def dist_summary(df: DataFrame, x: str, by: str | None = None) -> DataFrame:
     """One row for all and, with ``by``, one for each of its values: n, mean, std, min, max and percentiles."""
-    marks = [F.percentile(x, p).alias(f"p{round(p * 100)}") for p in PARTS]
     aggs = [
         F.count(F.lit(1)).alias("n"),
         F.avg(x).alias("mean"),
         F.stddev_pop(x).alias("std"),
         F.min(x).alias("min"),
         F.max(x).alias("max"),
-        *marks,
     ]
-    return df.agg(*aggs) if by is None else df.rollup(by).agg(*aggs)
+    marks = [F.col("q")[k].alias(f"p{round(p * 100)}") for k, p in enumerate(PARTS)]
+    every = df.agg(*aggs).join(quantiles(df, x, PARTS), how="left").select("*", *marks).drop("q")
+    if by is None:
+        return every
+    q = quantiles(df, x, PARTS, [by]).withColumnRenamed(by, "_by")
+    own = df.groupBy(by).agg(*aggs).join(q, F.col(by).eqNullSafe(F.col("_by")), "left").select(by, *every.columns[:5], *marks)
+    return own.unionByName(every.withColumn(by, F.lit(None).cast(df.schema[by].dataType)))
 
 
 def nearest_ranks(df: DataFrame, x: str, ps: Sequence[float], by: Sequence[str] = ()) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gleanspark.functions import text as X
 from gleanspark.operators import losses, ml, ngram, ranking, sequences, shingles, summaries
+from gleanspark.operators.running import quantiles
 from gleanspark.sources import tables
 
 
@@ -309,3 +310,26 @@ def test_loss_arrays_against_loop(spark):
         got = losses.loss_arrays(df, block_bytes=block_bytes).collect()
         assert Counter((r.id, *[tuple(tuple(round(x, 9) for x in c) for c in (r.uni, r.bi))]) for r in got) == want
     assert losses.loss_arrays(df.limit(0)).count() == 0
+
+
+def test_quantiles_of_all_groups(spark):
+    import numpy as np
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([rng.random(), 0.5, -1.0])) for _ in range(500)]
+    rows += [("one", 3.0), ("none", None), ("nan", math.nan), ("nan", 1.0), ("nan", 2.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    ps = [0.0, 0.05, 0.25, 0.5, 0.9, 1.0]
+    got = {r.g: r.q for r in quantiles(df, "x", ps, ["g"]).collect()}
+    assert set(got) == {"a", "b", None, "one", "nan"}
+    for g in ("a", "b", None, "one"):
+        values = [x for k, x in rows if k == g]
+        assert got[g] == pytest.approx(np.quantile(values, ps).tolist())
+    assert got["nan"][0] == 1.0 and got["nan"][3] == 2.0 and math.isnan(got["nan"][5])
+    lower = {r.g: r.q[0] for r in quantiles(df, "x", [0.5], ["g"], discrete=True).collect()}
+    for g in ("a", "b", "one"):
+        values = sorted(x for k, x in rows if k == g)
+        assert lower[g] == values[(len(values) - 1) // 2]
+    every = [x for _, x in rows if x is not None and x == x]
+    assert quantiles(df.filter("g <> 'nan' or g is null"), "x", [0.3]).first().q == pytest.approx([np.quantile(every, 0.3)])
+    assert quantiles(df.filter("x is null"), "x", [0.5], ["g"]).count() == 0
