@@ -31,25 +31,27 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return new.select(docs.columns)
 
 
+def _told_apart(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows and a column that differs between them: the id, or a stored number where ids are missing or shared."""
+    if docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
+        return docs, "doc_id"
+    (key,) = fresh(docs, "row")
+    return stash(docs.withColumn(key, F.monotonically_increasing_id()), "numbered"), key
+
+
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class: that of the smallest id, or any where ids are missing or shared (rows are numbered then)."""
-    key, rows = "doc_id", docs
-    if not docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
-        (key,) = fresh(docs, "row")
-        rows = stash(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
+    rows, key = _told_apart(docs)
     later = neardup.near_duplicates(rows, id_col=key).filter(F.col("class_id") != F.col(key)).select(key)
     return rows.join(near_ids(stash(later, "later-copies")), key, "left_anti").select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents into whose text no benchmark item leaks; rows are told apart by a hash of id and text."""
-    row = F.xxhash64("doc_id", "text")
-    texts = docs.select(row.alias("row"), "text")
-    found = leaks.find_leaks(
-        texts, tables(spark, sf_dir, "benchmark"), id_col="row"
-    ).select(F.col("row").alias("leak")).distinct()
-    leaking = near_ids(stash(found, "leaking"))
-    return docs.join(leaking, row == leaking["leak"], "left_anti")
+    """Documents into whose text no benchmark item leaks."""
+    rows, key = _told_apart(docs)
+    found = leaks.find_leaks(rows.select(key, "text"), tables(spark, sf_dir, "benchmark"), id_col=key)
+    leaking = near_ids(stash(found.select(key).distinct(), "leaking"))
+    return rows.join(leaking, key, "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
