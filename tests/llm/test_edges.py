@@ -417,3 +417,12 @@ def test_a_hot_bucket_takes_linear_time(monkeypatch):
         assert sum(b.num_rows for b in repeats._from_buckets(5, b"")(iter([made.slice(i, 500) for i in range(0, len(rows), 500)])))
         took.append(time.process_time() - began)
     assert took[1] < 8 * took[0] + 0.5
+
+
+@pytest.mark.parametrize("name", ["host", "verdict", "PATH"])
+def test_url_ids_of_any_name(spark, name):
+    pages = spark.createDataFrame([(1, "http://a.com/x"), (2, None)], f"{name} long, url string")
+    for limit in (1_000_000, 0):
+        got = urls.judge_urls(pages, [("block", "com/")], id_col=name, broadcast_chars=limit)
+        assert got.columns[0] == name and len({c.lower() for c in got.columns}) == 5
+        assert {(r[0], r[4]) for r in got.select(name, *got.columns[1:]).collect()} == {(1, "block"), (2, "allow")}
