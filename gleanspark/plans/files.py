@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gleanspark.functions import text as X
 from gleanspark.operators.losses import mean
+from gleanspark.operators.running import running
 from gleanspark.operators import ml, ngram, ranking, sequences, shingles, summaries
 from gleanspark.plans.queries import _BENCH, _KS, _PK, _SC, W, long, losses, query, r6, table
 from gleanspark.sources import tables as sources
@@ -46,17 +47,17 @@ def jsonl_malformed(s, d):
 
 
 @query(
-    f"select i, sha256(t) text_sha from (select row_number() over (order by doc_id) - 1 i, {_ASCII} t from documents) "
-    f"where trim(t) <> '' and i % 5 <> 2"
+    f"select i, sha256(t) text_sha from (select row_number() over (partition by lang, source order by doc_id) - 1 i, "
+    f"{_ASCII} t from documents) where trim(t) <> '' and i % 5 <> 2"
 )
 def jsonl_indexed(s, d):
-    """One file whose every fifth line is blank: places count blank lines."""
-    path = scratch_path(s, "indexed")
-    rows = table(s, d, "documents").select(
-        "doc_id", _plain().alias("text")
-    ).repartitionByRange(1, "doc_id").sortWithinPartitions("doc_id")
-    blank = (F.row_number().over(ranking.Window.orderBy("doc_id")) - 1) % 5 == 2
-    rows.select(F.when(blank, F.lit("")).otherwise(F.to_json(F.struct("text"))).alias("value")).write.text(path)
+    """A file for each language and source whose every fifth line is blank: places count blank lines."""
+    path, of = scratch_path(s, "indexed"), ["lang", "source"]
+    rows = table(s, d, "documents").select("doc_id", *of, _plain().alias("text"))
+    placed = running(rows, of, ["doc_id"], {"at": F.lit(1).cast("long")})
+    line = F.when(F.col("at") % 5 == 2, F.lit("")).otherwise(F.to_json(F.struct("text")))
+    lines = placed.select(*of, "doc_id", line.alias("value")).repartition(*of).sortWithinPartitions(*of, "doc_id")
+    lines.drop("doc_id").write.partitionBy(*of).text(path)
     got = sources.read_indexed(s, path, "text string").filter(F.trim("text") != "")
     return got.select("i", F.sha2("text", 256).alias("text_sha"))
 
@@ -110,10 +111,9 @@ def csv_report(s, d):
 def model_scan(s, d):
     """Reports of all models, a folder each, in one scan; the model is the folder's name."""
     path = scratch_path(s, "models")
-    for r in table(s, d, "events").select("event_type").distinct().collect():
-        table(s, d, "events").filter(F.col("event_type") == r[0]).select("value").write.json(f"{path}/{r[0]}")
-    got = sources.by_model(s, path + "/{model}/*.json", "value double")
-    return got.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total"))
+    table(s, d, "events").select("event_type", "value").write.partitionBy("event_type").json(path)
+    got = sources.by_model(s, path + "/event_type={model}/*.json", "value double")
+    return got.groupBy(F.replace("model", F.lit("event_type="), F.lit("")).alias("model")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total"))
 
 
 @query("select 'run' || k run from (select unnest([0, 1, 3]) k)")
