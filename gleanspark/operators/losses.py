@@ -126,6 +126,96 @@ def loss_arrays(
     )
 
 
+def _columns(table: pa.Table, *names: str) -> Iterator[tuple]:
+    return zip(*(table[c].to_pylist() for c in names), strict=True)
+
+
+def _stars(texts: pa.Table, pairs: pa.Table) -> pa.Table:
+    """block, star and next: the likeliest word at each place of a block's texts, and the word after that place."""
+    star = {p: s.encode() for p, s in _columns(pairs, "prev", "star")}
+    found: set[tuple[bytes, bytes]] = set()
+    for text in texts["text"].to_pylist():
+        words = text.split()
+        found.update(zip((star[w.decode()] for w in words[:-2]), words[2:], strict=True))
+    block = texts["block"][0].as_py()
+    columns = [pa.array([x.decode() for x in c], pa.string()) for c in zip(*found, strict=True)] or [pa.array([], pa.string())] * 2
+    return pa.Table.from_arrays([pa.array([block] * len(found), pa.int64()), *columns], ["block", "star", "next"])
+
+
+def _infill(texts: pa.Table, model: pa.Table) -> pa.Table:
+    at, after, stars = {}, {}, {}
+    for k, (is_pair, a, b, star) in enumerate(_columns(model, "pair", "a", "b", "star")):
+        (at if is_pair else after)[f"{a} {b}".encode()] = k
+        if is_pair:
+            stars[a.encode()] = star.encode()
+    z, value = model["z"].to_numpy(), model["value"].to_numpy()
+    sizes, ends, parts = [], [0], []
+    for text in texts["text"].to_pylist():
+        words = text.split()
+        place = np.fromiter(map(at.__getitem__, _pairs(words)), np.int64, max(len(words) - 1, 0))
+        r = value[place]
+        if len(r) > 1:
+            keys = (stars[p] + b" " + w for p, w in zip(words[:-2], words[2:], strict=True))
+            r[:-1] += z[place[1:]] - value[np.fromiter(map(after.__getitem__, keys), np.int64, len(r) - 1)]
+        sizes.append(len(words))
+        parts.append(r)
+        ends.append(ends[-1] + len(r))
+    flat = pa.array(np.concatenate(parts) if parts else np.empty(0), pa.float64())
+    lists = pa.ListArray.from_arrays(pa.array(np.array(ends), pa.int32()), flat)
+    return pa.Table.from_arrays([texts["id"].combine_chunks(), pa.array(sizes, pa.int64()), lists], ["id", "n", "r"])
+
+
+def infilling_arrays(
+    docs: DataFrame,
+    weight: float = 0.7,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """id, n (words) and r of every row: the infilling scores (``ngram.Infilling``) of all tokens but the first.
+
+    Null texts and texts of fewer than two words have empty arrays; repeated rows stay repeated.
+    """
+    blocks = in_blocks(docs, id_col, text_col, block_bytes)
+    pairs = stash(block_pairs(blocks), "block-pairs")
+    model = ngram.Infilling.of(counts_of(pairs), weight)
+    own = pairs.filter("prev is not null").select("block", "prev", "tok").distinct().join(model.first(), ["prev", "tok"])
+    own = stash(own.select("block", "prev", "tok", "z", "r0", "star"), "block-model")
+    stars = own.select("block", "prev", "star").distinct()
+    wanted = blocks.groupBy("block").cogroup(stars.groupBy("block")).applyInArrow(
+        _stars, "block long, star string, next string"
+    )
+    wanted = stash(wanted, "likeliest-words")
+    other = wanted.join(model.after(wanted.select("star", "next").distinct()), ["star", "next"])
+    none = F.lit(None)
+    table = own.select(
+        "block", F.lit(True).alias("pair"), F.col("prev").alias("a"), F.col("tok").alias("b"), "star", "z", F.col("r0").alias("value")
+    ).union(
+        other.select("block", F.lit(False), "star", "next", none.cast("string"), F.lit(0.0), "other")
+    )
+    of = blocks.schema["id"].dataType.simpleString()
+    return blocks.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(
+        _infill, f"id {of}, n long, r array<double>"
+    )
+
+
+def infilling_mean(scores: DataFrame, share: float = 0.1, last: int | None = None, least: int = 2) -> DataFrame:
+    """id and score of every text: the mean of the lowest ``share`` of r, over the ``last`` tokens if given.
+
+    A text of fewer than ``least`` tokens, or without a score, has 0.
+    """
+
+    def lowest(n: int, r: np.ndarray) -> float:
+        some = r if last is None else r[max(len(r) - last + 1, 0) :]
+        if n < least or not len(some):
+            return 0.0
+        k = max(1, int(np.floor(len(some) * share)))
+        return float(np.mean(np.partition(some, k - 1)[:k]))
+
+    return scores.select("id", _each(lowest, F.col("n"), F.col("r")).alias("score"))
+
+
 def arrays_of(rows: DataFrame) -> DataFrame:
     """The same form from rows of id, pos, uni and bi."""
     listed = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "uni", "bi"))).alias("x"))

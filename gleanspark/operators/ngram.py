@@ -151,76 +151,48 @@ def vocabulary_moments(docs: DataFrame, weight: float = 0.7, **names: str) -> Da
     return ahead.select("prev", "mean", "sd", F.col("star.tok").alias("likeliest"))
 
 
-def token_infilling(docs: DataFrame, weight: float = 0.7, **names: str) -> DataFrame:
-    """id, pos, n (tokens of the text) and r, the infilling score of every token but the first.
+@dataclass
+class Infilling:
+    """What the published infilling score needs of the bigram model; pairs and words that the corpus has.
 
-    As published, over the bigram model: the token's log-probability, standardized by mean and deviation over the
-    vocabulary after the previous word, less that of the likeliest word there; and the next token's standardized
-    log-probability less the one it has after that likeliest word.  Later places have the same terms in both texts,
-    as the model sees one word back.  A word that nothing follows is followed by the unigram distribution.
+    A token's log-probability is standardized by mean and deviation over the vocabulary after the previous word, less
+    that of the likeliest word there (star); the next token's standardized log-probability comes in less the one it has
+    after that likeliest word.  Later places have the same terms in both texts, as the model sees one word back.
     """
-    toks = token_table(docs, **names)
-    words, pairs, base, ahead = _distributions(count(docs, **names), weight)
-    rest = round(1 - weight, 12)
-    q, u = F.col("q"), F.col("q") / rest
-    model = pairs.join(ahead, "prev").select(
-        "prev",
-        "tok",
-        ((F.ln("p") - F.col("mean")) / F.col("sd")).alias("z"),
-        ((F.ln("p") - F.ln(-F.col("star.q"))) / F.col("sd")).alias("r0"),
-        F.col("star.tok").alias("star"),
-    )
-    order = Window.partitionBy("id").orderBy("pos")
-    rows = toks.filter("pos > 0").join(model, ["prev", "tok"])
-    rows = rows.select(
-        "id",
-        "pos",
-        "r0",
-        "star",
-        F.lead("tok").over(order).alias("next"),
-        F.lead("z").over(order).alias("z"),
-        (F.count(F.lit(1)).over(Window.partitionBy("id")) + 1).alias("n"),
-    )
-    other = rows.filter("next is not null").select("star", "next").distinct()
-    known = pairs.select(F.col("prev").alias("star"), F.col("tok").alias("next"), "p")
-    other = other.join(words.withColumnRenamed("tok", "next"), "next").join(
-        ahead.select(F.col("prev").alias("star"), "mean", "sd"), "star", "left"
-    ).join(known, ["star", "next"], "left").crossJoin(F.broadcast(base))
-    lone = F.col("mean").isNull()
-    after = F.when(
-        lone, (F.ln(u) - F.col("u1")) / _deviation(F.col("u1"), F.col("u2"))
-    ).otherwise((F.ln(F.coalesce("p", "q")) - F.col("mean")) / F.col("sd"))
-    other = other.select("star", "next", after.alias("other"))
-    return rows.join(other, ["star", "next"], "left").select(
-        "id", "pos", "n", (F.col("r0") + F.coalesce(F.col("z") - F.col("other"), F.lit(0.0))).alias("r")
-    )
-
 
-def infilling_mean(
-    docs: DataFrame,
-    scores: DataFrame,
-    share: float = 0.1,
-    last: int | None = None,
-    least: int = 2,
-    id_col: str = "doc_id",
-) -> DataFrame:
-    """id and score of every text: the mean of the lowest ``share`` of r, over the ``last`` tokens if given.
-
-    A text of fewer than ``least`` tokens, or none, scores 0.
-    """
-    some = scores.filter(F.col("n") >= least)
-    if last is not None:
-        some = some.filter(F.col("pos") > F.col("n") - last)
-    of = Window.partitionBy("id")
-    ranked = some.select(
-        "id", "r", F.row_number().over(of.orderBy("r", "pos")).alias("k"), F.count(F.lit(1)).over(of).alias("m")
-    )
-    got = ranked.filter(
-        F.col("k") <= F.greatest(F.lit(1), F.floor(F.col("m") * F.lit(share)))
-    ).groupBy("id").agg(F.avg("r").alias("score"))
-    return docs.select(F.col(id_col).alias("id")).join(got, "id", "left").select(
-        "id", F.coalesce("score", F.lit(0.0)).alias("score")
-    )
+    words: DataFrame
+    pairs: DataFrame
+    base: DataFrame
+    ahead: DataFrame
+    rest: float
+
+    @classmethod
+    def of(cls, counts: Counts, weight: float = 0.7) -> Infilling:
+        return cls(*_distributions(counts, weight), round(1 - weight, 12))
+
+    def first(self) -> DataFrame:
+        """prev, tok, z (standardized), r0 (less the likeliest word's) and star of every pair."""
+        return self.pairs.join(self.ahead, "prev").select(
+            "prev",
+            "tok",
+            ((F.ln("p") - F.col("mean")) / F.col("sd")).alias("z"),
+            ((F.ln("p") - F.ln(-F.col("star.q"))) / F.col("sd")).alias("r0"),
+            F.col("star.tok").alias("star"),
+        )
+
+    def after(self, wanted: DataFrame) -> DataFrame:
+        """star, next and other (next's standardized log-probability after star) of each row of ``wanted``.
+
+        A word that nothing follows is followed by the unigram distribution.
+        """
+        q, u = F.col("q"), F.col("q") / self.rest
+        known = self.pairs.select(F.col("prev").alias("star"), F.col("tok").alias("next"), "p")
+        rows = wanted.join(self.words.withColumnRenamed("tok", "next"), "next").join(
+            self.ahead.select(F.col("prev").alias("star"), "mean", "sd"), "star", "left"
+        ).join(known, ["star", "next"], "left").crossJoin(F.broadcast(self.base))
+        lone = (F.ln(u) - F.col("u1")) / _deviation(F.col("u1"), F.col("u2"))
+        other = (F.ln(F.coalesce("p", q)) - F.col("mean")) / F.col("sd")
+        return rows.select("star", "next", F.when(F.col("mean").isNull(), lone).otherwise(other).alias("other"))
 
 
 def greedy_successors(counts: Counts) -> DataFrame:

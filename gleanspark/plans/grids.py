@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleanspark.operators import grid, ngram
+from gleanspark.operators.losses import infilling_arrays
 from gleanspark.plans.queries import _GREEDY, _LOSS, losses, query, r6, table
 
 #: The published grids (fixed values).
@@ -21,9 +22,8 @@ def _scores(s, d):
     Later places cancel in infilling scores of a model that sees one word back, so that points of one k are equal.
     """
     docs = table(s, d, "documents")
-    r = ngram.token_infilling(docs).groupBy("id").agg(F.collect_list("r").alias("r"))
     found = {
-        "infilling": grid.lowest_grid(r, GRIDS["infilling"]),
+        "infilling": grid.lowest_grid(infilling_arrays(docs), GRIDS["infilling"]),
         "wbc": grid.vote_grid(losses(s, d), GRIDS["wbc"]),
     }
     kinds = F.when(F.col("lang") == "en", "a").otherwise("b")

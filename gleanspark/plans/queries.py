@@ -398,8 +398,7 @@ select doc_id, round(coalesce(score, 0), 5) + 0.0::double score from documents l
 @query(f"with {_LOSS}, " + _GREEDY.format(where="n >= 2"))
 def infilling_score(s, d):
     """Standardized log-probability less that of the likeliest word, with the next place's difference; lowest tenth."""
-    docs = table(s, d, "documents")
-    return ngram.infilling_mean(docs, ngram.token_infilling(docs)).select(
+    return arrays.infilling_mean(arrays.infilling_arrays(table(s, d, "documents"))).select(
         F.col("id").alias("doc_id"), (F.round("score", 5) + F.lit(0.0)).alias("score")
     )
 
@@ -407,8 +406,7 @@ def infilling_score(s, d):
 @query(f"with {_LOSS}, " + _GREEDY.format(where="n >= 4 and pos > n - 64"))
 def prefix_infilling(s, d):
     """The same over the last 64 tokens; 0 below four."""
-    docs = table(s, d, "documents")
-    return ngram.infilling_mean(docs, ngram.token_infilling(docs), last=64, least=4).select(
+    return arrays.infilling_mean(arrays.infilling_arrays(table(s, d, "documents")), last=64, least=4).select(
         F.col("id").alias("doc_id"), (F.round("score", 5) + F.lit(0.0)).alias("score")
     )
 

@@ -134,8 +134,8 @@ def test_infilling_against_loop(spark):
         "z a end",
     ]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    scores = ngram.token_infilling(docs)
-    assert dict(ngram.infilling_mean(docs, scores).collect()) == {
+    scores = losses.infilling_arrays(docs, block_bytes=40)
+    assert dict(losses.infilling_mean(scores).collect()) == {
         i: pytest.approx(v, abs=1e-9) for i, v in enumerate(naive_infilling(texts))
     }
 
@@ -144,7 +144,7 @@ def test_infilling_of_the_last_tokens(spark):
     rng = random.Random(5)
     texts = ["", "a b c", "a b c d", *(" ".join(rng.choices("abcdef", [6, 4, 3, 2, 1, 1], k=k)) for k in (6, 7, 30))]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = dict(ngram.infilling_mean(docs, ngram.token_infilling(docs), last=6, least=4).collect())
+    got = dict(losses.infilling_mean(losses.infilling_arrays(docs), last=6, least=4).collect())
     assert got == {
         i: pytest.approx(v, abs=1e-9) for i, v in enumerate(naive_infilling(texts, last=6, least=4))
     } and got[1] == 0.0
