@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleanspark.functions.text import normalize
+from gleanspark.operators.running import with_ordinal
 from gleanspark.sources.scratch import near, stash
 
 BLOCK = 256
@@ -62,13 +63,14 @@ def build_index(corpus: DataFrame, id_col: str, size: int) -> DataFrame:
 def capped_index(corpus: DataFrame, id_col: str, size: int, most: int, per_text: int = 50_000) -> DataFrame:
     """The first ``most`` distinct hashes in order of id and position, at most ``per_text`` new ones of each text.
 
-    A hash that a text's cap leaves out is not taken from a later text either.
+    Places come from running counts over ranges, so that no task holds all hashes up to ``most``.  A hash that a text's
+    cap leaves out is not taken from a later text either.
     """
     hashes = shingle_hashes(normalized(corpus, id_col), size)
-    first = hashes.groupBy("hash").agg(F.min(F.struct("id", "p")).alias("first"))
-    rank = F.row_number().over(Window.partitionBy("first.id").orderBy("first.p", "hash"))
+    first = hashes.groupBy("hash").agg(F.min(F.struct("id", "p")).alias("first")).select("hash", "first.*")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("p", "hash"))
     kept = first.withColumn("rank", rank).filter(F.col("rank") <= per_text)
-    return kept.orderBy("first", "hash").limit(most).select("hash")
+    return with_ordinal(kept, ["id", "p", "hash"], "_at").filter(F.col("_at") < most).select("hash")
 
 
 def coverage_label(

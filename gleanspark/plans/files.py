@@ -116,18 +116,15 @@ def model_scan(s, d):
     return got.groupBy(F.replace("model", F.lit("event_type="), F.lit("")).alias("model")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total"))
 
 
-@query("select 'run' || k run from (select unnest([0, 1, 3]) k)")
+@query("select coalesce(source, 'none') run from documents group by source having count(*) % 3 < 2")
 def run_discovery(s, d):
-    """Folders with samples or metadata, at any depth; another file makes no run."""
+    """A folder for each source at some depth, with samples, metadata or (by its number of rows) another file, which
+    makes no run."""
     path = scratch_path(s, "runs")
-    one = table(s, d, "region").select(F.to_json(F.struct("*")).alias("value")).coalesce(1)
-    for folder, name in (
-        ("run0", "samples.jsonl"),
-        ("x/run1", "run_meta.json"),
-        ("run2", "notes.txt"),
-        ("x/y/run3", "samples_labeled.jsonl"),
-    ):
-        _write_file(s, f"{path}/{folder}/{name}", "\n".join(r.value for r in one.collect()))
+    counts = table(s, d, "documents").groupBy(F.coalesce("source", F.lit("none")).alias("source")).count()
+    for r in counts.collect():
+        name = ("samples_labeled.jsonl", "run_meta.json", "notes.txt")[r["count"] % 3]
+        _write_file(s, f"{path}/{'deep/' * (r['count'] % 2)}{r.source}/{name}", f'{{"rows": {r["count"]}}}')
     return sources.runs_in(s, path).select(F.regexp_extract("run", "([^/]+)$", 1).alias("run"))
 
 
@@ -138,17 +135,22 @@ def _write_file(s, path: str, text: str) -> None:
     out.close()
 
 
-@query("select 40 n_target, 30 n_reference, 30 n")
+@query(
+    "select count(*)::int n_target, (count(*) filter (item_id % 2 = 0))::int n_reference, round(sum(case when item_id % 2 "
+    "= 0 then length(text) / 8.0::double end), 6) total from benchmark"
+)
 def loss_files(s, d):
-    """Two files of loss lists, read as arrays and zipped to the shorter."""
+    """Two files of one list each, read as arrays: a number for each item, and for each second one."""
     path = scratch_path(s, "losses")
-    _write_file(s, f"{path}-t.json", str([x / 8 for x in range(40)]))
-    _write_file(s, f"{path}-r.json", str([x / 4 for x in range(30)]))
-    got = sources.read_losses(s, f"{path}-t.json", f"{path}-r.json")
+    items = table(s, d, "benchmark").select("item_id", (F.length("text") / 8.0).alias("x"))
+    for name, some in (("t", items), ("r", items.filter("item_id % 2 = 0"))):
+        listed = some.agg(F.array_sort(F.collect_list(F.struct("item_id", "x")))["x"].alias("x"))
+        listed.select(F.to_json("x").alias("value")).write.text(f"{path}-{name}")
+    got = sources.read_losses(s, f"{path}-t", f"{path}-r")
     return got.select(
         F.size("target").alias("n_target"),
         F.size("reference").alias("n_reference"),
-        F.size(sequences.loss_zip(F.col("target"), F.col("reference"))).alias("n"),
+        F.round(X.total(F.col("reference")), 6).alias("total"),
     )
 
 
@@ -206,17 +208,13 @@ def wide_report(s, d):
 
 
 @query(
-    "select 'shard_' || k || case when k % 2 = 0 then '.json' else '.txt' end \"name\", case when k % 2 = 0 then k "
-    "else -1 end number from (select unnest(range(0, 6)) k)"
+    "select doc_id, case when doc_id % 2 = 0 then doc_id else -1 end number from documents"
 )
 def shard_number(s, d):
-    k = s.range(6).select(
-        "id",
-        F.concat(
-            F.lit("shard_"), F.col("id").cast("string"), F.when(F.col("id") % 2 == 0, ".json").otherwise(".txt")
-        ).alias("name"),
-    )
-    return k.select("name", sources.shard_number(F.col("name")).alias("number"))
+    """Of a shard's file for each document, every second of which has another ending."""
+    end = F.when(F.col("doc_id") % 2 == 0, ".json").otherwise(".txt")
+    name = F.concat(F.lit("shard_"), F.col("doc_id").cast("string"), end)
+    return table(s, d, "documents").select("doc_id", sources.shard_number(name).alias("number"))
 
 
 _TAGS = ", ".join(
@@ -226,9 +224,16 @@ _TAGS = ", ".join(
 )
 
 
-@query(f"select cast(place as bigint) place, source, family from (values {_TAGS}) t(place, source, family)")
+@query(
+    f"with t(place, source, family) as (values {_TAGS}) select cast(place as bigint) place, t.source, family, count(*) n "
+    f"from t join documents on doc_id % (select count(*) from t) = place group by all"
+)
 def source_table(s, d):
-    return sources.source_table(s)
+    """Documents by the kind of sample that their id stands for."""
+    kinds = sources.source_table(s)
+    n = len(sources.STRATEGIES) + len(sources.DECODERS)
+    counts = table(s, d, "documents").groupBy((F.col("doc_id") % n).alias("place")).agg(F.count(F.lit(1)).alias("n"))
+    return kinds.join(counts, "place")
 
 
 @query(

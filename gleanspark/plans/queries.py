@@ -1048,14 +1048,16 @@ def transfer_vs_oracle(s, d):
     )
 
 
-_GRID = "select w, k from (select unnest([2, 3, 5]) w), (select unnest([0.1, 0.2]::double[]) k)"
+_GRID = (
+    "select distinct source, w, k from documents, (select unnest([2, 3, 5]) w), (select unnest([0.1, 0.2]::double[]) k)"
+)
 
 
 @query(_GRID)
 def grid(s, d):
-    return s.createDataFrame([(w,) for w in (2, 3, 5)], "w int").crossJoin(
-        s.createDataFrame([(k,) for k in (0.1, 0.2)], "k double")
-    )
+    """Every point of a grid for every source."""
+    points = F.array(*(F.struct(F.lit(w).alias("w"), F.lit(k).alias("k")) for w in (2, 3, 5) for k in (0.1, 0.2)))
+    return table(s, d, "documents").select("source").distinct().select("source", F.inline(points))
 
 
 @query(
