@@ -331,3 +331,15 @@ def zlib_ratios(s, d):
     ratio = X.log_ratio(F.exp("nll"), F.col("bytes").cast("double"))
     return rows.select("doc_id", r6(ratio, "log_ratio"), F.round(F.col("nll") / (F.col("bytes") * 8), 9).alias("ratio"))
 
+
+
+@query(
+    "select cast(time_bucket(interval '1 hour', ts) as timestamp) \"start\", event_type, count(*) n, round(sum(value), 3) "
+    "total from events where ts is not null group by all"
+)
+def event_windows(s, d):
+    """Events by hour and type, read as a stream of four batches in order of time."""
+    from gleanspark.streaming.windows import windows_of_stream
+
+    got = windows_of_stream(table(s, d, "events").select("ts", "event_type", "value"), 4, "1 hour", ["event_type"], value_col="value")
+    return got.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("total", F.round("total", 3))
