@@ -8,8 +8,9 @@ from gleanspark.functions import text as X
 from gleanspark.operators import losses as arrays
 from gleanspark.operators import ranking, sequences, summaries
 from gleanspark.operators.running import with_ordinal
-from gleanspark.plans.queries import _AUC, _EM, _KS, _LOSS, _PK, _SC, W, _of_all, long, losses, query, r6, scores, table
+from gleanspark.plans.queries import _AUC, _CASED, _EM, _KS, _LOSS, _PK, _SC, W, _of_all, long, losses, query, r6, scores, table
 from gleanspark.plans.queries import _all as of_all_documents
+from gleanspark.plans.queries import lowercase_ratio
 
 # Decoding steps: 20 candidates' log-probabilities, risks and a reference's log-probabilities from each vector
 
@@ -559,12 +560,13 @@ def wbc_auc(s, d):
 
 
 _BASE = (
-    f"{_LOSS}, nl as (select id, round(-avg(bi), 6) nll from ls group by id), mw as (select id, bi, avg(bi) over "
+    f"{_LOSS}, {_CASED}, nl as (select id, round(-avg(bi), 6) nll from ls group by id), mw as (select id, bi, avg(bi) over "
     f"(partition by id order by pos rows between 31 preceding and current row) m, row_number() over (partition by id "
     f"order by pos) r from ls), wm as (select id, round(-case when max(r) >= 32 then min(m) filter (where r >= 32) "
     f"else avg(bi) end, 6) wmin from mw group by id), bl as (select doc_id, quality label, coalesce(nll, 0) nll, "
-    f"coalesce(wmin, 0) wmin from labels join documents using (doc_id) left join nl on nl.id = doc_id left join wm on "
-    f"wm.id = doc_id)"
+    f"coalesce(wmin, 0) wmin, coalesce(round(case when l > 0 then o / l else 0 end, 6), 0) low from labels join documents "
+    f"using (doc_id) left join nl on nl.id = doc_id left join wm on wm.id = doc_id left join lo on lo.id = doc_id left "
+    f"join ll on ll.id = doc_id)"
 )
 
 
@@ -573,20 +575,21 @@ _BASE = (
     + " union all ".join(
         f"select '{split}' split, * from ({_auc_sql(f'select label, {m} score from bl where doc_id % 2 = {k}', name)})"
         for k, split in ((0, 'val'), (1, 'test'))
-        for m, name in (("nll", "perplexity"), ("wmin", "window"))
+        for m, name in (("nll", "perplexity"), ("wmin", "window"), ("low", "lowercase"))
     )
     + ")"
 )
 def baseline_aucs(s, d):
-    """Perplexity and window baselines against the labels, on both splits."""
+    """Perplexity, window and lowercase baselines against the labels, on both splits."""
     loss = losses(s, d)
     nll = of_all_documents(s, d, loss.select("id", r6(-arrays.mean(F.col("bi")), "perplexity")), perplexity=0.0)
     window = of_all_documents(s, d, arrays.window_minimum(loss, 32).select("id", r6("score", "window")), window=0.0)
     lab = table(s, d, "labels").select("doc_id", F.col("quality").alias("label"))
-    rows = lab.join(nll, "doc_id").join(window, "doc_id").withColumn(
+    low = lowercase_ratio(s, d).select("doc_id", F.col("ratio").alias("lowercase"))
+    rows = lab.join(nll, "doc_id").join(window, "doc_id").join(low, "doc_id").withColumn(
         "split", F.when(F.col("doc_id") % 2 == 0, "val").otherwise("test")
     )
-    long_ = ranking.unpivot(rows, ["doc_id", "split", "label"], ["perplexity", "window"])
+    long_ = ranking.unpivot(rows, ["doc_id", "split", "label"], ["perplexity", "window", "lowercase"])
     return ranking.roc_auc(long_, ["metric", "split"]).select("metric", "split", F.round("auc_dir", 9).alias("auc_dir"))
 
 
