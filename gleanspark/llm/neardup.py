@@ -3,7 +3,9 @@
 Signature: each shingle with weight w (its number of occurrences) owns independent Poisson processes over the
 dyadic weight intervals [0, 1), [1, 2), [2, 4), ...; a text takes the points whose weight coordinate is below
 w, and each register keeps the first arrival among all of them.  Two texts agree in a register with the
-probability of their weighted Jaccard similarity.  Processes are followed only as far as the registers need.
+probability of their weighted Jaccard similarity.  Processes are followed only as far as the registers need.  The
+published hierarchy splits one process's intervals down to the weight; a process of its own for each dyadic interval
+gives the same points in law, as processes over disjoint intervals are independent.
 
 Classes are the components of the graph of texts whose shingle multisets overlap by ``similarity`` or more.
 Equal texts count once from the banding on (each task signs equal texts of one read only once).  In each bucket of a band the members are compared with three leaders; then, in
