@@ -273,7 +273,8 @@ def attention_stats(cells: DataFrame) -> DataFrame:
     ``cells`` has layer, head, t, s, w (weight of place s for place t).  Sparsity is the share of cells below the
     layer's lower median.
     """
-    mean = cells.groupBy("layer", "t", "s").agg(F.avg("w").alias("w"))
+    # stored: means computed twice may differ in the last bit, and cells are compared with a median of themselves
+    mean = stash(cells.groupBy("layer", "t", "s").agg(F.avg("w").alias("w")), "mean-cells")
     safe = F.greatest("w", F.lit(1e-8))
     row = mean.groupBy("layer", "t").agg(
         F.sum(-F.col("w") * F.ln(safe)).alias("h"),

@@ -333,3 +333,17 @@ def test_quantiles_of_all_groups(spark):
     every = [x for _, x in rows if x is not None and x == x]
     assert quantiles(df.filter("g <> 'nan' or g is null"), "x", [0.3]).first().q == pytest.approx([np.quantile(every, 0.3)])
     assert quantiles(df.filter("x is null"), "x", [0.5], ["g"]).count() == 0
+
+
+def test_attention_means_are_computed_once(spark):
+    """Means that a second reading gives otherwise, as sums in another order do, leave a lower median's share whole."""
+    shaken = F.udf(lambda: random.SystemRandom().random(), "double").asNondeterministic()
+    cells = spark.range(5 * 64).select(
+        (F.col("id") % 5).alias("layer"),
+        F.lit(0).alias("head"),
+        F.expr("id div 5 div 8").alias("t"),
+        F.expr("id div 5 % 8").alias("s"),
+        shaken().alias("w"),
+    )
+    got = sequences.attention_stats(cells).collect()
+    assert len(got) == 5 and {r.sparsity for r in got} == {31 / 64}
