@@ -10,7 +10,7 @@ from gleanspark.operators import ranking, sequences, summaries
 from gleanspark.operators.running import with_ordinal
 from gleanspark.plans.queries import _AUC, _CASED, _EM, _KS, _LOSS, _PK, _SC, W, _of_all, long, losses, query, r6, scores, table
 from gleanspark.plans.queries import _all as of_all_documents
-from gleanspark.plans.queries import lowercase_ratio
+from gleanspark.plans.queries import lowercase_ratio, or_0
 
 # Decoding steps: 20 candidates' log-probabilities, risks and a reference's log-probabilities from each vector
 
@@ -552,9 +552,7 @@ def _auc_sql(rows: str, name: str) -> str:
     f"({_auc_sql('select quality label, coalesce(score, 0) score from labels join documents using (doc_id) left join y on id = doc_id', 'wbc')}) select round(auc, 9) auc, round(greatest(auc, 1 - auc), 9) auc_dir from a"
 )
 def wbc_auc(s, d):
-    votes = of_all_documents(
-        s, d, arrays.window_vote(losses(s, d), (2, 5)).select("id", r6("score", "score")), score=0.0
-    )
+    votes = losses(s, d).select(F.col("id").alias("doc_id"), or_0(arrays.votes((2, 5))).alias("score"))
     rows = votes.join(table(s, d, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
     return ranking.roc_auc(rows, []).select(F.round("auc", 9).alias("auc"), F.round("auc_dir", 9).alias("auc_dir"))
 
@@ -581,12 +579,14 @@ _BASE = (
 )
 def baseline_aucs(s, d):
     """Perplexity, window and lowercase baselines against the labels, on both splits."""
-    loss = losses(s, d)
-    nll = of_all_documents(s, d, loss.select("id", r6(-arrays.mean(F.col("bi")), "perplexity")), perplexity=0.0)
-    window = of_all_documents(s, d, arrays.window_minimum(loss, 32).select("id", r6("score", "window")), window=0.0)
+    both = losses(s, d).select(
+        F.col("id").alias("doc_id"),
+        or_0(-arrays.mean(F.col("bi"))).alias("perplexity"),
+        or_0(arrays.minimum(32)).alias("window"),
+    )
     lab = table(s, d, "labels").select("doc_id", F.col("quality").alias("label"))
     low = lowercase_ratio(s, d).select("doc_id", F.col("ratio").alias("lowercase"))
-    rows = lab.join(nll, "doc_id").join(window, "doc_id").join(low, "doc_id").withColumn(
+    rows = lab.join(both, "doc_id").join(low, "doc_id").withColumn(
         "split", F.when(F.col("doc_id") % 2 == 0, "val").otherwise("test")
     )
     long_ = ranking.unpivot(rows, ["doc_id", "split", "label"], ["perplexity", "window", "lowercase"])

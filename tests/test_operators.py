@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleanspark.functions import text as X
-from gleanspark.operators import losses, ml, ngram, ranking, sequences, shingles, summaries
+from gleanspark.operators import losses, ml, ngram, ranking, sequences, shingles, summaries, tallies
 from gleanspark.operators.running import quantiles
 from gleanspark.sources import tables
 
@@ -347,3 +347,16 @@ def test_attention_means_are_computed_once(spark):
     )
     got = sequences.attention_stats(cells).collect()
     assert len(got) == 5 and {r.sparsity for r in got} == {31 / 64}
+
+
+def test_blocks_ask_for_packed_keys_alone(spark):
+    """What the blocks store for the shuffles is a few bytes a token; keys of one block are not answered."""
+    rng = random.Random(11)
+    syllables = [a + b for a in "bdfgklmnprst" for b in ("a", "e", "in", "or")]
+    word = lambda: "".join(rng.choices(syllables, k=rng.randint(1, 3)))
+    docs = spark.createDataFrame([(i, " ".join(word() for _ in range(300))) for i in range(1500)], "doc_id long, text string")
+    got = tallies.tallied(docs, "doc_id", F.encode(F.col("text"), "UTF-8"), block_bytes=500_000)
+    stored = sum(df.agg(F.sum(F.length("data"))).first()[0] for df in (got.asked, got.blocks))
+    assert got.n == 450_000 and stored < 12 * got.n and got.blocks.count() > 4
+    one = tallies.tallied(docs.coalesce(1).limit(50), "doc_id", F.encode(F.col("text"), "UTF-8"))
+    assert one.answers.count() == 0 and one.n == 15_000
