@@ -105,96 +105,6 @@ def vote_diagnostics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
-def _deviation(mean: Column, square: Column) -> Column:
-    return F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)) + F.lit(1e-8))
-
-
-def _distributions(counts: Counts, weight: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """The bigram model as probabilities: of words (tok, q: the unigram part), of pairs (prev, tok, p), the unigram sums
-    in one row, and after each word (prev) mean and sd of the log-probability and the likeliest word (star).
-
-    Sums over the vocabulary are those of the unigram part plus what the pairs change.
-    """
-    rest = round(1 - weight, 12)
-    words = counts.words.select("tok", (F.lit(rest) * (F.col("c") + 1) / F.lit(float(counts.n + counts.v))).alias("q"))
-    counted = counts.pairs.filter("prev is not null")
-    sums = near(stash(counted.groupBy("prev").agg(F.sum("cc").alias("cp")), "ahead-counts"))
-    p = F.lit(weight) * F.col("cc") / F.col("cp") + F.col("q")
-    known = counted.join(near(stash(words, "word-shares")), "tok").join(sums, "prev").withColumn("p", p)
-    pairs = stash(known.select("prev", "tok", "p", "q"), "pair-shares")
-    xlog = lambda x, k: x * F.pow(F.ln(x), k)
-    q, u = F.col("q"), F.col("q") / rest
-    parts = {"b1": xlog(q, 1), "b2": xlog(q, 2), "u1": xlog(u, 1), "u2": xlog(u, 2)}
-    base = words.agg(
-        *(F.sum(v).alias(k) for k, v in parts.items()), F.min(F.struct((-q).alias("q"), "tok")).alias("top")
-    )
-    base = stash(base, "unigram-sums")
-    p = F.col("p")
-    ahead = pairs.groupBy("prev").agg(
-        F.sum(xlog(p, 1) - xlog(q, 1)).alias("d1"),
-        F.sum(xlog(p, 2) - xlog(q, 2)).alias("d2"),
-        F.min(F.struct((-p).alias("q"), "tok")).alias("best"),
-    )
-    mean = F.col("b1") + F.col("d1")
-    moments = ahead.crossJoin(F.broadcast(base)).select(
-        "prev",
-        mean.alias("mean"),
-        _deviation(mean, F.col("b2") + F.col("d2")).alias("sd"),
-        F.least("best", "top").alias("star")
-    )
-    return words, pairs, base, stash(moments, "moments")
-
-
-def vocabulary_moments(docs: DataFrame, weight: float = 0.7, **names: str) -> DataFrame:
-    """After each word that another follows: mean and sd of the log-probability over the vocabulary, likeliest word."""
-    ahead = _distributions(count(docs, **names), weight)[3]
-    return ahead.select("prev", "mean", "sd", F.col("star.tok").alias("likeliest"))
-
-
-@dataclass
-class Infilling:
-    """What the published infilling score needs of the bigram model; pairs and words that the corpus has.
-
-    A token's log-probability is standardized by mean and deviation over the vocabulary after the previous word, less
-    that of the likeliest word there (star); the next token's standardized log-probability comes in less the one it has
-    after that likeliest word.  Later places have the same terms in both texts, as the model sees one word back.
-    """
-
-    words: DataFrame
-    pairs: DataFrame
-    base: DataFrame
-    ahead: DataFrame
-    rest: float
-
-    @classmethod
-    def of(cls, counts: Counts, weight: float = 0.7) -> Infilling:
-        return cls(*_distributions(counts, weight), round(1 - weight, 12))
-
-    def first(self) -> DataFrame:
-        """prev, tok, z (standardized), r0 (less the likeliest word's) and star of every pair."""
-        return self.pairs.join(self.ahead, "prev").select(
-            "prev",
-            "tok",
-            ((F.ln("p") - F.col("mean")) / F.col("sd")).alias("z"),
-            ((F.ln("p") - F.ln(-F.col("star.q"))) / F.col("sd")).alias("r0"),
-            F.col("star.tok").alias("star"),
-        )
-
-    def after(self, wanted: DataFrame) -> DataFrame:
-        """star, next and other (next's standardized log-probability after star) of each row of ``wanted``.
-
-        A word that nothing follows is followed by the unigram distribution.
-        """
-        q, u = F.col("q"), F.col("q") / self.rest
-        known = self.pairs.select(F.col("prev").alias("star"), F.col("tok").alias("next"), "p")
-        rows = wanted.join(self.words.withColumnRenamed("tok", "next"), "next").join(
-            self.ahead.select(F.col("prev").alias("star"), "mean", "sd"), "star", "left"
-        ).join(known, ["star", "next"], "left").crossJoin(F.broadcast(self.base))
-        lone = (F.ln(u) - F.col("u1")) / _deviation(F.col("u1"), F.col("u2"))
-        other = (F.ln(F.coalesce("p", q)) - F.col("mean")) / F.col("sd")
-        return rows.select("star", "next", F.when(F.col("mean").isNull(), lone).otherwise(other).alias("other"))
-
-
 def greedy_successors(counts: Counts) -> DataFrame:
     """prev and tok: the word that most often follows each word, the first by code point on ties."""
     pairs = counts.pairs.filter("prev is not null")
