@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleanspark.operators import grid, ngram
-from gleanspark.operators.losses import infilling_arrays
-from gleanspark.plans.queries import _GREEDY, _LOSS, losses, query, r6, table
+from gleanspark.operators.moments import moments
+from gleanspark.plans.queries import _GREEDY, _LOSS, query, r6, table
 
 #: The published grids (fixed values).
 GRIDS = {
@@ -22,9 +22,10 @@ def _scores(s, d):
     Later places cancel in infilling scores of a model that sees one word back, so that points of one k are equal.
     """
     docs = table(s, d, "documents")
+    model = moments(docs)
     found = {
-        "infilling": grid.lowest_grid(infilling_arrays(docs), GRIDS["infilling"]),
-        "wbc": grid.vote_grid(losses(s, d), GRIDS["wbc"]),
+        "infilling": grid.lowest_grid(model.infilling(), GRIDS["infilling"]),
+        "wbc": grid.vote_grid(model.losses(), GRIDS["wbc"]),
     }
     kinds = F.when(F.col("lang") == "en", "a").otherwise("b")
     rows = table(s, d, "labels").join(docs.select("doc_id", "lang"), "doc_id").select(
