@@ -169,6 +169,18 @@ def test_infilling_and_moments_of_many_blocks_and_buckets(spark):
     ]
 
 
+def test_coverage_reads_short_and_long_texts_once(spark):
+    """Short and long rows, also of one id, get their labels; the first reading has all of them in one scan."""
+    known = "the quick brown fox jumps over a lazy dog and runs away again"
+    rows = [(1, known[5:17]), (2, known), (3, "x" * 80), (4, known[:40] + "#" * 40), (5, None), (6, known[3:14] + "zz"), (7, "z"), (7, known)]
+    docs = spark.createDataFrame(rows, "i long, text string")
+    index = shingles.build_index(spark.createDataFrame([(0, known)], "i long, text string"), "i", 10)
+    got = shingles.coverage_label(docs, index, "i", 10, 30)
+    assert {(r.i, r.label) for r in got.collect()} == {(1, 1), (2, 1), (3, 0), (4, 1), (5, 0), (6, 1), (7, 1)}
+    tried = shingles._tried(shingles.normalized(docs, "i"), 10, 30)
+    assert tried._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
 def test_infilling_of_the_last_tokens(spark):
     rng = random.Random(5)
     texts = ["", "a b c", "a b c d", *(" ".join(rng.choices("abcdef", [6, 4, 3, 2, 1, 1], k=k)) for k in (6, 7, 30))]
