@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StandardScaler
@@ -19,10 +20,10 @@ from pyspark.sql.window import Window
 from gleanspark.functions.text import DECAY
 
 
-@F.pandas_udf(LongType())
-def zlib_length(texts: pd.Series) -> pd.Series:
-    """Bytes of the compressed UTF-8 text; null counts as empty."""
-    return texts.map(lambda t: len(zlib.compress((t or "").encode())))
+@F.arrow_udf(LongType())
+def zlib_length(texts: pa.Array) -> pa.Array:
+    """Bytes of the compressed UTF-8 text; null counts as empty.  Texts are read where Arrow holds them, not copied."""
+    return pa.array([len(zlib.compress(t.as_buffer() or b"")) for t in texts], pa.int64())
 
 
 def fit_forest(df: DataFrame, vec: str, label: str, *, trees: int = 50, depth: int = 5, seed: int = 0) -> PipelineModel:
