@@ -401,3 +401,30 @@ def test_blocks_ask_for_packed_keys_alone(spark):
     assert got.n == 450_000 and stored < 12 * got.n and got.blocks.count() > 4
     one = tallies.tallied(docs.coalesce(1).limit(50), "doc_id", F.encode(F.col("text"), "UTF-8"))
     assert one.answers.count() == 0 and one.n == 15_000
+
+
+def test_losses_move_few_bytes_and_blocks_stay_where_they_are(spark):
+    """Words go as text once, pairs by the numbers of words; the stored blocks are not shuffled again, and all counts are whole."""
+    rng = random.Random(12)
+    syllables = [a + b for a in "bdfgklmnprst" for b in ("a", "e", "in", "or")]
+    word = lambda: "".join(rng.choices(syllables, k=rng.randint(1, 2)))
+    texts = [" ".join(word() for _ in range(300)) for _ in range(1500)] + ["only here", "", "only"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = tallies.tallied(docs, "doc_id", F.encode(F.col("text"), "UTF-8"), block_bytes=200_000, bucket_bytes=300_000)
+    assert got.pairs > 3 and got.n_words > 1 and got.blocks.count() > 10
+    moved = sum(df.agg(F.sum(F.length("data"))).first()[0] for df in (got.asked, got.answers))
+    assert moved < 3 * got.n
+    rows = got.losses(0.7)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    uni, pair, ahead = Counter(), Counter(), Counter()
+    for t in map(str.split, texts):
+        uni.update(t)
+        pair.update(itertools.pairwise(t))
+        ahead.update(t[:-1])
+    assert (got.n, got.v) == (sum(uni.values()), len(uni))
+    q = {w: (c + 1) / (got.n + got.v) for w, c in uni.items()}
+    for r in rows.collect():
+        both = list(itertools.pairwise(texts[r.id].split()))
+        assert r.uni == pytest.approx([-math.log(q[b]) for _, b in both])
+        assert r.bi == pytest.approx([-math.log(0.7 * pair[a, b] / ahead[a] + (1 - 0.7) * q[b]) for a, b in both])
