@@ -428,3 +428,19 @@ def test_losses_move_few_bytes_and_blocks_stay_where_they_are(spark):
         both = list(itertools.pairwise(texts[r.id].split()))
         assert r.uni == pytest.approx([-math.log(q[b]) for _, b in both])
         assert r.bi == pytest.approx([-math.log(0.7 * pair[a, b] / ahead[a] + (1 - 0.7) * q[b]) for a, b in both])
+
+
+def test_many_blocks_grow_and_words_have_whole_counts_by_falling_number(spark):
+    """Beyond 50 blocks these are larger, so that less is asked for a token; answers have rising counts; losses are the same."""
+    rng = random.Random(13)
+    syllables = [a + b for a in "bdfgklmnprst" for b in ("a", "e", "in", "or")]
+    word = lambda: "".join(rng.choices(syllables, k=rng.randint(1, 3)))
+    rows = [(i, " ".join(word() for _ in range(300))) for i in range(1500)]
+    docs, text = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), F.encode(F.col("text"), "UTF-8")
+    got = tallies.tallied(docs, "doc_id", text, block_bytes=10_000, bucket_bytes=400_000)
+    assert 50 < got.blocks.count() < sum(len(t) for _, t in rows) / 20_000
+    for r in got.answers.filter(f"bucket < {got.n_words}").collect():
+        number, rises, last = map(tallies.numbers, tallies.unpack(r.data))
+        assert len(rises) == len(last) == (number > 0).sum() and (rises >= 0).all() and (last >= 0).all()
+    one = tallies.tallied(docs, "doc_id", text)
+    assert sorted(got.losses(0.7).collect()) == sorted(one.losses(0.7).collect())
